@@ -24,6 +24,9 @@ fx_obs AS (
 fx_obs_gaps AS (
  select obs_id, raw_name, value, case when obs_id % 19 = 0 then null else state end as state,
   case when obs_id % 17 = 0 then null else lat end as lat, case when obs_id % 17 = 0 then null else lon end as lon from fx_obs),
+fx_facilities AS (
+ select site_id as facility_id, lat, lon, cast(site_id % 4 as int) as rail_code, cast((site_id*7 + 1) % 4 as int) as bus_code,
+  cast(state % 4 as int) as air_code, cast(site_id % 3 as int) as class_code from fx_sites),
 fx_trips AS (
  select o_orderkey as trip_id, o_custkey % 40 as route_id, o_orderpriority as service_id,
   cast(o_orderkey % 2 as int) as direction_id, o_orderstatus as kind from orders),

@@ -94,6 +94,18 @@ class Fixtures:
             )
         return self._get("obs_gaps", build)
 
+    def facilities(self) -> DataFrame:
+        """Transport facilities at site coordinates with coded service columns (0-3) and a class code."""
+        def build():
+            s = self.sites()
+            k = F.col("site_id")
+            return s.select(
+                F.col("site_id").alias("facility_id"), F.col("lat"), F.col("lon"),
+                (k % 4).cast("int").alias("rail_code"), ((k * 7 + 1) % 4).cast("int").alias("bus_code"),
+                (F.col("state") % 4).cast("int").alias("air_code"), (k % 3).cast("int").alias("class_code"),
+            )
+        return self._get("facilities", build)
+
     # -- timetable roles -----------------------------------------------------------
     def trips(self) -> DataFrame:
         def build():
