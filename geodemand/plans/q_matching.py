@@ -1 +1,340 @@
-"""Queries (filled in below)."""
+"""Entity resolution queries: name clean-up, fuzzy and cascaded matching, roll-ups, containment matching."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from geodemand.functions import text as T
+from geodemand.functions.constants import COORD_MATCH_KM, FUZZY_IN_BLOCK_SCORE, STATE_ABBR, STOP_COORD_MATCH_KM, \
+    STOP_FUZZY_SCORE
+from geodemand.functions.geo import haversine_sql, round6
+from geodemand.operators import spatial as SP
+from geodemand.operators.contains import contains_first
+from geodemand.operators.enrich import map_constant
+from geodemand.operators.matching import cascade, similarity_join
+from geodemand.operators.rows import first_non_null
+from geodemand.plans.fixture_sql import r6, with_fx
+from geodemand.plans.fixtures import Fixtures
+from geodemand.plans.q_spatial import _NEAREST_SQL, match_in_block, nearest_any_block
+from geodemand.plans.registry import query
+
+EXCLUDE_PATTERN = "(?i)lot 1[0-9]+\\)|auto train"
+OVERRIDE_NAME = "Supplier#000000001 Station, XX"
+OVERRIDE_SITE = 2
+TOP_VISITOR_ENTRIES = 50
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# ---- name clean-up ----------------------------------------------------------------------
+
+def obs_names(obs):
+    """Split '#' into its own token, take the city part, normalise (both sides get the same treatment)."""
+    city_raw = T.extract_city("raw_name")
+    return obs.withColumns({"city_raw": city_raw}).withColumn(
+        "city_norm", T.normalise_city(F.replace(F.col("city_raw"), F.lit("#"), F.lit(" #"))))
+
+
+def site_names(sites):
+    return sites.withColumn("city_norm", T.normalise_city(F.replace(T.extract_city("name"), F.lit("#"), F.lit(" #"))))
+
+
+def _norm_sql(x: str) -> str:
+    s = f"regexp_replace({x}, '\\s*\\([^)]*\\)', '', 'g')"
+    s = f"regexp_replace({s}, ',.*$', '')"
+    s = f"regexp_replace(lower({s}), '^\\s+|\\s+$', '', 'g')"
+    s = f"regexp_replace({s}, '\\s*(amtrak|station|depot|terminal)$', '')"
+    return f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
+
+
+_CITY_RAW_SQL = ("case when regexp_extract(raw_name, '^(.+?),\\s*[A-Z]', 1) = '' then raw_name "
+                 "else regexp_extract(raw_name, '^(.+?),\\s*[A-Z]', 1) end")
+
+
+@query("name_normalise", with_fx(f"""
+select obs_id, city_raw, {_norm_sql("replace(city_raw, '#', ' #')")} as city_norm
+from (select obs_id, {_CITY_RAW_SQL} as city_raw from fx_obs) x
+"""))
+def name_normalise(spark, sf_dir):
+    o = obs_names(Fixtures(spark, sf_dir).obs())
+    return o.select("obs_id", "city_raw", "city_norm")
+
+
+@query("filter_name_exclude", with_fx(f"""
+select obs_id, raw_name from fx_obs_gaps where not coalesce(regexp_matches(raw_name, {_sql_str(EXCLUDE_PATTERN)}), false)
+"""))
+def filter_name_exclude(spark, sf_dir):
+    o = Fixtures(spark, sf_dir).obs_gaps()
+    keep = ~F.coalesce(F.col("raw_name").rlike(EXCLUDE_PATTERN), F.lit(False))
+    return o.where(keep).select("obs_id", "raw_name")
+
+
+_STATE_NAMES = list(STATE_ABBR)
+_STATE_VALUES_SQL = ", ".join(f"({_sql_str(k)}, {_sql_str(v)})" for k, v in STATE_ABBR.items())
+_NAME_BY_INDEX_SQL = "[" + ", ".join(_sql_str(k) for k in _STATE_NAMES) + "]"
+
+
+@query("state_code_map", with_fx(f"""
+select o.obs_id, o.state_name, m.code as state_abbr
+from (select obs_id, case when state < 20 then {_NAME_BY_INDEX_SQL}[state + 1] else 'Unknown ' || cast(state as varchar) end
+        as state_name from fx_obs) o
+left join (select * from (values {_STATE_VALUES_SQL}) as t(name, code)) m on m.name = o.state_name
+"""))
+def state_code_map(spark, sf_dir):
+    o = Fixtures(spark, sf_dir).obs()
+    names = F.array(*[F.lit(n) for n in _STATE_NAMES])
+    o = o.withColumn("state_name", F.when(F.col("state") < 20, F.element_at(names, (F.col("state") + 1).cast("int")))
+                     .otherwise(F.concat(F.lit("Unknown "), F.col("state").cast("string"))))
+    r = map_constant(spark, o, "state_name", STATE_ABBR, "state_abbr")
+    return r.select("obs_id", "state_name", "state_abbr")
+
+
+# ---- scores -----------------------------------------------------------------------------
+
+@query("token_sort_ratio")
+def token_sort_ratio_q(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    o = obs_names(fx.obs()).select("obs_id", "true_site", "city_norm")
+    s = site_names(fx.sites()).select(F.col("site_id").alias("true_site"), F.col("city_norm").alias("site_norm"))
+    j = o.join(s, "true_site")
+    return j.select("obs_id", "true_site", T.token_sort_ratio_udf("city_norm", "site_norm").alias("score"))
+
+
+@query("token_set_ratio")
+def token_set_ratio_q(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    o = fx.obs().select("obs_id", "true_site", T.clean_stop_name("raw_name").alias("clean_name"))
+    s = fx.sites().select(F.col("site_id").alias("true_site"), F.col("name").alias("site_name"))
+    j = o.join(s, "true_site")
+    return j.select("obs_id", "true_site", T.token_set_ratio_udf("clean_name", "site_name").alias("score"))
+
+
+def fuzzy_in_block(obs_named, sites_named, threshold=FUZZY_IN_BLOCK_SCORE):
+    return similarity_join(obs_named, sites_named.withColumnRenamed("state", "r_state"), left_id="obs_id",
+                           left_text="city_norm", right_id="site_id", right_text="city_norm", threshold=threshold,
+                           scorer="token_sort", block=("state", "r_state"))
+
+
+@query("match_fuzzy_in_block")
+def match_fuzzy_in_block(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    m = fuzzy_in_block(obs_names(fx.obs()), site_names(fx.sites()))
+    return m.select("obs_id", "site_id", "score")
+
+
+def fuzzy_global(stops, sites, threshold=STOP_FUZZY_SCORE):
+    return similarity_join(stops, sites.withColumnRenamed("name", "site_name"), left_id="obs_id",
+                           left_text="clean_name", right_id="site_id", right_text="site_name",
+                           threshold=threshold, scorer="token_set")
+
+
+@query("match_fuzzy_global")
+def match_fuzzy_global(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    stops = fx.obs_gaps().select("obs_id", T.clean_stop_name("raw_name").alias("clean_name"))
+    m = fuzzy_global(stops, fx.sites().select("site_id", "name"))
+    return m.select("obs_id", "site_id", "score")
+
+
+# ---- cascades ---------------------------------------------------------------------------
+
+def observation_cascade(spark, fx, obs):
+    """override -> no candidates in block -> nearest in block (unless suspect) -> fuzzy in block -> unmatched."""
+    sites = fx.sites()
+    named = obs_names(obs)
+    flagged = nearest_any_block(obs, sites).select("obs_id", "coord_suspect")
+    overrides = spark.createDataFrame([(OVERRIDE_NAME, OVERRIDE_SITE)], "raw_name string, match_id long")
+    site_states = sites.select(F.col("state")).where(F.col("state").isNotNull()).distinct()
+
+    def t_override(p):
+        return p.join(F.broadcast(overrides), "raw_name").withColumn("match_method", F.lit("override"))
+
+    def t_no_block(p):
+        return p.join(site_states, "state", "left_anti").select(
+            "obs_id", F.lit(None).cast("long").alias("match_id"), F.lit("no_state_candidates").alias("match_method"))
+
+    def t_coord(p):
+        m = match_in_block(p.join(flagged, "obs_id"), sites, COORD_MATCH_KM)
+        return m.select("obs_id", F.col("site_id").alias("match_id"),
+                        F.format_string("coord(%.2fkm)", F.col("dist_km")).alias("match_method"))
+
+    def t_fuzzy(p):
+        m = fuzzy_in_block(p, site_names(sites))
+        return m.select("obs_id", F.col("site_id").alias("match_id"),
+                        F.format_string("fuzzy(%d)", F.bround("score", 0).cast("int")).alias("match_method"))
+
+    return cascade(named, "obs_id", [("override", t_override), ("no_block", t_no_block), ("coord", t_coord),
+                                     ("fuzzy", t_fuzzy)])
+
+
+@query("match_cascade")
+def match_cascade(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return observation_cascade(spark, fx, fx.obs_gaps())
+
+
+@query("match_cascade_exact_first")
+def match_cascade_exact_first(spark, sf_dir):
+    """exact id -> global token-set fuzzy on cleaned names -> nearest within 2 km -> unmatched."""
+    fx = Fixtures(spark, sf_dir)
+    sites = fx.sites()
+    stops = fx.obs_gaps().select("obs_id", "lat", "lon", T.clean_stop_name("raw_name").alias("clean_name"))
+
+    def t_exact(p):
+        return p.join(sites.select(F.col("site_id").alias("obs_id")), "obs_id", "left_semi").select(
+            "obs_id", F.col("obs_id").alias("match_id"), F.lit("exact_code").alias("match_method"))
+
+    def t_fuzzy(p):
+        m = fuzzy_global(p, sites.select("site_id", "name"))
+        return m.select("obs_id", F.col("site_id").alias("match_id"),
+                        F.format_string("fuzzy_name(score=%d)", F.bround("score", 0).cast("int")).alias(
+                            "match_method"))
+
+    def t_coord(p):
+        m = SP.nearest_within(p.select("obs_id", "lat", "lon"),
+                              sites.select("site_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")),
+                              STOP_COORD_MATCH_KM, left_id="obs_id", right_id="site_id")
+        return m.select("obs_id", F.col("site_id").alias("match_id"),
+                        F.format_string("coord(dist=%.2fkm)", F.col("dist_km")).alias("match_method"))
+
+    return cascade(stops, "obs_id", [("exact", t_exact), ("fuzzy", t_fuzzy), ("coord", t_coord)])
+
+
+@query("match_breakdown")
+def match_breakdown(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    c = observation_cascade(spark, fx, fx.obs_gaps())
+    prefix = F.regexp_extract("match_method", r"^([a-z_]+)", 1)
+    return c.groupBy(prefix.alias("method_prefix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_HOS = haversine_sql("o.lat", "o.lon", "s.lat", "s.lon")
+
+
+# ---- roll-ups ---------------------------------------------------------------------------
+
+def resolve_rollup_df(matches, obs, sites):
+    """Per matched site: sum, count, first coordinates, ' + '-joined names in order, summed-label suffix."""
+    j = matches.join(obs.select("obs_id", "raw_name", "value", "lat", "lon"), "obs_id")
+    first = F.struct(F.col("obs_id"))
+    agg = j.where(F.col("site_id").isNotNull()).groupBy("site_id").agg(
+        F.coalesce(F.sum("value"), F.lit(0.0)).alias("total_value"),
+        F.count(F.lit(1)).alias("n_obs"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("obs_id", "raw_name"))), lambda x: x["raw_name"]),
+                     " + ").alias("obs_names"),
+        F.min_by("match_method", first).alias("_m"),
+        F.min_by("lat", first).alias("first_lat"), F.min_by("lon", first).alias("first_lon"),
+    )
+    agg = agg.withColumn("match_method", F.when(F.col("n_obs") > 1, F.concat(F.col("_m"), F.lit(" (summed)")))
+                         .otherwise(F.col("_m"))).drop("_m")
+    return sites.select("site_id").join(agg, "site_id", "left")
+
+
+@query("resolve_rollup", with_fx(f"""
+select s.site_id, {r6('a.total_value')} as total_value, a.n_obs, a.obs_names,
+  case when a.n_obs > 1 then a.m || ' (summed)' else a.m end as match_method, a.first_lat, a.first_lon
+from fx_sites s left join (
+  select site_id, coalesce(sum(value), 0.0e0) as total_value, count(*) as n_obs,
+    string_agg(raw_name, ' + ' order by obs_id) as obs_names, arg_min(method, obs_id) as m,
+    arg_min(lat, obs_id) as first_lat, arg_min(lon, obs_id) as first_lon
+  from (select o.obs_id, o.site_id, 'coord(' || printf('%.2f', o.d) || 'km)' as method, x.raw_name, x.value, x.lat, x.lon
+        from (select obs_id, site_id, d from (
+           select o.obs_id, s.site_id, {_HOS} as d,
+             row_number() over (partition by o.obs_id order by {_HOS}, s.site_id) as rn
+           from sus o join fx_sites s on s.state = o.state and {_HOS} <= 30.0e0 where not o.coord_suspect) y
+           where rn = 1) o
+        join fx_obs x on x.obs_id = o.obs_id) z
+  group by site_id) a on a.site_id = s.site_id
+""", _NEAREST_SQL.replace("OBS", "fx_obs")))
+def resolve_rollup(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    obs = fx.obs()
+    flagged = nearest_any_block(obs, fx.sites())
+    m = match_in_block(flagged, fx.sites(), COORD_MATCH_KM).select(
+        "obs_id", "site_id", F.format_string("coord(%.2fkm)", F.col("dist_km")).alias("match_method"))
+    r = resolve_rollup_df(m, obs, fx.sites())
+    return r.select("site_id", round6("total_value").alias("total_value"), "n_obs", "obs_names", "match_method",
+                    "first_lat", "first_lon")
+
+
+@query("first_non_null", with_fx("""
+select o.true_site, arg_min(g.state, g.obs_id) filter (where g.state is not null) as state,
+  arg_min(g.lat, g.obs_id) filter (where g.lat is not null) as lat,
+  arg_min(g.lon, g.obs_id) filter (where g.lon is not null) as lon
+from fx_obs_gaps g join fx_obs o on o.obs_id = g.obs_id group by o.true_site
+"""))
+def first_non_null_q(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    g = fx.obs_gaps().join(fx.obs().select("obs_id", "true_site"), "obs_id")
+    return first_non_null(g, ["true_site"], [("obs_id", True)], ["state", "lat", "lon"])
+
+
+# ---- containment matching ---------------------------------------------------------------
+
+def _code2(k):
+    return F.concat(F.expr(f"chr(65 + {k} % 26)"), F.expr(f"chr(65 + ({k} * 7) % 26)"))
+
+
+def area_titles(fx):
+    s = fx.sites()
+    return s.select(F.lpad(F.col("site_id").cast("string"), 5, "0").alias("area_code"), F.col("site_id").alias("ord"),
+                    F.concat(F.replace(F.col("name"), F.lit("#"), F.lit(" ")), F.lit(" Area, "), _code2("state"),
+                             F.lit(" MSA")).alias("area_title"))
+
+
+def visitor_entries(fx):
+    n_sites = fx.sites().count()
+    p = fx.places()
+    num = F.lpad((F.col("place_id") % F.lit(n_sites)).cast("string"), 9, "0")
+    st = F.when(F.col("place_id") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(", "), _code2("state")))
+    return p.select("place_id", F.col("pop").alias("visitors"),
+                    F.concat(F.lit("Supplier "), num, st, F.lit(" MSA")).alias("msa_name"))
+
+
+_CONTAINS_CTES = """
+titles AS (select lpad(cast(site_id as varchar), 5, '0') as area_code, site_id as ord,
+  replace(name, '#', ' ') || ' Area, ' || chr(cast(65 + state % 26 as int)) || chr(cast(65 + (state * 7) % 26 as int)) || ' MSA'
+  as area_title from fx_sites),
+ents AS (select place_id, pop as visitors, 'Supplier ' || lpad(cast(place_id % n.n_sites as varchar), 9, '0')
+  || case when place_id % 2 = 0 then '' else ', ' || chr(cast(65 + state % 26 as int)) || chr(cast(65 + (state * 7) % 26 as int)) end
+  || ' MSA' as msa_name
+  from fx_places cross join (select count(*) as n_sites from fx_sites) n),
+parsed AS (select place_id, visitors, msa_name,
+  regexp_replace(split_part(regexp_replace(regexp_replace(msa_name, '\\s+(MSA|MD|MICRO)\\s*$', ''),
+     ',?\\s+[A-Z]{2}(?:-[A-Z]{2})*\\s*$', ''), '-', 1), '^\\s+|\\s+$', '', 'g') as primary_city,
+  regexp_extract(msa_name, '([A-Z]{2})(?:-[A-Z]{2})*\\s*(?:MSA|MD|MICRO|,)?\\s*$', 1) as state from ents)
+"""
+
+
+@query("area_name_parse", with_fx("select place_id, msa_name, primary_city, state from parsed", _CONTAINS_CTES))
+def area_name_parse(spark, sf_dir):
+    e = visitor_entries(Fixtures(spark, sf_dir))
+    return e.select("place_id", "msa_name", T.primary_city("msa_name").alias("primary_city"),
+                    T.first_state("msa_name").alias("state"))
+
+
+@query("match_contains", with_fx(f"""
+select area_code, {r6('sum(visitors)')} as visitors, count(*) as n_entries from (
+  select e.place_id, e.visitors, t.area_code,
+    row_number() over (partition by e.place_id order by t.ord, t.area_code) as rn
+  from (select * from parsed order by visitors desc, place_id limit {TOP_VISITOR_ENTRIES}) e
+  join titles t on length(e.primary_city) > 0 and instr(lower(t.area_title), lower(e.primary_city)) > 0
+    and (e.state = '' or instr(t.area_title, e.state) > 0)) x
+where rn = 1 group by area_code
+""", _CONTAINS_CTES))
+def match_contains(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    e = visitor_entries(fx)
+    top = e.orderBy(F.col("visitors").desc(), F.col("place_id")).limit(TOP_VISITOR_ENTRIES)
+    pats = top.select("place_id", "visitors", F.lower(T.primary_city("msa_name")).alias("pcity"),
+                      T.first_state("msa_name").alias("st"))
+    titles = area_titles(fx).withColumn("title_lc", F.lower("area_title"))
+    extra = (F.col("st") == "") | (F.instr(F.col("area_title"), F.col("st")) > 0)
+    keys = pats.select("pcity", "st").distinct()
+    hit = contains_first(keys, titles, pattern="pcity", title="title_lc", title_key="area_code", title_order="ord",
+                         extra=extra)
+    j = pats.join(hit, ["pcity", "st"])
+    return j.groupBy("area_code").agg(round6(F.sum("visitors")).alias("visitors"),
+                                      F.count(F.lit(1)).alias("n_entries"))
