@@ -1 +1,358 @@
-"""Queries (filled in below)."""
+"""Reporting queries: ratios, bands, segments, rule filters, top lists, display groups, JSON payload."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from geodemand.functions import constants as K
+from geodemand.functions.geo import round6
+from geodemand.operators import report as RP
+from geodemand.operators.rows import keep_first, top_k, top_k_per_group
+from geodemand.plans.fixture_sql import with_fx
+from geodemand.plans.fixtures import Fixtures
+from geodemand.plans.q_schedule import SCHED_CTES, feed
+from geodemand.plans.q_spatial import candidate_places, _CAND_SQL
+from geodemand.plans.registry import query
+
+UNSCORED_STATE = 3
+# Display groups: (display name, member site ids) -- a parameter of the report.
+DISPLAY_GROUPS = [("Group 0-1", [0, 1]), ("Group 2-3", [2, 3])]
+TOP_PAIRS = 20
+
+
+def _p(digits, x):
+    m = f"{10 ** digits}.0e0"
+    return f"(floor(({x})*{m} + 0.5e0)/{m})"
+
+
+def scored_stations(fx):
+    """Actual and predicted demand per site (sites of one block are left unscored)."""
+    s = fx.sites().where(F.col("state") != UNSCORED_STATE)
+    base = F.floor(F.abs(F.col("value")) * 100)
+    actual = (base + 1).cast("bigint")
+    predicted = F.floor((base + 1) * (F.lit(0.2) + (F.col("site_id") * 37 % 100) / F.lit(20.0))).cast("bigint")
+    d = s.select(F.col("site_id").alias("stop_id"), "name", "lat", "lon", "state", actual.alias("actual"),
+                 predicted.alias("predicted"))
+    return RP.demand_ratio(d)
+
+
+_SCORED_SQL = f"""
+st_scored AS (select site_id as stop_id, name, lat, lon, state, cast(floor(abs(value)*100) as bigint) + 1 as actual,
+  cast(floor((floor(abs(value)*100) + 1) * (0.2e0 + ((site_id*37) % 100)/20.0e0)) as bigint) as predicted
+  from fx_sites where state <> {UNSCORED_STATE}),
+st_ratio AS (select *, {_p(3, 'actual / nullif(predicted, 0)')} as ratio from st_scored),
+rt_counts AS (select t.route_id, s.trip_id, count(*) as n_stops from sch_st s join sch_trips t on t.trip_id = s.trip_id
+  group by t.route_id, s.trip_id),
+rep AS (select route_id, trip_id, n_stops from (select *, row_number() over (partition by route_id order by n_stops desc, trip_id)
+  as rn from rt_counts) x where rn = 1),
+route_trips AS (select route_id, cast(coalesce(sum(days_per_week), 0) as bigint) as trips from sch_trips group by route_id),
+segs AS (select x.route_id, x.trip_id, x.seq, x.from_stop, x.to_stop, rt.trips from (
+   select r.route_id, s.trip_id, s.stop_sequence as seq, s.stop_id as from_stop,
+     lead(s.stop_id) over (partition by s.trip_id order by s.stop_sequence) as to_stop
+   from sch_st s join rep r on r.trip_id = s.trip_id) x left join route_trips rt on rt.route_id = x.route_id
+  where x.to_stop is not null),
+segs_scored AS (select g.*, a.name as from_name, a.ratio as from_r, b.name as to_name, b.ratio as to_r,
+   coalesce({_p(3, '(a.ratio + b.ratio) / 2.0e0')}, a.ratio, b.ratio) as score
+  from segs g left join st_ratio a on a.stop_id = g.from_stop left join st_ratio b on b.stop_id = g.to_stop),
+emin AS (select stop_id, min(trips) as min_trips from (select from_stop as stop_id, trips from segs
+  union all select to_stop as stop_id, trips from segs) e group by stop_id),
+top20 AS (select name, min(rk) as rk from (select name, cast(row_number() over (order by ratio, stop_id) as integer) as rk
+  from st_ratio where actual > {K.TOP20_MIN_ACTUAL} and ratio is not null order by ratio, stop_id limit 20) t group by name)
+"""
+_CTES = SCHED_CTES.strip() + ",\n" + _SCORED_SQL.strip()
+
+
+def _report_inputs(spark, sf_dir):
+    fx, trips_f, st_f = feed(spark, sf_dir)
+    rep = RP.representative_trips(st_f, trips_f)
+    segs = RP.consecutive_segments(st_f, rep, trips_f)
+    return fx, trips_f, st_f, rep, segs
+
+
+@query("demand_ratio", with_fx(f"""
+select stop_id, actual, predicted, ratio, {_p(1, '(predicted - actual) / actual * 100.0e0')} as pct_error,
+  {_p(6, 'ln(1.0e0 + predicted)')} as predicted_log from st_ratio
+""", _CTES))
+def demand_ratio(spark, sf_dir):
+    s = RP.pct_error(scored_stations(Fixtures(spark, sf_dir)))
+    return s.select("stop_id", "actual", "predicted", "ratio", "pct_error",
+                    round6(F.log1p("predicted")).alias("predicted_log"))
+
+
+@query("demand_bands", with_fx(f"""
+select stop_id, ratio,
+  case when ratio is null then '#888888' when ratio < {K.RATIO_SEVERE} then '#ef4444'
+       when ratio < {K.RATIO_UNDERSERVED} then '#f97316' when ratio < {K.RATIO_BELOW_MODEL} then '#eab308'
+       when ratio <= {K.RATIO_WELL_MATCHED_MAX} then '#22c55e' else '#06b6d4' end as color,
+  case when ratio is null then 'unknown'
+       when ratio < {K.RATIO_UNDERSERVED} then printf('%.1f× underserved', {_p(1, '1.0e0 / ratio')})
+       when ratio < {K.RATIO_BELOW_MODEL} then printf('%.1f× below model', {_p(1, '1.0e0 / ratio')})
+       when ratio <= {K.RATIO_WELL_MATCHED_MAX} then 'well-matched'
+       else printf('%.1f× outperforms model', {_p(1, 'ratio')}) end as label
+from st_ratio
+""", _CTES))
+def demand_bands(spark, sf_dir):
+    s = scored_stations(Fixtures(spark, sf_dir))
+    color, label = RP.ratio_band("ratio")
+    return s.select("stop_id", "ratio", color.alias("color"), label.alias("label"))
+
+
+@query("trip_weight", with_fx("""
+select route_id, trips, case when trips > 140 then 5.0e0 when trips > 56 then 4.0e0 when trips > 28 then 3.0e0
+  when trips > 14 then 2.5e0 else 2.0e0 end as weight from route_trips
+""", _CTES))
+def trip_weight(spark, sf_dir):
+    _, trips_f, _ = feed(spark, sf_dir)
+    w = trips_f.groupBy("route_id").agg(F.coalesce(F.sum("days_per_week"), F.lit(0)).cast("bigint").alias("trips"))
+    return w.select("route_id", "trips", RP.trip_weight("trips").alias("weight"))
+
+
+@query("representative_trip", with_fx("select route_id, trip_id, n_stops from rep", _CTES))
+def representative_trip(spark, sf_dir):
+    _, _, _, rep, _ = _report_inputs(spark, sf_dir)
+    return rep.select("route_id", "trip_id", "n_stops")
+
+
+@query("consecutive_segments", with_fx("select route_id, trip_id, seq, from_stop, to_stop, trips from segs", _CTES))
+def consecutive_segments(spark, sf_dir):
+    *_, segs = _report_inputs(spark, sf_dir)
+    return segs.select("route_id", "trip_id", "seq", "from_stop", "to_stop", "trips")
+
+
+def _scored_segments(spark, sf_dir):
+    fx, _, _, _, segs = _report_inputs(spark, sf_dir)
+    return fx, RP.score_segments(segs, scored_stations(fx))
+
+
+@query("segments_scored", with_fx("""
+select route_id, seq, from_stop, to_stop, from_name, to_name, from_r, to_r, score, trips from segs_scored
+""", _CTES))
+def segments_scored(spark, sf_dir):
+    _, s = _scored_segments(spark, sf_dir)
+    return s.select("route_id", "seq", "from_stop", "to_stop", "from_name", "to_name", "from_r", "to_r", "score",
+                    "trips")
+
+
+@query("segments_low_freq", with_fx(f"""
+select route_id, seq, trips <= {K.SUPPRESSED_MAX_TRIPS} as low_freq,
+  coalesce(score < {K.RATIO_SUPPRESSED} and trips <= {K.SUPPRESSED_MAX_TRIPS}, false) as underserved_low
+from segs_scored
+""", _CTES))
+def segments_low_freq(spark, sf_dir):
+    _, s = _scored_segments(spark, sf_dir)
+    low = F.col("trips") <= K.SUPPRESSED_MAX_TRIPS
+    sup = F.coalesce((F.col("score") < K.RATIO_SUPPRESSED) & low, F.lit(False))
+    return s.select("route_id", "seq", low.alias("low_freq"), sup.alias("underserved_low"))
+
+
+@query("endpoint_min", with_fx("""
+select s.stop_id, e.min_trips from st_ratio s left join emin e on e.stop_id = s.stop_id
+""", _CTES))
+def endpoint_min(spark, sf_dir):
+    fx, _, _, _, segs = _report_inputs(spark, sf_dir)
+    e = RP.endpoint_min(segs)
+    return scored_stations(fx).select("stop_id").join(e, "stop_id", "left")
+
+
+@query("underserved_top20", with_fx("select name, rk from top20", _CTES))
+def underserved_top20(spark, sf_dir):
+    s = scored_stations(Fixtures(spark, sf_dir)).where(F.col("actual") > K.TOP20_MIN_ACTUAL)
+    t = top_k(s, 20, [("ratio", True), ("stop_id", True)])
+    from pyspark.sql import Window
+    ranked = t.withColumn("rk", F.row_number().over(Window.orderBy("ratio", "stop_id")))
+    return ranked.groupBy("name").agg(F.min("rk").alias("rk"))
+
+
+@query("filter_suppressed", with_fx(f"""
+select s.stop_id, coalesce(s.ratio < {K.RATIO_BELOW_MODEL}, false) as underperforms,
+  coalesce(s.ratio < {K.RATIO_SUPPRESSED} and e.min_trips <= {K.SUPPRESSED_MAX_TRIPS}, false) as suppressed,
+  coalesce(s.ratio > {K.RATIO_WELL_MATCHED_MAX}, false) as outperforms, t.name is not null as in_top20
+from st_ratio s left join emin e on e.stop_id = s.stop_id left join top20 t on t.name = s.name
+""", _CTES))
+def filter_suppressed(spark, sf_dir):
+    fx, _, _, _, segs = _report_inputs(spark, sf_dir)
+    s = scored_stations(fx).join(RP.endpoint_min(segs), "stop_id", "left")
+    top = underserved_top20(spark, sf_dir).select("name", F.lit(True).alias("in_top20"))
+    j = s.join(F.broadcast(top), "name", "left")
+    r = F.col("ratio")
+    return j.select("stop_id",
+                    F.coalesce(r < K.RATIO_BELOW_MODEL, F.lit(False)).alias("underperforms"),
+                    F.coalesce((r < K.RATIO_SUPPRESSED) & (F.col("min_trips") <= K.SUPPRESSED_MAX_TRIPS),
+                               F.lit(False)).alias("suppressed"),
+                    F.coalesce(r > K.RATIO_WELL_MATCHED_MAX, F.lit(False)).alias("outperforms"),
+                    F.coalesce(F.col("in_top20"), F.lit(False)).alias("in_top20"))
+
+
+@query("unordered_pair_topk", with_fx(f"""
+select trim(split_part(from_name, ',', 1)) as from_short, trim(split_part(to_name, ',', 1)) as to_short, score, rk from (
+ select *, cast(row_number() over (order by score, route_id, seq) as integer) as rk from (
+  select *, row_number() over (partition by least(from_name, to_name), greatest(from_name, to_name)
+     order by score, route_id, seq) as pr from segs_scored where score is not null) x where pr = 1) y
+where rk <= {TOP_PAIRS}
+""", _CTES))
+def unordered_pair_topk(spark, sf_dir):
+    _, s = _scored_segments(spark, sf_dir)
+    best = RP.best_per_unordered_pair(s, ["route_id", "seq"])
+    top = best.orderBy("score", "route_id", "seq").limit(TOP_PAIRS)
+    from pyspark.sql import Window
+    top = top.withColumn("rk", F.row_number().over(Window.orderBy("score", "route_id", "seq")))
+    short = lambda c: F.trim(F.split_part(F.col(c), F.lit(","), F.lit(1)))
+    return top.select(short("from_name").alias("from_short"), short("to_name").alias("to_short"), "score", "rk")
+
+
+@query("log_scale")
+def log_scale_q(spark, sf_dir):
+    s = scored_stations(Fixtures(spark, sf_dir))
+    return RP.log_scale(s, "actual").select("stop_id", "actual", "radius")
+
+
+@query("display_groups")
+def display_groups(spark, sf_dir):
+    """Co-located stations shown as one record: sums, ratio of sums, mean position; members leave the plain list."""
+    fx = Fixtures(spark, sf_dir)
+    s = scored_stations(fx)
+    m = _measures_for(spark, sf_dir)
+    s = s.join(m, "stop_id", "left")
+    rows = [(name, sid) for name, ids in DISPLAY_GROUPS for sid in ids]
+    gm = spark.createDataFrame(rows, "display_name string, stop_id long")
+    j = s.join(F.broadcast(gm), "stop_id", "left").withColumn(
+        "display_name", F.coalesce(F.col("display_name"), F.col("name")))
+    key = F.coalesce(F.col("display_name"), F.col("stop_id").cast("string"))
+    g = j.groupBy(key.alias("display_name")).agg(
+        F.sum("actual").alias("actual"), F.sum("predicted").alias("predicted"),
+        F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.avg("weekly_departures").alias("weekly_departures"),
+        F.count(F.lit(1)).alias("n_members"))
+    g = RP.demand_ratio(g)
+    return RP.log_scale(g, "actual")
+
+
+def _measures_for(spark, sf_dir):
+    from geodemand.operators.schedule import stop_service_measures
+    fx, trips_f, st_f = feed(spark, sf_dir)
+    return stop_service_measures(st_f, trips_f, fx.stops()).select("stop_id", "weekly_departures")
+
+
+def route_shapes(spark, sf_dir, rep=None, st_f=None):
+    """Polylines derived from each representative trip: five interpolated, slightly offset points per leg."""
+    fx, trips_f, st_f2, rep2, _ = _report_inputs(spark, sf_dir)
+    rep = rep if rep is not None else rep2
+    st_f = st_f if st_f is not None else st_f2
+    stops = fx.stops()
+    st = st_f.join(rep.select("trip_id", "route_id"), "trip_id").join(stops, "stop_id")
+    from pyspark.sql import Window
+    w = Window.partitionBy("trip_id").orderBy("stop_sequence")
+    legs = st.select("route_id", "stop_sequence", "stop_lat", "stop_lon",
+                     F.lead("stop_lat").over(w).alias("nlat"), F.lead("stop_lon").over(w).alias("nlon"),
+                     (F.row_number().over(w) - 1).alias("k"))
+    pts = legs.withColumn("i", F.explode(F.when(F.col("nlat").isNull(), F.array(F.lit(0)))
+                                         .otherwise(F.sequence(F.lit(0), F.lit(5)))))
+    frac = F.col("i") / 6.0
+    off = F.col("i") * 0.001
+    return pts.select(
+        "route_id", (F.col("k") * 6 + F.col("i")).cast("int").alias("pt_seq"),
+        F.when(F.col("i") == 0, F.col("stop_lat")).otherwise(
+            F.col("stop_lat") + (F.col("nlat") - F.col("stop_lat")) * frac + off).alias("pt_lat"),
+        F.when(F.col("i") == 0, F.col("stop_lon")).otherwise(
+            F.col("stop_lon") + (F.col("nlon") - F.col("stop_lon")) * frac).alias("pt_lon"))
+
+
+def _snapped(spark, sf_dir):
+    fx, trips_f, st_f, rep, segs = _report_inputs(spark, sf_dir)
+    shapes = route_shapes(spark, sf_dir, rep, st_f)
+    stops = (st_f.join(rep.select("trip_id", "route_id"), "trip_id").join(fx.stops(), "stop_id")
+             .select("route_id", F.col("stop_sequence").alias("seq"), "stop_id", F.col("stop_lat").alias("lat"),
+                     F.col("stop_lon").alias("lon")))
+    return fx, segs, shapes, RP.snap_monotone(stops, shapes)
+
+
+@query("snap_monotone")
+def snap_monotone(spark, sf_dir):
+    _, _, _, snapped = _snapped(spark, sf_dir)
+    return snapped.select("route_id", "seq", "stop_id", "shape_idx")
+
+
+def _segment_coords(spark, sf_dir):
+    fx, segs, shapes, snapped = _snapped(spark, sf_dir)
+    line = shapes.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("pt_seq", "pt_lat", "pt_lon"))).alias(
+        "pts")).select("route_id", F.transform("pts", lambda p: F.struct(p["pt_lat"].alias("lat"),
+                                                                      p["pt_lon"].alias("lon"))).alias("pts"))
+    a = snapped.select("route_id", "seq", F.col("shape_idx").alias("idx_a"))
+    b = snapped.select("route_id", F.col("seq").alias("seq_b"), F.col("shape_idx").alias("idx_b"))
+    from pyspark.sql import Window
+    nxt = Window.partitionBy("route_id").orderBy("seq")
+    ab = a.withColumn("seq_b", F.lead("seq").over(nxt)).join(b, ["route_id", "seq_b"])
+    j = segs.join(ab, ["route_id", "seq"], "left").join(line, "route_id", "left")
+    coords = RP.downsample_coords(F.col("pts"), F.col("idx_a").cast("int"), F.col("idx_b").cast("int"))
+    return fx, j.withColumn("coords", coords)
+
+
+@query("polyline_downsample")
+def polyline_downsample(spark, sf_dir):
+    _, j = _segment_coords(spark, sf_dir)
+    return j.select("route_id", "seq", "from_stop", "to_stop", "coords", F.size("coords").alias("n_points"))
+
+
+@query("segment_json")
+def segment_json(spark, sf_dir):
+    """Segment records as JSON text: coordinates (shape slice or straight line), bbox midpoint, score, trips."""
+    fx, j = _segment_coords(spark, sf_dir)
+    lk = scored_stations(fx)
+    s = RP.score_segments(j, lk)
+    stops = fx.stops()
+    a = stops.select(F.col("stop_id").alias("from_stop"), F.col("stop_lat").alias("alat"),
+                     F.col("stop_lon").alias("alon"))
+    b = stops.select(F.col("stop_id").alias("to_stop"), F.col("stop_lat").alias("blat"),
+                     F.col("stop_lon").alias("blon"))
+    s = s.join(a, "from_stop", "left").join(b, "to_stop", "left")
+    straight = F.array(F.array(F.round("alat", 4), F.round("alon", 4)), F.array(F.round("blat", 4), F.round("blon", 4)))
+    coords = F.coalesce(F.col("coords"), straight)
+    lats = F.transform(coords, lambda p: p[0])
+    lons = F.transform(coords, lambda p: p[1])
+    mid = F.array((F.array_min(lats) + F.array_max(lats)) / 2.0, (F.array_min(lons) + F.array_max(lons)) / 2.0)
+    rec = F.struct(F.col("route_id").alias("route"), F.col("from_name").alias("from"), F.col("to_name").alias("to"),
+                   coords.alias("coords"), F.col("score"), F.col("trips"), F.col("from_r"), F.col("to_r"),
+                   F.col("from_rid"), F.col("to_rid"), mid.alias("mid"))
+    return s.select("route_id", "seq", F.to_json(rec).alias("json"))
+
+
+# ---- top lists and keep-first ---------------------------------------------------------------
+
+@query("topk", with_fx("select place_id, pop from fx_places order by pop desc, place_id limit 10"))
+def topk(spark, sf_dir):
+    return top_k(Fixtures(spark, sf_dir).places(), 10, [("pop", False), ("place_id", True)]).select("place_id", "pop")
+
+
+@query("topk_per_group", with_fx("""
+select state, place_id, pop, rank from (select state, place_id, pop,
+  cast(row_number() over (partition by state order by pop desc, place_id) as integer) as rank from fx_places) x where rank <= 3
+"""))
+def topk_per_group(spark, sf_dir):
+    p = Fixtures(spark, sf_dir).places()
+    return top_k_per_group(p, "state", 3, [("pop", False), ("place_id", True)]).select("state", "place_id", "pop",
+                                                                                         "rank")
+
+
+@query("dedupe_first", with_fx("""
+select name_clean, place_id, pop from (select lower(trim(right(name, 3))) as name_clean, place_id, pop,
+  row_number() over (partition by lower(trim(right(name, 3))) order by pop desc, place_id) as rn from fx_places) x
+where rn = 1
+"""))
+def dedupe_first(spark, sf_dir):
+    p = Fixtures(spark, sf_dir).places().select(F.lower(F.trim(F.expr("right(name, 3)"))).alias("name_clean"),
+                                                "place_id", "pop")
+    return keep_first(p, ["name_clean"], [("pop", False), ("place_id", True)])
+
+
+@query("candidate_assemble", with_fx("""
+select code, 1 as is_metro_area, 1 as cbsa_type, cast(0 as bigint) as weekly_departures,
+  cast(0 as bigint) as num_routes_served, cast(null as double) as service_span_hours, 'candidate' as station_type
+from cand
+""", _CAND_SQL))
+def candidate_assemble(spark, sf_dir):
+    """Candidate rows with constant flags, zero service ("no service yet") and typed NULL columns."""
+    c = candidate_places(Fixtures(spark, sf_dir))
+    return c.select("code", F.lit(1).alias("is_metro_area"), F.lit(1).alias("cbsa_type"),
+                    F.lit(0).cast("bigint").alias("weekly_departures"),
+                    F.lit(0).cast("bigint").alias("num_routes_served"),
+                    F.lit(None).cast("double").alias("service_span_hours"),
+                    F.lit("candidate").alias("station_type"))
