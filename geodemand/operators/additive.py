@@ -96,6 +96,11 @@ def compress(df_binned: DataFrame, features: list[str], y: str = "y", extra_keys
         F.count(F.lit(1)).alias("n"), F.sum(y).alias("sum_y"), F.sum(F.col(y) * F.col(y)).alias("sum_y2"))
 
 
+def _const_sql(values) -> str:
+    """An array<double> literal as SQL (folded by the optimizer into one Literal held by reference)."""
+    return "from_json('[" + ",".join(repr(float(v)) for v in values) + "]', 'array<double>')"
+
+
 @dataclass
 class AdditiveModel:
     features: list[str]
@@ -107,26 +112,35 @@ class AdditiveModel:
     history: list[float] = field(default_factory=list)   # training MSE before each round
 
     # -- expressions --------------------------------------------------------------------
-    def coarse(self, f: str) -> Column:
+    def coarse_sql(self, f: str) -> str:
         nb = self.bins[f].n_bins
-        b = F.col(f"b_{f}")
         if nb <= self.pair_coarse:
-            return b
-        return F.when(b == 0, 0).otherwise(F.ceil(b * (self.pair_coarse - 1) / (nb - 1)).cast("int"))
+            return f"b_{f}"
+        return f"(CASE WHEN b_{f} = 0 THEN 0 ELSE CAST(CEIL(b_{f} * {self.pair_coarse - 1} / {nb - 1}) AS INT) END)"
+
+    def coarse(self, f: str) -> Column:
+        return F.expr(self.coarse_sql(f))
 
     def n_coarse(self, f: str) -> int:
         return min(self.bins[f].n_bins, self.pair_coarse)
 
-    def score_binned(self) -> Column:
-        """Prediction from b_<feature> columns."""
-        e = F.lit(float(self.intercept))
+    def score_sql(self) -> str:
+        """Prediction from b_<feature> columns as SQL text.
+
+        Model values enter as array literals (constant-folded), so the generated
+        code is identical from round to round and is compiled once; the whole
+        expression crosses to the JVM as one string.
+        """
+        parts = [f"element_at({_const_sql([self.intercept])}, 1)"]
         for f in self.features:
-            arr = F.array(*[F.lit(float(x)) for x in self.shapes[f]])
-            e = e + F.element_at(arr, F.col(f"b_{f}") + 1)
+            parts.append(f"element_at({_const_sql(self.shapes[f])}, b_{f} + 1)")
         for (a, b), m in self.pairs.items():
-            arr = F.array(*[F.lit(float(x)) for x in m.ravel()])
-            e = e + F.element_at(arr, self.coarse(a) * self.n_coarse(b) + self.coarse(b) + 1)
-        return e
+            cell = f"{self.coarse_sql(a)} * {self.n_coarse(b)} + {self.coarse_sql(b)} + 1"
+            parts.append(f"element_at({_const_sql(m.ravel())}, {cell})")
+        return " + ".join(parts)
+
+    def score_binned(self) -> Column:
+        return F.expr(self.score_sql())
 
     def score(self, df: DataFrame, out: str = "pred_log") -> DataFrame:
         """Score raw feature columns (missing feature columns count as NULL)."""
@@ -155,19 +169,18 @@ class AdditiveModel:
 
 
 def _round_sums(comp: DataFrame, model: AdditiveModel, terms: list) -> dict:
-    """One aggregation job: residual sum and count per (term, bin) under the current model."""
-    pred = model.score_binned()
-    res = F.col("sum_y") - F.col("n") * pred
-    sq = F.col("sum_y2") - 2.0 * pred * F.col("sum_y") + F.col("n") * pred * pred
-    structs = []
+    """One aggregation job: residual sum, count and squared error per (term, bin) under the current model."""
+    pred = f"({model.score_sql()})"
+    cells = []
     for t_idx, t in enumerate(terms):
         if isinstance(t, tuple):
             a, b = t
-            cell = model.coarse(a) * model.n_coarse(b) + model.coarse(b)
+            cell = f"{model.coarse_sql(a)} * {model.n_coarse(b)} + {model.coarse_sql(b)}"
         else:
-            cell = F.col(f"b_{t}")
-        structs.append(F.struct(F.lit(t_idx).alias("t"), cell.cast("int").alias("bin")))
-    e = comp.select(F.explode(F.array(*structs)).alias("k"), res.alias("r"), F.col("n"), sq.alias("q"))
+            cell = f"b_{t}"
+        cells.append(f"named_struct('t', {t_idx}, 'bin', CAST({cell} AS INT))")
+    e = comp.selectExpr(f"explode(array({', '.join(cells)})) AS k", f"sum_y - n * {pred} AS r", "n",
+                        f"sum_y2 - 2.0 * {pred} * sum_y + n * {pred} * {pred} AS q")
     agg = e.groupBy("k.t", "k.bin").agg(F.sum("r").alias("r"), F.sum("n").alias("n"), F.sum("q").alias("q")).collect()
     out: dict = {}
     sse = 0.0
@@ -233,7 +246,7 @@ def pair_gains(comp: DataFrame, model: AdditiveModel) -> list[tuple[tuple[str, s
     structs = [F.struct(F.lit(i).alias("p"), model.coarse(a).alias("ba"), model.coarse(b).alias("bb"))
                for i, (a, b) in enumerate(pairs)]
     e = comp.select(F.explode(F.array(*structs)).alias("k"), res.alias("r"), "n")
-    cells = e.groupBy("k.p", "k.ba", "k.bb").agg(F.sum("r").alias("s"), F.sum("n").alias("n"))
+    cells = e.groupBy("k.p", "k.ba", "k.bb").agg(F.sum("r").alias("s"), F.sum("n").alias("n")).persist()
     term = F.col("s") * F.col("s") / F.col("n")
     full = cells.groupBy("p").agg(F.sum(term).alias("g"))
     ra = cells.groupBy("p", "ba").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).groupBy("p").agg(
@@ -243,8 +256,8 @@ def pair_gains(comp: DataFrame, model: AdditiveModel) -> list[tuple[tuple[str, s
     tot = cells.groupBy("p").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select("p", term.alias("gt"))
     rows = full.join(ra, "p").join(rb, "p").join(tot, "p").select(
         "p", (F.col("g") - F.col("ga") - F.col("gb") + F.col("gt")).alias("gain")).collect()
-    ranked = sorted(((pairs[r["p"]], float(r["gain"])) for r in rows), key=lambda x: (-x[1], x[0]))
-    return ranked
+    cells.unpersist()
+    return sorted(((pairs[r["p"]], float(r["gain"])) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
 def importance(model: AdditiveModel) -> list[tuple[str, float, float, int]]:
@@ -304,20 +317,32 @@ def assign_group_folds(counts: dict, n_folds: int = 5) -> dict:
     return out
 
 
-def kmeans_groups(df: DataFrame, k: int = 20, seed: int = 42, restarts: int = 10,
-                  lat: str = "lat", lon: str = "lon", id_col: str = "id") -> DataFrame:
-    """spark.ml k-means on (lat, lon), best of several seeds by training cost; no coordinates -> group -1."""
+def fit_kmeans(df: DataFrame, k: int = 20, seed: int = 42, restarts: int = 10, lat: str = "lat",
+               lon: str = "lon"):
+    """spark.ml k-means on raw (lat, lon); best of ``restarts`` seeds by training cost. Returns the model."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
-    has = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    vec = VectorAssembler(inputCols=[lat, lon], outputCol="features").transform(has.select(id_col, lat, lon))
-    vec = vec.persist()
+    has = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(lat, lon)
+    vec = VectorAssembler(inputCols=[lat, lon], outputCol="features").transform(has).persist()
     best = None
     for s in range(seed, seed + restarts):
         m = KMeans(k=k, seed=s, featuresCol="features", predictionCol="grp").fit(vec)
         cost = m.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, m)
-    labelled = best[1].transform(vec).select(id_col, F.col("grp").cast("int").alias("grp"))
     vec.unpersist()
+    return best[1]
+
+
+def label_groups(df: DataFrame, model, lat: str = "lat", lon: str = "lon", id_col: str = "id") -> DataFrame:
+    """Group label per row: nearest k-means centre; rows without coordinates share group -1."""
+    from pyspark.ml.feature import VectorAssembler
+    has = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(id_col, lat, lon)
+    vec = VectorAssembler(inputCols=[lat, lon], outputCol="features").transform(has)
+    labelled = model.transform(vec).select(id_col, F.col("grp").cast("int").alias("grp"))
     return df.select(id_col).join(labelled, id_col, "left").withColumn("grp", F.coalesce("grp", F.lit(-1)))
+
+
+def kmeans_groups(df: DataFrame, k: int = 20, seed: int = 42, restarts: int = 10,
+                  lat: str = "lat", lon: str = "lon", id_col: str = "id") -> DataFrame:
+    return label_groups(df, fit_kmeans(df, k, seed, restarts, lat, lon), lat, lon, id_col)

@@ -1 +1,363 @@
-"""Queries (filled in below)."""
+"""Modelling queries: feature preparation, strata, group folds, additive fits, OOF predictions, scoring, what-if."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from geodemand.functions.geo import round6
+from geodemand.operators import additive as AD
+from geodemand.operators.report import round_to
+from geodemand.plans.fixture_sql import r6, with_fx
+from geodemand.plans.fixtures import Fixtures
+from geodemand.plans.q_spatial import _CAND_SQL, candidate_places  # noqa: F401
+from geodemand.plans.registry import query
+
+FEATURES = ["nation", "balance", "segment", "n_orders", "avg_price", "n_finished", "pop", "lat", "lon"]
+CATEGORICAL = ["segment"]
+NUMERIC = [f for f in FEATURES if f not in CATEGORICAL]
+ZERO_FILLED = ["n_orders", "n_finished"]      # "no activity yet" for candidates is 0, not missing
+CURVE_FEATURE = "n_orders"
+N_GROUPS, N_FOLDS, N_STRATA, SEED, RESTARTS = 20, 5, 5, 42, 10
+FIT = dict(rounds=30, learning_rate=0.1, min_leaf=2, interactions=3, interaction_rounds=15)
+ORACLE_ROUNDS, ORACLE_LR, ORACLE_BINS = 2, 0.01, 16
+LOOKUP_NAME_RANK = 1
+
+_MEMO: dict = {}
+
+
+def model_rows(spark, sf_dir):
+    return Fixtures(spark, sf_dir).model_table()
+
+
+# ---- feature preparation --------------------------------------------------------------------
+
+def prepare_features(df, flags=(), mode_fill=(), expected=(), types=None):
+    """Schema-tolerant feature frame: absent columns typed NULL, flags NULL -> 0, categories NULL -> mode."""
+    types = types or {}
+    d = df
+    for c in expected:
+        if c not in d.columns:
+            d = d.withColumn(c, F.lit(None).cast(types.get(c, "double")))
+    fills = {c: F.coalesce(F.col(c), F.lit(0)) for c in flags}
+    for c in mode_fill:
+        cnt = d.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+        top = cnt.agg(F.min_by(F.col(c), F.struct(-F.col("_n"), F.col(c))).alias("_m")).first()["_m"]
+        fills[c] = F.coalesce(F.col(c), F.lit(top))
+    return d.withColumns(fills) if fills else d
+
+
+@query("feature_fill", with_fx("""
+select id, coalesce(seg, (select seg from (select nullif(segment, 'HOUSEHOLD') as seg from fx_model) s
+   where seg is not null group by seg order by count(*) desc, seg limit 1)) as segment,
+  coalesce(n_fin, 0.0e0) as n_finished, balance, cast(null as double) as weekly_departures
+from (select id, nullif(segment, 'HOUSEHOLD') as seg,
+  case when n_orders > 20 then null else n_finished end as n_fin, balance from fx_model) x
+"""))
+def feature_fill(spark, sf_dir):
+    m = model_rows(spark, sf_dir).select(
+        "id", F.nullif(F.col("segment"), F.lit("HOUSEHOLD")).alias("segment"),
+        F.when(F.col("n_orders") > 20, F.lit(None)).otherwise(F.col("n_finished")).alias("n_finished"), "balance")
+    p = prepare_features(m, flags=["n_finished"], mode_fill=["segment"], expected=["weekly_departures"])
+    return p.select("id", "segment", F.col("n_finished").cast("double").alias("n_finished"), "balance",
+                    "weekly_departures")
+
+
+@query("quantile_bins", with_fx("""
+select id, cast(len(list_filter(e[2:len(e) - 1], lambda v: y > v)) as int) as stratum
+from fx_model, (select list_sort(list_distinct(quantile_cont(y, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) as e from fx_model) q
+"""))
+def quantile_bins(spark, sf_dir):
+    s, _ = AD.quantile_strata(model_rows(spark, sf_dir), "y", N_STRATA, exact=True)
+    return s.select("id", F.col("stratum").cast("int").alias("stratum"))
+
+
+def _uniform_bin_sql(f, bins):
+    return (f"case when {f} is null then 0 else 1 + cast(len(list_filter(list_transform(range(1, {bins}), "
+            f"lambda i: lo_{f} + (hi_{f} - lo_{f}) * i / {bins}), lambda e: e < {f})) as int) end")
+
+
+_RANGES_SQL = "select " + ", ".join(f"min({f}) as lo_{f}, max({f}) as hi_{f}" for f in NUMERIC) + " from fx_model"
+_BINS_SQL = ("select id, y, " + ", ".join(f"{_uniform_bin_sql(f, ORACLE_BINS)} as b_{f}" for f in NUMERIC)
+             + ", cast(dense_rank() over (order by segment) as int) as b_segment from fx_model, (" + _RANGES_SQL
+             + ") r")
+
+
+def _uniform_binning(spark, sf_dir):
+    m = model_rows(spark, sf_dir)
+    return m, AD.fit_binning(m, FEATURES, CATEGORICAL, max_bins=ORACLE_BINS, method="uniform")
+
+
+@query("feature_bins", with_fx("select id, " + ", ".join(f"b_{f}" for f in FEATURES) + " from (" + _BINS_SQL
+                               + ") b"))
+def feature_bins(spark, sf_dir):
+    m, bins = _uniform_binning(spark, sf_dir)
+    return AD.binned(m, bins, keep=["id"]).select("id", *[F.col(f"b_{f}").cast("int").alias(f"b_{f}")
+                                                          for f in FEATURES])
+
+
+def _fit_rounds_sql():
+    unp = "\nunion all\n".join(f"select id, y, '{f}' as feature, b_{f} as bin from bins" for f in FEATURES)
+    return f"""
+bins AS ({_BINS_SQL}),
+unp AS ({unp}),
+i0 AS (select avg(y) as i0 from fx_model),
+raw1 AS (select feature, bin, sum(y - i0) as r, count(*) as n from unp, i0 group by feature, bin),
+s1 AS (select feature, bin, n, case when n >= 2 then {ORACLE_LR}e0 * r / n else 0.0e0 end as s from raw1),
+m1 AS (select feature, sum(s * n) / sum(n) as m from s1 group by feature),
+sh1 AS (select s1.feature, s1.bin, s1.n, s1.s - m1.m as s from s1 join m1 on m1.feature = s1.feature),
+i1 AS (select (select i0 from i0) + (select sum(m) from m1) as i1),
+p1 AS (select u.id, min(u.y) as y, (select i1 from i1) + sum(sh.s) as p from unp u
+       join sh1 sh on sh.feature = u.feature and sh.bin = u.bin group by u.id),
+raw2 AS (select u.feature, u.bin, sum(p1.y - p1.p) as r, count(*) as n from unp u join p1 on p1.id = u.id
+         group by u.feature, u.bin),
+s2 AS (select sh.feature, sh.bin, sh.n, sh.s + case when r.n >= 2 then {ORACLE_LR}e0 * r.r / r.n else 0.0e0 end as s
+       from sh1 sh join raw2 r on r.feature = sh.feature and r.bin = sh.bin),
+m2 AS (select feature, sum(s * n) / sum(n) as m from s2 group by feature)"""
+
+
+@query("additive_fit_rounds", with_fx(f"""
+select s2.feature, cast(s2.bin as int) as bin, {r6('s2.s - m2.m')} as score from s2 join m2 on m2.feature = s2.feature
+union all
+select '(intercept)' as feature, 0 as bin, {r6('(select i1 from i1) + (select sum(m) from m2)')} as score
+""", _fit_rounds_sql()))
+def additive_fit_rounds(spark, sf_dir):
+    """Two boosting rounds on equal-width bins (each round one aggregation job); shape scores of observed bins."""
+    m, bins = _uniform_binning(spark, sf_dir)
+    b = AD.binned(m, bins, keep=["y"])
+    comp = AD.compress(b, FEATURES).checkpoint().persist()
+    model = AD.fit_additive(comp, FEATURES, bins, rounds=ORACLE_ROUNDS, learning_rate=ORACLE_LR, min_leaf=2)
+    shapes = model.shape_table(spark).select("feature", "bin", "score")
+    observed = b.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"b_{f}").cast("int")
+                                                      .alias("bin")) for f in FEATURES])).alias("k")).select(
+        "k.*").distinct()
+    s = shapes.join(observed, ["feature", "bin"]).select("feature", "bin", round6("score").alias("score"))
+    icpt = spark.range(1).select(F.lit("(intercept)").alias("feature"), F.lit(0).alias("bin"),
+                                 round6(F.lit(float(model.intercept))).alias("score"))
+    return s.unionByName(icpt)
+
+
+# ---- cross-validated fit (memoised small driver state per data folder) -----------------------
+
+def _cv_state(spark, sf_dir):
+    key = (id(spark), sf_dir)
+    if key in _MEMO:
+        return _MEMO[key]
+    m = model_rows(spark, sf_dir)
+    groups = _groups(spark, sf_dir)
+    strata, edges = AD.quantile_strata(m.select("id", "y"), "y", N_STRATA, exact=True)
+    counts_rows = (strata.join(groups, "id").groupBy("grp", "stratum").agg(F.count(F.lit(1)).alias("n")).collect())
+    counts: dict = {}
+    for r in counts_rows:
+        counts.setdefault(r["grp"], {})[r["stratum"]] = r["n"]
+    fold_of = AD.assign_group_folds(counts, N_FOLDS)
+    bins = AD.fit_binning(m, FEATURES, CATEGORICAL, max_bins=32, method="quantile")
+    fold_df = spark.createDataFrame([(int(g), int(f)) for g, f in fold_of.items()], "grp int, fold int")
+    with_fold = m.join(groups, "id").join(F.broadcast(fold_df), "grp")
+    b = AD.binned(with_fold, bins, keep=["fold", "y"])
+    comp = AD.compress(b, FEATURES, extra_keys=["fold"]).checkpoint().persist()
+    models = {}
+    for f in range(N_FOLDS):
+        models[f] = AD.fit_additive(comp.where(F.col("fold") != f), FEATURES, bins, **FIT)
+    final = AD.fit_additive(comp, FEATURES, bins, **FIT)
+    state = dict(fold_of=fold_of, bins=bins, models=models, final=final, edges=edges)
+    _MEMO[key] = state
+    return state
+
+
+def _groups_and_folds(spark, sf_dir):
+    st = _cv_state(spark, sf_dir)
+    m = model_rows(spark, sf_dir)
+    groups = _groups(spark, sf_dir)
+    fold_df = spark.createDataFrame([(int(g), int(f)) for g, f in st["fold_of"].items()], "grp int, fold int")
+    return st, m.join(groups, "id").join(F.broadcast(fold_df), "grp")
+
+
+def _groups(spark, sf_dir):
+    """k-means labels; the fitted centres (k x 2 doubles) are memoised per data folder."""
+    key = (id(spark), sf_dir, "kmeans")
+    m = model_rows(spark, sf_dir)
+    if key not in _MEMO:
+        _MEMO[key] = AD.fit_kmeans(m, k=N_GROUPS, seed=SEED, restarts=RESTARTS)
+    return AD.label_groups(m, _MEMO[key])
+
+
+@query("geo_groups")
+def geo_groups(spark, sf_dir):
+    return _groups(spark, sf_dir)
+
+
+@query("cluster_sizes")
+def cluster_sizes(spark, sf_dir):
+    g = _groups(spark, sf_dir)
+    sizes = g.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.min("n").alias("min_size"), F.median("n").alias("median_size"), F.max("n").alias("max_size"),
+                     F.count(F.lit(1)).alias("n_groups"))
+
+
+@query("group_folds")
+def group_folds(spark, sf_dir):
+    _, d = _groups_and_folds(spark, sf_dir)
+    return d.select("id", "grp", "fold")
+
+
+def oof_frame(spark, sf_dir):
+    st, d = _groups_and_folds(spark, sf_dir)
+    parts = []
+    for f, model in st["models"].items():
+        parts.append(model.score(d.where(F.col("fold") == f), "pred_log"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return st, out
+
+
+@query("oof_predictions")
+def oof_predictions(spark, sf_dir):
+    """Each row predicted once, by the model of the fold that did not see it; original integer actual kept."""
+    _, o = oof_frame(spark, sf_dir)
+    actual = F.floor("spend").cast("bigint")
+    pred = F.expm1("pred_log")
+    return o.select("id", "name", "fold", actual.alias("actual"), F.floor(pred).cast("bigint").alias("predicted"),
+                    round6("y").alias("y"), round6("pred_log").alias("pred_log"),
+                    round_to((pred - F.col("spend")) / F.col("spend") * 100.0, 1).alias("pct_error"))
+
+
+def _fold_metrics(o):
+    err = F.col("y") - F.col("pred_log")
+    return (o.groupBy("fold").agg(F.sqrt(F.avg(err * err)).alias("rmse_log"),
+                                   (1 - F.sum(err * err) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2"),
+                                   F.count(F.lit(1)).alias("n")),
+            o.agg(F.sqrt(F.avg(err * err)).alias("rmse_log"),
+                  (1 - F.sum(err * err) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2"),
+                  F.count(F.lit(1)).alias("n")))
+
+
+@query("metrics_union")
+def metrics_union(spark, sf_dir):
+    _, o = oof_frame(spark, sf_dir)
+    per, overall = _fold_metrics(o)
+    per = per.withColumn("label", F.concat(F.lit("fold_"), (F.col("fold") + 1).cast("string")))
+    return per.unionByName(overall.withColumn("label", F.lit("oof_overall")), allowMissingColumns=True).select(
+        "label", "fold", "rmse_log", "r2", "n")
+
+
+@query("regression_metrics")
+def regression_metrics(spark, sf_dir):
+    _, o = oof_frame(spark, sf_dir)
+    per, overall = _fold_metrics(o)
+    summ = per.agg(F.avg("rmse_log").alias("rmse_mean"), F.stddev_samp("rmse_log").alias("rmse_std"),
+                   F.avg("r2").alias("r2_mean"), F.stddev_samp("r2").alias("r2_std"))
+    # Four scalars from a five-row table, attached as literals.
+    return overall.select("rmse_log", "r2", "n", *[F.lit(v).alias(k) for k, v in summ.first().asDict().items()])
+
+
+@query("pair_gain")
+def pair_gain(spark, sf_dir):
+    st = _cv_state(spark, sf_dir)
+    model = st["final"]
+    m = model_rows(spark, sf_dir)
+    comp = AD.compress(AD.binned(m, st["bins"], keep=["y"]), FEATURES)
+    gains = AD.pair_gains(comp, AD.AdditiveModel(model.features, model.bins, model.intercept,
+                                                 {k: v.copy() for k, v in model.shapes.items()}, {}))
+    rows = [(a, b, float(g), i + 1) for i, ((a, b), g) in enumerate(gains[:3])]
+    return spark.createDataFrame(rows, "feature_a string, feature_b string, gain double, rank int")
+
+
+@query("shape_importance")
+def shape_importance(spark, sf_dir):
+    st = _cv_state(spark, sf_dir)
+    return spark.createDataFrame(AD.importance(st["final"]),
+                                 "feature string, mean_abs_score double, score_range double, n_bins int")
+
+
+@query("additive_score")
+def additive_score(spark, sf_dir):
+    st = _cv_state(spark, sf_dir)
+    return st["final"].score(model_rows(spark, sf_dir)).select("id", round6("pred_log").alias("pred_log"))
+
+
+def _candidates_features(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    c = candidate_places(fx).select("code", "place_id")
+    m = model_rows(spark, sf_dir).drop(*ZERO_FILLED, "avg_price")
+    j = c.join(m, m["id"] == c["place_id"], "left").drop("id")
+    return prepare_features(j, flags=ZERO_FILLED, expected=ZERO_FILLED + ["avg_price"])
+
+
+@query("candidate_scores")
+def candidate_scores(spark, sf_dir):
+    """Candidates scored with zero activity features; ranked by predicted value."""
+    st = _cv_state(spark, sf_dir)
+    s = st["final"].score(_candidates_features(spark, sf_dir))
+    w = Window.orderBy(F.col("pred_log").desc(), F.col("code"))
+    ranked = s.orderBy(F.col("pred_log").desc(), F.col("code")).withColumn("rank", F.row_number().over(w))
+    return ranked.select("rank", "code", round6("pred_log").alias("predicted_log"),
+                         F.round(F.expm1("pred_log")).cast("bigint").alias("predicted"))
+
+
+def curve_points(model, feature):
+    """(x, score) points of a numeric shape: bin left edges with the score of the bin they open."""
+    rows = [r for r in model.shape_rows() if r[0] == feature and r[1] >= 2 and r[2] is not None]
+    xs = [float(r[2]) for r in rows]
+    ys = [float(r[5]) for r in rows]
+    return xs, ys
+
+
+def interpolate(x, xs, ys):
+    """Piecewise-linear through (xs, ys), clamped outside; a column expression over literal arrays."""
+    if not xs:
+        return F.lit(0.0)
+    X = F.array(*[F.lit(v) for v in xs])
+    Y = F.array(*[F.lit(v) for v in ys])
+    n = len(xs)
+    lo = F.size(F.filter(X, lambda b: b <= x))          # 1-based index of the last edge <= x
+    xl, xh = F.element_at(X, lo), F.element_at(X, lo + 1)
+    yl, yh = F.element_at(Y, lo), F.element_at(Y, lo + 1)
+    inner = yl + (x - xl) / (xh - xl) * (yh - yl)
+    return (F.when(x <= F.lit(xs[0]), F.lit(ys[0])).when(x >= F.lit(xs[-1]), F.lit(ys[-1]))
+            .otherwise(inner) if n > 1 else F.lit(ys[0]))
+
+
+@query("curve_interpolate")
+def curve_interpolate(spark, sf_dir):
+    st = _cv_state(spark, sf_dir)
+    xs, ys = curve_points(st["final"], CURVE_FEATURE)
+    m = model_rows(spark, sf_dir)
+    return m.select("id", F.col(CURVE_FEATURE).alias("x"),
+                    round6(interpolate(F.col(CURVE_FEATURE).cast("double"), xs, ys)).alias("curve_score"))
+
+
+@query("what_if_grid")
+def what_if_grid(spark, sf_dir):
+    """Per entity: estimate on a grid of the curve feature (7 .. ceil(max(500, current)/7)*7 by 7)."""
+    st = _cv_state(spark, sf_dir)
+    xs, ys = curve_points(st["final"], CURVE_FEATURE)
+    m = model_rows(spark, sf_dir).where(F.col(CURVE_FEATURE).isNotNull())
+    cur = F.col(CURVE_FEATURE).cast("double")
+    top = F.ceil(F.greatest(cur, F.lit(500.0)) / 7) * 7
+    g = m.select("id", "spend", cur.alias("current"), F.explode(F.sequence(F.lit(7), top.cast("int"), F.lit(7)))
+                 .alias("trips"))
+    delta = interpolate(F.col("trips").cast("double"), xs, ys) - interpolate(F.col("current"), xs, ys)
+    est = F.round(F.expm1(F.log1p("spend") + delta)).cast("bigint")
+    return g.select("id", "trips", est.alias("estimate"))
+
+
+@query("scenario_scores")
+def scenario_scores(spark, sf_dir):
+    """Hypothetical rows per segment: typical activity values, every other feature missing."""
+    st = _cv_state(spark, sf_dir)
+    m = model_rows(spark, sf_dir)
+    sc = m.groupBy("segment").agg(F.avg("n_orders").alias("n_orders"), F.avg("pop").alias("pop"))
+    s = st["final"].score(sc)
+    return s.select("segment", "n_orders", "pop", round6("pred_log").alias("pred_log"),
+                    F.round(F.expm1("pred_log")).cast("bigint").alias("predicted"))
+
+
+@query("entity_lookup")
+def entity_lookup(spark, sf_dir):
+    """One entity by name (the largest spender's name): actual, OOF prediction, percent error."""
+    o = oof_predictions(spark, sf_dir)
+    name = model_rows(spark, sf_dir).orderBy(F.col("spend").desc(), "id").select("name").limit(LOOKUP_NAME_RANK)
+    return o.join(name, "name").select("id", "name", "actual", "predicted", "pct_error")
