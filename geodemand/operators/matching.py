@@ -107,7 +107,8 @@ def similarity_join(left: DataFrame, right: DataFrame, *, left_id: str, left_tex
 
     short, partner = _short_limits(t)
     keys = ["_side", "_blk", "_txt", "_form"]
-    both = L.withColumn("_side", F.lit("L")).unionByName(R.withColumn("_side", F.lit("R"))).select(*keys)
+    # Distinct texts of both sides feed several branches (grams, frequencies, words): materialise once.
+    both = L.withColumn("_side", F.lit("L")).unionByName(R.withColumn("_side", F.lit("R"))).select(*keys).checkpoint()
     n = F.length("_form")
     big_bound = (F.lit(1.5 * t - 1.0) * (n + n * F.lit(t / (2.0 - t))) - F.lit(1.0 + 1e-9))
     bi = _tokens(both.where(n > short), "_form", 2)
@@ -120,11 +121,15 @@ def similarity_join(left: DataFrame, right: DataFrame, *, left_id: str, left_tex
         words = both.select(*keys, F.explode(F.array_distinct(F.split(strip_ws("_txt"), r"\s+"))).alias("w"))
         toks = toks.unionByName(words.where(F.col("w") != "").select(
             *keys, F.concat(F.lit("w:"), F.col("w")).alias("tok")))
-    lt = toks.where(F.col("_side") == "L").select("_blk", F.col("_txt").alias("_lt"), "tok")
-    rt = toks.where(F.col("_side") == "R").select("_blk", F.col("_txt").alias("_rt"), "tok")
-    cand = lt.join(rt, ["_blk", "tok"]).select("_blk", "_lt", "_rt").distinct()
-    scored = cand.withColumn("score", SCORERS[scorer](F.col("_lt"), F.col("_rt"))).where(
-        F.col("score") >= threshold)
+    toks = toks.checkpoint()
+    lt = toks.where(F.col("_side") == "L").select("_blk", F.col("_txt").alias("_lt"), F.col("_form").alias("_lf"), "tok")
+    rt = toks.where(F.col("_side") == "R").select("_blk", F.col("_txt").alias("_rt"), F.col("_form").alias("_rf"), "tok")
+    cand = lt.join(rt, ["_blk", "tok"]).select("_blk", "_lt", "_lf", "_rt", "_rf").distinct()
+    if scorer == "token_sort":   # forms are already token-sorted: score them with the plain ratio
+        score = SCORERS["ratio"](F.col("_lf"), F.col("_rf"))
+    else:
+        score = SCORERS[scorer](F.col("_lt"), F.col("_rt"))
+    scored = cand.withColumn("score", score).where(F.col("score") >= threshold).drop("_lf", "_rf")
 
     lrows = left.select(F.col(left_id), *lkeys, F.col(left_text).alias("_lt"))
     rrows = right.select(F.col(right_id), F.col(order).alias("_ord"), *rkeys, F.col(right_text).alias("_rt"))
@@ -146,7 +151,9 @@ def cascade(left: DataFrame, left_id: str, tiers: Sequence[tuple[str, Callable[[
     pending = left
     parts = []
     for _, fn in tiers:
-        res = fn(pending).select(left_id, match_col, method_col)
+        # Each tier's verdicts are written once (shared checkpoint folder): the next tier's
+        # anti join and the final union read them instead of recomputing the tier.
+        res = fn(pending).select(left_id, match_col, method_col).checkpoint()
         parts.append(res)
         pending = pending.join(res.select(left_id), left_id, "left_anti")
     rest = pending.select(left_id, F.lit(None).cast(parts[0].schema[match_col].dataType).alias(match_col),

@@ -127,6 +127,19 @@ def route_length(extent: DataFrame, trips: DataFrame, stops: DataFrame) -> DataF
     return t.groupBy("route_id").agg(F.max("trip_len_km").alias("route_len_km"))
 
 
+def trip_facts(stop_times: DataFrame, trips: DataFrame, stops: DataFrame) -> DataFrame:
+    """One row per trip: route, direction, days, first/last sequence and stop, endpoint distance."""
+    ext = trip_extent(stop_times)
+    a = stops.select(F.col("stop_id").alias("first_stop"), F.col("stop_lat").alias("lat1"),
+                     F.col("stop_lon").alias("lon1"))
+    b = stops.select(F.col("stop_id").alias("last_stop"), F.col("stop_lat").alias("lat2"),
+                     F.col("stop_lon").alias("lon2"))
+    t = (ext.join(trips.select("trip_id", "route_id", "direction_id", "days_per_week"), "trip_id")
+         .join(a, "first_stop", "left").join(b, "last_stop", "left"))
+    return t.withColumn("trip_len_km", haversine_km("lat1", "lon1", "lat2", "lon2")).drop(
+        "lat1", "lon1", "lat2", "lon2")
+
+
 def stop_service_measures(stop_times: DataFrame, trips: DataFrame, stops: DataFrame,
                           long_km: float = 500.0) -> DataFrame:
     """Per-stop service measures in one aggregation pass.
@@ -143,11 +156,13 @@ def stop_service_measures(stop_times: DataFrame, trips: DataFrame, stops: DataFr
     avg/max_route_length_km over visits; pct_long_distance = share of the
     stop's distinct routes longer than ``long_km``.
     """
-    ext = trip_extent(stop_times)
-    rlen = route_length(ext, trips, stops)
-    trip_info = (trips.select("trip_id", "route_id", "direction_id", "days_per_week")
-                 .join(ext.select("trip_id", "min_seq", "max_seq"), "trip_id")
-                 .join(rlen, "route_id", "left"))
+    # Pass 1 over the visits: one row per trip, written to the shared checkpoint folder so the
+    # per-trip table is computed once (it feeds both the route lengths and pass 2).
+    facts = trip_facts(stop_times, trips, stops).checkpoint()
+    rlen = facts.groupBy("route_id").agg(F.max("trip_len_km").alias("route_len_km"))
+    trip_info = facts.select("trip_id", "route_id", "direction_id", "days_per_week", "min_seq", "max_seq").join(
+        rlen, "route_id", "left")
+    # Pass 2: visits joined to their trip facts, then one aggregation per stop.
     v = visit_times(stop_times.where(F.col("stop_id").isNotNull())).join(trip_info, "trip_id")
     seq = F.col("stop_sequence")
     route = F.col("route_id")
