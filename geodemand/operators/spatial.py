@@ -8,20 +8,22 @@ keys), then the exact haversine distance is applied as a residual filter.
 Catalyst plans this as a hash join on the cell keys -- never a nested loop --
 and it has no special cases at the poles or the antimeridian.
 
-Aggregating joins (counts, sums, maxima, flags) first collapse the right side
-to one row per distinct coordinate (and block), so co-located duplicates --
-the usual form of spatial skew -- cross the shuffle once. Dense cells that
-remain are split by AQE skew-join handling.
+Aggregating joins (counts, sums, maxima, flags) go through ``radius_rollup``:
+the right side is summarised per fine cell and only cells cut by the circle
+are opened point by point, so a dense area never turns into all its pairs.
+Nearest-neighbour joins (``nearest_within``) still enumerate the pairs inside
+the search radius; AQE skew-join handling splits dense cells.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geodemand.functions.geo import EARTH_RADIUS_KM, cell_columns, cell_side, haversine_km
+from geodemand.functions.geo import EARTH_RADIUS_KM, cell_columns, cell_side, haversine_km, unit_xyz
 
 _CELLS = ("_cx", "_cy", "_cz")
 _OFFSETS = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)]
@@ -151,20 +153,146 @@ def radius_aggregate(left: DataFrame, right: DataFrame, radius_km: float, *, lef
     return p.groupBy(left_id).agg(*[e.alias(n) for n, e in post.items()])
 
 
+_OPS = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
+PAIR_BUDGET = 20_000_000
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, radius_km: float, *, left_lat: str = "lat",
+                    left_lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon") -> int:
+    """Exact number of (left, right) pairs a 27-cell join would examine, from per-cell counts.
+
+    Cell-count tables have one row per occupied cell, so this costs two small
+    aggregations and a join of their results.
+    """
+    side = cell_side(radius_km)
+    lc = _with_cells(left.select(left_lat, left_lon), left_lat, left_lon, side).groupBy(*_CELLS).agg(
+        F.count(F.lit(1)).alias("_nl"))
+    rc = _with_cells(right.select(right_lat, right_lon), right_lat, right_lon, side).groupBy(*_CELLS).agg(
+        F.count(F.lit(1)).alias("_nr"))
+    est = _neighbours(lc).join(rc, list(_CELLS)).agg(F.sum(F.col("_nl") * F.col("_nr")).alias("p")).first()["p"]
+    return int(est or 0)
+_COMBINE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
+
+
+def radius_rollup(left: DataFrame, right: DataFrame, radius_km: float | Sequence[float], *, left_id: str,
+                  measures: dict[str, tuple[str, str | None]], left_lat: str = "lat", left_lon: str = "lon",
+                  right_lat: str = "r_lat", right_lon: str = "r_lon", block: Sequence[tuple[str, str]] = (),
+                  fine: int = 4, strategy: str = "auto") -> DataFrame:
+    """Decomposable aggregates (count / sum / max / min) of right rows within the radius of each left row.
+
+    ``strategy``: "pairs" joins point pairs in adjacent cells (fastest when the
+    pair count is modest); "cells" summarises fine cells (below); "auto" first
+    counts the candidate pairs exactly from per-cell counts (one small job) and
+    uses "pairs" only within ``geodemand.spatial.pairBudget`` (default
+    PAIR_BUDGET). Both strategies return identical results.
+
+    Never enumerates all pairs of a dense area. The right side is summarised per
+    fine cell (side = coarse side / ``fine``); each distinct left coordinate meets
+    the occupied fine cells of its 27 coarse neighbours. A fine cell whose box
+    lies entirely inside the radius contributes its summary; one entirely outside
+    is skipped; only cells cut by the circle are opened point by point with the
+    exact haversine test. Rows per left coordinate are therefore bounded by
+    27 * fine^3 summaries plus the points of boundary cells, whatever the density.
+    Box tests use a 1e-9 relative margin so that ambiguous cells always take the
+    exact path. ``measures``: name -> (op, right column; None for count).
+
+    Several radii are answered in one pass (grid of the largest): output columns
+    are ``<name>`` for a single radius, ``<name>__r<i>`` (i-th radius) otherwise.
+    Returns ``left_id`` plus the measure columns for left rows with any hit.
+    """
+    multi = not isinstance(radius_km, (int, float))
+    radii = [float(r) for r in (radius_km if multi else [radius_km])]
+    rmax = max(radii)
+    side = cell_side(rmax)
+    fs = side / fine
+    lb = [a for a, _ in block]
+    rb = [b for _, b in block]
+    vals = sorted({c for _, c in measures.values() if c is not None})
+    outs = {(n, i): (f"{n}__r{i}" if multi else n) for n in measures for i in range(len(radii))}
+
+    if strategy == "auto":
+        budget = int(left.sparkSession.conf.get("geodemand.spatial.pairBudget", str(PAIR_BUDGET)))
+        est = candidate_pairs(left, right, rmax, left_lat=left_lat, left_lon=left_lon, right_lat=right_lat,
+                              right_lon=right_lon)
+        strategy = "pairs" if est <= budget else "cells"
+    if strategy == "pairs":
+        pre = {f"_p_{n}": _OPS[op](F.col(c) if c else F.lit(1)) for n, (op, c) in measures.items()}
+        post = {o: _COMBINE[measures[n][0]](F.when(F.col("dist_km") <= radii[i], F.col(f"_p_{n}")))
+                for (n, i), o in outs.items()}
+        return radius_aggregate(left, right, rmax, left_id=left_id, pre=pre, post=post, left_lat=left_lat,
+                                left_lon=left_lon, right_lat=right_lat, right_lon=right_lon, block=block)
+
+    def fine_cells(df, lat, lon, extra):
+        x, y, z = unit_xyz(lat, lon)
+        d = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
+            *extra, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), x.alias("_x"), y.alias("_y"), z.alias("_z"))
+        d = d.withColumns({"_fx": F.floor(F.col("_x") / fs), "_fy": F.floor(F.col("_y") / fs),
+                           "_fz": F.floor(F.col("_z") / fs)})
+        return d.withColumns({"_cx": F.floor(F.col("_fx") / fine), "_cy": F.floor(F.col("_fy") / fine),
+                              "_cz": F.floor(F.col("_fz") / fine)})
+
+    rpts = fine_cells(right, right_lat, right_lon, [*rb, *vals]).withColumnsRenamed(
+        {b: f"_rb{i}" for i, b in enumerate(rb)})
+    rkeys = [f"_rb{i}" for i in range(len(rb))]
+    cells = rpts.groupBy(*rkeys, "_cx", "_cy", "_cz", "_fx", "_fy", "_fz").agg(
+        *[_OPS[op](F.col(c) if c else F.lit(1)).alias(f"_m_{n}") for n, (op, c) in measures.items()])
+
+    lpts = fine_cells(left.select(*lb, left_lat, left_lon).distinct(), left_lat, left_lon, lb)
+    lpts = _neighbours(lpts.drop("_fx", "_fy", "_fz"))
+    lpts = lpts.withColumnsRenamed({"_lat": "_plat", "_lon": "_plon", "_x": "_px", "_y": "_py", "_z": "_pz"})
+    lpts = lpts.withColumnsRenamed({c: "_l" + c for c in _CELLS})
+    cond = [lpts["_l" + c] == cells[c] for c in _CELLS] + [lpts[a] == cells[k] for a, k in zip(lb, rkeys)]
+    pairs = lpts.join(cells, cond, "inner")
+
+    def gap(p, f):
+        lo = F.col(f) * fs
+        hi = (F.col(f) + 1) * fs
+        near = F.greatest(lo - F.col(p), F.lit(0.0), F.col(p) - hi)
+        far = F.greatest(F.abs(F.col(p) - lo), F.abs(F.col(p) - hi))
+        return near * near, far * far
+
+    g = [gap(p, f) for p, f in (("_px", "_fx"), ("_py", "_fy"), ("_pz", "_fz"))]
+    dmin2 = g[0][0] + g[1][0] + g[2][0]
+    dmax2 = g[0][1] + g[1][1] + g[2][1]
+    cls = {}
+    for i, r in enumerate(radii):
+        chord = 2.0 * math.sin(min(r, HALF_CIRCUMFERENCE_KM) / (2.0 * EARTH_RADIUS_KM))
+        cls[f"_cls{i}"] = (F.when(dmax2 <= (chord * (1 - 1e-9)) ** 2, F.lit(1))
+                           .when(dmin2 > (chord * (1 + 1e-9)) ** 2, F.lit(0)).otherwise(F.lit(2)))
+    pairs = pairs.withColumns(cls)
+    key = ["_plat", "_plon", *lb]
+    any_in = F.greatest(*[F.col(c) == 1 for c in cls]) if len(cls) > 1 else F.col("_cls0") == 1
+    any_edge = F.greatest(*[F.col(c) == 2 for c in cls]) if len(cls) > 1 else F.col("_cls0") == 2
+    whole = pairs.where(any_in).select(*key, *[
+        F.when(F.col(f"_cls{i}") == 1, F.col(f"_m_{n}")).alias(outs[(n, i)]) for (n, i) in outs])
+    edge = pairs.where(any_edge).select(*key, "_fx", "_fy", "_fz", *rkeys, *cls)
+    pts = rpts.select(*rkeys, "_fx", "_fy", "_fz", "_lat", "_lon", *vals)
+    dist = haversine_km("_plat", "_plon", "_lat", "_lon")
+    opened = edge.join(pts, ["_fx", "_fy", "_fz", *rkeys]).withColumn("_d", dist).where(F.col("_d") <= rmax)
+
+    def point_val(n):
+        op, c = measures[n]
+        return F.lit(1).cast("long") if op == "count" else F.col(c)
+
+    opened = opened.select(*key, *[
+        F.when((F.col(f"_cls{i}") == 2) & (F.col("_d") <= radii[i]), point_val(n)).alias(outs[(n, i)])
+        for (n, i) in outs])
+    per_coord = whole.unionByName(opened).groupBy(*key).agg(
+        *[_COMBINE[measures[n][0]](o).alias(o) for (n, i), o in outs.items()])
+    lsel = left.select(left_id, left_lat, left_lon, *lb)
+    jc = [lsel[left_lat] == per_coord["_plat"], lsel[left_lon] == per_coord["_plon"]] + [
+        lsel[a].eqNullSafe(per_coord[a]) for a in lb]
+    return lsel.join(per_coord, jc, "inner").select(left_id, *outs.values())
+
+
 def radius_max_with_fallback(left: DataFrame, right: DataFrame, value: str, *, left_id: str,
                              radius_km: float = 50.0, fallback_km: float = 100.0, out: str = "metro_pop",
                              left_lat: str = "lat", left_lon: str = "lon", right_lat: str = "r_lat",
                              right_lon: str = "r_lon") -> DataFrame:
-    """Value of the largest right row within ``radius_km``; else within ``fallback_km``; else NULL.
-
-    One join at the fallback radius: max(value where d <= r) coalesced with max(value).
-    """
-    a = radius_aggregate(
-        left, right, fallback_km, left_id=left_id,
-        pre={"_vmax": F.max(value)},
-        post={"_near": F.max(F.when(F.col("dist_km") <= radius_km, F.col("_vmax"))), "_far": F.max("_vmax")},
-        left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon)
-    a = a.select(left_id, F.coalesce("_near", "_far").alias(out))
+    """Value of the largest right row within ``radius_km``; else within ``fallback_km``; else NULL (one pass)."""
+    a = radius_rollup(left, right, [radius_km, fallback_km], left_id=left_id, measures={"_v": ("max", value)},
+                      left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon)
+    a = a.select(left_id, F.coalesce("_v__r0", "_v__r1").alias(out))
     return left.join(a, left_id, "left")
 
 
@@ -185,9 +313,8 @@ def radius_count(left: DataFrame, right: DataFrame, radius_km: float, *, left_id
     ``exclude_self`` subtracts one (the left row finds itself when right is the
     same table); co-located twins are still counted.
     """
-    a = radius_aggregate(left, right, radius_km, left_id=left_id, pre={"_n": F.count(F.lit(1))},
-                         post={"_cnt": F.sum("_n")}, left_lat=left_lat, left_lon=left_lon,
-                         right_lat=right_lat, right_lon=right_lon)
+    a = radius_rollup(left, right, radius_km, left_id=left_id, measures={"_cnt": ("count", None)},
+                      left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon)
     j = left.join(a, left_id, "left")
     has = F.col(left_lat).isNotNull() & F.col(left_lon).isNotNull()
     cnt = F.coalesce(F.col("_cnt"), F.lit(0)) - (1 if exclude_self else 0)
@@ -197,24 +324,20 @@ def radius_count(left: DataFrame, right: DataFrame, radius_km: float, *, left_id
 def radius_sum_multi(left: DataFrame, right: DataFrame, weight: str, radii: Sequence[float], *, left_id: str,
                      prefix: str = "weight_within_", left_lat: str = "lat", left_lon: str = "lon",
                      right_lat: str = "r_lat", right_lon: str = "r_lon") -> DataFrame:
-    """Sum of ``weight`` within each radius (one join at the largest radius); 0 when none in range."""
-    rmax = max(radii)
-    post = {f"{prefix}{int(r) if float(r).is_integer() else r}km":
-            F.sum(F.when(F.col("dist_km") <= r, F.col("_w")).otherwise(F.lit(0))) for r in radii}
-    a = radius_aggregate(left, right, rmax, left_id=left_id, pre={"_w": F.sum(weight)}, post=post,
-                         left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon)
-    j = left.join(a, left_id, "left")
-    return j.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in post})
+    """Sum of ``weight`` within each radius (one pass for all radii); 0 when none in range."""
+    a = radius_rollup(left, right, list(radii), left_id=left_id, measures={"_w": ("sum", weight)},
+                      left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon)
+    names = {f"_w__r{i}": f"{prefix}{int(r) if float(r).is_integer() else r}km" for i, r in enumerate(radii)}
+    j = left.join(a.withColumnsRenamed(names), left_id, "left")
+    return j.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in names.values()})
 
 
 def radius_flags(left: DataFrame, right: DataFrame, flags: Sequence[str], radius_km: float, *, left_id: str,
                  count_col: str = "n_flags", left_lat: str = "lat", left_lon: str = "lon",
                  right_lat: str = "r_lat", right_lon: str = "r_lon") -> DataFrame:
     """Any-flag within the radius per flag column (max of 0/1, 0 when none) plus how many flags are set."""
-    pre = {f"_p_{f}": F.max(f) for f in flags}
-    post = {f: F.max(f"_p_{f}") for f in flags}
-    a = radius_aggregate(left, right, radius_km, left_id=left_id, pre=pre, post=post, left_lat=left_lat,
-                         left_lon=left_lon, right_lat=right_lat, right_lon=right_lon)
+    a = radius_rollup(left, right, radius_km, left_id=left_id, measures={f: ("max", f) for f in flags},
+                      left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon)
     j = left.join(a, left_id, "left").withColumns({f: F.coalesce(F.col(f), F.lit(0)).cast("int") for f in flags})
     total = F.lit(0)
     for f in flags:

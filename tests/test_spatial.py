@@ -75,3 +75,56 @@ def test_max_with_fallback(spark):
     assert got == 10          # 33 km inside 50; the larger one at 89 km only counts as fallback
     right2 = right.where("pid = 2")
     assert SP.radius_max_with_fallback(left, right2, "pop", left_id="id").first()["metro_pop"] == 99
+
+
+def test_rollup_dense_cluster_equals_brute_force(spark):
+    rnd = random.Random(9)
+    # a dense cluster (many points within ~1 km) plus scattered points on a ring around it
+    R = [(i, 45.0 + rnd.uniform(-0.005, 0.005), 7.0 + rnd.uniform(-0.005, 0.005), rnd.randint(0, 9))
+         for i in range(2000)]
+    R += [(5000 + i, 45.0 + rnd.uniform(-0.5, 0.5), 7.0 + rnd.uniform(-0.7, 0.7), rnd.randint(0, 9))
+          for i in range(400)]
+    L = [(i, la, lo) for i, la, lo, _ in R[::7]] + [(99999, 45.3, 7.3)]
+    ldf = spark.createDataFrame(L, "lid long, lat double, lon double")
+    rdf = spark.createDataFrame(R, "rid long, r_lat double, r_lon double, w long")
+    for radius in (0.5, 30.0):
+        got = {r.lid: (r.n, r.s, r.m) for r in SP.radius_rollup(
+            ldf, rdf, radius, left_id="lid", strategy="cells",
+            measures={"n": ("count", None), "s": ("sum", "w"), "m": ("max", "w")}).collect()}
+        exp = {}
+        for a, la, lo in L:
+            hits = [w for _, ra, ro, w in R if hav(la, lo, ra, ro) <= radius]
+            if hits:
+                exp[a] = (len(hits), sum(hits), max(hits))
+        assert got == exp
+
+
+def test_rollup_several_radii_one_pass(spark):
+    rnd = random.Random(21)
+    R = [(i, 45.0 + rnd.uniform(-0.6, 0.6), 7.0 + rnd.uniform(-0.8, 0.8), rnd.randint(0, 9)) for i in range(600)]
+    L = [(i, 45.0 + rnd.uniform(-0.5, 0.5), 7.0 + rnd.uniform(-0.5, 0.5)) for i in range(80)]
+    ldf = spark.createDataFrame(L, "lid long, lat double, lon double")
+    rdf = spark.createDataFrame(R, "rid long, r_lat double, r_lon double, w long")
+    radii = [5.0, 15.0, 40.0]
+    got = {r.lid: tuple(r[f"s__r{i}"] for i in range(3)) for r in SP.radius_rollup(
+        ldf, rdf, radii, left_id="lid", strategy="cells", measures={"s": ("sum", "w")}).collect()}
+    for a, la, lo in L:
+        exp = []
+        for rad in radii:
+            hits = [w for _, ra, ro, w in R if hav(la, lo, ra, ro) <= rad]
+            exp.append(sum(hits) if hits else None)
+        assert got.get(a, (None, None, None)) == tuple(exp)
+
+
+def test_rollup_strategies_agree(spark):
+    rnd = random.Random(33)
+    R = [(i, rnd.uniform(-89, 89), rnd.uniform(-180, 180), rnd.randint(0, 5)) for i in range(3000)]
+    L = [(i, rnd.uniform(-89, 89), rnd.uniform(-180, 180)) for i in range(300)]
+    ldf = spark.createDataFrame(L, "lid long, lat double, lon double")
+    rdf = spark.createDataFrame(R, "rid long, r_lat double, r_lon double, w long")
+    res = []
+    for strat in ("pairs", "cells"):
+        res.append(sorted(tuple(r) for r in SP.radius_rollup(
+            ldf, rdf, [300.0, 900.0], left_id="lid", strategy=strat,
+            measures={"n": ("count", None), "m": ("max", "w")}).collect()))
+    assert res[0] == res[1] and len(res[0]) > 0
