@@ -76,16 +76,30 @@ def nearest_within(left: DataFrame, right: DataFrame, radius_km: float, *, left_
                    replicate: str = "left") -> DataFrame:
     """Per left id, the nearest right row within the radius; ties go to the smaller right id.
 
+    Both sides are first collapsed to distinct coordinates (right: the smallest
+    id per coordinate, which is exactly the tie-break winner), so co-located
+    duplicates -- a location holding a large share of the rows -- join once.
     Returns ``left_id, right_id, dist_km`` plus ``carry`` right columns; left
     rows without a hit are absent (left-join the result back for NULLs).
     """
-    p = radius_join(left.select(left_id, left_lat, left_lon, *[a for a, _ in block]),
-                    right.select(right_id, right_lat, right_lon, *[b for _, b in block], *carry),
-                    radius_km, left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon,
-                    block=block, replicate=replicate)
+    lb = [a for a, _ in block]
+    rb = [b for _, b in block]
+    rsel = right.where(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull())
+    rc = (rsel.groupBy(right_lat, right_lon, *rb)
+          .agg(F.min_by(F.struct(F.col(right_id), *[F.col(c) for c in carry]), F.col(right_id)).alias("_r"))
+          .select(right_lat, right_lon, *rb, "_r.*"))
+    lc = left.select(left_lat, left_lon, *lb).where(
+        F.col(left_lat).isNotNull() & F.col(left_lon).isNotNull()).distinct()
+    p = radius_join(lc, rc, radius_km, left_lat=left_lat, left_lon=left_lon, right_lat=right_lat,
+                    right_lon=right_lon, block=block, replicate=replicate)
     best = F.min_by(F.struct(F.col(right_id), F.col("dist_km"), *[F.col(c) for c in carry]),
                     F.struct(F.col("dist_km"), F.col(right_id)))
-    return p.groupBy(left_id).agg(best.alias("_b")).select(left_id, "_b.*")
+    key = [left_lat, left_lon, *lb]
+    per = p.groupBy(*key).agg(best.alias("_b")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_b.*")
+    lsel = left.select(left_id, *key)
+    cond = [lsel[left_lat] == per["_k0"], lsel[left_lon] == per["_k1"]] + [
+        lsel[a].eqNullSafe(per[f"_k{i + 2}"]) for i, a in enumerate(lb)]
+    return lsel.join(per, cond, "inner").select(left_id, right_id, "dist_km", *carry)
 
 
 def nearest_unbounded(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str,
