@@ -8,7 +8,7 @@ from geodemand.functions import constants as K
 from geodemand.functions.geo import round6
 from geodemand.operators import report as RP
 from geodemand.operators.rows import keep_first, top_k, top_k_per_group
-from geodemand.plans.fixture_sql import with_fx
+from geodemand.plans.fixture_sql import r6, with_fx
 from geodemand.plans.fixtures import Fixtures
 from geodemand.plans.q_schedule import SCHED_CTES, feed
 from geodemand.plans.q_spatial import candidate_places, _CAND_SQL
@@ -200,13 +200,38 @@ def unordered_pair_topk(spark, sf_dir):
     return top.select(short("from_name").alias("from_short"), short("to_name").alias("to_short"), "score", "rk")
 
 
-@query("log_scale")
+def _radius_sql(table, value):
+    lv = f"ln(1.0e0 + greatest(cast({value} as double), 0.0e0))"
+    return (f"case when b.hi > b.lo then {_p(1, f'5.0e0 + ({lv} - b.lo) / (b.hi - b.lo) * 17.0e0')} else 13.5e0 end",
+            f"(select min({lv}) as lo, max({lv}) as hi from {table}) b")
+
+
+_R_EXPR, _R_FROM = _radius_sql("st_ratio", "actual")
+
+
+@query("log_scale", with_fx(f"select stop_id, actual, {_R_EXPR} as radius from st_ratio, {_R_FROM}", _CTES))
 def log_scale_q(spark, sf_dir):
     s = scored_stations(Fixtures(spark, sf_dir))
     return RP.log_scale(s, "actual").select("stop_id", "actual", "radius")
 
 
-@query("display_groups")
+_GM_SQL = ", ".join(f"('{n}', {i})" for n, ids in DISPLAY_GROUPS for i in ids)
+_G_EXPR, _G_FROM = _radius_sql("gr", "actual")
+_DG_CTES = _CTES + f""",
+gm AS (select * from (values {_GM_SQL}) as t(display_name, stop_id)),
+meas AS (select stop_id, cast(coalesce(sum(days_per_week), 0) as bigint) as weekly_departures from sch_v group by stop_id),
+gr AS (select coalesce(gm.display_name, s.name) as display_name, sum(s.actual) as actual, sum(s.predicted) as predicted,
+   avg(s.lat) as lat, avg(s.lon) as lon, avg(m.weekly_departures) as weekly_departures, count(*) as n_members,
+   {_p(3, 'sum(s.actual) / nullif(sum(s.predicted), 0)')} as ratio
+  from st_ratio s left join meas m on m.stop_id = s.stop_id left join gm on gm.stop_id = s.stop_id
+  group by coalesce(gm.display_name, s.name))"""
+
+
+@query("display_groups", with_fx(f"""
+select display_name, cast(actual as bigint) as actual, cast(predicted as bigint) as predicted, {r6('lat')} as lat,
+  {r6('lon')} as lon, {r6('weekly_departures')} as weekly_departures, n_members, ratio, {_G_EXPR} as radius
+from gr, {_G_FROM}
+""", _DG_CTES))
 def display_groups(spark, sf_dir):
     """Co-located stations shown as one record: sums, ratio of sums, mean position; members leave the plain list."""
     fx = Fixtures(spark, sf_dir)
@@ -223,7 +248,9 @@ def display_groups(spark, sf_dir):
         F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.avg("weekly_departures").alias("weekly_departures"),
         F.count(F.lit(1)).alias("n_members"))
     g = RP.demand_ratio(g)
-    return RP.log_scale(g, "actual")
+    g = RP.log_scale(g, "actual")
+    return g.select("display_name", "actual", "predicted", round6("lat").alias("lat"), round6("lon").alias("lon"),
+                    round6("weekly_departures").alias("weekly_departures"), "n_members", "ratio", "radius")
 
 
 def _measures_for(spark, sf_dir):
