@@ -61,9 +61,9 @@ fx_model AS (
 """
 
 
-def with_fx(body: str, extra_ctes: str = "") -> str:
+def with_fx(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
     """Prefix a query body with the fixture CTEs (and optional extra CTEs, comma-led)."""
-    return "WITH " + FX_CTES.strip() + (",\n" + extra_ctes.strip() if extra_ctes.strip() else "") + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + FX_CTES.strip() + (",\n" + extra_ctes.strip() if extra_ctes.strip() else "") + "\n" + body
 
 
 def r6(expr: str) -> str:

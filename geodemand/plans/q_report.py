@@ -60,6 +60,30 @@ top20 AS (select name, min(rk) as rk from (select name, cast(row_number() over (
   from st_ratio where actual > {K.TOP20_MIN_ACTUAL} and ratio is not null order by ratio, stop_id limit 20) t group by name)
 """
 _CTES = SCHED_CTES.strip() + ",\n" + _SCORED_SQL.strip()
+_SHAPE_CTES = _CTES + "," + """
+rep_st AS (select r.route_id, s.trip_id, s.stop_sequence, s.stop_id, p.stop_lat, p.stop_lon,
+   lead(p.stop_lat) over (partition by s.trip_id order by s.stop_sequence) as nlat,
+   lead(p.stop_lon) over (partition by s.trip_id order by s.stop_sequence) as nlon,
+   row_number() over (partition by s.trip_id order by s.stop_sequence) - 1 as k
+  from sch_st s join rep r on r.trip_id = s.trip_id join fx_stops p on p.stop_id = s.stop_id),
+shp AS (select route_id, cast(k * 6 + i as int) as pt_seq,
+   case when i = 0 then stop_lat else stop_lat + (nlat - stop_lat) * (i / 6.0e0) + i * 0.001e0 end as pt_lat,
+   case when i = 0 then stop_lon else stop_lon + (nlon - stop_lon) * (i / 6.0e0) end as pt_lon
+  from rep_st, (select unnest(range(0, 6)) as i) ii where i = 0 or nlat is not null),
+stp AS (select route_id, stop_sequence as seq, stop_id, stop_lat as lat, stop_lon as lon,
+   row_number() over (partition by route_id order by stop_sequence) as k from rep_st),
+snap(route_id, k, idx) AS (
+  select s.route_id, s.k, (select arg_min(p.pt_seq, struct_pack(d := (p.pt_lat - s.lat) * (p.pt_lat - s.lat)
+      + (p.pt_lon - s.lon) * (p.pt_lon - s.lon), j := p.pt_seq)) from shp p where p.route_id = s.route_id)
+  from stp s where s.k = 1
+  union all
+  select s.route_id, s.k, (select arg_min(p.pt_seq, struct_pack(d := (p.pt_lat - s.lat) * (p.pt_lat - s.lat)
+      + (p.pt_lon - s.lon) * (p.pt_lon - s.lon), j := p.pt_seq)) from shp p where p.route_id = s.route_id
+      and p.pt_seq >= sn.idx)
+  from snap sn join stp s on s.route_id = sn.route_id and s.k = sn.k + 1),
+snapped AS (select s.route_id, cast(s.seq as bigint) as seq, s.stop_id, cast(n.idx as bigint) as shape_idx
+  from stp s join snap n on n.route_id = s.route_id and n.k = s.k)
+"""
 
 
 def _report_inputs(spark, sf_dir):
@@ -292,7 +316,8 @@ def _snapped(spark, sf_dir):
     return fx, segs, shapes, RP.snap_monotone(stops, shapes)
 
 
-@query("snap_monotone")
+@query("snap_monotone", with_fx("select route_id, seq, stop_id, shape_idx from snapped", _SHAPE_CTES,
+                                 recursive=True))
 def snap_monotone(spark, sf_dir):
     _, _, _, snapped = _snapped(spark, sf_dir)
     return snapped.select("route_id", "seq", "stop_id", "shape_idx")
@@ -313,7 +338,16 @@ def _segment_coords(spark, sf_dir):
     return fx, j.withColumn("coords", coords)
 
 
-@query("polyline_downsample")
+@query("polyline_downsample", with_fx(f"""
+select g.route_id, g.seq, g.from_stop, g.to_stop, c.coords, cast(len(c.coords) as integer) as n_points
+from segs g left join (
+  select a.route_id, a.seq, case when b.shape_idx > a.shape_idx then (
+      select list([{_p(4, 'p.pt_lat')}, {_p(4, 'p.pt_lon')}] order by p.pt_seq) from shp p
+      where p.route_id = a.route_id and p.pt_seq between a.shape_idx and b.shape_idx
+        and ((p.pt_seq - a.shape_idx) % 6 = 0 or p.pt_seq = b.shape_idx)) end as coords
+  from (select *, lead(seq) over (partition by route_id order by seq) as seq_b from snapped) a
+  join snapped b on b.route_id = a.route_id and b.seq = a.seq_b) c on c.route_id = g.route_id and c.seq = g.seq
+""", _SHAPE_CTES, recursive=True))
 def polyline_downsample(spark, sf_dir):
     _, j = _segment_coords(spark, sf_dir)
     return j.select("route_id", "seq", "from_stop", "to_stop", "coords", F.size("coords").alias("n_points"))
