@@ -168,69 +168,105 @@ class AdditiveModel:
                                      "feature string, bin int, x_lo double, x_hi double, category string, score double")
 
 
-def _round_sums(comp: DataFrame, model: AdditiveModel, terms: list) -> dict:
-    """One aggregation job: residual sum, count and squared error per (term, bin) under the current model."""
-    pred = f"({model.score_sql()})"
-    cells = []
-    for t_idx, t in enumerate(terms):
-        if isinstance(t, tuple):
-            a, b = t
-            cell = f"{model.coarse_sql(a)} * {model.n_coarse(b)} + {model.coarse_sql(b)}"
-        else:
-            cell = f"b_{t}"
-        cells.append(f"named_struct('t', {t_idx}, 'bin', CAST({cell} AS INT))")
-    e = comp.selectExpr(f"explode(array({', '.join(cells)})) AS k", f"sum_y - n * {pred} AS r", "n",
-                        f"sum_y2 - 2.0 * {pred} * sum_y + n * {pred} * {pred} AS q")
-    agg = e.groupBy("k.t", "k.bin").agg(F.sum("r").alias("r"), F.sum("n").alias("n"), F.sum("q").alias("q")).collect()
-    out: dict = {}
-    sse = 0.0
+def _term_cell(model: AdditiveModel, t) -> str:
+    if isinstance(t, tuple):
+        a, b = t
+        return f"{model.coarse_sql(a)} * {model.n_coarse(b)} + {model.coarse_sql(b)}"
+    return f"b_{t}"
+
+
+def _round_sums_many(comp: DataFrame, models: list, masks: list[str], terms: list[list]) -> list[dict]:
+    """ONE aggregation job for several models at once (e.g. every CV fold plus the final fit).
+
+    Each compressed row contributes to the models whose training mask it
+    satisfies: residual sum, count and squared error per (model, term, bin).
+    """
+    preds = ["*"] + [f"({m.score_sql()}) AS _p{i}" for i, m in enumerate(models)]
+    cols = ["*"]
+    for i, mask in enumerate(masks):
+        cols += [f"CASE WHEN {mask} THEN sum_y - n * _p{i} END AS _r{i}",
+                 f"CASE WHEN {mask} THEN n END AS _n{i}",
+                 f"CASE WHEN {mask} THEN sum_y2 - 2.0 * _p{i} * sum_y + n * _p{i} * _p{i} END AS _q{i}"]
+    structs = []
+    for i, m in enumerate(models):
+        for t_idx, t in enumerate(terms[i]):
+            structs.append(f"named_struct('m', {i}, 't', {t_idx}, 'bin', CAST({_term_cell(m, t)} AS INT), "
+                           f"'r', _r{i}, 'n', _n{i}, 'q', _q{i})")
+    e = (comp.selectExpr(*preds).selectExpr(*cols)
+         .selectExpr(f"explode(array({', '.join(structs)})) AS k").where("k.n IS NOT NULL"))
+    agg = e.groupBy("k.m", "k.t", "k.bin").agg(F.sum("k.r").alias("r"), F.sum("k.n").alias("n"),
+                                               F.sum("k.q").alias("q")).collect()
+    out = [{"_sse": 0.0} for _ in models]
     for row in agg:
-        out[(row["t"], row["bin"])] = (row["r"], row["n"])
+        d = out[row["m"]]
+        d[(row["t"], row["bin"])] = (row["r"], row["n"])
         if row["t"] == 0:
-            sse += row["q"]
-    out["_sse"] = sse
+            d["_sse"] += row["q"]
     return out
 
 
-def fit_additive(comp: DataFrame, features: list[str], bins: dict[str, Binning], rounds: int = 60,
-                 learning_rate: float = 0.1, min_leaf: int = 2, interactions: int = 0,
-                 interaction_rounds: int | None = None, pair_coarse: int = 8) -> AdditiveModel:
-    """Fit on a compressed table (b_<f> columns, n, sum_y). One Spark job per round."""
-    tot = comp.agg(F.sum("n").alias("n"), F.sum("sum_y").alias("s")).first()
-    model = AdditiveModel(features=list(features), bins=bins, intercept=float(tot["s"] / tot["n"]),
+def fit_additive_many(comp: DataFrame, features: list[str], bins: dict[str, Binning], masks: dict,
+                      rounds: int = 60, learning_rate: float = 0.1, min_leaf: int = 2, interactions: int = 0,
+                      interaction_rounds: int | None = None, pair_coarse: int = 8) -> dict:
+    """Fit one model per training mask (SQL predicate over the compressed table) in lock-step.
+
+    Every boosting round of every model is served by the same single
+    aggregation job, so k-fold cross-validation plus the final fit costs one
+    job per round instead of k + 1.
+    """
+    keys = list(masks)
+    mask_sql = [masks[k] for k in keys]
+    tots = comp.agg(*[F.sum(F.expr(f"CASE WHEN {m} THEN n END")).alias(f"n{i}") for i, m in enumerate(mask_sql)],
+                    *[F.sum(F.expr(f"CASE WHEN {m} THEN sum_y END")).alias(f"s{i}")
+                      for i, m in enumerate(mask_sql)]).first()
+    models = []
+    for i, _ in enumerate(keys):
+        m = AdditiveModel(features=list(features), bins=bins, intercept=float(tots[f"s{i}"] / tots[f"n{i}"]),
                           pair_coarse=pair_coarse)
-    for f in features:
-        model.shapes[f] = np.zeros(bins[f].n_bins)
-
-    def step(terms):
-        sums = _round_sums(comp, model, terms)
-        model.history.append(sums.pop("_sse") / tot["n"])
-        for t_idx, t in enumerate(terms):
-            arr = model.pairs[t] if isinstance(t, tuple) else model.shapes[t]
-            flat = arr.reshape(-1)
-            wsum = 0.0
-            ntot = 0.0
-            for cell in range(flat.size):
-                r, n = sums.get((t_idx, cell), (0.0, 0))
-                if n >= min_leaf:
-                    flat[cell] += learning_rate * r / n
-                wsum += flat[cell] * n
-                ntot += n
-            if ntot > 0:
-                mean = wsum / ntot
-                flat -= mean
-                model.intercept += mean
+        for f in features:
+            m.shapes[f] = np.zeros(bins[f].n_bins)
+        models.append(m)
+
+    def step(term_lists):
+        sums = _round_sums_many(comp, models, mask_sql, term_lists)
+        for i, m in enumerate(models):
+            s = sums[i]
+            m.history.append(s.pop("_sse") / tots[f"n{i}"])
+            for t_idx, t in enumerate(term_lists[i]):
+                arr = m.pairs[t] if isinstance(t, tuple) else m.shapes[t]
+                flat = arr.reshape(-1)
+                wsum = 0.0
+                ntot = 0.0
+                for cell in range(flat.size):
+                    r, n = s.get((t_idx, cell), (0.0, 0))
+                    if n >= min_leaf:
+                        flat[cell] += learning_rate * r / n
+                    wsum += flat[cell] * n
+                    ntot += n
+                if ntot > 0:
+                    mean = wsum / ntot
+                    flat -= mean
+                    m.intercept += mean
 
     for _ in range(rounds):
-        step(list(features))
+        step([list(features)] * len(models))
     if interactions > 0:
-        gains = pair_gains(comp, model)
-        for (a, b), _g in gains[:interactions]:
-            model.pairs[(a, b)] = np.zeros((model.n_coarse(a), model.n_coarse(b)))
-        pair_terms = list(model.pairs)
+        for i, m in enumerate(models):
+            gains = pair_gains(comp.where(mask_sql[i]), m)
+            for (a, b), _g in gains[:interactions]:
+                m.pairs[(a, b)] = np.zeros((m.n_coarse(a), m.n_coarse(b)))
         for _ in range(interaction_rounds if interaction_rounds is not None else rounds):
-            step(pair_terms)
-    return model
+            step([list(m.pairs) for m in models])
+    return dict(zip(keys, models))
+
+
+def fit_additive(comp: DataFrame, features: list[str], bins: dict[str, Binning], rounds: int = 60,
+                 learning_rate: float = 0.1, min_leaf: int = 2, interactions: int = 0,
+                 interaction_rounds: int | None = None, pair_coarse: int = 8) -> AdditiveModel:
+    """Fit on a compressed table (b_<f> columns, n, sum_y, sum_y2). One Spark job per round."""
+    return fit_additive_many(comp, features, bins, {"all": "true"}, rounds=rounds, learning_rate=learning_rate,
+                             min_leaf=min_leaf, interactions=interactions, interaction_rounds=interaction_rounds,
+                             pair_coarse=pair_coarse)["all"]
 
 
 def pair_gains(comp: DataFrame, model: AdditiveModel) -> list[tuple[tuple[str, str], float]]:
@@ -324,14 +360,17 @@ def fit_kmeans(df: DataFrame, k: int = 20, seed: int = 42, restarts: int = 10, l
     from pyspark.ml.feature import VectorAssembler
     has = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(lat, lon)
     vec = VectorAssembler(inputCols=[lat, lon], outputCol="features").transform(has).persist()
-    best = None
-    for s in range(seed, seed + restarts):
+
+    def one(s):
         m = KMeans(k=k, seed=s, featuresCol="features", predictionCol="grp").fit(vec)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
+        return m.summary.trainingCost, s, m
+
+    # Restarts are independent jobs: submit them concurrently and keep the lowest cost (seed breaks ties).
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(restarts, 8)) as pool:
+        fits = list(pool.map(one, range(seed, seed + restarts)))
     vec.unpersist()
-    return best[1]
+    return min(fits, key=lambda x: (x[0], x[1]))[2]
 
 
 def label_groups(df: DataFrame, model, lat: str = "lat", lon: str = "lon", id_col: str = "id") -> DataFrame:

@@ -157,10 +157,12 @@ def _cv_state(spark, sf_dir):
     with_fold = m.join(groups, "id").join(F.broadcast(fold_df), "grp")
     b = AD.binned(with_fold, bins, keep=["fold", "y"])
     comp = AD.compress(b, FEATURES, extra_keys=["fold"]).checkpoint().persist()
-    models = {}
-    for f in range(N_FOLDS):
-        models[f] = AD.fit_additive(comp.where(F.col("fold") != f), FEATURES, bins, **FIT)
-    final = AD.fit_additive(comp, FEATURES, bins, **FIT)
+    # All fold models and the final model advance together: one aggregation job per round.
+    masks = {f: f"fold <> {f}" for f in range(N_FOLDS)}
+    masks["final"] = "true"
+    fitted = AD.fit_additive_many(comp, FEATURES, bins, masks, **FIT)
+    final = fitted.pop("final")
+    models = fitted
     state = dict(fold_of=fold_of, bins=bins, models=models, final=final, edges=edges)
     _MEMO[key] = state
     return state
