@@ -18,6 +18,9 @@ class Fixtures:
     """Lazily built derived inputs for one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        from geodemand.session import ensure_checkpoint_dir, ship_package
+        ensure_checkpoint_dir(spark)
+        ship_package(spark)
         self.spark = spark
         self.sf_dir = sf_dir
         self._memo: dict[str, DataFrame] = {}

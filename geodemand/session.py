@@ -52,3 +52,45 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for stage outputs written by a job."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``geodemand`` importable in Python workers (Arrow UDFs, applyInPandas) wherever the driver runs.
+
+    The package is zipped once per application into the shared checkpoint folder
+    and registered with ``addPyFile``; Spark distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import io
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    target = scratch_path(spark, f"pyfiles/{key}/geodemand.zip")
+    if target.startswith("file:"):
+        target = target[len("file:"):]
+    if "://" in target:
+        # Non-local shared storage: write through the JVM file system API.
+        jvm = sc._jvm
+        path = jvm.org.apache.hadoop.fs.Path(target)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        out = fs.create(path, True)
+        out.write(bytearray(buf.getvalue()))
+        out.close()
+    else:
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        with open(target, "wb") as fh:
+            fh.write(buf.getvalue())
+    sc.addPyFile(target)
+    _SHIPPED.add(key)
