@@ -296,6 +296,38 @@ def pair_gains(comp: DataFrame, model: AdditiveModel) -> list[tuple[tuple[str, s
     return sorted(((pairs[r["p"]], float(r["gain"])) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
+def feature_matrix(df: DataFrame, features: list[str]) -> DataFrame:
+    """Feature columns in the model's fixed order; features absent from ``df`` are silently left out."""
+    return df.select(*[f for f in features if f in df.columns])
+
+
+def save_model(model: AdditiveModel, spark: SparkSession, path: str) -> None:
+    """Persist as two small Parquet tables: the shape table and the model metadata (binning, intercept, pairs)."""
+    import json
+    model.shape_table(spark).write.mode("overwrite").parquet(f"{path.rstrip('/')}/shapes")
+    meta = {"features": model.features, "intercept": model.intercept, "pair_coarse": model.pair_coarse,
+            "bins": {f: {"kind": b.kind, "edges": b.edges, "cats": b.cats} for f, b in model.bins.items()},
+            "pairs": [[a, b, m.tolist()] for (a, b), m in model.pairs.items()]}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(
+        f"{path.rstrip('/')}/meta")
+
+
+def load_model(spark: SparkSession, path: str) -> AdditiveModel:
+    import json
+    meta = json.loads(spark.read.parquet(f"{path.rstrip('/')}/meta").first()["meta"])
+    bins = {f: Binning(b["kind"], edges=b["edges"], cats=b["cats"]) for f, b in meta["bins"].items()}
+    model = AdditiveModel(features=meta["features"], bins=bins, intercept=meta["intercept"],
+                          pair_coarse=meta["pair_coarse"])
+    rows = spark.read.parquet(f"{path.rstrip('/')}/shapes").select("feature", "bin", "score").collect()
+    for f in model.features:
+        model.shapes[f] = np.zeros(bins[f].n_bins)
+    for r in rows:
+        model.shapes[r["feature"]][r["bin"]] = r["score"]
+    for a, b, m in meta["pairs"]:
+        model.pairs[(a, b)] = np.array(m)
+    return model
+
+
 def importance(model: AdditiveModel) -> list[tuple[str, float, float, int]]:
     """Per main-effect feature: unweighted mean |score| over bins, score range, number of bins."""
     out = []

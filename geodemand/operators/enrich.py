@@ -61,3 +61,9 @@ def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> s
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return path
+
+
+def replace_stage_columns(base: DataFrame, stage: DataFrame, key: str, stage_cols: Sequence[str]) -> DataFrame:
+    """Idempotent re-run of an enrichment stage: drop its columns if present, then left-join fresh values."""
+    present = [c for c in stage_cols if c in base.columns]
+    return base.drop(*present).join(stage.select(key, *stage_cols), key, "left")

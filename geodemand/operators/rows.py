@@ -63,3 +63,15 @@ def top_k_per_group(df: DataFrame, group: str, k: int, order: Sequence[tuple[str
     cols = [F.col(c).asc() if a else F.col(c).desc() for c, a in order]
     w = Window.partitionBy(group).orderBy(*cols)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
+def with_row_index(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "row_idx") -> DataFrame:
+    """Stable 0-based index under a total order, without a single-partition window.
+
+    Distributed sort, then ``zipWithIndex`` (per-partition counts + offsets).
+    Prefer a supplied id column; use this only when none exists.
+    """
+    cols = [F.col(c).asc() if a else F.col(c).desc() for c, a in order]
+    s = df.orderBy(*cols)
+    schema = s.schema.add(out, "long")
+    return s.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)

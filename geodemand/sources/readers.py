@@ -91,3 +91,21 @@ def load_schedule(spark: SparkSession, folder: str, route_type: int | None = Non
     shapes = _feed_table(spark, folder, "shapes") if with_shapes else None
     return Schedule(routes=r, trips=trips, stop_times=st, stops=_feed_table(spark, folder, "stops"),
                     calendar=calendar, shapes=shapes)
+
+
+def read_banded(spark: SparkSession, path: str, header_row: int, first_row: int, last_row: int,
+                columns: Sequence[int], names: Sequence[str] | None = None) -> DataFrame:
+    """Sheet-like CSV band: header on 0-based line ``header_row``, data lines first_row..last_row, chosen columns.
+
+    Lines are numbered with ``zipWithIndex`` (partition sizes, then local
+    offsets -- no single-partition step), so the band filter is exact and
+    distributed; footnotes outside the band are dropped.
+    """
+    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF(["_line", "_text"])
+    parsed = lines.select("_line", F.from_csv("_text", ", ".join(f"_c{i} string" for i in range(max(columns) + 1)),
+                                              {"mode": "PERMISSIVE"}).alias("_r"))
+    header = parsed.where(F.col("_line") == header_row).select(
+        *[F.col(f"_r._c{i}") for i in columns]).first()
+    out_names = list(names) if names else [str(h).strip() for h in header]
+    band = parsed.where((F.col("_line") >= first_row) & (F.col("_line") <= last_row))
+    return band.select("_line", *[F.col(f"_r._c{i}").alias(n) for i, n in zip(columns, out_names)])
