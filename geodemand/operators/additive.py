@@ -342,12 +342,13 @@ def importance(model: AdditiveModel) -> list[tuple[str, float, float, int]]:
 def quantile_strata(df: DataFrame, y: str, q: int = 5, exact: bool = True) -> tuple[DataFrame, list[float]]:
     """Equal-frequency strata of ``y`` (right-closed, lowest included, duplicate edges dropped).
 
-    ``exact`` uses the interpolating ``percentile`` (same as a pandas qcut);
-    otherwise ``percentile_approx`` (bounded memory at any scale).
+    ``exact`` gives the interpolated quantiles of a pandas qcut (sketch-bracketed,
+    see ``operators/quantiles.py``); otherwise ``percentile_approx`` edges.
     """
     probs = [i / q for i in range(q + 1)]
     if exact:
-        edges = df.agg(F.percentile(F.col(y), probs).alias("e")).first()["e"]
+        from geodemand.operators.quantiles import exact_quantiles
+        edges = exact_quantiles(df, y, probs)
     else:
         edges = df.agg(F.percentile_approx(F.col(y), probs, 100000).alias("e")).first()["e"]
     edges = sorted(set(float(e) for e in edges))

@@ -23,18 +23,23 @@ def _long(row_df: DataFrame, names: Sequence[str], measures: Sequence[str], key:
 def column_profile(df: DataFrame, columns: Sequence[str], exact_quantiles: bool = True) -> DataFrame:
     """count, distinct count, mean, sample std, min, quartiles, max per numeric column.
 
-    ``exact_quantiles`` uses the interpolating ``percentile`` (like pandas); at
-    large scale pass False for ``percentile_approx`` (bounded memory).
+    Moments and counts come from one wide aggregation job; quartiles are exact
+    interpolated values (sketch-bracketed, ``operators/quantiles.py``) or, with
+    ``exact_quantiles=False``, ``percentile_approx`` values.
     """
+    from geodemand.operators.quantiles import exact_quantiles as exact_q
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
-        q = (F.percentile(x, [0.25, 0.5, 0.75]) if exact_quantiles
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], 100000))
         aggs += [F.count(x).alias(f"{c}__count"), F.countDistinct(x).alias(f"{c}__unique"),
                  F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
+                 F.max(x).alias(f"{c}__max")]
+        if not exact_quantiles:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 100000).alias(f"{c}__q"))
     wide = df.agg(*aggs)
+    if exact_quantiles:
+        wide = wide.withColumns({f"{c}__q": F.array(*[F.lit(v).cast("double") for v in
+                                                       exact_q(df, c, [0.25, 0.5, 0.75])]) for c in columns})
     long = _long(wide, columns, ["count", "unique", "mean", "std", "min", "q", "max"])
     return long.select("column_name", "count", "unique", "mean", "std", "min",
                        F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")

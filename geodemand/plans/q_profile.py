@@ -90,6 +90,8 @@ def coverage(spark, sf_dir):
     obs = fx.obs()
     m = match_in_block(nearest_any_block(obs, fx.sites()), fx.sites()).join(obs.select("obs_id", "value"), "obs_id")
     n_total = obs.count()
+    from geodemand.operators.quantiles import exact_quantiles
+    med = exact_quantiles(m, "dist_km", [0.5])[0]
     return m.agg(F.lit(n_total).cast("bigint").alias("n_total"), F.count(F.lit(1)).alias("n_joined"),
-                 round6(F.median("dist_km")).alias("median_km"), round6(F.max("dist_km")).alias("max_km"),
+                 round6(F.lit(med).cast("double")).alias("median_km"), round6(F.max("dist_km")).alias("max_km"),
                  F.sum(F.when(F.col("value") > 0, 1).otherwise(0)).cast("bigint").alias("n_positive"))
