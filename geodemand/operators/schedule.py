@@ -144,8 +144,8 @@ def stop_service_measures(stop_times: DataFrame, trips: DataFrame, stops: DataFr
                           long_km: float = 500.0) -> DataFrame:
     """Per-stop service measures in one aggregation pass.
 
-    ``trips`` must carry route_id, direction_id, days_per_week; ``stop_times``
-    must already be restricted to those trips (``filter_schedule``).
+    ``trips`` must carry route_id, direction_id, days_per_week; visits of other
+    trips drop out in the inner joins (so a separate semi join is not needed).
 
     weekly_departures  sum of days_per_week over visits (final stops count too)
     num_routes_served  distinct routes; num_directions distinct directions
