@@ -27,7 +27,7 @@ def column_profile(df: DataFrame, columns: Sequence[str], exact_quantiles: bool
     interpolated values (sketch-bracketed, ``operators/quantiles.py``) or, with
     ``exact_quantiles=False``, ``percentile_approx`` values.
     """
-    from geodemand.operators.quantiles import exact_quantiles as exact_q
+    from geodemand.operators.quantiles import exact_quantiles_multi as exact_q
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
@@ -38,8 +38,8 @@ def column_profile(df: DataFrame, columns: Sequence[str], exact_quantiles: bool
             aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 100000).alias(f"{c}__q"))
     wide = df.agg(*aggs)
     if exact_quantiles:
-        wide = wide.withColumns({f"{c}__q": F.array(*[F.lit(v).cast("double") for v in
-                                                       exact_q(df, c, [0.25, 0.5, 0.75])]) for c in columns})
+        qs = exact_q(df, columns, [0.25, 0.5, 0.75])
+        wide = wide.withColumns({f"{c}__q": F.array(*[F.lit(v).cast("double") for v in qs[c]]) for c in columns})
     long = _long(wide, columns, ["count", "unique", "mean", "std", "min", "q", "max"])
     return long.select("column_name", "count", "unique", "mean", "std", "min",
                        F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")

@@ -6,7 +6,8 @@ does not survive a 100 TB column. Here an approximate sketch
 one counting job checks that the bracket really contains it, and only the
 values inside the brackets (about 4 n / accuracy of them) reach the driver,
 where the exact order statistics are read off and linearly interpolated
-(the same definition as pandas / ``quantile_cont``).
+(the same definition as pandas / ``quantile_cont``). Several columns share the
+same four jobs.
 """
 
 from __future__ import annotations
@@ -18,31 +19,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], accuracy: int = 1_000_000) -> list:
-    x = F.col(col).cast("double")
-    d = df.select(x.alias("_v")).where(F.col("_v").isNotNull())
-    n = d.count()
-    if n == 0:
-        return [None for _ in probs]
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                          accuracy: int = 1_000_000) -> dict[str, list]:
+    cols = list(cols)
+    d = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    v = [F.col(f"_v{i}") for i in range(len(cols))]
     eps = 2.0 / accuracy
     brackets = []
     for p in probs:
         brackets += [max(0.0, p - eps), min(1.0, p + eps)]
-    approx = d.agg(F.percentile_approx("_v", brackets, accuracy).alias("a")).first()["a"]
-    lo_hi = [(approx[2 * i], approx[2 * i + 1]) for i in range(len(probs))]
-    counts = d.agg(*[F.sum(F.when(F.col("_v") < lo, 1).otherwise(0)).alias(f"b{i}") for i, (lo, _) in enumerate(lo_hi)],
-                   *[F.sum(F.when((F.col("_v") >= lo) & (F.col("_v") <= hi), 1).otherwise(0)).alias(f"c{i}")
-                     for i, (lo, hi) in enumerate(lo_hi)]).first()
-    out = []
-    for i, p in enumerate(probs):
-        pos = p * (n - 1)
-        k0, k1 = math.floor(pos), math.ceil(pos)
-        lo, hi = lo_hi[i]
-        below, inside = counts[f"b{i}"], counts[f"c{i}"]
-        if not (below <= k0 and below + inside > k1):
-            lo, hi, below = -math.inf, math.inf, 0          # sketch guarantee violated: widen (never seen)
-        cond = (F.col("_v") >= lo) & (F.col("_v") <= hi)
-        vals = sorted(r["_v"] for r in d.where(cond).collect())
-        v0, v1 = vals[k0 - below], vals[k1 - below]
-        out.append(v0 + (v1 - v0) * (pos - k0))
+    # job 1: non-null counts and sketch brackets for every column
+    row = d.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(v)],
+                *[F.percentile_approx(x, brackets, accuracy).alias(f"a{i}") for i, x in enumerate(v)]).first()
+    lo_hi = {}
+    for i in range(len(cols)):
+        a = row[f"a{i}"] or []
+        lo_hi[i] = [(a[2 * j], a[2 * j + 1]) if a else (-math.inf, math.inf) for j in range(len(probs))]
+    # job 2: how many values fall below / inside each bracket
+    cnt_aggs = []
+    for i, x in enumerate(v):
+        for j, (lo, hi) in enumerate(lo_hi[i]):
+            cnt_aggs += [F.sum(F.when(x < lo, 1).otherwise(0)).alias(f"b{i}_{j}"),
+                         F.sum(F.when((x >= lo) & (x <= hi), 1).otherwise(0)).alias(f"c{i}_{j}")]
+    cnts = d.agg(*cnt_aggs).first()
+    # verify; widen a bracket only if the sketch guarantee failed (not expected)
+    plan = {}
+    for i in range(len(cols)):
+        n = row[f"n{i}"]
+        for j, p in enumerate(probs):
+            if n == 0:
+                continue
+            pos = p * (n - 1)
+            k0, k1 = math.floor(pos), math.ceil(pos)
+            lo, hi = lo_hi[i][j]
+            below, inside = cnts[f"b{i}_{j}"] or 0, cnts[f"c{i}_{j}"] or 0
+            if not (below <= k0 and below + inside > k1):
+                lo, hi, below = -math.inf, math.inf, 0
+            plan[(i, j)] = (lo, hi, below, k0, k1, pos)
+    # job 3: the values inside the brackets (bounded), tagged by (column, quantile)
+    parts = []
+    for (i, j), (lo, hi, *_rest) in plan.items():
+        parts.append(d.where((v[i] >= lo) & (v[i] <= hi)).select(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                                                                  v[i].alias("x")))
+    vals: dict = {}
+    if parts:
+        u = parts[0]
+        for p_ in parts[1:]:
+            u = u.unionByName(p_)
+        for r in u.collect():
+            vals.setdefault((r["i"], r["j"]), []).append(r["x"])
+    out = {}
+    for i, c in enumerate(cols):
+        res = []
+        for j, _ in enumerate(probs):
+            if (i, j) not in plan:
+                res.append(None)
+                continue
+            lo, hi, below, k0, k1, pos = plan[(i, j)]
+            s = sorted(vals.get((i, j), []))
+            v0, v1 = s[k0 - below], s[k1 - below]
+            res.append(v0 + (v1 - v0) * (pos - k0))
+        out[c] = res
     return out
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], accuracy: int = 1_000_000) -> list:
+    return exact_quantiles_multi(df, [col], probs, accuracy)[col]
