@@ -70,15 +70,88 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float, *,
     return j.where(keep).drop(*["_l" + c for c in _CELLS], *_CELLS)
 
 
+NEAREST_CAP = 4096        # candidate right points per left coordinate before the radius is refined
+MAX_REFINE = 12           # radius halvings (25 km -> about 6 m)
+
+
+def _plain_nearest(lc, rc, r, *, right_id, left_lat, left_lon, right_lat, right_lon, block, carry, replicate):
+    key = [left_lat, left_lon, *[a for a, _ in block]]
+    p = radius_join(lc, rc, r, left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon,
+                    block=block, replicate=replicate)
+    best = F.min_by(F.struct(F.col(right_id), F.col("dist_km"), *[F.col(c) for c in carry]),
+                    F.struct(F.col("dist_km"), F.col(right_id)))
+    return p.groupBy(*key).agg(best.alias("_b")).select(*key, "_b.*")
+
+
+def _neighbour_counts(lc, rc, r, *, left_lat, left_lon, right_lat, right_lon, block):
+    """Exact number of right points in the 27 cells around each left coordinate at the grid of ``r``."""
+    side = cell_side(r)
+    lb = [a for a, _ in block]
+    rb = [b for _, b in block]
+    cnt = _with_cells(rc.select(right_lat, right_lon, *rb), right_lat, right_lon, side).groupBy(
+        *_CELLS, *rb).agg(F.count(F.lit(1)).alias("_n"))
+    nb = _neighbours(_with_cells(lc, left_lat, left_lon, side))
+    cond = [nb[c] == cnt[c] for c in _CELLS] + [nb[a] == cnt[b] for a, b in block]
+    key = [left_lat, left_lon, *lb]
+    tot = nb.join(cnt, cond, "inner").groupBy(*[nb[k] for k in key]).agg(F.sum("_n").alias("_cand"))
+    return lc.join(tot, key, "left").withColumn("_cand", F.coalesce("_cand", F.lit(0)))
+
+
+_MAX_CELL_MEMO: dict = {}
+
+
+def _max_cell(rc: DataFrame, r: float, lat: str, lon: str) -> int:
+    """Largest number of right points in one cell of the grid for ``r`` (memoised per plan and radius)."""
+    try:
+        key = (rc._jdf.queryExecution().analyzed().semanticHash(), round(r, 9), lat, lon)
+    except Exception:  # noqa: BLE001 - plan hash unavailable (e.g. remote client)
+        key = None
+    if key is not None and key in _MAX_CELL_MEMO:
+        return _MAX_CELL_MEMO[key]
+    m = (_with_cells(rc.select(lat, lon), lat, lon, cell_side(r)).groupBy(*_CELLS).count()
+         .agg(F.max("count").alias("m")).first()["m"]) or 0
+    if key is not None:
+        _MAX_CELL_MEMO[key] = m
+    return m
+
+
+def _refined_nearest(lc, rc, r, depth, cap, **kw):
+    """Exact nearest within ``r`` per left coordinate without expanding dense neighbourhoods.
+
+    Coordinates whose 27-cell neighbourhood holds more than ``cap`` right points
+    first search radius r/2 (recursively); a hit there is the exact nearest.
+    Only the misses (no point within r/2) and the sparse coordinates join at r.
+    """
+    if depth >= MAX_REFINE:
+        return _plain_nearest(lc, rc, r, **kw)
+    # Cheap global bound first (one aggregation over the right side): if no cell holds more than
+    # cap / 27 points, no neighbourhood can exceed the cap and the plain join is bounded.
+    if 27 * _max_cell(rc, r, kw["right_lat"], kw["right_lon"]) <= cap:
+        return _plain_nearest(lc, rc, r, **kw)
+    key = [kw["left_lat"], kw["left_lon"], *[a for a, _ in kw["block"]]]
+    counted = _neighbour_counts(lc, rc, r, left_lat=kw["left_lat"], left_lon=kw["left_lon"],
+                                right_lat=kw["right_lat"], right_lon=kw["right_lon"], block=kw["block"]).checkpoint()
+    dense = counted.where(F.col("_cand") > cap).drop("_cand")
+    if dense.isEmpty():
+        return _plain_nearest(lc, rc, r, **kw)
+    sparse = counted.where(F.col("_cand") <= cap).drop("_cand")
+    inner = _refined_nearest(dense, rc, r / 2.0, depth + 1, cap, **kw).checkpoint()
+    missed = dense.join(inner.select(*key), key, "left_anti")
+    outer = _plain_nearest(sparse.unionByName(missed), rc, r, **kw)
+    return inner.unionByName(outer)
+
+
 def nearest_within(left: DataFrame, right: DataFrame, radius_km: float, *, left_id: str, right_id: str,
                    left_lat: str = "lat", left_lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon",
                    block: Sequence[tuple[str, str]] = (), carry: Sequence[str] = (),
-                   replicate: str = "left") -> DataFrame:
+                   replicate: str = "left", cap: int = NEAREST_CAP) -> DataFrame:
     """Per left id, the nearest right row within the radius; ties go to the smaller right id.
 
     Both sides are first collapsed to distinct coordinates (right: the smallest
     id per coordinate, which is exactly the tie-break winner), so co-located
-    duplicates -- a location holding a large share of the rows -- join once.
+    duplicates join once. When the candidate pairs exceed the pair budget,
+    coordinates in dense neighbourhoods search a halved radius first
+    (``_refined_nearest``), so a dense area is not expanded into all its pairs.
     Returns ``left_id, right_id, dist_km`` plus ``carry`` right columns; left
     rows without a hit are absent (left-join the result back for NULLs).
     """
@@ -90,12 +163,11 @@ def nearest_within(left: DataFrame, right: DataFrame, radius_km: float, *, left_
           .select(right_lat, right_lon, *rb, "_r.*"))
     lc = left.select(left_lat, left_lon, *lb).where(
         F.col(left_lat).isNotNull() & F.col(left_lon).isNotNull()).distinct()
-    p = radius_join(lc, rc, radius_km, left_lat=left_lat, left_lon=left_lon, right_lat=right_lat,
-                    right_lon=right_lon, block=block, replicate=replicate)
-    best = F.min_by(F.struct(F.col(right_id), F.col("dist_km"), *[F.col(c) for c in carry]),
-                    F.struct(F.col("dist_km"), F.col(right_id)))
+    kw = dict(right_id=right_id, left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon,
+              block=block, carry=carry, replicate=replicate)
+    res = _refined_nearest(lc, rc, radius_km, 0, cap, **kw)
     key = [left_lat, left_lon, *lb]
-    per = p.groupBy(*key).agg(best.alias("_b")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_b.*")
+    per = res.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], right_id, "dist_km", *carry)
     lsel = left.select(left_id, *key)
     cond = [lsel[left_lat] == per["_k0"], lsel[left_lon] == per["_k1"]] + [
         lsel[a].eqNullSafe(per[f"_k{i + 2}"]) for i, a in enumerate(lb)]

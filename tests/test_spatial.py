@@ -128,3 +128,22 @@ def test_rollup_strategies_agree(spark):
             ldf, rdf, [300.0, 900.0], left_id="lid", strategy=strat,
             measures={"n": ("count", None), "m": ("max", "w")}).collect()))
     assert res[0] == res[1] and len(res[0]) > 0
+
+
+def test_nearest_refines_dense_neighbourhoods(spark):
+    rnd = random.Random(44)
+    # 3,000 distinct points inside ~200 m, plus scattered points; tiny pair budget forces refinement
+    R = [(i, 45.0 + rnd.uniform(-0.001, 0.001), 7.0 + rnd.uniform(-0.001, 0.001)) for i in range(3000)]
+    R += [(9000 + i, 45.0 + rnd.uniform(-0.3, 0.3), 7.0 + rnd.uniform(-0.3, 0.3)) for i in range(200)]
+    L = [(i, la, lo) for i, la, lo in R[::30]] + [(77777, 45.2, 7.2), (88888, 46.0, 8.0)]
+    ldf = spark.createDataFrame(L, "lid long, lat double, lon double")
+    rdf = spark.createDataFrame(R, "rid long, r_lat double, r_lon double")
+    got = {r.lid: (r.rid, round(r.dist_km, 9)) for r in SP.nearest_within(
+        ldf, rdf, 25.0, left_id="lid", right_id="rid", cap=64).collect()}
+    exp = {}
+    for a, la, lo in L:
+        cands = [(hav(la, lo, ra, ro), b) for b, ra, ro in R if hav(la, lo, ra, ro) <= 25.0]
+        if cands:
+            d, b = min(cands)
+            exp[a] = (b, round(d, 9))
+    assert got == exp
