@@ -53,6 +53,39 @@ _CITY_RAW_SQL = ("case when regexp_extract(raw_name, '^(.+?),\\s*[A-Z]', 1) = ''
                  "else regexp_extract(raw_name, '^(.+?),\\s*[A-Z]', 1) end")
 
 
+def _sort_tokens_sql(x: str) -> str:
+    st = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"(case when {st} = '' then '' else array_to_string(list_sort(regexp_split_to_array({st}, '\\s+')), ' ') end)"
+
+
+def _lcs_ctes(pairs_cte: str) -> str:
+    """Bit-parallel LCS of text pairs (pid, a, b) in SQL: masks per character, one recursion step per char of b."""
+    return f"""
+{pairs_cte},
+lcs_masks AS (select p.pid, substr(p.a, t.i, 1) as ch, sum((1::hugeint) << (t.i - 1)) as m
+  from lcs_pairs p, unnest(range(1, length(p.a) + 1)) as t(i) group by p.pid, substr(p.a, t.i, 1)),
+lcs_run(pid, j, v) AS (
+  select pid, 0, ((1::hugeint) << length(a)) - 1 from lcs_pairs
+  union all
+  select l.pid, l.j + 1,
+    ((l.v + (l.v & coalesce(m.m, 0::hugeint))) | (l.v - (l.v & coalesce(m.m, 0::hugeint))))
+      & (((1::hugeint) << length(p.a)) - 1)
+  from lcs_run l join lcs_pairs p on p.pid = l.pid
+  left join lcs_masks m on m.pid = l.pid and m.ch = substr(p.b, l.j + 1, 1)
+  where l.j < length(p.b)),
+lcs_score AS (select p.pid, p.a, p.b, case when length(p.a) + length(p.b) = 0 then 100.0e0
+    else 100.0e0 * 2.0e0 * (length(p.a) - bit_count(l.v)) / (length(p.a) + length(p.b)) end as score
+  from lcs_pairs p join lcs_run l on l.pid = p.pid and l.j = length(p.b))"""
+
+
+_OBS_NORM_SQL = _norm_sql("replace(city_raw, '#', ' #')")
+_SITE_NORM_SQL = _norm_sql("replace(name, '#', ' #')")
+_NAMED_CTES = f"""
+obs_n AS (select obs_id, true_site, state, {_OBS_NORM_SQL} as city_norm
+  from (select *, {_CITY_RAW_SQL} as city_raw from fx_obs) x),
+site_n AS (select site_id, state, {_SITE_NORM_SQL} as city_norm from fx_sites)"""
+
+
 @query("name_normalise", with_fx(f"""
 select obs_id, city_raw, {_norm_sql("replace(city_raw, '#', ' #')")} as city_norm
 from (select obs_id, {_CITY_RAW_SQL} as city_raw from fx_obs) x
@@ -93,7 +126,14 @@ def state_code_map(spark, sf_dir):
 
 # ---- scores -----------------------------------------------------------------------------
 
-@query("token_sort_ratio")
+@query("token_sort_ratio", with_fx("""
+select o.obs_id, o.true_site, sc.score from obs_n o join site_n s on s.site_id = o.true_site
+join lcs_score sc on sc.a = SORT_A and sc.b = SORT_B
+""".replace("SORT_A", _sort_tokens_sql("o.city_norm")).replace("SORT_B", _sort_tokens_sql("s.city_norm")),
+    _NAMED_CTES + "," + _lcs_ctes(f"""
+lcs_pairs AS (select row_number() over (order by a, b) as pid, a, b from (
+  select distinct {_sort_tokens_sql('o.city_norm')} as a, {_sort_tokens_sql('s.city_norm')} as b
+  from obs_n o join site_n s on s.site_id = o.true_site) d)"""), recursive=True))
 def token_sort_ratio_q(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     o = obs_names(fx.obs()).select("obs_id", "true_site", "city_norm")
@@ -117,7 +157,17 @@ def fuzzy_in_block(obs_named, sites_named, threshold=FUZZY_IN_BLOCK_SCORE):
                            scorer="token_sort", block=("state", "r_state"))
 
 
-@query("match_fuzzy_in_block")
+@query("match_fuzzy_in_block", with_fx(f"""
+select obs_id, site_id, score from (
+  select o.obs_id, s.site_id, sc.score,
+    row_number() over (partition by o.obs_id order by sc.score desc, s.site_id) as rn
+  from obs_n o join site_n s on s.state = o.state
+  join lcs_score sc on sc.a = {_sort_tokens_sql('o.city_norm')} and sc.b = {_sort_tokens_sql('s.city_norm')}
+  where sc.score >= {FUZZY_IN_BLOCK_SCORE}) x where rn = 1
+""", _NAMED_CTES + "," + _lcs_ctes(f"""
+lcs_pairs AS (select row_number() over (order by a, b) as pid, a, b from (
+  select distinct {_sort_tokens_sql('o.city_norm')} as a, {_sort_tokens_sql('s.city_norm')} as b
+  from obs_n o join site_n s on s.state = o.state) d)"""), recursive=True))
 def match_fuzzy_in_block(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     m = fuzzy_in_block(obs_names(fx.obs()), site_names(fx.sites()))
