@@ -86,6 +86,43 @@ obs_n AS (select obs_id, true_site, state, {_OBS_NORM_SQL} as city_norm
 site_n AS (select site_id, state, {_SITE_NORM_SQL} as city_norm from fx_sites)"""
 
 
+def _words_sql(x: str) -> str:
+    st = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"list_filter(list_distinct(regexp_split_to_array({st}, '\\s+')), lambda w: w <> '')"
+
+
+def _token_set_ctes(pairs_sql: str) -> str:
+    """token-set score of (x, y) text pairs: set algebra in list functions, LCS of the sorted differences."""
+    return f"""
+ts_in AS ({pairs_sql}),
+ts_sets AS (select x, y, ta, tb, list_intersect(ta, tb) as inter,
+    list_filter(ta, lambda w: not list_contains(tb, w)) as dab,
+    list_filter(tb, lambda w: not list_contains(ta, w)) as dba
+  from (select distinct x, y, {_words_sql('x')} as ta, {_words_sql('y')} as tb from ts_in) d),
+ts_parts AS (select x, y, len(ta) as na, len(tb) as nb, len(inter) as ni, len(dab) as nab, len(dba) as nba,
+    array_to_string(list_sort(dab), ' ') as sab, array_to_string(list_sort(dba), ' ') as sba,
+    length(array_to_string(list_sort(inter), ' ')) as sect from ts_sets),
+lcs_pairs AS (select row_number() over (order by a, b) as pid, a, b from (
+  select distinct sab as a, sba as b from ts_parts) q),""" + _lcs_ctes("").lstrip().lstrip(",").replace(
+        "\n,", "", 1) + """,
+ts_score AS (select t.x, t.y, case
+    when t.na = 0 or t.nb = 0 then 0.0e0
+    when t.ni > 0 and (t.nab = 0 or t.nba = 0) then 100.0e0
+    else (case when t.sect = 0 then best else greatest(best,
+      100.0e0 - 100.0e0 * (1 + length(t.sab)) / (t.sect + t.sect + 1 + length(t.sab)),
+      100.0e0 - 100.0e0 * (1 + length(t.sba)) / (t.sect + t.sect + 1 + length(t.sba))) end) end as score
+  from (select p.*, case when tot = 0 then 100.0e0 else 100.0e0 - 100.0e0 * dist / tot end as best from (
+      select t.*, (t.sect + case when t.sect > 0 then 1 else 0 end + length(t.sab))
+                + (t.sect + case when t.sect > 0 then 1 else 0 end + length(t.sba)) as tot,
+             length(t.sab) + length(t.sba) - 2 * (length(t.sab) - bit_count(l.v)) as dist
+      from ts_parts t join lcs_pairs lp on lp.a = t.sab and lp.b = t.sba
+      join lcs_run l on l.pid = lp.pid and l.j = length(t.sba)) p) t)"""
+
+
+_STOP_CLEAN_SQL = ("regexp_replace(replace(replace(replace(raw_name, ' Amtrak Station', ''), ' Train Station', ''),"
+                   " ' Station', ''), '^\\s+|\\s+$', '', 'g')")
+
+
 @query("name_normalise", with_fx(f"""
 select obs_id, city_raw, {_norm_sql("replace(city_raw, '#', ' #')")} as city_norm
 from (select obs_id, {_CITY_RAW_SQL} as city_raw from fx_obs) x
@@ -142,7 +179,13 @@ def token_sort_ratio_q(spark, sf_dir):
     return j.select("obs_id", "true_site", T.token_sort_ratio_udf("city_norm", "site_norm").alias("score"))
 
 
-@query("token_set_ratio")
+@query("token_set_ratio", with_fx("""
+select o.obs_id, o.true_site, ts.score
+from (select obs_id, true_site, CLEAN as x from fx_obs) o join fx_sites s on s.site_id = o.true_site
+join ts_score ts on ts.x = o.x and ts.y = s.name
+""".replace("CLEAN", _STOP_CLEAN_SQL), _token_set_ctes(f"""
+select {_STOP_CLEAN_SQL} as x, s.name as y from fx_obs o join fx_sites s on s.site_id = o.true_site"""),
+    recursive=True))
 def token_set_ratio_q(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     o = fx.obs().select("obs_id", "true_site", T.clean_stop_name("raw_name").alias("clean_name"))
@@ -180,7 +223,14 @@ def fuzzy_global(stops, sites, threshold=STOP_FUZZY_SCORE):
                            threshold=threshold, scorer="token_set")
 
 
-@query("match_fuzzy_global")
+@query("match_fuzzy_global", with_fx(f"""
+select obs_id, site_id, score from (
+  select o.obs_id, s.site_id, ts.score, row_number() over (partition by o.obs_id order by ts.score desc, s.site_id) as rn
+  from (select obs_id, CLEAN as x from fx_obs_gaps) o cross join fx_sites s
+  join ts_score ts on ts.x = o.x and ts.y = s.name
+  where ts.score >= {STOP_FUZZY_SCORE}) q where rn = 1
+""".replace("CLEAN", _STOP_CLEAN_SQL), _token_set_ctes(f"""
+select distinct {_STOP_CLEAN_SQL} as x, s.name as y from fx_obs_gaps o cross join fx_sites s"""), recursive=True))
 def match_fuzzy_global(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     stops = fx.obs_gaps().select("obs_id", T.clean_stop_name("raw_name").alias("clean_name"))
