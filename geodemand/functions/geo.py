@@ -24,17 +24,20 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     s2 = F.sin(dl / 2.0)
     a = s1 * s1 + F.cos(p1) * F.cos(p2) * s2 * s2
     a = F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0))
-    return F.lit(EARTH_RADIUS_KM * 2.0) * F.asin(F.sqrt(a))
+    # greatest/least skip NULLs, so guard explicitly: a missing coordinate gives NULL, never 0 km.
+    known = _c(lat1).isNotNull() & _c(lon1).isNotNull() & _c(lat2).isNotNull() & _c(lon2).isNotNull()
+    return F.when(known, F.lit(EARTH_RADIUS_KM * 2.0) * F.asin(F.sqrt(a)))
 
 
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """The same formula as SQL text (for the DuckDB oracle)."""
     return (
-        f"(12742.0e0 * asin(sqrt(least(greatest("
+        f"(case when {lat1} is null or {lon1} is null or {lat2} is null or {lon2} is null then null else "
+        f"12742.0e0 * asin(sqrt(least(greatest("
         f"sin((radians({lat2}) - radians({lat1})) / 2.0e0) * sin((radians({lat2}) - radians({lat1})) / 2.0e0)"
         f" + cos(radians({lat1})) * cos(radians({lat2}))"
         f" * sin((radians({lon2}) - radians({lon1})) / 2.0e0) * sin((radians({lon2}) - radians({lon1})) / 2.0e0)"
-        f", 0.0e0), 1.0e0))))"
+        f", 0.0e0), 1.0e0))) end)"
     )
 
 

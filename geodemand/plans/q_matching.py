@@ -269,7 +269,37 @@ def observation_cascade(spark, fx, obs):
                                      ("fuzzy", t_fuzzy)])
 
 
-@query("match_cascade")
+_HOS_CASCADE = haversine_sql("o.lat", "o.lon", "s.lat", "s.lon")
+_CASCADE_CTES = (_NEAREST_SQL.replace("OBS", "fx_obs_gaps").strip() + "," + f"""
+obs_g AS (select obs_id, state, lat, lon, raw_name, {_OBS_NORM_SQL} as city_norm
+  from (select *, {_CITY_RAW_SQL} as city_raw from fx_obs_gaps) x),
+site_n AS (select site_id, state, {_SITE_NORM_SQL} as city_norm from fx_sites)""" + "," + _lcs_ctes(f"""
+lcs_pairs AS (select row_number() over (order by a, b) as pid, a, b from (
+  select distinct {_sort_tokens_sql('o.city_norm')} as a, {_sort_tokens_sql('s.city_norm')} as b
+  from obs_g o join site_n s on s.state = o.state) d)""") + f""",
+t1 AS (select obs_id, cast({OVERRIDE_SITE} as bigint) as match_id, 'override' as match_method from obs_g
+  where raw_name = '{OVERRIDE_NAME}'),
+p1 AS (select * from obs_g where obs_id not in (select obs_id from t1)),
+t2 AS (select obs_id, cast(null as bigint) as match_id, 'no_state_candidates' as match_method from p1
+  where state is null or state not in (select state from fx_sites where state is not null)),
+p2 AS (select * from p1 where obs_id not in (select obs_id from t2)),
+t3 AS (select obs_id, site_id as match_id, 'coord(' || printf('%.2f', d) || 'km)' as match_method from (
+  select o.obs_id, s.site_id, {_HOS_CASCADE} as d,
+    row_number() over (partition by o.obs_id order by {_HOS_CASCADE}, s.site_id) as rn
+  from p2 o join sus u on u.obs_id = o.obs_id and not u.coord_suspect
+  join fx_sites s on s.state = o.state and {_HOS_CASCADE} <= {COORD_MATCH_KM}e0) x where rn = 1),
+p3 AS (select * from p2 where obs_id not in (select obs_id from t3)),
+t4 AS (select obs_id, site_id as match_id, 'fuzzy(' || cast(cast(round_even(score, 0) as int) as varchar) || ')'
+    as match_method from (
+  select o.obs_id, s.site_id, sc.score, row_number() over (partition by o.obs_id order by sc.score desc, s.site_id) as rn
+  from p3 o join site_n s on s.state = o.state
+  join lcs_score sc on sc.a = {_sort_tokens_sql('o.city_norm')} and sc.b = {_sort_tokens_sql('s.city_norm')}
+  where sc.score >= {FUZZY_IN_BLOCK_SCORE}) x where rn = 1),
+casc AS (select * from t1 union all select * from t2 union all select * from t3 union all select * from t4
+  union all select obs_id, cast(null as bigint), 'unmatched' from p3 where obs_id not in (select obs_id from t4))""")
+
+
+@query("match_cascade", with_fx("select obs_id, match_id, match_method from casc", _CASCADE_CTES, recursive=True))
 def match_cascade(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return observation_cascade(spark, fx, fx.obs_gaps())
@@ -302,7 +332,9 @@ def match_cascade_exact_first(spark, sf_dir):
     return cascade(stops, "obs_id", [("exact", t_exact), ("fuzzy", t_fuzzy), ("coord", t_coord)])
 
 
-@query("match_breakdown")
+@query("match_breakdown", with_fx("""
+select regexp_extract(match_method, '^([a-z_]+)', 1) as method_prefix, count(*) as n from casc group by 1
+""", _CASCADE_CTES, recursive=True))
 def match_breakdown(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     c = observation_cascade(spark, fx, fx.obs_gaps())
