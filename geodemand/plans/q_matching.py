@@ -305,7 +305,28 @@ def match_cascade(spark, sf_dir):
     return observation_cascade(spark, fx, fx.obs_gaps())
 
 
-@query("match_cascade_exact_first")
+_H2 = haversine_sql("o.lat", "o.lon", "s.lat", "s.lon")
+_EXACT_FIRST_CTES = _token_set_ctes(f"""
+select distinct {_STOP_CLEAN_SQL} as x, s.name as y from fx_obs_gaps o cross join fx_sites s""") + f""",
+g AS (select obs_id, lat, lon, {_STOP_CLEAN_SQL} as x from fx_obs_gaps),
+e1 AS (select obs_id, obs_id as match_id, 'exact_code' as match_method from g
+  where obs_id in (select site_id from fx_sites)),
+q1 AS (select * from g where obs_id not in (select obs_id from e1)),
+e2 AS (select obs_id, site_id as match_id,
+    'fuzzy_name(score=' || cast(cast(round_even(score, 0) as int) as varchar) || ')' as match_method from (
+  select o.obs_id, s.site_id, ts.score, row_number() over (partition by o.obs_id order by ts.score desc, s.site_id) as rn
+  from q1 o cross join fx_sites s join ts_score ts on ts.x = o.x and ts.y = s.name
+  where ts.score >= {STOP_FUZZY_SCORE}) z where rn = 1),
+q2 AS (select * from q1 where obs_id not in (select obs_id from e2)),
+e3 AS (select obs_id, site_id as match_id, 'coord(dist=' || printf('%.2f', d) || 'km)' as match_method from (
+  select o.obs_id, s.site_id, {_H2} as d, row_number() over (partition by o.obs_id order by {_H2}, s.site_id) as rn
+  from q2 o join fx_sites s on {_H2} <= {STOP_COORD_MATCH_KM}e0) z where rn = 1),
+casc2 AS (select * from e1 union all select * from e2 union all select * from e3
+  union all select obs_id, cast(null as bigint), 'unmatched' from q2 where obs_id not in (select obs_id from e3))"""
+
+
+@query("match_cascade_exact_first", with_fx("select obs_id, match_id, match_method from casc2", _EXACT_FIRST_CTES,
+                                            recursive=True))
 def match_cascade_exact_first(spark, sf_dir):
     """exact id -> global token-set fuzzy on cleaned names -> nearest within 2 km -> unmatched."""
     fx = Fixtures(spark, sf_dir)
