@@ -353,7 +353,28 @@ def polyline_downsample(spark, sf_dir):
     return j.select("route_id", "seq", "from_stop", "to_stop", "coords", F.size("coords").alias("n_points"))
 
 
-@query("segment_json")
+@query("segment_json", with_fx(f"""
+select g.route_id, g.seq, to_json(struct_pack(route := g.route_id, "from" := g.from_name, "to" := g.to_name,
+    coords := g.coords, score := g.score, trips := g.trips, from_r := g.from_r, to_r := g.to_r,
+    from_rid := g.from_rid, to_rid := g.to_rid,
+    mid := [(list_min(list_transform(g.coords, lambda p: p[1])) + list_max(list_transform(g.coords, lambda p: p[1]))) / 2.0e0,
+            (list_min(list_transform(g.coords, lambda p: p[2])) + list_max(list_transform(g.coords, lambda p: p[2]))) / 2.0e0]
+  ))::varchar as json
+from (select ss.route_id, ss.seq, ss.from_name, ss.to_name, ss.score, ss.trips, ss.from_r, ss.to_r,
+        a.actual as from_rid, b.actual as to_rid,
+        coalesce(c.coords, [[{_p(4, 'pa.stop_lat')}, {_p(4, 'pa.stop_lon')}], [{_p(4, 'pb.stop_lat')}, {_p(4, 'pb.stop_lon')}]])
+          as coords
+      from segs_scored ss
+      left join st_ratio a on a.stop_id = ss.from_stop left join st_ratio b on b.stop_id = ss.to_stop
+      left join fx_stops pa on pa.stop_id = ss.from_stop left join fx_stops pb on pb.stop_id = ss.to_stop
+      left join seg_coords c on c.route_id = ss.route_id and c.seq = ss.seq) g
+""", _SHAPE_CTES + f""",
+seg_coords AS (select a.route_id, a.seq, case when b.shape_idx > a.shape_idx then (
+      select list([{_p(4, 'p.pt_lat')}, {_p(4, 'p.pt_lon')}] order by p.pt_seq) from shp p
+      where p.route_id = a.route_id and p.pt_seq between a.shape_idx and b.shape_idx
+        and ((p.pt_seq - a.shape_idx) % 6 = 0 or p.pt_seq = b.shape_idx)) end as coords
+  from (select *, lead(seq) over (partition by route_id order by seq) as seq_b from snapped) a
+  join snapped b on b.route_id = a.route_id and b.seq = a.seq_b)""", recursive=True))
 def segment_json(spark, sf_dir):
     """Segment records as JSON text: coordinates (shape slice or straight line), bbox midpoint, score, trips."""
     fx, j = _segment_coords(spark, sf_dir)
@@ -365,7 +386,8 @@ def segment_json(spark, sf_dir):
     b = stops.select(F.col("stop_id").alias("to_stop"), F.col("stop_lat").alias("blat"),
                      F.col("stop_lon").alias("blon"))
     s = s.join(a, "from_stop", "left").join(b, "to_stop", "left")
-    straight = F.array(F.array(F.round("alat", 4), F.round("alon", 4)), F.array(F.round("blat", 4), F.round("blon", 4)))
+    straight = F.array(F.array(RP.round_to("alat", 4), RP.round_to("alon", 4)),
+                       F.array(RP.round_to("blat", 4), RP.round_to("blon", 4)))
     coords = F.coalesce(F.col("coords"), straight)
     lats = F.transform(coords, lambda p: p[0])
     lons = F.transform(coords, lambda p: p[1])
@@ -373,7 +395,7 @@ def segment_json(spark, sf_dir):
     rec = F.struct(F.col("route_id").alias("route"), F.col("from_name").alias("from"), F.col("to_name").alias("to"),
                    coords.alias("coords"), F.col("score"), F.col("trips"), F.col("from_r"), F.col("to_r"),
                    F.col("from_rid"), F.col("to_rid"), mid.alias("mid"))
-    return s.select("route_id", "seq", F.to_json(rec).alias("json"))
+    return s.select("route_id", "seq", F.to_json(rec, {"ignoreNullFields": "false"}).alias("json"))
 
 
 # ---- top lists and keep-first ---------------------------------------------------------------
