@@ -180,6 +180,84 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_bytes: in
         yield from shard()
 
 
+def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int) -> Iterator:
+    """Broadcast phrases of the items, dealt by hash into blocks of about ``block_bytes`` of text."""
+    sc = benchmark.sparkSession.sparkContext
+    items = pick(benchmark, id=item_col, text=text_col).select(F.col("id").cast("string").alias("id"), "text")
+    items = items.where("id is not null and text is not null")
+    sizes = items.select(F.octet_length("text").cast("long").alias("b"))
+    total = sizes.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_bytes))
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
+        yield sc.broadcast(Phrases([(r.id, r.text) for r in part], window))
+
+
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the bytes from the first to the last word of each span."""
+    raw, off = utf8(pa.array([text], pa.string()))
+    starts, ends, _ = word_bounds(lower_ascii(raw), off, WORD)
+    keep = np.ones(len(raw), dtype=bool)
+    for a, b in spans:
+        keep[starts[a]:ends[b - 1]] = False
+    return raw[keep].tobytes().decode()
+
+
+def cleaned(texts: pa.Array, phrases: Phrases, sample: int) -> tuple[list[str | None], np.ndarray]:
+    """(texts without the windows, rows that keep a word or had none): what a cut brings together is searched again."""
+    out, keep = texts.to_pylist(), np.ones(len(texts), dtype=bool)
+    todo, again = np.arange(len(texts)), False
+    while len(todo):
+        words, row, begin, end, _, _ = search_shard(*utf8(texts), phrases, sample)
+        if again:
+            keep[todo] = words > 0
+        again = True
+        spans: dict[int, list] = {}
+        for r, a, b in zip(row.tolist(), begin.tolist(), end.tolist()):
+            spans.setdefault(r, []).append((a, b))
+        hit = np.array(sorted(spans), dtype=np.int64)
+        for r in hit.tolist():
+            out[todo[r]] = _cut(out[todo[r]], spans[r])
+        todo = todo[hit]
+        texts = pa.array([out[i] for i in todo.tolist()], pa.string())
+    return out, keep
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, text_col: str = "text",
+                         item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 12 << 20,
+                         block_bytes: int = 16 << 20, sample: int = 16) -> DataFrame:
+    """``docs`` with the spans of :func:`find_contamination` cut out of the texts.
+
+    The cut texts are searched again until no window is left in them. Rows whose
+    words all go are dropped; clean rows, wordless ones and the other columns
+    stay as they are. With a benchmark of several blocks the passes repeat until
+    none finds a window.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    out = docs.toDF(*names)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields)
+    blocks = list(_blocks(benchmark, window, item_col, item_text_col, block_bytes))
+    while True:
+        for phrases in blocks:
+            def run(batches, phrases=phrases):
+                for batch in text_slices(batches, names[at], shard_bytes):
+                    texts, keep = cleaned(batch.column(at), phrases.value, sample)
+                    yield batch.set_column(at, names[at], pa.array(texts, pa.string())).filter(pa.array(keep))
+
+            out = out.mapInArrow(run, fields)
+        if len(blocks) == 1:
+            break
+        out = out.checkpoint()
+        left = find_contamination(out, benchmark, window, id_col=names[at], text_col=names[at], item_col=item_col,
+                                  item_text_col=item_text_col, shard_bytes=shard_bytes, block_bytes=block_bytes, sample=sample)
+        if left.where("size(spans) > 0").isEmpty():
+            break
+    return out.toDF(*docs.columns)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, id_col: str = "doc_id",
                        text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                        shard_bytes: int = 12 << 20, block_bytes: int = 16 << 20, sample: int = 16) -> DataFrame:
@@ -204,15 +282,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     prepare(spark)
     plain = pick(docs, id=id_col, text=text_col)
     head = f"id {plain.schema['id'].dataType.simpleString()}, text string"
-    items = pick(benchmark, id=item_col, text=item_text_col).select(F.col("id").cast("string").alias("id"), "text")
-    items = items.where("id is not null and text is not null")
-    sizes = items.select(F.octet_length("text").cast("long").alias("b"))
-    total = sizes.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
     out = plain
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
-        phrases = spark.sparkContext.broadcast(Phrases([(r.id, r.text) for r in part], window))
+    for block, phrases in enumerate(_blocks(benchmark, window, item_col, item_text_col, block_bytes)):
 
         def run(batches, phrases=phrases, again=block > 0):
             return _search(batches, phrases.value, shard_bytes, sample, again)

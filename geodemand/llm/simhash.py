@@ -211,10 +211,45 @@ def simhash_groups(docs: DataFrame, most_bits: int = 3, *, id_col: str = "doc_id
     spark = docs.sparkSession
     prepare(spark)
     prints = simhash(docs, id_col=id_col, text_col=text_col, words_each=words_each, seed=seed).checkpoint()
+    return prints.join(_groups(prints, most_bits), "fp").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _groups(prints: DataFrame, most_bits: int) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of (id, fp)."""
     roots = fingerprint_components(prints, most_bits)
     least = prints.groupBy("fp").agg(F.min("id").alias("first")).join(roots, "fp", "left")
     least = least.select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = least.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = least.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return least.select("fp", "root").join(ids, "root").select("fp", "root", "component_id").checkpoint()
+
+
+def drop_near_copies(docs: DataFrame, most_bits: int = 3, *, id_col: str = "doc_id", text_col: str = "text",
+                     words_each: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each component of :func:`simhash_groups`: that with the smallest id. Columns stay as they are.
+
+    Of rows that repeat this id, one stays. In a component of null ids alone, a
+    row with the smallest text digest stays. Only the kept ids meet the texts, in
+    a semi join that does not sort them.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    own, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    tag = F.coalesce(F.md5(F.encode(F.col(text), "UTF-8")), F.lit(""))
+    prints = simhash(rows.select(F.struct(F.col(own).alias("own"), F.when(F.col(own).isNull(), tag).alias("tag")).alias("id"), text),
+                     id_col="id", text_col=text, words_each=words_each, seed=seed)
+    prints = prints.select(F.col("id.own").alias("id"), F.col("id.tag").alias("tag"), "fp").checkpoint()
+    groups = prints.join(_groups(prints, most_bits), "fp")
+    kept = groups.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    once = kept.where("n = 1").select(F.col("id").alias(own)).hint("shuffle_hash")
+    out = rows.join(once, own, "left_semi")
+    more = kept.where("n > 1").select(F.col("id").alias(own))
+    if not more.isEmpty():
+        out = out.unionByName(rows.join(more, own, "left_semi").dropDuplicates([own]))
+    if not prints.where("id is null").isEmpty():
+        tags = groups.where("component_id is null").groupBy("root").agg(F.min("tag").alias("tag")).select("tag")
+        unnamed = rows.where(F.col(own).isNull()).withColumn("tag", tag)
+        out = out.unionByName(unnamed.join(tags, "tag", "left_semi").dropDuplicates(["tag"]).drop("tag").select(*names))
+    return out.select(*names).toDF(*docs.columns)
