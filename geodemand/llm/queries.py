@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geodemand.llm.common import pick
+from geodemand.llm.common import pick, shared_folder
 from geodemand.llm.decontaminate import contamination_digest, find_contamination
 from geodemand.llm.langid import held_out, identify, learn_languages, training_rows
 from geodemand.llm.packing import pack_documents
 from geodemand.llm.secrets import find_secrets, secrets_digest
 from geodemand.llm.sharding import assign_shards
 from geodemand.llm.simhash import simhash_groups
+from geodemand.llm.warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +34,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 24)
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = shared_folder(spark, "warc")
+    if not write_warc(pages, folder):
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    records = read_warc(spark, folder, with_payload=False)
+    return records.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to").cast("long").alias("refers_to"))
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), 2048)

@@ -175,7 +175,8 @@ def fingerprint_components(prints: DataFrame, most_bits: int = 3, *, hot: int =
         raise ValueError("the keys meet every pair within 3 bits, not beyond")
     spark = prints.sparkSession
     prints = prints.select("fp").distinct().checkpoint()
-    keys = prints.mapInArrow(_emit_keys, "key long, fp long")
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), prints.count() * 85 // rows_each + 1)
+    keys = prints.repartition(wide).mapInArrow(_emit_keys, "key long, fp long")  # 85 rows out of each
     crowded = (prints.mapInArrow(_emit_homes, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
                .where(F.col("n") > hot)
                .select((F.col("key") + F.lit(1 << _PARTS)).alias("key"), F.ceil(F.col("n") / hot).cast("long").alias("parts"))
@@ -185,7 +186,6 @@ def fingerprint_components(prints: DataFrame, most_bits: int = 3, *, hot: int =
         keys = keys.join(crowded, "key", "left").select("key", "fp", "parts", part.alias("part")).select(
             (F.col("key") + F.col("part") * (1 << _PART)
              + (F.coalesce("parts", F.lit(1)) - 1) * F.lit(1 << _PARTS)).alias("key"), "fp")
-    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), prints.count() * 85 // rows_each + 1)
     links = keys.repartition(wide, "key").mapInArrow(lambda batches: _link(batches, most_bits), "a long, b long")
     return connected_components(links).withColumnsRenamed({"node": "fp"})
 
