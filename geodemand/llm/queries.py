@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geodemand.llm.common import pick, shared_folder
 from geodemand.llm.decontaminate import contamination_digest, find_contamination
+from geodemand.llm.embed_dedup import embedding_groups
 from geodemand.llm.langid import held_out, identify, learn_languages, training_rows
 from geodemand.llm.packing import pack_documents
 from geodemand.llm.secrets import find_secrets, secrets_digest
@@ -75,3 +76,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"), 0.9)

@@ -137,9 +137,10 @@ def _link(batches: Iterator[pa.RecordBatch], most_bits: int, step: int = 1 << 20
     A bucket compares the fingerprints at home in it with all in it; pairs are
     made ``step`` at a time and only unions are kept.
     """
-    table = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("fp", pa.int64())]))
-    if not table.num_rows:
+    held = list(batches)
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     key, fp = table["key"].to_numpy(), table["fp"].to_numpy()
     order = np.argsort(key, kind="stable")
     key, fp = key[order], fp[order].view(np.uint64)
