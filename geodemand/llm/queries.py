@@ -12,6 +12,7 @@ from geodemand.llm.decontaminate import contamination_digest, find_contamination
 from geodemand.llm.embed_dedup import embedding_groups
 from geodemand.llm.langid import held_out, identify, learn_languages, training_rows
 from geodemand.llm.packing import pack_documents
+from geodemand.llm.passages import repeated_passages
 from geodemand.llm.secrets import find_secrets, secrets_digest
 from geodemand.llm.sharding import assign_shards
 from geodemand.llm.simhash import simhash_groups
@@ -73,6 +74,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("lang_score").alias("score"))
 
 
+@query
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(find_secrets(table(spark, sf_dir, "documents")))
