@@ -13,6 +13,7 @@ from geodemand.llm.embed_dedup import embedding_groups
 from geodemand.llm.langid import held_out, identify, learn_languages, training_rows
 from geodemand.llm.packing import pack_documents
 from geodemand.llm.passages import repeated_passages
+from geodemand.llm.resample import resample
 from geodemand.llm.secrets import find_secrets, secrets_digest
 from geodemand.llm.sharding import assign_shards
 from geodemand.llm.simhash import simhash_groups
@@ -74,6 +75,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("lang_score").alias("score"))
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: rows labelled good outside the held-out fold; four fifths of the corpus are drawn."""
+    good = pick(table(spark, sf_dir, "labels"), doc_id="doc_id", quality="quality").where("quality = 1")
+    good = good.where(~held_out(F.col("doc_id"))).select("doc_id")
+    return resample(table(spark, sf_dir, "documents"), good, 0.8)
+
+
 @query
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
