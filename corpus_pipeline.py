@@ -22,8 +22,7 @@ from geodemand.llm.simhash import drop_near_copies
 def _measured(docs: DataFrame) -> DataFrame:
     if "n_chars" not in docs.columns:
         return docs
-    kind = docs.schema["n_chars"].dataType
-    return docs.withColumn("n_chars", F.length("text").cast(kind))
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

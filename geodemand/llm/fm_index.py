@@ -23,7 +23,7 @@ def suffix_order(text: np.ndarray, top: int) -> np.ndarray:
     live = np.ones(n, dtype=bool)
     for j in range(width):
         part = np.zeros(n, dtype=np.int64)
-        part[:n - j] = text[j:]
+        part[:max(0, n - j)] = text[j:]
         part[~live] = 0
         key = (key << bits) | part
         live &= part > 0

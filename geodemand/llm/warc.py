@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -35,8 +36,12 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def record(kind: str, key: str | None, uri: str | None, payload: bytes, digest: str, date: str,
-           refers_to: str | None = None) -> bytes:
-    """One record. A revisit has the HTTP head alone; its payload is that of the record it refers to."""
+           refers_to: str | None = None, offset: int | None = None) -> bytes:
+    """One record. A revisit has the HTTP head alone; its payload is that of the record it refers to.
+
+    ``X-Offset`` states where the record begins in its archive, by which a reader
+    tells it from a record of an archive within a payload.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{_KEY}{'' if key is None else key}>", f"WARC-Date: {date}",
@@ -44,6 +49,8 @@ def record(kind: str, key: str | None, uri: str | None, payload: bytes, digest:
             "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if uri is not None:
         head.append("WARC-Target-URI: " + quote(uri, safe="".join(map(chr, range(33, 127))).replace("%", "") + "%"))
+    if offset is not None:
+        head.append(f"X-Offset: {offset}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: <{_KEY}{refers_to}>", f"WARC-Profile: {_PROFILE}"]
     return "\r\n".join(["WARC/1.1", *head, "", ""]).encode() + block + b"\r\n\r\n"
@@ -88,6 +95,13 @@ def _member(source, at: int, out: list[bytes] | None = None) -> int:
     return at - len(inflate.unused_data)
 
 
+def _stated_offset(source, at: int) -> int | None:
+    source.seek(at)
+    head = zlib.decompressobj(31).decompress(source.read(_CHUNK), _CHUNK).partition(b"\r\n\r\n")[0]
+    found = re.search(rb"\r\nX-Offset: (\d+)", head)
+    return int(found[1]) if found else None
+
+
 def _chain(source, at: int, stop: int, size: int) -> list[int]:
     """Starts of the members from ``at`` on that lie before ``stop``; the one after the last must be sound as well."""
     starts = []
@@ -106,9 +120,11 @@ def record_starts(source, size: int, begin: int, stop: int) -> list[int]:
 
     Each gzip magic number in the range is a candidate; it counts if it and all
     members after it, to the end of the range, decode as WARC records. Bytes
-    that only look like a member (within compressed data, or an archive within a
-    payload) break the chain. A range with candidates but no sound chain is
-    settled by walking the archive from its start, which raises for a damaged one.
+    that only look like a member break the chain, and a record of an archive within
+    a payload states another offset. A range with such candidates but no sound
+    chain (as in archives run together) is settled by walking the archive from its
+    start, which raises for a damaged one. Archives that state no offsets rely on
+    the chain.
     """
     stop = min(stop, size)
     if begin == 0:
@@ -125,6 +141,8 @@ def record_starts(source, size: int, begin: int, stop: int) -> list[int]:
                 pass
             else:
                 try:
+                    if _stated_offset(source, at + i) not in (None, at + i):
+                        raise ValueError("a record of another archive")
                     return _chain(source, at + i, stop, size)
                 except ValueError:
                     doubtful = True
@@ -148,11 +166,11 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str, level: int
             digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
             first = row["first"]
             kind = "response" if first is None or first == row["key"] else "revisit"
-            data = record(kind, row["key"], row["uri"], payload, digest, date, first if kind == "revisit" else None)
             deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
             if out is None:
                 system.create_dir(path, recursive=True)
                 out = system.open_output_stream(part, compression=None)
+            data = record(kind, row["key"], row["uri"], payload, digest, date, first if kind == "revisit" else None, out.tell())
             out.write(deflate.compress(data) + deflate.flush())
             records += 1
     if out is not None:
