@@ -60,11 +60,24 @@ def cell_columns(lat, lon, side: float) -> list[Column]:
     return [F.floor(v / F.lit(side)) for v in unit_xyz(lat, lon)]
 
 
-def round6(c) -> Column:
-    """Portable 6-decimal rounding (same text in Spark and DuckDB, half away from zero on positives)."""
-    return F.floor(_c(c) * 1000000.0 + 0.5) / 1000000.0
+def round_to(c, digits: int) -> Column:
+    """Half-up rounding to ``digits`` decimals with the same arithmetic in Spark and DuckDB.
+
+    From 2**53 / 10**digits on a double holds no such decimals (and ``floor`` would
+    leave the range of a long), so those values, NaN and infinities stay as they are.
+    """
+    m = float(10 ** digits)
+    x = _c(c).cast("double")
+    return F.when(F.abs(x) < F.lit(2.0 ** 53 / m), F.floor(x * m + 0.5) / m).otherwise(x)
 
 
-def round_half_even(c, digits: int) -> Column:
-    """numpy-compatible rounding used by the library API."""
-    return F.bround(_c(c), digits)
+def round_to_sql(expr: str, digits: int) -> str:
+    """The same rounding as SQL text (for the DuckDB oracle)."""
+    m = f"{10 ** digits}.0e0"
+    x = f"cast({expr} as double)"
+    return f"(case when abs({x}) < {2.0 ** 53 / 10 ** digits!r}e0 then floor({x}*{m} + 0.5e0)/{m} else {x} end)"
+
+
+def round6(c) -> Column:
+    """:func:`round_to` at 6 decimals."""
+    return round_to(c, 6)

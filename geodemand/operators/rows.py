@@ -9,23 +9,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-
-def order_struct(order: Sequence[tuple[str, bool]]) -> Column:
-    """Struct whose natural ascending order equals the requested order.
-
-    ``order`` is (column, ascending). Descending keys must be numeric; they are
-    negated. NULLs sort first in a struct, like Spark's ascending default.
+from pyspark.sql import types as T
+
+
+def _descending(name: str, kind: T.DataType) -> Column:
+    """A key whose ascending order is the descending order of the column."""
+    c = F.col(name)
+    if isinstance(kind, T.StringType):
+        # negated code points; the closing 1 is larger than each, so a prefix comes after the longer text
+        points = F.transform(F.split(c, ""), lambda ch: -F.ascii(ch))
+        return F.concat(F.when(c == "", F.array().cast("array<int>")).otherwise(points), F.array(F.lit(1)))
+    if isinstance(kind, T.BooleanType):
+        return ~c
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(c)
+    if isinstance(kind, T.TimestampType):
+        return -F.unix_micros(c)
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return -c.cast("decimal(20,0)")  # the smallest long has no negative
+    return -c
+
+
+def order_struct(df: DataFrame, order: Sequence[tuple[str, bool]]) -> Column:
+    """Struct whose natural ascending order equals the requested order of ``df``'s columns.
+
+    ``order`` is (column, ascending). NULL comes last in either direction, so a
+    missing value never beats a present one.
     """
-    return F.struct(*[(F.col(c) if asc else -F.col(c)).alias(f"_k{i}") for i, (c, asc) in enumerate(order)])
+    parts = []
+    for i, (c, asc) in enumerate(order):
+        parts.append(F.col(c).isNull().alias(f"_n{i}"))
+        parts.append((F.col(c) if asc else _descending(c, df.schema[c].dataType)).alias(f"_k{i}"))
+    return F.struct(*parts)
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
     """One row per key: the first under ``order`` (a total order must be given for determinism)."""
     cols = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*[F.col(c) for c in cols]), order_struct(order))
+    best = F.min_by(F.struct(*[F.col(c) for c in cols]), order_struct(df, order))
     return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
@@ -33,7 +56,7 @@ def first_non_null(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str
                    columns: Sequence[str] | None = None) -> DataFrame:
     """One row per key; each column takes its first non-NULL value under ``order`` (not the first row's)."""
     cols = columns or [c for c in df.columns if c not in keys and c not in [o for o, _ in order]]
-    ordk = order_struct(order)
+    ordk = order_struct(df, order)
     aggs = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), ordk)).alias(c) for c in cols]
     cond = F.lit(True)
     for k in keys:
@@ -59,7 +82,6 @@ def top_k_per_group(df: DataFrame, group: str, k: int, order: Sequence[tuple[str
     use it where groups are bounded (folds, features) -- top-k over a whole
     table uses ``top_k``.
     """
-    from pyspark.sql import Window
     cols = [F.col(c).asc() if a else F.col(c).desc() for c, a in order]
     w = Window.partitionBy(group).orderBy(*cols)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
@@ -68,10 +90,16 @@ def top_k_per_group(df: DataFrame, group: str, k: int, order: Sequence[tuple[str
 def with_row_index(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "row_idx") -> DataFrame:
     """Stable 0-based index under a total order, without a single-partition window.
 
-    Distributed sort, then ``zipWithIndex`` (per-partition counts + offsets).
+    A distributed sort is written once; ``monotonically_increasing_id`` then numbers
+    the rows of each sorted partition, and the partitions' counts give the offsets.
     Prefer a supplied id column; use this only when none exists.
     """
     cols = [F.col(c).asc() if a else F.col(c).desc() for c, a in order]
-    s = df.orderBy(*cols)
-    schema = s.schema.add(out, "long")
-    return s.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    s = df.orderBy(*cols).withColumns({"_id": F.monotonically_increasing_id()}).checkpoint()
+    part = F.shiftright("_id", 33)
+    counts = s.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row for each partition of the sort
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    return (s.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn(out, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).select(*df.columns, out))

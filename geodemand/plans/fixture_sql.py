@@ -5,12 +5,16 @@ over the base tables the checker registers. Double literals carry an
 exponent so that both engines type them as DOUBLE.
 """
 
+from geodemand.functions.geo import round_to_sql
+
 FX_CTES = """
 fx_sites AS (
  select s_suppkey as site_id, s_name as name, s_nationkey as state, s_acctbal as value,
   35.0e0 + (s_suppkey*7919 % 1000)/100.0e0 as lat, -85.0e0 + (s_suppkey*6151 % 1000)/100.0e0 as lon from supplier),
 fx_places AS (
- select c_custkey as place_id, c_name as name, c_nationkey as state, cast(floor(greatest(c_acctbal, 0.0e0)*100) as bigint) as pop,
+ select c_custkey as place_id, c_name as name, case when c_custkey % 10 = 0
+   then concat(' ', upper(concat('Supplier#', lpad(cast(c_custkey // 10 as varchar), 9, '0'))), ' ')
+   else concat('Customer#', lpad(cast(c_custkey - c_custkey % 3 as varchar), 9, '0')) end as town, c_nationkey as state, cast(floor(greatest(c_acctbal, 0.0e0)*100) as bigint) as pop,
   35.0e0 + ((c_custkey+17)*3571 % 9973)/1000.0e0 as lat, -85.0e0 + ((c_custkey+17)*7907 % 9967)/1000.0e0 as lon from customer),
 fx_obs AS (
  select c.c_custkey as obs_id, s.site_id as true_site, c.c_acctbal as value,
@@ -28,7 +32,7 @@ fx_facilities AS (
  select site_id as facility_id, lat, lon, cast(site_id % 4 as int) as rail_code, cast((site_id*7 + 1) % 4 as int) as bus_code,
   cast(state % 4 as int) as air_code, cast(site_id % 3 as int) as class_code from fx_sites),
 fx_trips AS (
- select o_orderkey as trip_id, o_custkey % 40 as route_id, o_orderpriority as service_id,
+ select o_orderkey as trip_id, o_custkey // 3 as route_id, o_orderpriority as service_id,
   cast(o_orderkey % 2 as int) as direction_id, o_orderstatus as kind from orders),
 fx_calendar AS (
  select * from (values ('1-URGENT',1,1,1,1,1,1,1),('2-HIGH',1,1,1,1,1,0,0),
@@ -67,5 +71,5 @@ def with_fx(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
 
 
 def r6(expr: str) -> str:
-    """Portable 6-decimal rounding, twin of ``functions.geo.round6``."""
-    return f"(floor(({expr})*1000000.0e0 + 0.5e0)/1000000.0e0)"
+    """6-decimal rounding, twin of ``functions.geo.round6``."""
+    return round_to_sql(expr, 6)

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from geodemand.sources.tables import table
 
 
+def _numbered(prefix: str, k):
+    return F.concat(F.lit(prefix), F.lpad(k.cast("string"), 9, "0"))
+
+
 class Fixtures:
     """Lazily built derived inputs for one scale-factor folder."""
 
@@ -48,12 +52,17 @@ class Fixtures:
         return self._get("sites", build)
 
     def places(self) -> DataFrame:
-        """Weighted reference points: one row per customer, weight 0 .. 1,000,000."""
+        """Weighted reference points: one row per customer, weight 0 .. 1,000,000.
+
+        ``town`` is a dirty label: some places share it, every tenth bears the name of a site.
+        """
         def build():
             c = self.t("customer")
             k = F.col("c_custkey")
             return c.select(
-                k.alias("place_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("state"),
+                k.alias("place_id"), F.col("c_name").alias("name"),
+                F.when(k % 10 == 0, F.concat(F.lit(" "), F.upper(_numbered("Supplier#", F.expr("c_custkey div 10"))), F.lit(" ")))
+                .otherwise(_numbered("Customer#", k - k % 3)).alias("town"), F.col("c_nationkey").alias("state"),
                 F.floor(F.greatest(F.col("c_acctbal"), F.lit(0.0)) * 100).cast("bigint").alias("pop"),
                 (F.lit(35.0) + ((k + 17) * 3571 % 9973) / F.lit(1000.0)).alias("lat"),
                 (F.lit(-85.0) + ((k + 17) * 7907 % 9967) / F.lit(1000.0)).alias("lon"),
@@ -114,7 +123,7 @@ class Fixtures:
         def build():
             o = self.t("orders")
             return o.select(
-                F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % 40).alias("route_id"),
+                F.col("o_orderkey").alias("trip_id"), F.expr("o_custkey div 3").alias("route_id"),
                 F.col("o_orderpriority").alias("service_id"),
                 (F.col("o_orderkey") % 2).cast("int").alias("direction_id"),
                 F.col("o_orderstatus").alias("kind"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geodemand.functions import constants as K
-from geodemand.functions.geo import round6
+from geodemand.functions.geo import round6, round_to_sql
 from geodemand.operators import report as RP
 from geodemand.operators.rows import keep_first, top_k, top_k_per_group
 from geodemand.plans.fixture_sql import r6, with_fx
@@ -18,16 +19,18 @@ UNSCORED_STATE = 3
 # Display groups: (display name, member site ids) -- a parameter of the report.
 DISPLAY_GROUPS = [("Group 0-1", [0, 1]), ("Group 2-3", [2, 3])]
 TOP_PAIRS = 20
+# The service measures that a candidate has not got yet.
+SERVICE_COLUMNS = ("weekly_departures", "num_routes_served", "is_terminal", "avg_dwell_time_sec", "service_span_hours",
+                   "avg_stop_sequence_pct", "num_directions", "avg_route_length_km", "max_route_length_km", "pct_long_distance")
 
 
 def _p(digits, x):
-    m = f"{10 ** digits}.0e0"
-    return f"(floor(({x})*{m} + 0.5e0)/{m})"
+    return round_to_sql(x, digits)
 
 
 def scored_stations(fx):
-    """Actual and predicted demand per site (sites of one block are left unscored)."""
-    s = fx.sites().where(F.col("state") != UNSCORED_STATE)
+    """Actual and predicted demand per site."""
+    s = fx.sites()
     base = F.floor(F.abs(F.col("value")) * 100)
     actual = (base + 1).cast("bigint")
     predicted = F.floor((base + 1) * (F.lit(0.2) + (F.col("site_id") * 37 % 100) / F.lit(20.0))).cast("bigint")
@@ -36,11 +39,18 @@ def scored_stations(fx):
     return RP.demand_ratio(d)
 
 
+def overlay_stations(fx):
+    """The scored sites that the route overlay knows: those of one block are stops without a score."""
+    return scored_stations(fx).where(F.col("state") != UNSCORED_STATE)
+
+
 _SCORED_SQL = f"""
 st_scored AS (select site_id as stop_id, name, lat, lon, state, cast(floor(abs(value)*100) as bigint) + 1 as actual,
   cast(floor((floor(abs(value)*100) + 1) * (0.2e0 + ((site_id*37) % 100)/20.0e0)) as bigint) as predicted
-  from fx_sites where state <> {UNSCORED_STATE}),
+  from fx_sites),
 st_ratio AS (select *, {_p(3, 'actual / nullif(predicted, 0)')} as ratio from st_scored),
+st_over AS (select p.stop_id, coalesce(r.name, p.stop_name) as name, r.ratio, r.actual from fx_stops p
+  left join (select * from st_ratio where state <> {UNSCORED_STATE}) r on r.stop_id = p.stop_id),
 rt_counts AS (select t.route_id, s.trip_id, count(*) as n_stops from sch_st s join sch_trips t on t.trip_id = s.trip_id
   group by t.route_id, s.trip_id),
 rep AS (select route_id, trip_id, n_stops from (select *, row_number() over (partition by route_id order by n_stops desc, trip_id)
@@ -53,7 +63,7 @@ segs AS (select x.route_id, x.trip_id, x.seq, x.from_stop, x.to_stop, rt.trips f
   where x.to_stop is not null),
 segs_scored AS (select g.*, a.name as from_name, a.ratio as from_r, b.name as to_name, b.ratio as to_r,
    coalesce({_p(3, '(a.ratio + b.ratio) / 2.0e0')}, a.ratio, b.ratio) as score
-  from segs g left join st_ratio a on a.stop_id = g.from_stop left join st_ratio b on b.stop_id = g.to_stop),
+  from segs g left join st_over a on a.stop_id = g.from_stop left join st_over b on b.stop_id = g.to_stop),
 emin AS (select stop_id, min(trips) as min_trips from (select from_stop as stop_id, trips from segs
   union all select to_stop as stop_id, trips from segs) e group by stop_id),
 top20 AS (select name, min(rk) as rk from (select name, cast(row_number() over (order by ratio, stop_id) as integer) as rk
@@ -87,10 +97,13 @@ snapped AS (select s.route_id, cast(s.seq as bigint) as seq, s.stop_id, cast(n.i
 
 
 def _report_inputs(spark, sf_dir):
+    """Fixtures, trips, representative trips and their stops; the small tables that all branches share are written once."""
     fx, trips_f, st_f = feed(spark, sf_dir)
     rep = RP.representative_trips(st_f, trips_f)
-    segs = RP.consecutive_segments(st_f, rep, trips_f)
-    return fx, trips_f, st_f, rep, segs
+    rep_stops = (st_f.join(rep.select("trip_id", "route_id"), "trip_id")
+                 .select("route_id", "trip_id", "stop_sequence", "stop_id").checkpoint())
+    weekly = RP.weekly_trips(trips_f).checkpoint()
+    return fx, rep, rep_stops, weekly
 
 
 @query("demand_ratio", with_fx(f"""
@@ -127,25 +140,25 @@ select route_id, trips, case when trips > 140 then 5.0e0 when trips > 56 then 4.
 """, _CTES))
 def trip_weight(spark, sf_dir):
     _, trips_f, _ = feed(spark, sf_dir)
-    w = trips_f.groupBy("route_id").agg(F.coalesce(F.sum("days_per_week"), F.lit(0)).cast("bigint").alias("trips"))
+    w = RP.weekly_trips(trips_f)
     return w.select("route_id", "trips", RP.trip_weight("trips").alias("weight"))
 
 
 @query("representative_trip", with_fx("select route_id, trip_id, n_stops from rep", _CTES))
 def representative_trip(spark, sf_dir):
-    _, _, _, rep, _ = _report_inputs(spark, sf_dir)
-    return rep.select("route_id", "trip_id", "n_stops")
+    _, trips_f, st_f = feed(spark, sf_dir)
+    return RP.representative_trips(st_f, trips_f).select("route_id", "trip_id", "n_stops")
 
 
 @query("consecutive_segments", with_fx("select route_id, trip_id, seq, from_stop, to_stop, trips from segs", _CTES))
 def consecutive_segments(spark, sf_dir):
-    *_, segs = _report_inputs(spark, sf_dir)
-    return segs.select("route_id", "trip_id", "seq", "from_stop", "to_stop", "trips")
+    _, _, rep_stops, weekly = _report_inputs(spark, sf_dir)
+    return RP.consecutive_segments(rep_stops, weekly).select("route_id", "trip_id", "seq", "from_stop", "to_stop", "trips")
 
 
 def _scored_segments(spark, sf_dir):
-    fx, _, _, _, segs = _report_inputs(spark, sf_dir)
-    return fx, RP.score_segments(segs, scored_stations(fx))
+    fx, _, rep_stops, weekly = _report_inputs(spark, sf_dir)
+    return fx, RP.score_segments(RP.consecutive_segments(rep_stops, weekly), overlay_stations(fx), fx.stops())
 
 
 @query("segments_scored", with_fx("""
@@ -173,8 +186,8 @@ def segments_low_freq(spark, sf_dir):
 select s.stop_id, e.min_trips from st_ratio s left join emin e on e.stop_id = s.stop_id
 """, _CTES))
 def endpoint_min(spark, sf_dir):
-    fx, _, _, _, segs = _report_inputs(spark, sf_dir)
-    e = RP.endpoint_min(segs)
+    fx, _, rep_stops, weekly = _report_inputs(spark, sf_dir)
+    e = RP.endpoint_min(RP.consecutive_segments(rep_stops, weekly))
     return scored_stations(fx).select("stop_id").join(e, "stop_id", "left")
 
 
@@ -182,7 +195,6 @@ def endpoint_min(spark, sf_dir):
 def underserved_top20(spark, sf_dir):
     s = scored_stations(Fixtures(spark, sf_dir)).where(F.col("actual") > K.TOP20_MIN_ACTUAL)
     t = top_k(s, 20, [("ratio", True), ("stop_id", True)])
-    from pyspark.sql import Window
     ranked = t.withColumn("rk", F.row_number().over(Window.orderBy("ratio", "stop_id")))
     return ranked.groupBy("name").agg(F.min("rk").alias("rk"))
 
@@ -194,8 +206,9 @@ select s.stop_id, coalesce(s.ratio < {K.RATIO_BELOW_MODEL}, false) as underperfo
 from st_ratio s left join emin e on e.stop_id = s.stop_id left join top20 t on t.name = s.name
 """, _CTES))
 def filter_suppressed(spark, sf_dir):
-    fx, _, _, _, segs = _report_inputs(spark, sf_dir)
-    s = scored_stations(fx).join(RP.endpoint_min(segs), "stop_id", "left")
+    fx, _, rep_stops, weekly = _report_inputs(spark, sf_dir)
+    least = RP.endpoint_min(RP.consecutive_segments(rep_stops, weekly))
+    s = scored_stations(fx).join(least, "stop_id", "left")
     top = underserved_top20(spark, sf_dir).select("name", F.lit(True).alias("in_top20"))
     j = s.join(F.broadcast(top), "name", "left")
     r = F.col("ratio")
@@ -218,7 +231,6 @@ def unordered_pair_topk(spark, sf_dir):
     _, s = _scored_segments(spark, sf_dir)
     best = RP.best_per_unordered_pair(s, ["route_id", "seq"])
     top = best.orderBy("score", "route_id", "seq").limit(TOP_PAIRS)
-    from pyspark.sql import Window
     top = top.withColumn("rk", F.row_number().over(Window.orderBy("score", "route_id", "seq")))
     short = lambda c: F.trim(F.split_part(F.col(c), F.lit(","), F.lit(1)))
     return top.select(short("from_name").alias("from_short"), short("to_name").alias("to_short"), "score", "rk")
@@ -283,59 +295,50 @@ def _measures_for(spark, sf_dir):
     return stop_service_measures(st_f, trips_f, fx.stops()).select("stop_id", "weekly_departures")
 
 
-def route_shapes(spark, sf_dir, rep=None, st_f=None):
+def route_shapes(placed):
     """Polylines derived from each representative trip: five interpolated, slightly offset points per leg."""
-    fx, trips_f, st_f2, rep2, _ = _report_inputs(spark, sf_dir)
-    rep = rep if rep is not None else rep2
-    st_f = st_f if st_f is not None else st_f2
-    stops = fx.stops()
-    st = st_f.join(rep.select("trip_id", "route_id"), "trip_id").join(stops, "stop_id")
-    from pyspark.sql import Window
-    w = Window.partitionBy("trip_id").orderBy("stop_sequence")
-    legs = st.select("route_id", "stop_sequence", "stop_lat", "stop_lon",
-                     F.lead("stop_lat").over(w).alias("nlat"), F.lead("stop_lon").over(w).alias("nlon"),
-                     (F.row_number().over(w) - 1).alias("k"))
+    w = Window.partitionBy("route_id").orderBy("seq")
+    legs = placed.select("route_id", "lat", "lon", F.lead("lat").over(w).alias("nlat"), F.lead("lon").over(w).alias("nlon"),
+                         (F.row_number().over(w) - 1).alias("k"))
     pts = legs.withColumn("i", F.explode(F.when(F.col("nlat").isNull(), F.array(F.lit(0)))
                                          .otherwise(F.sequence(F.lit(0), F.lit(5)))))
     frac = F.col("i") / 6.0
     off = F.col("i") * 0.001
     return pts.select(
         "route_id", (F.col("k") * 6 + F.col("i")).cast("int").alias("pt_seq"),
-        F.when(F.col("i") == 0, F.col("stop_lat")).otherwise(
-            F.col("stop_lat") + (F.col("nlat") - F.col("stop_lat")) * frac + off).alias("pt_lat"),
-        F.when(F.col("i") == 0, F.col("stop_lon")).otherwise(
-            F.col("stop_lon") + (F.col("nlon") - F.col("stop_lon")) * frac).alias("pt_lon"))
+        F.when(F.col("i") == 0, F.col("lat")).otherwise(
+            F.col("lat") + (F.col("nlat") - F.col("lat")) * frac + off).alias("pt_lat"),
+        F.when(F.col("i") == 0, F.col("lon")).otherwise(
+            F.col("lon") + (F.col("nlon") - F.col("lon")) * frac).alias("pt_lon"))
 
 
 def _snapped(spark, sf_dir):
-    fx, trips_f, st_f, rep, segs = _report_inputs(spark, sf_dir)
-    shapes = route_shapes(spark, sf_dir, rep, st_f)
-    stops = (st_f.join(rep.select("trip_id", "route_id"), "trip_id").join(fx.stops(), "stop_id")
-             .select("route_id", F.col("stop_sequence").alias("seq"), "stop_id", F.col("stop_lat").alias("lat"),
-                     F.col("stop_lon").alias("lon")))
-    return fx, segs, shapes, RP.snap_monotone(stops, shapes)
+    fx, _, rep_stops, weekly = _report_inputs(spark, sf_dir)
+    placed = rep_stops.join(fx.stops(), "stop_id").select(
+        "route_id", "trip_id", F.col("stop_sequence").alias("seq"), "stop_id", F.col("stop_lat").alias("lat"),
+        F.col("stop_lon").alias("lon")).checkpoint()
+    shapes = route_shapes(placed)
+    return fx, rep_stops, weekly, shapes, RP.snap_monotone(placed, shapes)
 
 
 @query("snap_monotone", with_fx("select route_id, seq, stop_id, shape_idx from snapped", _SHAPE_CTES,
                                  recursive=True))
 def snap_monotone(spark, sf_dir):
-    _, _, _, snapped = _snapped(spark, sf_dir)
+    *_, snapped = _snapped(spark, sf_dir)
     return snapped.select("route_id", "seq", "stop_id", "shape_idx")
 
 
 def _segment_coords(spark, sf_dir):
-    fx, segs, shapes, snapped = _snapped(spark, sf_dir)
+    fx, rep_stops, weekly, shapes, snapped = _snapped(spark, sf_dir)
     line = shapes.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("pt_seq", "pt_lat", "pt_lon"))).alias(
         "pts")).select("route_id", F.transform("pts", lambda p: F.struct(p["pt_lat"].alias("lat"),
                                                                       p["pt_lon"].alias("lon"))).alias("pts"))
-    a = snapped.select("route_id", "seq", F.col("shape_idx").alias("idx_a"))
-    b = snapped.select("route_id", F.col("seq").alias("seq_b"), F.col("shape_idx").alias("idx_b"))
-    from pyspark.sql import Window
-    nxt = Window.partitionBy("route_id").orderBy("seq")
-    ab = a.withColumn("seq_b", F.lead("seq").over(nxt)).join(b, ["route_id", "seq_b"])
-    j = segs.join(ab, ["route_id", "seq"], "left").join(line, "route_id", "left")
+    along = Window.partitionBy("route_id").orderBy("seq")
+    legs = snapped.select("route_id", F.col("seq").cast("int").alias("seq"), F.col("stop_id").alias("from_stop"), F.lead("stop_id").over(along).alias("to_stop"),
+                          F.col("shape_idx").alias("idx_a"), F.lead("shape_idx").over(along).alias("idx_b"))
+    j = legs.where("to_stop is not null").join(line, "route_id").join(weekly, "route_id", "left")
     coords = RP.downsample_coords(F.col("pts"), F.col("idx_a").cast("int"), F.col("idx_b").cast("int"))
-    return fx, j.withColumn("coords", coords)
+    return fx, j.withColumn("coords", coords).drop("pts")
 
 
 @query("polyline_downsample", with_fx(f"""
@@ -365,7 +368,7 @@ from (select ss.route_id, ss.seq, ss.from_name, ss.to_name, ss.score, ss.trips,
         coalesce(c.coords, [[{_p(4, 'pa.stop_lat')}, {_p(4, 'pa.stop_lon')}], [{_p(4, 'pb.stop_lat')}, {_p(4, 'pb.stop_lon')}]])
           as coords
       from segs_scored ss
-      left join st_ratio a on a.stop_id = ss.from_stop left join st_ratio b on b.stop_id = ss.to_stop
+      left join st_over a on a.stop_id = ss.from_stop left join st_over b on b.stop_id = ss.to_stop
       left join fx_stops pa on pa.stop_id = ss.from_stop left join fx_stops pb on pb.stop_id = ss.to_stop
       left join seg_coords c on c.route_id = ss.route_id and c.seq = ss.seq) g
 """, _SHAPE_CTES + f""",
@@ -378,9 +381,8 @@ seg_coords AS (select a.route_id, a.seq, case when b.shape_idx > a.shape_idx the
 def segment_json(spark, sf_dir):
     """Segment records as JSON text: coordinates (shape slice or straight line), bbox midpoint, score, trips."""
     fx, j = _segment_coords(spark, sf_dir)
-    lk = scored_stations(fx)
-    s = RP.score_segments(j, lk)
     stops = fx.stops()
+    s = RP.score_segments(j, overlay_stations(fx), stops)
     a = stops.select(F.col("stop_id").alias("from_stop"), F.col("stop_lat").alias("alat"),
                      F.col("stop_lon").alias("alon"))
     b = stops.select(F.col("stop_id").alias("to_stop"), F.col("stop_lat").alias("blat"),
@@ -416,26 +418,25 @@ def topk_per_group(spark, sf_dir):
 
 
 @query("dedupe_first", with_fx("""
-select name_clean, place_id, pop from (select lower(trim(right(name, 3))) as name_clean, place_id, pop,
-  row_number() over (partition by lower(trim(right(name, 3))) order by pop desc, place_id) as rn from fx_places) x
+select name_clean, place_id, pop from (select lower(trim(town)) as name_clean, place_id, pop,
+  row_number() over (partition by lower(trim(town)) order by pop desc, place_id) as rn from fx_places) x
 where rn = 1
 """))
 def dedupe_first(spark, sf_dir):
-    p = Fixtures(spark, sf_dir).places().select(F.lower(F.trim(F.expr("right(name, 3)"))).alias("name_clean"),
-                                                "place_id", "pop")
+    p = Fixtures(spark, sf_dir).places().select(F.lower(F.trim("town")).alias("name_clean"), "place_id", "pop")
     return keep_first(p, ["name_clean"], [("pop", False), ("place_id", True)])
 
 
-@query("candidate_assemble", with_fx("""
-select code, 1 as is_metro_area, 1 as cbsa_type, cast(0 as bigint) as weekly_departures,
-  cast(0 as bigint) as num_routes_served, cast(null as double) as service_span_hours, 'candidate' as station_type
+@query("candidate_assemble", with_fx(f"""
+select code, trim(town) || ' (Expansion Candidate)' as station_name, 'Expansion Candidate' as station_type, lat, lon, state,
+  cast(null as bigint) as actual, 0 as is_corridor, 1 as is_candidate,
+  {", ".join(f"cast(null as double) as {c}" for c in SERVICE_COLUMNS)}
 from cand
 """, _CAND_SQL))
 def candidate_assemble(spark, sf_dir):
-    """Candidate rows with constant flags, zero service ("no service yet") and typed NULL columns."""
+    """Candidate rows in the schema of scored stations: constant flags, no target, service measures missing."""
     c = candidate_places(Fixtures(spark, sf_dir))
-    return c.select("code", F.lit(1).alias("is_metro_area"), F.lit(1).alias("cbsa_type"),
-                    F.lit(0).cast("bigint").alias("weekly_departures"),
-                    F.lit(0).cast("bigint").alias("num_routes_served"),
-                    F.lit(None).cast("double").alias("service_span_hours"),
-                    F.lit("candidate").alias("station_type"))
+    return c.select("code", F.concat(F.trim("town"), F.lit(" (Expansion Candidate)")).alias("station_name"),
+                    F.lit("Expansion Candidate").alias("station_type"), "lat", "lon", "state",
+                    F.lit(None).cast("bigint").alias("actual"), F.lit(0).alias("is_corridor"), F.lit(1).alias("is_candidate"),
+                    *[F.lit(None).cast("double").alias(m) for m in SERVICE_COLUMNS])

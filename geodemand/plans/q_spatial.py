@@ -222,24 +222,27 @@ def resolve_area(spark, sf_dir):
     return p.join(n, "place_id", "left").select("place_id", "area_fips", round6("dist_km").alias("dist_km"))
 
 
-def candidate_places(fx, top_n=TOP_N_CANDIDATES):
-    """Largest places (one per cleaned name, first by pop desc then id) whose name has no site."""
-    key = F.lower(F.trim(F.expr("right(name, 3)")))
-    places = fx.places().withColumn("name_clean", key)
-    dedup = keep_first(places, ["name_clean"], [("pop", False), ("place_id", True)])
+def candidate_places(fx, top_n=TOP_N_CANDIDATES, by_block=False):
+    """Largest places (one per cleaned town, first by pop desc then id) whose town has no site.
+
+    With ``by_block``, places and sites of one name in different blocks are different towns.
+    """
+    places = fx.places().withColumn("name_clean", F.lower(F.trim("town")))
+    keys = ["name_clean", "state"] if by_block else ["name_clean"]
+    dedup = keep_first(places, keys, [("pop", False), ("place_id", True)])
     top = dedup.orderBy(F.col("pop").desc(), F.col("place_id").asc()).limit(top_n)
-    site_names = fx.sites().select(key.alias("name_clean")).distinct()
-    c = top.join(site_names, "name_clean", "left_anti")
-    code = F.concat(F.lit("CAND_"), F.regexp_replace(F.trim(F.col("name")), "[^A-Za-z0-9]", "_"))
+    site_names = fx.sites().select(F.lower(F.trim("name")).alias("name_clean"), "state").select(*keys).distinct()
+    c = top.join(site_names, keys, "left_anti")
+    code = F.concat(F.lit("CAND_"), F.regexp_replace(F.trim("town"), "[^A-Za-z0-9]", "_"))
     return c.withColumn("code", code)
 
 
 _CAND_SQL = f"""
-cand AS (select 'CAND_' || regexp_replace(trim(name), '[^A-Za-z0-9]', '_', 'g') as code, place_id, name, pop, lat, lon
- from (select * from (select *, lower(trim(right(name, 3))) as nc,
-         row_number() over (partition by lower(trim(right(name, 3))) order by pop desc, place_id) as rn from fx_places) d
+cand AS (select 'CAND_' || regexp_replace(trim(town), '[^A-Za-z0-9]', '_', 'g') as code, place_id, name, town, state, pop, lat, lon
+ from (select * from (select *, lower(trim(town)) as nc,
+         row_number() over (partition by lower(trim(town)) order by pop desc, place_id) as rn from fx_places) d
        where rn = 1 order by pop desc, place_id limit {TOP_N_CANDIDATES}) t
- where nc not in (select lower(trim(right(name, 3))) from fx_sites))
+ where nc not in (select lower(trim(name)) from fx_sites))
 """
 
 

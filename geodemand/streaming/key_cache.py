@@ -2,8 +2,9 @@
 
 New ids arrive as files; each micro-batch resolves only ids that are not in
 the cache yet and appends them. Every batch writes its own folder
-(``batch=<id>``) in overwrite mode, so a batch replayed after a failure
-replaces its own output instead of duplicating it; the stream's progress lives
+(``batch=<id>``) in overwrite mode and looks up the other batches' folders
+only, so a batch replayed after a failure resolves its ids again and replaces
+its own output; the stream's progress lives
 in the checkpoint location (use the shared checkpoint folder on a cluster).
 """
 
@@ -11,15 +12,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def read_cache(spark: SparkSession, cache_path: str, schema: str) -> DataFrame:
+def read_cache(spark: SparkSession, cache_path: str, schema: str, without_batch: int | None = None) -> DataFrame:
+    """All batches' rows, or those of all batches but one; a cache not written yet is empty."""
     try:
-        return spark.read.schema(schema).parquet(cache_path)
-    except Exception:  # noqa: BLE001 - no batch written yet
+        cache = spark.read.schema(f"{schema}, batch long").parquet(cache_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
+    if without_batch is not None:
+        cache = cache.where(F.col("batch") != without_batch)
+    return cache.drop("batch")
 
 
 def start_key_cache_stream(spark: SparkSession, source_dir: str, source_schema: str, id_col: str,
@@ -29,7 +38,7 @@ def start_key_cache_stream(spark: SparkSession, source_dir: str, source_schema:
     src = spark.readStream.schema(source_schema).parquet(source_dir)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        cache = read_cache(spark, cache_path, cache_schema)
+        cache = read_cache(spark, cache_path, cache_schema, without_batch=batch_id)
         todo = batch.select(id_col).where(batch[id_col].isNotNull()).distinct().join(
             cache.select(id_col), id_col, "left_anti")
         resolver(todo).write.mode("overwrite").parquet(f"{cache_path.rstrip('/')}/batch={batch_id}")
