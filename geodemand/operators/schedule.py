@@ -9,7 +9,7 @@ Scale notes
   with map-side partial aggregation, then an equi join back. Unlike a
   ``Window.partitionBy(trip)`` this never needs a whole trip in one task, and
   AQE can split a hot trip in the join.
-* Per-stop measures are a single multi-aggregate ``groupBy(stop_id)``.
+* Per-stop measures are summed by (stop, route) first, then by stop.
 """
 
 from __future__ import annotations
@@ -114,38 +114,27 @@ def visit_position(stop_times: DataFrame, extent: DataFrame | None = None) -> Da
 def route_length(extent: DataFrame, trips: DataFrame, stops: DataFrame) -> DataFrame:
     """Representative route length: max over the route's trips of first-stop -> last-stop distance.
 
-    Trips whose endpoints lack coordinates drop out (inner joins), as a route
-    with no measurable trip has no length.
+    A route with no measurable trip (endpoints without coordinates) has no length
+    and no row.
     """
     a = stops.select(F.col("stop_id").alias("first_stop"), F.col("stop_lat").alias("lat1"),
                      F.col("stop_lon").alias("lon1"))
     b = stops.select(F.col("stop_id").alias("last_stop"), F.col("stop_lat").alias("lat2"),
                      F.col("stop_lon").alias("lon2"))
-    t = (extent.join(a, "first_stop").join(b, "last_stop")
-         .join(trips.select("trip_id", "route_id"), "trip_id")
-         .withColumn("trip_len_km", haversine_km("lat1", "lon1", "lat2", "lon2")))
-    return t.groupBy("route_id").agg(F.max("trip_len_km").alias("route_len_km"))
-
-
-def trip_facts(stop_times: DataFrame, trips: DataFrame, stops: DataFrame) -> DataFrame:
-    """One row per trip: route, direction, days, first/last sequence and stop, endpoint distance."""
-    ext = trip_extent(stop_times)
-    a = stops.select(F.col("stop_id").alias("first_stop"), F.col("stop_lat").alias("lat1"),
-                     F.col("stop_lon").alias("lon1"))
-    b = stops.select(F.col("stop_id").alias("last_stop"), F.col("stop_lat").alias("lat2"),
-                     F.col("stop_lon").alias("lon2"))
-    t = (ext.join(trips.select("trip_id", "route_id", "direction_id", "days_per_week"), "trip_id")
-         .join(a, "first_stop", "left").join(b, "last_stop", "left"))
-    return t.withColumn("trip_len_km", haversine_km("lat1", "lon1", "lat2", "lon2")).drop(
-        "lat1", "lon1", "lat2", "lon2")
+    t = extent.join(trips.select("trip_id", "route_id"), "trip_id").join(a, "first_stop").join(b, "last_stop")
+    km = haversine_km("lat1", "lon1", "lat2", "lon2")
+    return t.groupBy("route_id").agg(F.max(km).alias("route_len_km")).where(F.col("route_len_km").isNotNull())
 
 
 def stop_service_measures(stop_times: DataFrame, trips: DataFrame, stops: DataFrame,
                           long_km: float = 500.0) -> DataFrame:
-    """Per-stop service measures in one aggregation pass.
+    """Per-stop service measures by two levels of partial aggregation.
 
-    ``trips`` must carry route_id, direction_id, days_per_week; visits of other
-    trips drop out in the inner joins (so a separate semi join is not needed).
+    ``trips`` must carry route_id, direction_id (0 to 62; feeds use 0 and 1) and
+    days_per_week; visits of other trips drop out in the first join, by the key
+    that also gives each trip's extent. Visits then shrink to (stop, route) before
+    they meet the route lengths, and to the stop after that, so no distinct count
+    expands them.
 
     weekly_departures  sum of days_per_week over visits (final stops count too)
     num_routes_served  distinct routes; num_directions distinct directions
@@ -156,28 +145,31 @@ def stop_service_measures(stop_times: DataFrame, trips: DataFrame, stops: DataFr
     avg/max_route_length_km over visits; pct_long_distance = share of the
     stop's distinct routes longer than ``long_km``.
     """
-    # Pass 1 over the visits: one row per trip, written to the shared checkpoint folder so the
-    # per-trip table is computed once (it feeds both the route lengths and pass 2).
-    facts = trip_facts(stop_times, trips, stops).checkpoint()
-    rlen = facts.groupBy("route_id").agg(F.max("trip_len_km").alias("route_len_km"))
-    trip_info = facts.select("trip_id", "route_id", "direction_id", "days_per_week", "min_seq", "max_seq").join(
-        rlen, "route_id", "left")
-    # Pass 2: visits joined to their trip facts, then one aggregation per stop.
-    v = visit_times(stop_times.where(F.col("stop_id").isNotNull())).join(trip_info, "trip_id")
     seq = F.col("stop_sequence")
-    route = F.col("route_id")
-    n_routes = F.countDistinct(route)
-    agg = v.groupBy("stop_id").agg(
-        F.coalesce(F.sum("days_per_week"), F.lit(0)).cast("bigint").alias("weekly_departures"),
-        n_routes.alias("num_routes_served"),
-        F.max(((seq == F.col("min_seq")) | (seq == F.col("max_seq"))).cast("int")).alias("is_terminal"),
-        F.avg("dwell_sec").alias("avg_dwell_time_sec"),
-        ((F.max("dep_sec") - F.min("dep_sec")) / 3600.0).alias("service_span_hours"),
-        F.avg(seq / F.col("max_seq")).alias("avg_stop_sequence_pct"),
-        F.countDistinct("direction_id").alias("num_directions"),
-        F.avg("route_len_km").alias("avg_route_length_km"),
-        F.max("route_len_km").alias("max_route_length_km"),
-        (F.countDistinct(F.when(F.col("route_len_km") > long_km, route)) / n_routes).alias("pct_long_distance"),
+    kept = stop_times.join(trips.select("trip_id", "route_id", "direction_id", "days_per_week"), "trip_id")
+    extent = trip_extent(kept)
+    lengths = route_length(extent, trips, stops)
+    visits = visit_times(kept).join(extent.select("trip_id", "min_seq", "max_seq"), "trip_id")
+    has_route = F.col("route_id").isNotNull()
+    by_route = visits.where(F.col("stop_id").isNotNull()).groupBy("stop_id", "route_id").agg(
+        F.sum("days_per_week").alias("days"), F.count(F.lit(1)).alias("n"),
+        F.max(((seq == F.col("min_seq")) | (seq == F.col("max_seq"))).cast("int")).alias("terminal"),
+        F.sum("dwell_sec").alias("dwell"), F.count("dwell_sec").alias("dwells"),
+        F.min("dep_sec").alias("dep_lo"), F.max("dep_sec").alias("dep_hi"),
+        F.sum(seq / F.col("max_seq")).alias("pct"), F.count(seq / F.col("max_seq")).alias("pcts"),
+        F.bit_or(F.expr("shiftleft(1L, cast(direction_id as int))")).alias("directions"))
+    km = F.col("route_len_km")
+    agg = by_route.join(lengths, "route_id", "left").groupBy("stop_id").agg(
+        F.coalesce(F.sum("days"), F.lit(0)).cast("bigint").alias("weekly_departures"),
+        F.count("route_id").alias("num_routes_served"),
+        F.max("terminal").alias("is_terminal"),
+        F.try_divide(F.sum("dwell"), F.sum("dwells")).alias("avg_dwell_time_sec"),
+        ((F.max("dep_hi") - F.min("dep_lo")) / 3600.0).alias("service_span_hours"),
+        F.try_divide(F.sum("pct"), F.sum("pcts")).alias("avg_stop_sequence_pct"),
+        F.coalesce(F.bit_count(F.bit_or("directions")), F.lit(0)).cast("bigint").alias("num_directions"),
+        F.try_divide(F.sum(km * F.col("n")), F.sum(F.when(km.isNotNull(), F.col("n")))).alias("avg_route_length_km"),
+        F.max(km).alias("max_route_length_km"),
+        F.try_divide(F.count(F.when(has_route & (km > long_km), 1)), F.count("route_id")).alias("pct_long_distance"),
     )
     return agg.join(stops, "stop_id", "left")
 
