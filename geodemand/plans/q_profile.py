@@ -11,22 +11,29 @@ from geodemand.plans.fixtures import Fixtures
 from geodemand.plans.q_spatial import _NEAREST_SQL, match_in_block, nearest_any_block
 from geodemand.plans.registry import query
 
-PROFILE_COLS = ["pop", "lat", "lon"]
+TEXT_COLS = ["name", "town"]
+NUMBER_COLS = ["place_id", "state", "pop", "lat", "lon"]
 GAP_COLS = ["state", "lat", "lon", "raw_name", "value"]
 CORR_FEATURES = ["nation", "balance", "n_orders", "avg_price", "n_finished", "pop", "lat", "lon"]
 
 
 def _profile_sql(c):
-    return (f"select '{c}' as column_name, count({c}) as count, count(distinct {c}) as unique, {r6(f'avg({c})')} as mean, "
+    if c in TEXT_COLS:
+        best = f"(select {{}} from fx_places where {c} is not null group by {c} order by count(*) desc, {c} limit 1)"
+        return (f"select '{c}' as column_name, count({c}) as count, count(distinct {c}) as unique, {best.format(c)} as top, "
+                f"{best.format('count(*)')} as freq, "
+                + ", ".join(f"cast(null as double) as {m}" for m in ("mean", "std", "min", "p25", "p50", "p75", "max")) + " from fx_places")
+    return (f"select '{c}' as column_name, count({c}) as count, count(distinct {c}) as unique, cast(null as varchar) as top, "
+            f"cast(null as bigint) as freq, {r6(f'avg({c})')} as mean, "
             f"{r6(f'stddev_samp({c})')} as std, cast(min({c}) as double) as min, "
             f"{r6(f'quantile_cont({c}, 0.25)')} as p25, {r6(f'quantile_cont({c}, 0.5)')} as p50, "
             f"{r6(f'quantile_cont({c}, 0.75)')} as p75, cast(max({c}) as double) as max from fx_places")
 
 
-@query("column_profile", with_fx("\nunion all\n".join(_profile_sql(c) for c in PROFILE_COLS)))
+@query("column_profile", with_fx("\nunion all\n".join(_profile_sql(c) for c in TEXT_COLS + NUMBER_COLS)))
 def column_profile(spark, sf_dir):
-    p = PR.column_profile(Fixtures(spark, sf_dir).places(), PROFILE_COLS)
-    return p.select("column_name", "count", "unique", *[round6(c).alias(c) for c in ("mean", "std")], "min",
+    p = PR.column_profile(Fixtures(spark, sf_dir).places(), TEXT_COLS + NUMBER_COLS)
+    return p.select("column_name", "count", "unique", "top", "freq", *[round6(c).alias(c) for c in ("mean", "std")], "min",
                     *[round6(c).alias(c) for c in ("p25", "p50", "p75")], "max")
 
 
@@ -50,11 +57,13 @@ def target_correlation(spark, sf_dir):
 
 
 def _hist_sql(scale, expr, bins):
-    return f"""select '{scale}' as scale, cast(least(floor((x - lo) / w), {bins - 1}) as int) as bin,
-  {r6(f'lo + cast(least(floor((x - lo) / w), {bins - 1}) as int) * w')} as lo_edge, count(*) as n
-from (select {expr} as x from fx_model) v,
-     (select min({expr}) as lo, (max({expr}) - min({expr})) / {bins}.0e0 as w from fx_model) b
-where x is not null group by 1, 2, 3"""
+    return f"""select '{scale}' as scale, cast(i.bin as int) as bin, {r6('lo + i.bin * w')} as lo_edge, coalesce(c.n, 0) as n
+from (select unnest(range(0, {bins})) as bin) i
+cross join (select min({expr}) as lo, (max({expr}) - min({expr})) / {bins}.0e0 as w from fx_model) b
+left join (select cast(least(floor((x - lo) / w), {bins - 1}) as bigint) as bin, count(*) as n
+  from (select {expr} as x from fx_model) v,
+       (select min({expr}) as lo, (max({expr}) - min({expr})) / {bins}.0e0 as w from fx_model) b
+  where x is not null group by 1) c on c.bin = i.bin"""
 
 
 @query("histogram", with_fx(_hist_sql("raw", "spend", 60) + "\nunion all\n" + _hist_sql("log", "ln(1.0e0 + spend)", 40)))
