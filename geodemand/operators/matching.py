@@ -1,23 +1,28 @@
 """Fuzzy and cascaded entity matching.
 
 ``similarity_join`` finds, for every left row, the best right row whose
-similarity score reaches a threshold -- exactly, without comparing all pairs
-of a block:
-
-1. Work on distinct (block, text) values of each side (repeated names are
-   scored once).
-2. Candidate generation by q-gram prefix filtering. For Indel similarity
-   ``2*LCS/(la+lb) >= t`` an LCS alignment leaves at least
-   ``3*LCS - la - lb - 1`` bigram occurrences of one string intact in the
-   other, hence at least ``ceil((1.5t - 1)(la + la*t/(2-t)) - 1)`` shared
-   bigram occurrences for any admissible partner. With a global
-   rare-first order of bigrams, two strings sharing that many must share one
-   of their first ``|grams| - bound + 1`` -- only those prefixes are joined.
-   Strings too short for the bigram bound (and partners short enough to meet
-   them) use the same scheme on characters, whose bound is ``LCS >= 1``.
-   For token-set similarity, pairs with a common token are candidates too.
-3. Exact scores (Arrow UDF) on candidates only, threshold, then best partner
-   per left row by (score desc, right order asc).
+similarity score reaches a threshold -- exactly, without comparing all pairs of
+a block:
+
+1. It works on the distinct (block, form) of each side, a form being what the
+   score depends on (sorted tokens, say). A right form keeps its first row.
+2. Levels from 100 down to the threshold: what has a best match at a level is
+   done, since every pair at or above the level was found, so the wide search at
+   the threshold meets only texts without a good match.
+3. Candidates by prefix filtering, tokens ordered rare first over all texts. For
+   Indel similarity ``2*LCS/(la+lb) >= t`` an LCS alignment keeps at least
+   ``3*LCS - la - lb - 1`` bigrams of one text intact in the other, hence
+   ``ceil((1.5t - 1)(la + la*t/(2-t)) - 1)`` for any admissible partner; two texts
+   that share so many share one of their first ``|bigrams| - bound + 1``. Texts
+   without a bound of one, and what may pair with them, meet by characters in
+   the same way. Pairs whose lengths, common bigrams or common characters rule
+   the score out are dropped before they are scored.
+   Token-set scores do not depend on the order of the words: their bigrams are
+   those within words (a bound smaller by two for each gap). Where the shared
+   words decide, they make up ``t/(2-t)`` of one side, so one of that side's rarest
+   words, up to where the rest falls short of it, is among the other's words.
+4. Native scores on candidates only, then the best partner by (score
+   descending, right order ascending).
 """
 
 from __future__ import annotations
@@ -25,10 +30,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geodemand.functions.text import SCORERS, sort_tokens, strip_ws
+from geodemand.functions.text import chars, indel_ratio, match_masks, sort_tokens, token_set_ratio_of, tokens
+
+_FORM = ("_side", "_blk", "_form")
 
 
 def _bigram_bound(n: int, t: float) -> int:
@@ -37,42 +44,108 @@ def _bigram_bound(n: int, t: float) -> int:
     return math.ceil((1.5 * t - 1.0) * (n + n * t / (2.0 - t)) - 1.0 - 1e-9)
 
 
-def _short_limits(t: float) -> tuple[int, int]:
-    """(longest string without a bigram guarantee, longest string that can pair with one)."""
-    if t <= 2.0 / 3.0:
-        return 1 << 30, 1 << 30
-    n = 1
-    short = 0
-    while n < 10000:
-        if _bigram_bound(n, t) <= 0:
-            short = n
-        elif n > 4 * (short + 2):
-            break
-        n += 1
-    partner = int(math.floor(short * (2.0 - t) / t + 1e-9))
-    return short, max(short, partner)
-
-
-def _tokens(df: DataFrame, form: str, q: int) -> DataFrame:
-    """Occurrence-numbered q-grams of ``form``: one row per (key..., token)."""
-    n = F.length(F.col(form))
-    grams = F.when(n >= q, F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substring(F.col(form), i, q)))
-    g = df.withColumn("_g", F.explode_outer(grams))
-    g = g.withColumn("_g", F.coalesce(F.col("_g"), F.concat(F.lit("\u0000"), F.col(form))))
-    keys = [c for c in df.columns]
-    c = g.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_n"))
-    return c.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(
-        *keys, F.concat(F.lit(f"{q}:"), F.col("_g"), F.lit("#"), F.col("_k").cast("string")).alias("tok"))
-
-
-def _prefix(tokens: DataFrame, keys: Sequence[str], bound: F.Column) -> DataFrame:
-    """Keep each string's |tokens| - bound + 1 rarest tokens (global frequency, then token text)."""
-    freq = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("_f"))
-    j = tokens.join(freq, "tok")
-    per = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_f", "tok"))).alias("_a"))
-    per = per.withColumn("_b", bound)
-    keep = F.slice(F.col("_a"), 1, F.greatest(F.size("_a") - F.col("_b") + 1, F.lit(1)))
-    return per.select(*keys, F.explode(keep).alias("_e")).select(*keys, F.col("_e.tok").alias("tok"))
+def _grams(x: Column, q: int) -> Column:
+    n = F.length(x)
+    return F.when(n >= q, F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substring(x, i, q))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def _numbered(x: Column) -> Column:
+    """A text's characters, equal ones told apart by a number."""
+    return F.transform(F.array(F.array_sort(x)), lambda y: F.transform(
+        y, lambda ch, i: F.concat(ch, (i - F.array_position(y, ch)).cast("string"))))[0]
+
+
+def _token_arrays(forms: DataFrame, by_word: bool) -> DataFrame:
+    """Forms with their bigrams (``b``), characters (``u``) and words (``w``) as (frequency, token), rare first.
+
+    Equal bigrams and characters of a text are told apart by their number. What
+    pairs are filtered and scored by is computed here, once for each form.
+    """
+    form = F.col("_form")
+    words = tokens(form) if by_word else F.array().cast("array<string>")
+    bigrams = F.flatten(F.transform(words, lambda w: _grams(w, 2))) if by_word else _grams(form, 2)
+    forms = forms.withColumns({"words": words, "bigrams": bigrams, "letters": _numbered(chars(form)), "masks": match_masks(form)})
+    kinds = {"b": F.col("bigrams"), "u": chars(form), "w": F.col("words")}
+
+    def tag(kind: str, x: Column) -> Column:
+        return F.transform(x, lambda y: F.struct(F.lit(kind).alias("kind"), y.alias("tok")))
+
+    tagged = [tag(kind, x) for kind, x in kinds.items()]
+    long = forms.select(*_FORM, F.explode(F.flatten(F.array(*tagged))).alias("e")).select(*_FORM, "e.*")
+    long = long.groupBy(*_FORM, "kind", "tok").agg(F.count(F.lit(1)).alias("n"))
+    long = long.select(*_FORM, "kind", F.col("tok").alias("_raw"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).select(
+        *_FORM, "kind", "_raw", F.concat_ws("#", "_raw", "k").alias("tok"))
+    often = long.groupBy("kind", "tok").agg(F.count(F.lit(1)).alias("f"))
+    rare_first = F.struct("f", "tok", F.length("_raw").alias("len"))
+    packed = long.join(often, ["kind", "tok"]).groupBy(*_FORM).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("kind") == k, rare_first))).alias(k) for k in "buw"])
+    forms = forms.withColumn("repeats", F.size("bigrams") - F.size(F.array_distinct("bigrams"))).withColumn("bigrams", F.array_distinct("bigrams"))
+    return forms.join(packed, list(_FORM), "left").withColumns(
+        {k: F.coalesce(k, F.array().cast("array<struct<f:bigint,tok:string,len:int>>")) for k in "buw"})
+
+
+def _candidates(left: DataFrame, right: DataFrame, t: float, by_word: bool) -> DataFrame:
+    """Distinct (_blk, _lf, _rf) of all pairs that may reach ``t``, with both forms' words and the left one's masks."""
+    n = F.length("_form")
+    bound = F.lit(0)
+    if t > 2.0 / 3.0:
+        bound = F.ceil(F.lit(1.5 * t - 1.0) * (n + n * F.lit(t / (2.0 - t))) - F.lit(1.0 + 1e-9))
+        if by_word:
+            bound = bound - 2 * (F.size("words") - 1)
+    strong = bound >= 1
+    whole = t >= 1.0 and by_word  # only containment scores 100
+    weakest = None if whole else left.unionByName(right).agg(F.max(F.when(~strong, n))).first()[0]
+    reach = -1 if weakest is None else max(weakest, math.floor(weakest * (2.0 - t) / t + 1e-9))
+    common = F.ceil(F.lit(t) * (n + n * F.lit(t / (2.0 - t))) / 2.0 - 1e-9)
+
+    def first(name: str, count: Column) -> Column:
+        return F.transform(F.slice(name, F.lit(1), F.greatest(count, F.lit(0)).cast("int")),
+                           lambda x: F.concat(F.lit(f"{name}:"), x["tok"]))
+
+    none = F.array().cast("array<string>")
+    both = none if whole else F.concat(F.when(strong, first("b", F.size("b") - bound + 1)).otherwise(none),
+                                       F.when(n <= reach, first("u", F.greatest(F.size("u") - common + 1, F.lit(1)))).otherwise(none))
+    rest = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.aggregate(
+        F.slice("w", i, F.size("w")), F.lit(-1), lambda acc, x: acc + x["len"] + 1))
+    decisive = F.size(F.filter(rest, lambda r: r >= n * F.lit(t / (2.0 - t)) - F.lit(1e-9)))
+    if not whole:
+        decisive = F.when(strong, decisive).otherwise(F.size("w"))
+    blank = F.size("w") == 0
+
+    def side(df: DataFrame, name: str, tags: Column) -> DataFrame:
+        return df.select("_blk", F.col("_form").alias(name), F.explode(tags).alias("tok"))
+
+    def words(count: Column) -> Column:
+        return F.when(blank, none).otherwise(first("w", count))
+
+    routes = [] if whole else [(both, both)]
+    if by_word:
+        routes += [(words(decisive), words(F.size("w"))), (words(F.size("w")), words(decisive))]
+    pairs = None
+    for of_left, of_right in routes:
+        met = side(left, "_lf", of_left).join(side(right, "_rf", of_right), ["_blk", "tok"]).select("_blk", "_lf", "_rf")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    nl, nr = F.length("_lf"), F.length("_rf")
+    if not by_word:
+        pairs = pairs.where(2 * F.least(nl, nr) >= F.lit(t) * (nl + nr) - F.lit(1e-9))
+    own = ["words", "bigrams", "repeats", "letters", "masks", "bound"]
+    pairs = pairs.distinct()
+    for df, form, tag in ((left, "_lf", "l_"), (right, "_rf", "r_")):
+        facts = df.withColumn("bound", bound).select("_blk", F.col("_form").alias(form), *[F.col(c).alias(tag + c) for c in own])
+        pairs = pairs.join(facts, ["_blk", form])
+    out = ["_blk", "_lf", "_rf", "l_words", "r_words", "l_masks"]
+    if whole:
+        return pairs.select(out)
+    # bigrams in common, at most: distinct ones and the repeats of either text
+    shared = F.size(F.array_intersect("l_bigrams", "r_bigrams")) + F.least("l_repeats", "r_repeats")
+    likely = (F.least("l_bound", "r_bound") < 1) | (shared >= F.greatest("l_bound", "r_bound"))
+    alike = F.size(F.array_intersect("l_letters", "r_letters"))
+    likely = likely & (2 * alike >= F.lit(t) * (nl + nr) - F.lit(1e-9))
+    if by_word:
+        words_shared = F.length(F.array_join(F.array_intersect("l_words", "r_words"), " "))
+        likely = likely | (words_shared >= F.least(nl, nr) * F.lit(t / (2.0 - t)) - F.lit(1e-9))
+    return pairs.where(likely).select(out)
 
 
 def similarity_join(left: DataFrame, right: DataFrame, *, left_id: str, left_text: str, right_id: str,
@@ -81,61 +154,55 @@ def similarity_join(left: DataFrame, right: DataFrame, *, left_id: str, left_tex
     """Best right match per left row with score >= threshold (0-100).
 
     Returns ``left_id, right_id, score``; left rows without a match are absent.
-    ``block`` = (left column, right column) that must be equal (NULL never
-    matches). Ties on score go to the smallest ``right_order`` (default: right id).
+    ``scorer`` is ``ratio``, ``token_sort`` or ``token_set``. ``block`` = (left
+    column, right column) that must be equal (NULL never matches). Ties on score
+    go to the smallest ``right_order`` (default: right id).
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
-    t = threshold / 100.0
-    order = right_order or right_id
-    lb, rb = (block if block else (None, None))
-    lkeys = ([F.col(lb).alias("_blk")] if lb else [F.lit(0).alias("_blk")])
-    rkeys = ([F.col(rb).alias("_blk")] if rb else [F.lit(0).alias("_blk")])
-    L = left.select(*lkeys, F.col(left_text).alias("_txt")).where(
-        F.col("_blk").isNotNull() & F.col("_txt").isNotNull()).distinct()
-    R = right.select(*rkeys, F.col(right_text).alias("_txt")).where(
-        F.col("_blk").isNotNull() & F.col("_txt").isNotNull()).distinct()
-
-    if scorer == "token_sort":
-        form = sort_tokens("_txt")
-    elif scorer == "token_set":
-        form = F.array_join(F.array_sort(F.array_distinct(F.split(strip_ws("_txt"), r"\s+"))), " ")
-    else:
-        form = F.col("_txt")
-    L = L.withColumn("_form", form)
-    R = R.withColumn("_form", form)
-
-    short, partner = _short_limits(t)
-    keys = ["_side", "_blk", "_txt", "_form"]
-    # Distinct texts of both sides feed several branches (grams, frequencies, words): materialise once.
-    both = L.withColumn("_side", F.lit("L")).unionByName(R.withColumn("_side", F.lit("R"))).select(*keys).checkpoint()
-    n = F.length("_form")
-    big_bound = (F.lit(1.5 * t - 1.0) * (n + n * F.lit(t / (2.0 - t))) - F.lit(1.0 + 1e-9))
-    bi = _tokens(both.where(n > short), "_form", 2)
-    bi = _prefix(bi, keys, F.ceil(big_bound) if t > 2.0 / 3.0 else F.lit(1))
-    uni_src = both.where(n <= partner)
-    uni = _tokens(uni_src, "_form", 1)
-    uni = _prefix(uni, keys, F.greatest(F.ceil(F.lit(t) * (n + n * F.lit(t / (2.0 - t))) / 2.0 - 1e-9), F.lit(1)))
-    toks = bi.unionByName(uni)
-    if scorer == "token_set":
-        words = both.select(*keys, F.explode(F.array_distinct(F.split(strip_ws("_txt"), r"\s+"))).alias("w"))
-        toks = toks.unionByName(words.where(F.col("w") != "").select(
-            *keys, F.concat(F.lit("w:"), F.col("w")).alias("tok")))
-    toks = toks.checkpoint()
-    lt = toks.where(F.col("_side") == "L").select("_blk", F.col("_txt").alias("_lt"), F.col("_form").alias("_lf"), "tok")
-    rt = toks.where(F.col("_side") == "R").select("_blk", F.col("_txt").alias("_rt"), F.col("_form").alias("_rf"), "tok")
-    cand = lt.join(rt, ["_blk", "tok"]).select("_blk", "_lt", "_lf", "_rt", "_rf").distinct()
-    if scorer == "token_sort":   # forms are already token-sorted: score them with the plain ratio
-        score = SCORERS["ratio"](F.col("_lf"), F.col("_rf"))
-    else:
-        score = SCORERS[scorer](F.col("_lt"), F.col("_rt"))
-    scored = cand.withColumn("score", score).where(F.col("score") >= threshold).drop("_lf", "_rf")
-
-    lrows = left.select(F.col(left_id), *lkeys, F.col(left_text).alias("_lt"))
-    rrows = right.select(F.col(right_id), F.col(order).alias("_ord"), *rkeys, F.col(right_text).alias("_rt"))
-    j = lrows.join(scored, ["_blk", "_lt"]).join(rrows, ["_blk", "_rt"])
-    best = F.min_by(F.struct(F.col(right_id), F.col("score")), F.struct(-F.col("score"), F.col("_ord")))
-    return j.groupBy(left_id).agg(best.alias("_b")).select(left_id, "_b.*")
+    by_word = scorer == "token_set"
+    form = {"ratio": lambda c: F.col(c), "token_sort": sort_tokens,
+            "token_set": lambda c: F.array_join(F.array_sort(F.array_distinct(tokens(c))), " ")}[scorer]
+    lb, rb = block if block else (None, None)
+
+    def known(df: DataFrame, key: str | None, text: str, *more: Column) -> DataFrame:
+        blk = F.col(key) if key else F.lit(0)
+        return df.select(*more, blk.alias("_blk"), form(text).alias("_form")).where("_blk is not null and _form is not null")
+
+    rows = known(left, lb, left_text, F.col(left_id))
+    entries = known(right, rb, right_text, F.col(right_id).alias("_rid"), F.col(right_order or right_id).alias("_ord"))
+    entries = entries.groupBy("_blk", "_form").agg(F.min_by("_rid", F.struct("_ord", "_rid")).alias("_rid"), F.min("_ord").alias("_ord"))
+    if by_word:  # a blank text scores 0 against any
+        rows, entries = rows.where("_form != ''"), entries.where("_form != ''")
+    entries = entries.checkpoint()
+    pending = rows.select("_blk", "_form").distinct().checkpoint()
+    found: list[DataFrame] = []
+
+    def settle(scored: DataFrame) -> None:
+        nonlocal pending
+        best = F.min_by(F.struct(F.col("_rid"), F.col("score")), F.struct(-F.col("score"), F.col("_ord"), F.col("_rid")))
+        done = scored.groupBy("_blk", "_form").agg(best.alias("_b")).select("_blk", "_form", "_b.*").checkpoint()
+        found.append(done)
+        pending = pending.join(done, ["_blk", "_form"], "left_anti").checkpoint()
+
+    if not by_word:
+        settle(pending.join(entries, ["_blk", "_form"]).withColumn("score", F.lit(100.0)))
+    if not pending.isEmpty():
+        forms = pending.withColumn("_side", F.lit("L")).unionByName(entries.select("_blk", "_form").withColumn("_side", F.lit("R")))
+        arrays = _token_arrays(forms.select(*_FORM), by_word).checkpoint()
+        levels = sorted({(100.0 + threshold) / 2, float(threshold), *([100.0] if by_word else [])}, reverse=True)
+        for level in levels:
+            here = arrays.where("_side = 'L'").join(pending, ["_blk", "_form"], "left_semi")
+            pairs = _candidates(here, arrays.where("_side = 'R'"), level / 100.0, by_word)
+            score = token_set_ratio_of(F.col("l_words"), F.col("r_words")) if by_word else indel_ratio("_lf", "_rf", F.col("l_masks"))
+            scored = pairs.select("_blk", F.col("_lf").alias("_form"), "_rf", score.alias("score")).where(F.col("score") >= level)
+            settle(scored.join(entries.withColumnRenamed("_form", "_rf"), ["_blk", "_rf"]))
+            if pending.isEmpty():
+                break
+    matches = found[0]
+    for more in found[1:]:
+        matches = matches.unionByName(more)
+    return rows.join(matches, ["_blk", "_form"]).select(left_id, F.col("_rid").alias(right_id), "score")
 
 
 def cascade(left: DataFrame, left_id: str, tiers: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]],

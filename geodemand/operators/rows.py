@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geodemand.functions.text import chars
+
 
 def _descending(name: str, kind: T.DataType) -> Column:
     """A key whose ascending order is the descending order of the column."""
     c = F.col(name)
     if isinstance(kind, T.StringType):
         # negated code points; the closing 1 is larger than each, so a prefix comes after the longer text
-        points = F.transform(F.split(c, ""), lambda ch: -F.ascii(ch))
-        return F.concat(F.when(c == "", F.array().cast("array<int>")).otherwise(points), F.array(F.lit(1)))
+        return F.concat(F.transform(chars(c), lambda ch: -F.ascii(ch)), F.array(F.lit(1)))
     if isinstance(kind, T.BooleanType):
         return ~c
     if isinstance(kind, T.DateType):

@@ -176,7 +176,7 @@ def token_sort_ratio_q(spark, sf_dir):
     o = obs_names(fx.obs()).select("obs_id", "true_site", "city_norm")
     s = site_names(fx.sites()).select(F.col("site_id").alias("true_site"), F.col("city_norm").alias("site_norm"))
     j = o.join(s, "true_site")
-    return j.select("obs_id", "true_site", T.token_sort_ratio_udf("city_norm", "site_norm").alias("score"))
+    return j.select("obs_id", "true_site", T.token_sort_ratio("city_norm", "site_norm").alias("score"))
 
 
 @query("token_set_ratio", with_fx("""
@@ -191,7 +191,7 @@ def token_set_ratio_q(spark, sf_dir):
     o = fx.obs().select("obs_id", "true_site", T.clean_stop_name("raw_name").alias("clean_name"))
     s = fx.sites().select(F.col("site_id").alias("true_site"), F.col("name").alias("site_name"))
     j = o.join(s, "true_site")
-    return j.select("obs_id", "true_site", T.token_set_ratio_udf("clean_name", "site_name").alias("score"))
+    return j.select("obs_id", "true_site", T.token_set_ratio("clean_name", "site_name").alias("score"))
 
 
 def fuzzy_in_block(obs_named, sites_named, threshold=FUZZY_IN_BLOCK_SCORE):

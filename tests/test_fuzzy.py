@@ -5,10 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from geodemand.functions import text as T
+from geodemand.functions import text as N
+from geodemand.operators import matching as M
 from geodemand.operators.matching import _bigram_bound, similarity_join
 from geodemand.plans import q_matching as QM
 from geodemand.plans.fixtures import Fixtures
+from tests import fuzzy_reference as T
 
 
 def lcs_dp(a, b):
@@ -29,6 +31,48 @@ def test_lcs_bit_parallel_equals_dp():
         assert T.lcs_length(a, b) == lcs_dp(a, b)
 
 
+def test_native_scores_equal_the_plain_ones(spark):
+    rnd = random.Random(5)
+    sizes = [0, 1, 5, 20, 61, 62, 63, 64, 124, 125, 130, 200]
+    text = lambda: "".join(rnd.choice("abc #1é\U0001f600") for _ in range(rnd.randint(0, rnd.choice(sizes))))
+    rows = [(text(), text()) for _ in range(300)] + [("", ""), ("x", None)]
+    got = spark.createDataFrame(rows, "a string, b string").select(
+        "a", "b", N.lcs_length("a", "b").alias("lcs"), N.indel_ratio("a", "b").alias("ratio"),
+        N.token_sort_ratio("a", "b").alias("sort"), N.token_set_ratio("a", "b").alias("set")).collect()
+    for r in got:
+        if r.b is None:
+            assert r.ratio is None and r["sort"] is None and r["set"] is None
+            continue
+        assert r.lcs == T.lcs_length(r.a, r.b)
+        for have, want in ((r.ratio, T.indel_ratio), (r["sort"], T.token_sort_ratio), (r["set"], T.token_set_ratio)):
+            assert have == pytest.approx(want(r.a, r.b), abs=1e-9)
+
+
+def test_candidates_are_few(spark, monkeypatch):
+    """Names that share their common words and most of their letters do not all meet."""
+    rnd = random.Random(8)
+    name = lambda i: f"{rnd.choice(['north', 'south', 'old', 'new'])} {''.join(rnd.choice('abcdefghijklmnop') for _ in range(7))} central {i:06d}"
+    right = [name(i) for i in range(600)]
+    left = [r.replace("central", "centrl") if i % 4 else name(10_000 + i) for i, r in enumerate(right)]
+    scored = []
+    candidates = M._candidates
+
+    def counted(*args):
+        pairs = candidates(*args).cache()
+        scored.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(M, "_candidates", counted)
+    L = spark.createDataFrame(list(enumerate(left)), "lid int, lt string")
+    R = spark.createDataFrame([(i, r) for i, r in enumerate(right * 2)], "rid int, rt string")
+    for scorer, limit in (("token_sort", 85), ("token_set", 80)):
+        scored.clear()
+        got = {r.lid: r.rid for r in similarity_join(L, R, left_id="lid", left_text="lt", right_id="rid", right_text="rt",
+                                                     threshold=limit, scorer=scorer).collect()}
+        assert all(got[i] == i for i in range(600) if i % 4)
+        assert sum(scored) < 0.1 * 600 * 600, (scorer, scored)
+
+
 def test_known_scores():
     assert T.indel_ratio("new york", "york new") == pytest.approx(50.0)
     assert T.token_sort_ratio("new york", "york new") == 100.0
@@ -83,7 +127,7 @@ def test_fuzzy_in_block_equals_brute_force(spark, sf_small):
 
 def test_fuzzy_global_equals_brute_force(spark, sf_small):
     fx = Fixtures(spark, sf_small)
-    stops = fx.obs_gaps().select("obs_id", T.clean_stop_name("raw_name").alias("clean_name"))
+    stops = fx.obs_gaps().select("obs_id", N.clean_stop_name("raw_name").alias("clean_name"))
     sites = fx.sites().select("site_id", "name")
     got = {r.obs_id: (r.site_id, r.score) for r in QM.fuzzy_global(stops, sites).collect()}
     exp = _brute([(r[0], r[1], None) for r in stops.collect()], [(r[0], r[1], None) for r in sites.collect()],
