@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geodemand.llm.common import mix64, pick, prepare, ragged
 from geodemand.llm.components import Forest, connected_components
@@ -159,7 +160,7 @@ _STEP = 1 << 15
 _TILE = 1024
 
 
-def _compare(batches: Iterator[pa.RecordBatch], threshold: float, schemes: dict[int, Scheme]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], threshold: float, schemes: dict[int, Scheme], stored: str) -> Iterator[pa.RecordBatch]:
     held_batches = list(batches)
     if not held_batches:
         return
@@ -169,7 +170,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float, schemes: dict[
         part = table.filter(pa.array(dims == dim))
         nodes, at, node = np.unique(part["node"].to_numpy(), return_index=True, return_inverse=True)
         raw = b"".join(part["vec"].take(pa.array(at)).to_pylist())
-        vectors = np.frombuffer(raw, dtype="<f8").reshape(len(nodes), dim)
+        vectors = np.frombuffer(raw, dtype=stored).astype(np.float64).reshape(len(nodes), dim)
         held = _Partition(nodes, part["copies"].to_numpy()[at], vectors, threshold, schemes[dim])
         key, pair, side = (part[c].to_numpy() for c in ("key", "pair", "side"))
         order = np.lexsort((side, pair, key))
@@ -240,13 +241,15 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, *, id_col: str
     prepare(spark)
     plain = pick(vectors, id=id_col, v=vector_col)
     kind = plain.schema["id"].dataType.simpleString()
+    # single-precision components travel as they are and are widened where they are compared
+    stored = "<f4" if plain.schema["v"].dataType.elementType == T.FloatType() else "<f8"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _unit_rows(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([None if x is None else len(x) for x in rows], pa.int32()),
-                 pa.array([None if x is None else (x + 0.0).tobytes() for x in rows], pa.binary())], names=["id", "dim", "vec"])
+                 pa.array([None if x is None else (x + 0.0).astype(stored).tobytes() for x in rows], pa.binary())], names=["id", "dim", "vec"])
 
     rows = plain.mapInArrow(encode, f"id {kind}, dim int, vec binary").checkpoint()
     apart = (rows.where("vec is not null").groupBy("dim", "vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
@@ -261,7 +264,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, *, id_col: str
                 dims = part.column(0).to_numpy()
                 for dim in np.unique(dims).tolist():
                     some = part.filter(pa.array(dims == dim))
-                    x = np.frombuffer(b"".join(some.column(1).to_pylist()), dtype="<f8").reshape(-1, dim)
+                    x = np.frombuffer(b"".join(some.column(1).to_pylist()), dtype=stored).astype(np.float64).reshape(-1, dim)
                     keys = bucket_keys(x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], schemes[dim]).reshape(len(x), -1)
                     who = pa.array(np.repeat(np.arange(len(x)), keys.shape[1]))
                     yield pa.RecordBatch.from_arrays(
@@ -280,10 +283,10 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, *, id_col: str
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         pair = F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")
         dealt = dealt.withColumns({"pair": pair, "side": (F.col("own") > F.col("other")).cast("int")})
-    total = sum(n * schemes[d].tables * schemes[d].probes * (8 * d + 48) for d, n in sizes.items())
+    total = sum(n * schemes[d].tables * schemes[d].probes * (np.dtype(stored).itemsize * d + 48) for d, n in sizes.items())
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // partition_bytes))
     found = (dealt.select("key", "pair", "side", "node", "copies", "dim", "vec").repartition(wide, "key", "pair")
-             .mapInArrow(lambda b: _compare(b, threshold, schemes), "a long, b long, links long").checkpoint())
+             .mapInArrow(lambda b: _compare(b, threshold, schemes, stored), "a long, b long, links long").checkpoint())
     roots = connected_components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     known = (apart.join(links, apart["node"] == links["a"], "left").join(roots, "node", "left")

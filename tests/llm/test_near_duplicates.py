@@ -177,6 +177,17 @@ def test_embeddings_against_brute_force(spark, hot):
     assert embedding_groups(frame.limit(0)).count() == 0
 
 
+def test_single_precision_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 16)).astype(np.float32)
+    x = np.concatenate([base, base + rng.normal(size=base.shape).astype(np.float32) * np.float32(0.3)]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_groups(frame, 0.9, recall=0.9999).collect()}
+    assert [got[i] for i in range(60)] == want.tolist() and 0 < want.sum()
+
+
 def test_scheme_follows_size_and_threshold():
     small, large = choose_scheme(1000, 64, 0.9, 0.99), choose_scheme(10_000_000, 64, 0.9, 0.99)
     assert large.functions > small.functions and choose_scheme(1000, 64, 0.7, 0.99).tables > small.tables
