@@ -8,19 +8,20 @@ keys), then the exact haversine distance is applied as a residual filter.
 Catalyst plans this as a hash join on the cell keys -- never a nested loop --
 and it has no special cases at the poles or the antimeridian.
 
-Aggregating joins (counts, sums, maxima, flags) go through ``radius_rollup``:
-the right side is summarised per fine cell and only cells cut by the circle
-are opened point by point, so a dense area never turns into all its pairs.
-Nearest-neighbour joins (``nearest_within``) still enumerate the pairs inside
-the search radius; AQE skew-join handling splits dense cells.
+Aggregating joins (counts, sums, maxima, flags; ``radius_rollup``) and nearest
+joins (``nearest_within``) descend a pyramid of finer grids instead: cells are
+taken or left by their boxes and only those that matter and hold few points
+are opened, so neither a dense area nor a distant one turns into all its pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geodemand.functions.geo import EARTH_RADIUS_KM, cell_columns, cell_side, haversine_km, unit_xyz
@@ -70,217 +71,156 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float, *,
     return j.where(keep).drop(*["_l" + c for c in _CELLS], *_CELLS)
 
 
-NEAREST_CAP = 4096        # candidate right points per left coordinate before the radius is refined
-MAX_REFINE = 12           # radius halvings (25 km -> about 6 m)
+FANOUT = 4     # children of a cell on each axis
+LEAF = 64      # distinct right coordinates that are compared one by one
+_MARGIN = 1e-9  # relative slack of the box tests; what is near a limit is compared exactly
+_SMALLEST = 1e-13  # side of a cell that is opened whatever it holds: doubles do not tell its points apart
 
 
-def _plain_nearest(lc, rc, r, *, right_id, left_lat, left_lon, right_lat, right_lon, block, carry, replicate):
-    key = [left_lat, left_lon, *[a for a, _ in block]]
-    p = radius_join(lc, rc, r, left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon,
-                    block=block, replicate=replicate)
-    best = F.min_by(F.struct(F.col(right_id), F.col("dist_km"), *[F.col(c) for c in carry]),
-                    F.struct(F.col("dist_km"), F.col(right_id)))
-    return p.groupBy(*key).agg(best.alias("_b")).select(*key, "_b.*")
+class _Pyramid:
+    """The right side, one row per distinct (coordinate, block), on cube grids that divide by ``FANOUT`` from level to level."""
 
+    def __init__(self, right: DataFrame, side: float, lat: str, lon: str, blocks: Sequence[str], values: dict):
+        x, y, z = unit_xyz("_lat", "_lon")
+        self.side = side
+        self.blocks = [f"_b{i}" for i in range(len(blocks))]
+        named = right.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns(
+            {"_lat": F.col(lat), "_lon": F.col(lon)} | {n: F.col(b) for n, b in zip(self.blocks, blocks)})
+        rows = named.groupBy("_lat", "_lon", *self.blocks).agg(*[e.alias(n) for n, e in values.items()])
+        self.points = rows.withColumns({"_x": x, "_y": y, "_z": z}).checkpoint()
 
-def _neighbour_counts(lc, rc, r, *, left_lat, left_lon, right_lat, right_lon, block):
-    """Exact number of right points in the 27 cells around each left coordinate at the grid of ``r``."""
-    side = cell_side(r)
-    lb = [a for a, _ in block]
-    rb = [b for _, b in block]
-    cnt = _with_cells(rc.select(right_lat, right_lon, *rb), right_lat, right_lon, side).groupBy(
-        *_CELLS, *rb).agg(F.count(F.lit(1)).alias("_n"))
-    nb = _neighbours(_with_cells(lc, left_lat, left_lon, side))
-    cond = [nb[c] == cnt[c] for c in _CELLS] + [nb[a] == cnt[b] for a, b in block]
-    key = [left_lat, left_lon, *lb]
-    tot = nb.join(cnt, cond, "inner").groupBy(*[nb[k] for k in key]).agg(F.sum("_n").alias("_cand"))
-    return lc.join(tot, key, "left").withColumn("_cand", F.coalesce("_cand", F.lit(0)))
+    def side_of(self, level: int) -> float:
+        return self.side / FANOUT ** level
 
+    def located(self, level: int) -> DataFrame:
+        return self.points.withColumns({c: F.floor(F.col(p) / F.lit(self.side_of(level)))
+                                        for c, p in zip(_CELLS, ("_x", "_y", "_z"))})
 
-_MAX_CELL_MEMO: dict = {}
+    def cells(self, level: int, summaries: dict) -> DataFrame:
+        """Occupied cells with their number of coordinates (``_n``), the given summaries and their parents' ids."""
+        c = self.located(level).groupBy(*self.blocks, *_CELLS).agg(F.count(F.lit(1)).alias("_n"),
+                                                                  *[e.alias(n) for n, e in summaries.items()])
+        return c.withColumns({"_p" + c_: F.floor(F.col(c_) / F.lit(FANOUT)) for c_ in _CELLS})
 
 
-def _max_cell(rc: DataFrame, r: float, lat: str, lon: str) -> int:
-    """Largest number of right points in one cell of the grid for ``r`` (memoised per plan and radius)."""
-    try:
-        key = (rc._jdf.queryExecution().analyzed().semanticHash(), round(r, 9), lat, lon)
-    except Exception:  # noqa: BLE001 - plan hash unavailable (e.g. remote client)
-        key = None
-    if key is not None and key in _MAX_CELL_MEMO:
-        return _MAX_CELL_MEMO[key]
-    m = (_with_cells(rc.select(lat, lon), lat, lon, cell_side(r)).groupBy(*_CELLS).count()
-         .agg(F.max("count").alias("m")).first()["m"]) or 0
-    if key is not None:
-        _MAX_CELL_MEMO[key] = m
-    return m
+def _left_points(left: DataFrame, lat: str, lon: str, blocks: Sequence[str]) -> DataFrame:
+    """Distinct left coordinates and blocks with their unit vectors."""
+    x, y, z = unit_xyz("_llat", "_llon")
+    rows = left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
+        F.col(lat).alias("_llat"), F.col(lon).alias("_llon"), *[F.col(b).alias(f"_lb{i}") for i, b in enumerate(blocks)])
+    return rows.distinct().withColumns({"_lx": x, "_ly": y, "_lz": z})
 
 
-def _refined_nearest(lc, rc, r, depth, cap, **kw):
-    """Exact nearest within ``r`` per left coordinate without expanding dense neighbourhoods.
+def _meet_cells(points: DataFrame, cells: DataFrame, side: float, n_blocks: int) -> DataFrame:
+    """Left points with the occupied cells around theirs (and their box distances, squared)."""
+    near = points.withColumns({c: F.floor(F.col(v) / F.lit(side)) for c, v in zip(_CELLS, ("_lx", "_ly", "_lz"))})
+    near = _neighbours(near).withColumnsRenamed({f"_lb{i}": f"_b{i}" for i in range(n_blocks)})
+    return _with_gaps(near.join(cells, [*[f"_b{i}" for i in range(n_blocks)], *_CELLS]), side)
 
-    Coordinates whose 27-cell neighbourhood holds more than ``cap`` right points
-    first search radius r/2 (recursively); a hit there is the exact nearest.
-    Only the misses (no point within r/2) and the sparse coordinates join at r.
-    """
-    if depth >= MAX_REFINE:
-        return _plain_nearest(lc, rc, r, **kw)
-    # Cheap global bound first (one aggregation over the right side): if no cell holds more than
-    # cap / 27 points, no neighbourhood can exceed the cap and the plain join is bounded.
-    if 27 * _max_cell(rc, r, kw["right_lat"], kw["right_lon"]) <= cap:
-        return _plain_nearest(lc, rc, r, **kw)
-    key = [kw["left_lat"], kw["left_lon"], *[a for a, _ in kw["block"]]]
-    counted = _neighbour_counts(lc, rc, r, left_lat=kw["left_lat"], left_lon=kw["left_lon"],
-                                right_lat=kw["right_lat"], right_lon=kw["right_lon"], block=kw["block"]).checkpoint()
-    dense = counted.where(F.col("_cand") > cap).drop("_cand")
-    if dense.isEmpty():
-        return _plain_nearest(lc, rc, r, **kw)
-    sparse = counted.where(F.col("_cand") <= cap).drop("_cand")
-    inner = _refined_nearest(dense, rc, r / 2.0, depth + 1, cap, **kw).checkpoint()
-    missed = dense.join(inner.select(*key), key, "left_anti")
-    outer = _plain_nearest(sparse.unionByName(missed), rc, r, **kw)
-    return inner.unionByName(outer)
+
+def _with_gaps(met: DataFrame, side: float) -> DataFrame:
+    """Least and largest squared chord from the left point to the cell's box."""
+    least, most = F.lit(0.0), F.lit(0.0)
+    for p, c in zip(("_lx", "_ly", "_lz"), _CELLS):
+        lo, hi = F.col(c) * F.lit(side), (F.col(c) + 1) * F.lit(side)
+        gap = F.greatest(lo - F.col(p), F.lit(0.0), F.col(p) - hi)
+        far = F.greatest(F.abs(F.col(p) - lo), F.abs(F.col(p) - hi))
+        least, most = least + gap * gap, most + far * far
+    return met.withColumns({"_near": least, "_far": most})
+
+
+def _descend(open_: DataFrame, pyramid: _Pyramid, level: int, summaries: dict, keep: Sequence[str]) -> DataFrame:
+    """The children, at ``level``, of cells of the level above, with box distances."""
+    parents = open_.select(*keep, *pyramid.blocks, *[F.col(c).alias("_p" + c) for c in _CELLS])
+    children = pyramid.cells(level, summaries)
+    met = parents.join(children, [*pyramid.blocks, *["_p" + c for c in _CELLS]]).drop(*["_p" + c for c in _CELLS])
+    return _with_gaps(met, pyramid.side_of(level))
+
+
+def _chord2(km: float) -> float:
+    return (2.0 * math.sin(min(km, HALF_CIRCUMFERENCE_KM) / (2.0 * EARTH_RADIUS_KM))) ** 2
+
+
+_POINT = ("_llat", "_llon", "_lx", "_ly", "_lz")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius_km: float, *, left_id: str, right_id: str,
                    left_lat: str = "lat", left_lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon",
-                   block: Sequence[tuple[str, str]] = (), carry: Sequence[str] = (),
-                   replicate: str = "left", cap: int = NEAREST_CAP) -> DataFrame:
+                   block: Sequence[tuple[str, str]] = (), carry: Sequence[str] = ()) -> DataFrame:
     """Per left id, the nearest right row within the radius; ties go to the smaller right id.
 
-    Both sides are first collapsed to distinct coordinates (right: the smallest
-    id per coordinate, which is exactly the tie-break winner), so co-located
-    duplicates join once. When the candidate pairs exceed the pair budget,
-    coordinates in dense neighbourhoods search a halved radius first
-    (``_refined_nearest``), so a dense area is not expanded into all its pairs.
-    Returns ``left_id, right_id, dist_km`` plus ``carry`` right columns; left
-    rows without a hit are absent (left-join the result back for NULLs).
+    Both sides are collapsed to distinct coordinates (right: the smallest id, which
+    is the tie-break winner). Each left coordinate starts with the occupied cells
+    around it and descends a pyramid of grids: a cell is left aside when the least
+    distance to its box exceeds the radius or the largest distance to another
+    occupied cell's box, and opened once it holds ``LEAF`` coordinates or fewer. A
+    coordinate thus meets a few cells a level, however dense the right side is and
+    wherever it lies. Returns ``left_id, right_id, dist_km`` plus ``carry`` right
+    columns; left rows without a hit are absent (left-join the result back for NULLs).
     """
-    lb = [a for a, _ in block]
-    rb = [b for _, b in block]
-    rsel = right.where(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull())
-    rc = (rsel.groupBy(right_lat, right_lon, *rb)
-          .agg(F.min_by(F.struct(F.col(right_id), *[F.col(c) for c in carry]), F.col(right_id)).alias("_r"))
-          .select(right_lat, right_lon, *rb, "_r.*"))
-    lc = left.select(left_lat, left_lon, *lb).where(
-        F.col(left_lat).isNotNull() & F.col(left_lon).isNotNull()).distinct()
-    kw = dict(right_id=right_id, left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon,
-              block=block, carry=carry, replicate=replicate)
-    res = _refined_nearest(lc, rc, radius_km, 0, cap, **kw)
-    key = [left_lat, left_lon, *lb]
-    per = res.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], right_id, "dist_km", *carry)
-    lsel = left.select(left_id, *key)
-    cond = [lsel[left_lat] == per["_k0"], lsel[left_lon] == per["_k1"]] + [
-        lsel[a].eqNullSafe(per[f"_k{i + 2}"]) for i, a in enumerate(lb)]
-    return lsel.join(per, cond, "inner").select(left_id, right_id, "dist_km", *carry)
+    lb, rb = [a for a, _ in block], [b for _, b in block]
+    values = {"_r": F.min_by(F.struct(F.col(right_id).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]), F.col(right_id))}
+    pyramid = _Pyramid(right, cell_side(radius_km), right_lat, right_lon, rb, values)
+    points = _left_points(left, left_lat, left_lon, lb)
+    limit = F.lit(_chord2(radius_km) * (1 + _MARGIN) + 1e-18)
+    per_point = Window.partitionBy("_llat", "_llon", *pyramid.blocks)
+    keep = [*_POINT, "_best"]
+    met = _meet_cells(points, pyramid.cells(0, {}), pyramid.side, len(block)).withColumn("_best", limit)
+    parts, level = [], 0
+    while True:
+        # no point's nearest lies beyond the farthest corner of any occupied cell
+        bound = F.least(F.col("_best"), F.min("_far").over(per_point) * (1 + _MARGIN) + 1e-18)
+        met = met.withColumn("_best", bound).where(F.col("_near") <= F.col("_best")).drop("_near", "_far").checkpoint()
+        leaf = F.lit(pyramid.side_of(level) < _SMALLEST) | (F.col("_n") <= LEAF)
+        near = met.where(leaf).select("_llat", "_llon", *pyramid.blocks, *_CELLS).join(
+            pyramid.located(level).select("_lat", "_lon", "_r", *pyramid.blocks, *_CELLS), [*pyramid.blocks, *_CELLS])
+        d = haversine_km("_llat", "_llon", "_lat", "_lon")
+        parts.append(near.select("_llat", "_llon", *pyramid.blocks, d.alias("dist_km"), "_r").where(F.col("dist_km") <= radius_km))
+        rest = met.where(~leaf)
+        if rest.isEmpty():
+            break
+        level += 1
+        met = _descend(rest, pyramid, level, {}, keep)
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    best = F.min_by(F.struct("_r", "dist_km"), F.struct("dist_km", F.col("_r.id")))
+    best = found.groupBy("_llat", "_llon", *pyramid.blocks).agg(best.alias("_m"))
+    lsel = left.select(left_id, F.col(left_lat).alias("_llat"), F.col(left_lon).alias("_llon"),
+                       *[F.col(a).alias(n) for a, n in zip(lb, pyramid.blocks)])
+    return lsel.join(best, ["_llat", "_llon", *pyramid.blocks]).select(
+        left_id, F.col("_m._r.id").alias(right_id), F.col("_m.dist_km").alias("dist_km"),
+        *[F.col(f"_m._r.c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def nearest_unbounded(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str,
                       left_lat: str = "lat", left_lon: str = "lon", right_lat: str = "r_lat",
-                      right_lon: str = "r_lon", carry: Sequence[str] = (), start_km: float = 25.0,
-                      replicate: str = "left") -> DataFrame:
+                      right_lon: str = "r_lon", carry: Sequence[str] = ()) -> DataFrame:
     """Exact nearest right row for every left row with coordinates, at any distance.
 
-    Expanding radius: a hit inside radius r is the true nearest (anything
-    nearer is also inside r). Rows still without a hit are retried at 4r; the
-    pending set is checkpointed between rounds so lineage stays flat. Every
-    round is a cell join; no cross join is ever planned. Returns no rows when
-    ``right`` has no row with coordinates.
+    :func:`nearest_within` half the circumference: the first grid has the whole
+    sphere in a cell's neighbourhood. No rows when ``right`` has no coordinates.
     """
-    rsel = right.select(right_id, right_lat, right_lon, *carry).where(
-        F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull())
-    if rsel.isEmpty():
-        return nearest_within(left.limit(0), rsel, start_km, left_id=left_id, right_id=right_id,
-                              left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon,
-                              carry=carry)
-    pending = left.select(left_id, left_lat, left_lon).where(
-        F.col(left_lat).isNotNull() & F.col(left_lon).isNotNull())
-    found: list[DataFrame] = []
-    r = start_km
-    while True:
-        hits = nearest_within(pending, rsel, r, left_id=left_id, right_id=right_id, left_lat=left_lat,
-                              left_lon=left_lon, right_lat=right_lat, right_lon=right_lon, carry=carry,
-                              replicate=replicate).persist()
-        found.append(hits)
-        if r >= HALF_CIRCUMFERENCE_KM:
-            break
-        rest = pending.join(hits.select(left_id), left_id, "left_anti")
-        if rest.isEmpty():
-            break
-        pending = rest.checkpoint()
-        r = min(r * 4.0, HALF_CIRCUMFERENCE_KM)
-    out = found[0]
-    for h in found[1:]:
-        out = out.unionByName(h)
-    return out
-
-
-def _collapse(right: DataFrame, lat: str, lon: str, block: Sequence[str], aggs: dict) -> DataFrame:
-    """Pre-aggregate the right side to one row per (coordinate, block)."""
-    keys = [lat, lon, *block]
-    return right.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(*keys).agg(
-        *[e.alias(n) for n, e in aggs.items()])
-
-
-def radius_aggregate(left: DataFrame, right: DataFrame, radius_km: float, *, left_id: str,
-                     pre: dict, post: dict, left_lat: str = "lat", left_lon: str = "lon",
-                     right_lat: str = "r_lat", right_lon: str = "r_lon",
-                     block: Sequence[tuple[str, str]] = (), replicate: str = "left") -> DataFrame:
-    """Aggregate right rows within the radius of each left row.
-
-    ``pre``: name -> aggregate over right rows sharing a coordinate (map-side
-    collapse). ``post``: name -> aggregate over the joined pairs (may use
-    ``dist_km`` and the ``pre`` names). Returns one row per left id that has a
-    hit; callers left-join back and fill.
-    """
-    rc = _collapse(right, right_lat, right_lon, [b for _, b in block], pre)
-    p = radius_join(left.select(left_id, left_lat, left_lon, *[a for a, _ in block]), rc, radius_km,
-                    left_lat=left_lat, left_lon=left_lon, right_lat=right_lat, right_lon=right_lon,
-                    block=block, replicate=replicate)
-    return p.groupBy(left_id).agg(*[e.alias(n) for n, e in post.items()])
+    return nearest_within(left, right, HALF_CIRCUMFERENCE_KM, left_id=left_id, right_id=right_id, left_lat=left_lat,
+                          left_lon=left_lon, right_lat=right_lat, right_lon=right_lon, carry=carry)
 
 
 _OPS = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
-PAIR_BUDGET = 20_000_000
-
-
-def candidate_pairs(left: DataFrame, right: DataFrame, radius_km: float, *, left_lat: str = "lat",
-                    left_lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon") -> int:
-    """Exact number of (left, right) pairs a 27-cell join would examine, from per-cell counts.
-
-    Cell-count tables have one row per occupied cell, so this costs two small
-    aggregations and a join of their results.
-    """
-    side = cell_side(radius_km)
-    lc = _with_cells(left.select(left_lat, left_lon), left_lat, left_lon, side).groupBy(*_CELLS).agg(
-        F.count(F.lit(1)).alias("_nl"))
-    rc = _with_cells(right.select(right_lat, right_lon), right_lat, right_lon, side).groupBy(*_CELLS).agg(
-        F.count(F.lit(1)).alias("_nr"))
-    est = _neighbours(lc).join(rc, list(_CELLS)).agg(F.sum(F.col("_nl") * F.col("_nr")).alias("p")).first()["p"]
-    return int(est or 0)
 _COMBINE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
 
 def radius_rollup(left: DataFrame, right: DataFrame, radius_km: float | Sequence[float], *, left_id: str,
                   measures: dict[str, tuple[str, str | None]], left_lat: str = "lat", left_lon: str = "lon",
-                  right_lat: str = "r_lat", right_lon: str = "r_lon", block: Sequence[tuple[str, str]] = (),
-                  fine: int = 4, strategy: str = "auto") -> DataFrame:
+                  right_lat: str = "r_lat", right_lon: str = "r_lon", block: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Decomposable aggregates (count / sum / max / min) of right rows within the radius of each left row.
 
-    ``strategy``: "pairs" joins point pairs in adjacent cells (fastest when the
-    pair count is modest); "cells" summarises fine cells (below); "auto" first
-    counts the candidate pairs exactly from per-cell counts (one small job) and
-    uses "pairs" only within ``geodemand.spatial.pairBudget`` (default
-    PAIR_BUDGET). Both strategies return identical results.
-
-    Never enumerates all pairs of a dense area. The right side is summarised per
-    fine cell (side = coarse side / ``fine``); each distinct left coordinate meets
-    the occupied fine cells of its 27 coarse neighbours. A fine cell whose box
-    lies entirely inside the radius contributes its summary; one entirely outside
-    is skipped; only cells cut by the circle are opened point by point with the
-    exact haversine test. Rows per left coordinate are therefore bounded by
-    27 * fine^3 summaries plus the points of boundary cells, whatever the density.
-    Box tests use a 1e-9 relative margin so that ambiguous cells always take the
-    exact path. ``measures``: name -> (op, right column; None for count).
+    The right side is summarised per coordinate and per cell of a pyramid of
+    grids. Each distinct left coordinate starts with the occupied cells around
+    it: a cell inside the radius gives its summary, one outside is left aside, and
+    one that the circle cuts is compared point by point if it holds ``LEAF``
+    coordinates or fewer, else divided. A circle over a dense area of n points so
+    meets in the order of the square root of n of them, at any size.
+    ``measures``: name -> (op, right column; None for count).
 
     Several radii are answered in one pass (grid of the largest): output columns
     are ``<name>`` for a single radius, ``<name>__r<i>`` (i-th radius) otherwise.
@@ -288,87 +228,48 @@ def radius_rollup(left: DataFrame, right: DataFrame, radius_km: float | Sequence
     """
     multi = not isinstance(radius_km, (int, float))
     radii = [float(r) for r in (radius_km if multi else [radius_km])]
-    rmax = max(radii)
-    side = cell_side(rmax)
-    fs = side / fine
-    lb = [a for a, _ in block]
-    rb = [b for _, b in block]
-    vals = sorted({c for _, c in measures.values() if c is not None})
+    lb, rb = [a for a, _ in block], [b for _, b in block]
     outs = {(n, i): (f"{n}__r{i}" if multi else n) for n in measures for i in range(len(radii))}
-
-    if strategy == "auto":
-        budget = int(left.sparkSession.conf.get("geodemand.spatial.pairBudget", str(PAIR_BUDGET)))
-        est = candidate_pairs(left, right, rmax, left_lat=left_lat, left_lon=left_lon, right_lat=right_lat,
-                              right_lon=right_lon)
-        strategy = "pairs" if est <= budget else "cells"
-    if strategy == "pairs":
-        pre = {f"_p_{n}": _OPS[op](F.col(c) if c else F.lit(1)) for n, (op, c) in measures.items()}
-        post = {o: _COMBINE[measures[n][0]](F.when(F.col("dist_km") <= radii[i], F.col(f"_p_{n}")))
-                for (n, i), o in outs.items()}
-        return radius_aggregate(left, right, rmax, left_id=left_id, pre=pre, post=post, left_lat=left_lat,
-                                left_lon=left_lon, right_lat=right_lat, right_lon=right_lon, block=block)
-
-    def fine_cells(df, lat, lon, extra):
-        x, y, z = unit_xyz(lat, lon)
-        d = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
-            *extra, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), x.alias("_x"), y.alias("_y"), z.alias("_z"))
-        d = d.withColumns({"_fx": F.floor(F.col("_x") / fs), "_fy": F.floor(F.col("_y") / fs),
-                           "_fz": F.floor(F.col("_z") / fs)})
-        return d.withColumns({"_cx": F.floor(F.col("_fx") / fine), "_cy": F.floor(F.col("_fy") / fine),
-                              "_cz": F.floor(F.col("_fz") / fine)})
-
-    rpts = fine_cells(right, right_lat, right_lon, [*rb, *vals]).withColumnsRenamed(
-        {b: f"_rb{i}" for i, b in enumerate(rb)})
-    rkeys = [f"_rb{i}" for i in range(len(rb))]
-    cells = rpts.groupBy(*rkeys, "_cx", "_cy", "_cz", "_fx", "_fy", "_fz").agg(
-        *[_OPS[op](F.col(c) if c else F.lit(1)).alias(f"_m_{n}") for n, (op, c) in measures.items()])
-
-    lpts = fine_cells(left.select(*lb, left_lat, left_lon).distinct(), left_lat, left_lon, lb)
-    lpts = _neighbours(lpts.drop("_fx", "_fy", "_fz"))
-    lpts = lpts.withColumnsRenamed({"_lat": "_plat", "_lon": "_plon", "_x": "_px", "_y": "_py", "_z": "_pz"})
-    lpts = lpts.withColumnsRenamed({c: "_l" + c for c in _CELLS})
-    cond = [lpts["_l" + c] == cells[c] for c in _CELLS] + [lpts[a] == cells[k] for a, k in zip(lb, rkeys)]
-    pairs = lpts.join(cells, cond, "inner")
-
-    def gap(p, f):
-        lo = F.col(f) * fs
-        hi = (F.col(f) + 1) * fs
-        near = F.greatest(lo - F.col(p), F.lit(0.0), F.col(p) - hi)
-        far = F.greatest(F.abs(F.col(p) - lo), F.abs(F.col(p) - hi))
-        return near * near, far * far
-
-    g = [gap(p, f) for p, f in (("_px", "_fx"), ("_py", "_fy"), ("_pz", "_fz"))]
-    dmin2 = g[0][0] + g[1][0] + g[2][0]
-    dmax2 = g[0][1] + g[1][1] + g[2][1]
-    cls = {}
-    for i, r in enumerate(radii):
-        chord = 2.0 * math.sin(min(r, HALF_CIRCUMFERENCE_KM) / (2.0 * EARTH_RADIUS_KM))
-        cls[f"_cls{i}"] = (F.when(dmax2 <= (chord * (1 - 1e-9)) ** 2, F.lit(1))
-                           .when(dmin2 > (chord * (1 + 1e-9)) ** 2, F.lit(0)).otherwise(F.lit(2)))
-    pairs = pairs.withColumns(cls)
-    key = ["_plat", "_plon", *lb]
-    any_in = F.greatest(*[F.col(c) == 1 for c in cls]) if len(cls) > 1 else F.col("_cls0") == 1
-    any_edge = F.greatest(*[F.col(c) == 2 for c in cls]) if len(cls) > 1 else F.col("_cls0") == 2
-    whole = pairs.where(any_in).select(*key, *[
-        F.when(F.col(f"_cls{i}") == 1, F.col(f"_m_{n}")).alias(outs[(n, i)]) for (n, i) in outs])
-    edge = pairs.where(any_edge).select(*key, "_fx", "_fy", "_fz", *rkeys, *cls)
-    pts = rpts.select(*rkeys, "_fx", "_fy", "_fz", "_lat", "_lon", *vals)
-    dist = haversine_km("_plat", "_plon", "_lat", "_lon")
-    opened = edge.join(pts, ["_fx", "_fy", "_fz", *rkeys]).withColumn("_d", dist).where(F.col("_d") <= rmax)
-
-    def point_val(n):
-        op, c = measures[n]
-        return F.lit(1).cast("long") if op == "count" else F.col(c)
-
-    opened = opened.select(*key, *[
-        F.when((F.col(f"_cls{i}") == 2) & (F.col("_d") <= radii[i]), point_val(n)).alias(outs[(n, i)])
-        for (n, i) in outs])
-    per_coord = whole.unionByName(opened).groupBy(*key).agg(
-        *[_COMBINE[measures[n][0]](o).alias(o) for (n, i), o in outs.items()])
-    lsel = left.select(left_id, left_lat, left_lon, *lb)
-    jc = [lsel[left_lat] == per_coord["_plat"], lsel[left_lon] == per_coord["_plon"]] + [
-        lsel[a].eqNullSafe(per_coord[a]) for a in lb]
-    return lsel.join(per_coord, jc, "inner").select(left_id, *outs.values())
+    values = {f"_m_{n}": _OPS[op](F.col(c) if c else F.lit(1)) for n, (op, c) in measures.items()}
+    summaries = {f"_m_{n}": _COMBINE[op](f"_m_{n}") for n, (op, _) in measures.items()}
+    pyramid = _Pyramid(right, cell_side(max(radii)), right_lat, right_lon, rb, values)
+    points = _left_points(left, left_lat, left_lon, lb)
+    key = ["_llat", "_llon", *pyramid.blocks]
+    # per radius: is it still to be settled below this cell?
+    asked = [f"_ask{i}" for i in range(len(radii))]
+    met = _meet_cells(points, pyramid.cells(0, summaries), pyramid.side, len(block)).withColumns({a: F.lit(True) for a in asked})
+    parts, level = [], 0
+    while True:
+        inside = [F.col(a) & (F.col("_far") <= _chord2(r) * (1 - _MARGIN)) for a, r in zip(asked, radii)]
+        cut = [F.col(a) & (F.col("_far") > _chord2(r) * (1 - _MARGIN)) & (F.col("_near") <= _chord2(r) * (1 + _MARGIN) + 1e-18)
+               for a, r in zip(asked, radii)]
+        met = met.withColumns({f"_in{i}": x for i, x in enumerate(inside)} | {f"_cut{i}": x for i, x in enumerate(cut)})
+        some = [F.col(f"_in{i}") | F.col(f"_cut{i}") for i in range(len(radii))]
+        met = met.where(reduce(or_, some)).drop("_near", "_far", *asked).checkpoint()
+        any_in = reduce(or_, [F.col(f"_in{i}") for i in range(len(radii))])
+        any_cut = reduce(or_, [F.col(f"_cut{i}") for i in range(len(radii))])
+        parts.append(met.where(any_in).select(*key, *[
+            F.when(F.col(f"_in{i}"), F.col(f"_m_{n}")).alias(o) for (n, i), o in outs.items()]))
+        leaf = F.lit(pyramid.side_of(level) < _SMALLEST) | (F.col("_n") <= LEAF)
+        open_ = met.where(any_cut & leaf).select(*key, *_CELLS, *[f"_cut{i}" for i in range(len(radii))]).join(
+            pyramid.located(level).drop("_x", "_y", "_z"), [*pyramid.blocks, *_CELLS])
+        open_ = open_.withColumn("_d", haversine_km("_llat", "_llon", "_lat", "_lon")).where(F.col("_d") <= max(radii))
+        parts.append(open_.select(*key, *[
+            F.when(F.col(f"_cut{i}") & (F.col("_d") <= radii[i]), F.col(f"_m_{n}")).alias(o) for (n, i), o in outs.items()]))
+        rest = met.where(any_cut & ~leaf)
+        if rest.isEmpty():
+            break
+        level += 1
+        rest = rest.withColumns({a: F.col(f"_cut{i}") for i, a in enumerate(asked)})
+        met = _descend(rest, pyramid, level, summaries, [*_POINT, *asked])
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    per_point = found.groupBy(*key).agg(*[_COMBINE[measures[n][0]](o).alias(o) for (n, _), o in outs.items()])
+    hit = reduce(or_, [F.col(o).isNotNull() for o in outs.values()])
+    lsel = left.select(left_id, F.col(left_lat).alias("_llat"), F.col(left_lon).alias("_llon"),
+                       *[F.col(a).alias(n) for a, n in zip(lb, pyramid.blocks)])
+    return lsel.join(per_point.where(hit), key).select(left_id, *outs.values())
 
 
 def radius_max_with_fallback(left: DataFrame, right: DataFrame, value: str, *, left_id: str,

@@ -48,7 +48,7 @@ def test_nearest_unbounded_equals_brute_force(spark):
     R = [(10000 + i, rnd.uniform(-80, 80), rnd.uniform(-180, 180)) for i in range(15)]
     ldf = spark.createDataFrame(L, "lid long, lat double, lon double")
     rdf = spark.createDataFrame(R, "rid long, r_lat double, r_lon double")
-    got = {r.lid: r.rid for r in SP.nearest_unbounded(ldf, rdf, left_id="lid", right_id="rid", start_km=10).collect()}
+    got = {r.lid: r.rid for r in SP.nearest_unbounded(ldf, rdf, left_id="lid", right_id="rid").collect()}
     exp = {a: min(R, key=lambda r: (hav(la, lo, r[1], r[2]), r[0]))[0] for a, la, lo in L if la is not None}
     assert got == exp
 
@@ -89,7 +89,7 @@ def test_rollup_dense_cluster_equals_brute_force(spark):
     rdf = spark.createDataFrame(R, "rid long, r_lat double, r_lon double, w long")
     for radius in (0.5, 30.0):
         got = {r.lid: (r.n, r.s, r.m) for r in SP.radius_rollup(
-            ldf, rdf, radius, left_id="lid", strategy="cells",
+            ldf, rdf, radius, left_id="lid",
             measures={"n": ("count", None), "s": ("sum", "w"), "m": ("max", "w")}).collect()}
         exp = {}
         for a, la, lo in L:
@@ -107,7 +107,7 @@ def test_rollup_several_radii_one_pass(spark):
     rdf = spark.createDataFrame(R, "rid long, r_lat double, r_lon double, w long")
     radii = [5.0, 15.0, 40.0]
     got = {r.lid: tuple(r[f"s__r{i}"] for i in range(3)) for r in SP.radius_rollup(
-        ldf, rdf, radii, left_id="lid", strategy="cells", measures={"s": ("sum", "w")}).collect()}
+        ldf, rdf, radii, left_id="lid", measures={"s": ("sum", "w")}).collect()}
     for a, la, lo in L:
         exp = []
         for rad in radii:
@@ -116,18 +116,51 @@ def test_rollup_several_radii_one_pass(spark):
         assert got.get(a, (None, None, None)) == tuple(exp)
 
 
-def test_rollup_strategies_agree(spark):
-    rnd = random.Random(33)
-    R = [(i, rnd.uniform(-89, 89), rnd.uniform(-180, 180), rnd.randint(0, 5)) for i in range(3000)]
-    L = [(i, rnd.uniform(-89, 89), rnd.uniform(-180, 180)) for i in range(300)]
+def _examined(spark, monkeypatch):
+    """Rows of every join of points with cells, or of cells with what they hold, from here on."""
+    seen, frame = [], type(spark.range(0))
+    join = frame.join
+
+    def counted(self, other, *args, **kw):
+        out = join(self, other, *args, **kw)
+        if {"_cx", "_cy", "_cz"} <= set(other.columns):
+            out = out.cache()
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "join", counted)
+    return seen
+
+
+def test_cut_dense_cells_open_few_points(spark, monkeypatch):
+    rnd = random.Random(2)
+    R = [(i, 45.0 + rnd.uniform(-0.2, 0.2), 7.0 + rnd.uniform(-0.3, 0.3), 1) for i in range(20_000)]
+    L = [(i, 45.0 + rnd.uniform(0.6, 0.8), 7.0 + rnd.uniform(-0.2, 0.2)) for i in range(60)]  # circles that cut the cluster
     ldf = spark.createDataFrame(L, "lid long, lat double, lon double")
     rdf = spark.createDataFrame(R, "rid long, r_lat double, r_lon double, w long")
-    res = []
-    for strat in ("pairs", "cells"):
-        res.append(sorted(tuple(r) for r in SP.radius_rollup(
-            ldf, rdf, [300.0, 900.0], left_id="lid", strategy=strat,
-            measures={"n": ("count", None), "m": ("max", "w")}).collect()))
-    assert res[0] == res[1] and len(res[0]) > 0
+    seen = _examined(spark, monkeypatch)
+    got = {r.lid: r.n for r in SP.radius_rollup(ldf, rdf, 80.0, left_id="lid", measures={"n": ("count", None)}).collect()}
+    assert got == {a: n for a, la, lo in L if (n := sum(hav(la, lo, ra, ro) <= 80.0 for _, ra, ro, _ in R))}
+    assert sum(seen) < 0.15 * len(L) * len(R), seen
+
+
+def test_distant_dense_clusters_open_few_points(spark, monkeypatch):
+    rnd = random.Random(4)
+    R = [(i, 45.0 + rnd.uniform(-0.05, 0.05), 7.0 + rnd.uniform(-0.05, 0.05)) for i in range(20_000)]
+    L = [(i, 45.55 + rnd.uniform(-0.01, 0.01), 7.0 + rnd.uniform(-0.01, 0.01)) for i in range(50)]  # about 60 km away
+    ldf = spark.createDataFrame(L, "lid long, lat double, lon double")
+    rdf = spark.createDataFrame(R, "rid long, r_lat double, r_lon double")
+    want = {}
+    for a, la, lo in L:
+        d, b = min((hav(la, lo, ra, ro), b) for b, ra, ro in R)
+        want[a] = (b, round(d, 9))
+    seen = _examined(spark, monkeypatch)
+    for radius in (80.0, SP.HALF_CIRCUMFERENCE_KM):
+        seen.clear()
+        got = {r.lid: (r.rid, round(r.dist_km, 9)) for r in SP.nearest_within(
+            ldf, rdf, radius, left_id="lid", right_id="rid").collect()}
+        assert got == want
+        assert sum(seen) < 0.05 * len(L) * len(R), seen
 
 
 def test_nearest_refines_dense_neighbourhoods(spark):
@@ -139,7 +172,7 @@ def test_nearest_refines_dense_neighbourhoods(spark):
     ldf = spark.createDataFrame(L, "lid long, lat double, lon double")
     rdf = spark.createDataFrame(R, "rid long, r_lat double, r_lon double")
     got = {r.lid: (r.rid, round(r.dist_km, 9)) for r in SP.nearest_within(
-        ldf, rdf, 25.0, left_id="lid", right_id="rid", cap=64).collect()}
+        ldf, rdf, 25.0, left_id="lid", right_id="rid").collect()}
     exp = {}
     for a, la, lo in L:
         cands = [(hav(la, lo, ra, ro), b) for b, ra, ro in R if hav(la, lo, ra, ro) <= 25.0]
