@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from geodemand.functions.geo import round6
+from geodemand.functions.geo import round6, round_to_sql
 from geodemand.operators import additive as AD
 from geodemand.operators.report import round_to
 from geodemand.plans.fixture_sql import r6, with_fx
@@ -117,6 +117,36 @@ s2 AS (select sh.feature, sh.bin, sh.n, sh.s + case when r.n >= 2 then {ORACLE_L
 m2 AS (select feature, sum(s * n) / sum(n) as m from s2 group by feature)"""
 
 
+def _two_round_sql():
+    """The two-round fit completed: score of every bin (``shape``) and the intercept (``ic``)."""
+    numeric = " union all ".join(f"select '{f}' as feature, unnest(range(0, {ORACLE_BINS + 1})) as bin" for f in NUMERIC)
+    return _fit_rounds_sql() + f""",
+rng AS ({_RANGES_SQL}),
+seg AS (select segment, cast(dense_rank() over (order by segment) as int) as b from (select distinct segment from fx_model) d),
+cells AS ({numeric} union all select 'segment' as feature, unnest(range(0, (select count(*) + 2 from seg))) as bin),
+shape AS (select c.feature, cast(c.bin as int) as bin, coalesce(s2.s, -m1.m) - m2.m as score
+  from cells c left join s2 on s2.feature = c.feature and s2.bin = c.bin join m1 on m1.feature = c.feature
+  join m2 on m2.feature = c.feature),
+ic AS (select (select i1 from i1) + (select sum(m) from m2) as c)"""
+
+
+def _scores_sql(rel, key, present):
+    """(key, p) of the rows of ``rel``; features that are not ``present`` are missing in it."""
+    bins = [f"{_uniform_bin_sql(f, ORACLE_BINS)} as b_{f}" if f in present else f"0 as b_{f}" for f in NUMERIC]
+    bins.append("coalesce(seg.b, 0) as b_segment")
+    unp = " union all ".join(f"select {key}, '{f}' as feature, b_{f} as bin from b" for f in FEATURES)
+    return f"""(with b as (select v.{key}, {", ".join(bins)} from {rel} v cross join rng left join seg on seg.segment = v.segment)
+  select u.{key}, min(ic.c) + sum(sh.score) as p from ({unp}) u join shape sh on sh.feature = u.feature and sh.bin = u.bin, ic
+  group by u.{key})"""
+
+
+def two_round_model(spark, sf_dir):
+    """(rows, fitted model) of the fit that the oracle restates: two rounds on equal-width bins."""
+    m, bins = _uniform_binning(spark, sf_dir)
+    comp = AD.compress(AD.binned(m, bins, keep=["y"]), FEATURES).checkpoint()
+    return m, AD.fit_additive(comp, FEATURES, bins, rounds=ORACLE_ROUNDS, learning_rate=ORACLE_LR, min_leaf=2)
+
+
 @query("additive_fit_rounds", with_fx(f"""
 select s2.feature, cast(s2.bin as int) as bin, {r6('s2.s - m2.m')} as score from s2 join m2 on m2.feature = s2.feature
 union all
@@ -126,7 +156,7 @@ def additive_fit_rounds(spark, sf_dir):
     """Two boosting rounds on equal-width bins (each round one aggregation job); shape scores of observed bins."""
     m, bins = _uniform_binning(spark, sf_dir)
     b = AD.binned(m, bins, keep=["y"])
-    comp = AD.compress(b, FEATURES).checkpoint().persist()
+    comp = AD.compress(b, FEATURES).checkpoint()
     model = AD.fit_additive(comp, FEATURES, bins, rounds=ORACLE_ROUNDS, learning_rate=ORACLE_LR, min_leaf=2)
     shapes = model.shape_table(spark).select("feature", "bin", "score")
     observed = b.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"b_{f}").cast("int")
@@ -219,6 +249,11 @@ def oof_frame(spark, sf_dir):
 def oof_predictions(spark, sf_dir):
     """Each row predicted once, by the model of the fold that did not see it; original integer actual kept."""
     _, o = oof_frame(spark, sf_dir)
+    return report_predictions(o)
+
+
+def report_predictions(o):
+    """Original integer actual, prediction back on its scale, logs and percent error."""
     actual = F.floor("spend").cast("bigint")
     pred = F.expm1("pred_log")
     return o.select("id", "name", "fold", actual.alias("actual"), F.floor(pred).cast("bigint").alias("predicted"),
@@ -236,23 +271,45 @@ def _fold_metrics(o):
                   F.count(F.lit(1)).alias("n")))
 
 
-@query("metrics_union")
+def given_predictions(spark, sf_dir):
+    """Rows with a given fold and prediction, for the reports on any model's out-of-fold predictions."""
+    return model_rows(spark, sf_dir).withColumns({
+        "fold": (F.col("nation") % N_FOLDS).cast("int"),
+        "pred_log": F.col("y") * 0.95 + 0.3 + (F.col("id") % 13 - 6) * 0.02})
+
+
+_GIVEN_SQL = f"""
+oof AS (select *, cast(nation % {N_FOLDS} as int) as fold, y * 0.95e0 + 0.3e0 + (id % 13 - 6) * 0.02e0 as pred_log from fx_model),
+per AS (select fold, sqrt(avg((y - pred_log) * (y - pred_log))) as rmse_log,
+  1 - sum((y - pred_log) * (y - pred_log)) / (var_pop(y) * count(*)) as r2, count(*) as n from oof group by fold),
+overall AS (select sqrt(avg((y - pred_log) * (y - pred_log))) as rmse_log,
+  1 - sum((y - pred_log) * (y - pred_log)) / (var_pop(y) * count(*)) as r2, count(*) as n from oof)"""
+
+
+@query("metrics_union", with_fx(f"""
+select 'fold_' || cast(fold + 1 as varchar) as label, fold, {r6('rmse_log')} as rmse_log, {r6('r2')} as r2, n from per
+union all select 'oof_overall', null, {r6('rmse_log')}, {r6('r2')}, n from overall
+""", _GIVEN_SQL))
 def metrics_union(spark, sf_dir):
-    _, o = oof_frame(spark, sf_dir)
-    per, overall = _fold_metrics(o)
+    per, overall = _fold_metrics(given_predictions(spark, sf_dir))
     per = per.withColumn("label", F.concat(F.lit("fold_"), (F.col("fold") + 1).cast("string")))
     return per.unionByName(overall.withColumn("label", F.lit("oof_overall")), allowMissingColumns=True).select(
-        "label", "fold", "rmse_log", "r2", "n")
+        "label", "fold", round6("rmse_log").alias("rmse_log"), round6("r2").alias("r2"), "n")
 
 
-@query("regression_metrics")
+@query("regression_metrics", with_fx(f"""
+select {r6('o.rmse_log')} as rmse_log, {r6('o.r2')} as r2, o.n, {r6('p.rmse_mean')} as rmse_mean, {r6('p.rmse_std')} as rmse_std,
+  {r6('p.r2_mean')} as r2_mean, {r6('p.r2_std')} as r2_std
+from overall o, (select avg(rmse_log) as rmse_mean, stddev_samp(rmse_log) as rmse_std, avg(r2) as r2_mean,
+  stddev_samp(r2) as r2_std from per) p
+""", _GIVEN_SQL))
 def regression_metrics(spark, sf_dir):
-    _, o = oof_frame(spark, sf_dir)
-    per, overall = _fold_metrics(o)
+    per, overall = _fold_metrics(given_predictions(spark, sf_dir))
     summ = per.agg(F.avg("rmse_log").alias("rmse_mean"), F.stddev_samp("rmse_log").alias("rmse_std"),
                    F.avg("r2").alias("r2_mean"), F.stddev_samp("r2").alias("r2_std"))
     # Four scalars from a five-row table, attached as literals.
-    return overall.select("rmse_log", "r2", "n", *[F.lit(v).alias(k) for k, v in summ.first().asDict().items()])
+    return overall.select(round6("rmse_log").alias("rmse_log"), round6("r2").alias("r2"), "n",
+                          *[round6(F.lit(v)).alias(k) for k, v in summ.first().asDict().items()])
 
 
 @query("pair_gain")
@@ -267,17 +324,22 @@ def pair_gain(spark, sf_dir):
     return spark.createDataFrame(rows, "feature_a string, feature_b string, gain double, rank int")
 
 
-@query("shape_importance")
+@query("shape_importance", with_fx(f"""
+select feature, {r6('avg(abs(score))')} as mean_abs_score, {r6('max(score) - min(score)')} as score_range,
+  cast(count(*) as int) as n_bins from shape group by feature
+""", _two_round_sql()))
 def shape_importance(spark, sf_dir):
-    st = _cv_state(spark, sf_dir)
-    return spark.createDataFrame(AD.importance(st["final"]),
-                                 "feature string, mean_abs_score double, score_range double, n_bins int")
+    _, model = two_round_model(spark, sf_dir)
+    rows = spark.createDataFrame(AD.importance(model), "feature string, mean_abs_score double, score_range double, n_bins int")
+    return rows.select("feature", round6("mean_abs_score").alias("mean_abs_score"), round6("score_range").alias("score_range"), "n_bins")
 
 
-@query("additive_score")
+@query("additive_score", with_fx(f"""
+select id, {r6('p')} as pred_log from {_scores_sql('fx_model', 'id', NUMERIC)} x
+""", _two_round_sql()))
 def additive_score(spark, sf_dir):
-    st = _cv_state(spark, sf_dir)
-    return st["final"].score(model_rows(spark, sf_dir)).select("id", round6("pred_log").alias("pred_log"))
+    m, model = two_round_model(spark, sf_dir)
+    return model.score(m).select("id", round6("pred_log").alias("pred_log"))
 
 
 def _candidates_features(spark, sf_dir):
@@ -288,14 +350,22 @@ def _candidates_features(spark, sf_dir):
     return prepare_features(j, flags=ZERO_FILLED, expected=ZERO_FILLED + ["avg_price"])
 
 
-@query("candidate_scores")
+_CANDIDATE_ROWS_SQL = f"""(select c.code, m.nation, m.balance, m.segment, 0.0e0 as n_orders, 0.0e0 as n_finished, m.pop, m.lat, m.lon
+  from cand c left join fx_model m on m.id = c.place_id)"""
+
+
+@query("candidate_scores", with_fx(f"""
+select cast(row_number() over (order by {r6('p')} desc, code) as int) as rank, code, {r6('p')} as predicted_log,
+  cast(round(exp(p) - 1.0e0) as bigint) as predicted
+from {_scores_sql(_CANDIDATE_ROWS_SQL, 'code', [f for f in NUMERIC if f != 'avg_price'])} x
+""", _two_round_sql() + "," + _CAND_SQL))
 def candidate_scores(spark, sf_dir):
     """Candidates scored with zero activity features; ranked by predicted value."""
-    st = _cv_state(spark, sf_dir)
-    s = st["final"].score(_candidates_features(spark, sf_dir))
-    w = Window.orderBy(F.col("pred_log").desc(), F.col("code"))
-    ranked = s.orderBy(F.col("pred_log").desc(), F.col("code")).withColumn("rank", F.row_number().over(w))
-    return ranked.select("rank", "code", round6("pred_log").alias("predicted_log"),
+    _, model = two_round_model(spark, sf_dir)
+    s = model.score(_candidates_features(spark, sf_dir)).withColumn("predicted_log", round6("pred_log"))
+    w = Window.orderBy(F.col("predicted_log").desc(), F.col("code"))
+    ranked = s.withColumn("rank", F.row_number().over(w))
+    return ranked.select("rank", "code", "predicted_log",
                          F.round(F.expm1("pred_log")).cast("bigint").alias("predicted"))
 
 
@@ -322,21 +392,40 @@ def interpolate(x, xs, ys):
             .otherwise(inner) if n > 1 else F.lit(ys[0]))
 
 
-@query("curve_interpolate")
+def _curve_sql():
+    return _two_round_sql() + f""",
+crv AS (select list(x order by bin) as xs, list(score order by bin) as ys from (select bin, score,
+  lo_{CURVE_FEATURE} + (hi_{CURVE_FEATURE} - lo_{CURVE_FEATURE}) * (bin - 1) / {ORACLE_BINS} as x
+  from shape, rng where feature = '{CURVE_FEATURE}' and bin >= 2) c)"""
+
+
+def _interpolate_sql(x):
+    k = f"len(list_filter(xs, lambda e: e <= {x}))"
+    return (f"(case when {x} <= xs[1] then ys[1] when {x} >= xs[len(xs)] then ys[len(ys)] "
+            f"else ys[{k}] + ({x} - xs[{k}]) / (xs[{k} + 1] - xs[{k}]) * (ys[{k} + 1] - ys[{k}]) end)")
+
+
+@query("curve_interpolate", with_fx(f"""
+select id, {CURVE_FEATURE} as x, {r6(_interpolate_sql(CURVE_FEATURE))} as curve_score from fx_model, crv
+""", _curve_sql()))
 def curve_interpolate(spark, sf_dir):
-    st = _cv_state(spark, sf_dir)
-    xs, ys = curve_points(st["final"], CURVE_FEATURE)
-    m = model_rows(spark, sf_dir)
+    m, model = two_round_model(spark, sf_dir)
+    xs, ys = curve_points(model, CURVE_FEATURE)
     return m.select("id", F.col(CURVE_FEATURE).alias("x"),
                     round6(interpolate(F.col(CURVE_FEATURE).cast("double"), xs, ys)).alias("curve_score"))
 
 
-@query("what_if_grid")
+@query("what_if_grid", with_fx(f"""
+select id, cast(trips as int) as trips, cast(round(exp(ln(1.0e0 + spend) + {_interpolate_sql('cast(trips as double)')}
+  - {_interpolate_sql(CURVE_FEATURE)}) - 1.0e0) as bigint) as estimate
+from (select *, unnest(range(7, cast(ceil(greatest({CURVE_FEATURE}, 500.0e0) / 7) * 7 as bigint) + 1, 7)) as trips
+  from fx_model where {CURVE_FEATURE} is not null) g, crv
+""", _curve_sql()))
 def what_if_grid(spark, sf_dir):
     """Per entity: estimate on a grid of the curve feature (7 .. ceil(max(500, current)/7)*7 by 7)."""
-    st = _cv_state(spark, sf_dir)
-    xs, ys = curve_points(st["final"], CURVE_FEATURE)
-    m = model_rows(spark, sf_dir).where(F.col(CURVE_FEATURE).isNotNull())
+    m, model = two_round_model(spark, sf_dir)
+    xs, ys = curve_points(model, CURVE_FEATURE)
+    m = m.where(F.col(CURVE_FEATURE).isNotNull())
     cur = F.col(CURVE_FEATURE).cast("double")
     top = F.ceil(F.greatest(cur, F.lit(500.0)) / 7) * 7
     g = m.select("id", "spend", cur.alias("current"), F.explode(F.sequence(F.lit(7), top.cast("int"), F.lit(7)))
@@ -346,20 +435,30 @@ def what_if_grid(spark, sf_dir):
     return g.select("id", "trips", est.alias("estimate"))
 
 
-@query("scenario_scores")
+_SCENARIO_SQL = "(select segment, avg(n_orders) as n_orders, avg(pop) as pop from fx_model group by segment)"
+
+
+@query("scenario_scores", with_fx(f"""
+select s.segment, {r6('s.n_orders')} as n_orders, {r6('s.pop')} as pop, {r6('x.p')} as pred_log,
+  cast(round(exp(x.p) - 1.0e0) as bigint) as predicted
+from {_scores_sql(_SCENARIO_SQL, 'segment', ['n_orders', 'pop'])} x join {_SCENARIO_SQL} s on s.segment = x.segment
+""", _two_round_sql()))
 def scenario_scores(spark, sf_dir):
     """Hypothetical rows per segment: typical activity values, every other feature missing."""
-    st = _cv_state(spark, sf_dir)
-    m = model_rows(spark, sf_dir)
+    m, model = two_round_model(spark, sf_dir)
     sc = m.groupBy("segment").agg(F.avg("n_orders").alias("n_orders"), F.avg("pop").alias("pop"))
-    s = st["final"].score(sc)
-    return s.select("segment", "n_orders", "pop", round6("pred_log").alias("pred_log"),
+    s = model.score(sc)
+    return s.select("segment", round6("n_orders").alias("n_orders"), round6("pop").alias("pop"), round6("pred_log").alias("pred_log"),
                     F.round(F.expm1("pred_log")).cast("bigint").alias("predicted"))
 
 
-@query("entity_lookup")
+@query("entity_lookup", with_fx(f"""
+select id, name, cast(floor(spend) as bigint) as actual, cast(floor(exp(pred_log) - 1.0e0) as bigint) as predicted,
+  {round_to_sql('(exp(pred_log) - 1.0e0 - spend) / spend * 100.0e0', 1)} as pct_error
+from oof where name = (select name from fx_model order by spend desc, id limit 1)
+""", _GIVEN_SQL))
 def entity_lookup(spark, sf_dir):
-    """One entity by name (the largest spender's name): actual, OOF prediction, percent error."""
-    o = oof_predictions(spark, sf_dir)
+    """One entity by name (the largest spender's name): actual, given prediction, percent error."""
+    o = report_predictions(given_predictions(spark, sf_dir))
     name = model_rows(spark, sf_dir).orderBy(F.col("spend").desc(), "id").select("name").limit(LOOKUP_NAME_RANK)
     return o.join(name, "name").select("id", "name", "actual", "predicted", "pct_error")
