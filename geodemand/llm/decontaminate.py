@@ -224,7 +224,7 @@ def cleaned(texts: pa.Array, phrases: Phrases, sample: int) -> tuple[list[str |
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, text_col: str = "text",
-                         item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 12 << 20,
+                         item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 6 << 20,
                          block_bytes: int = 16 << 20, sample: int = 16) -> DataFrame:
     """``docs`` with the spans of :func:`find_contamination` cut out of the texts.
 
@@ -260,7 +260,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, id_col: str = "doc_id",
                        text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                       shard_bytes: int = 12 << 20, block_bytes: int = 16 << 20, sample: int = 16) -> DataFrame:
+                       shard_bytes: int = 6 << 20, block_bytes: int = 16 << 20, sample: int = 16) -> DataFrame:
     """Word spans of every text that lie in a benchmark window, with the items found.
 
     Words are runs of digits, letters a-z (after lower-casing A-Z) and non-ASCII
