@@ -22,6 +22,8 @@ EXCLUDE_PATTERN = "(?i)lot 1[0-9]+\\)|auto train"
 OVERRIDE_NAME = "Supplier#000000001 Station, XX"
 OVERRIDE_SITE = 2
 TOP_VISITOR_ENTRIES = 50
+# Area of an entry's city where its title would not be found, or None for entries to leave out: a parameter of the job.
+AREA_OVERRIDES = {"supplier 000000005": "00002", "supplier 000000007": None, "supplier 000000011": "00003"}
 
 
 def _sql_str(s: str) -> str:
@@ -468,12 +470,31 @@ def area_name_parse(spark, sf_dir):
                     T.first_state("msa_name").alias("state"))
 
 
+def match_titles(entries, titles, overrides, extra):
+    """``entries`` (pcity, st, ...) with the area of their city: an override, or the first title that contains it.
+
+    An override of None leaves the entry out. ``overrides`` is a small parameter table.
+    """
+    known = entries.sparkSession.createDataFrame(list(overrides.items()) or [("", None)], "pcity string, area_code string")
+    known = F.broadcast(known)
+    given = entries.join(known.where("area_code is not null"), "pcity")
+    rest = entries.join(known.select("pcity"), "pcity", "left_anti")
+    hit = contains_first(rest.select("pcity", "st").distinct(), titles, pattern="pcity", title="title_lc", title_key="area_code",
+                         title_order="ord", extra=extra)
+    return given.unionByName(rest.join(hit, ["pcity", "st"]))
+
+
 @query("match_contains", with_fx(f"""
 select area_code, {r6('sum(visitors)')} as visitors, count(*) as n_entries from (
+  select e.place_id, e.visitors, o.area_code, 1 as rn
+  from (select * from parsed order by visitors desc, place_id limit {TOP_VISITOR_ENTRIES}) e
+  join (values {", ".join(f"('{k}', {'null' if v is None else _sql_str(v)})" for k, v in AREA_OVERRIDES.items())}) o(city, area_code)
+    on o.city = lower(e.primary_city) where o.area_code is not null
+  union all
   select e.place_id, e.visitors, t.area_code,
     row_number() over (partition by e.place_id order by t.ord, t.area_code) as rn
   from (select * from parsed order by visitors desc, place_id limit {TOP_VISITOR_ENTRIES}) e
-  join titles t on length(e.primary_city) > 0 and instr(lower(t.area_title), lower(e.primary_city)) > 0
+  join titles t on lower(e.primary_city) not in ({", ".join(_sql_str(k) for k in AREA_OVERRIDES)}) and length(e.primary_city) > 0 and instr(lower(t.area_title), lower(e.primary_city)) > 0
     and (e.state = '' or instr(t.area_title, e.state) > 0)) x
 where rn = 1 group by area_code
 """, _CONTAINS_CTES))
@@ -485,9 +506,6 @@ def match_contains(spark, sf_dir):
                       T.first_state("msa_name").alias("st"))
     titles = area_titles(fx).withColumn("title_lc", F.lower("area_title"))
     extra = (F.col("st") == "") | (F.instr(F.col("area_title"), F.col("st")) > 0)
-    keys = pats.select("pcity", "st").distinct()
-    hit = contains_first(keys, titles, pattern="pcity", title="title_lc", title_key="area_code", title_order="ord",
-                         extra=extra)
-    j = pats.join(hit, ["pcity", "st"])
+    j = match_titles(pats, titles, AREA_OVERRIDES, extra)
     return j.groupBy("area_code").agg(round6(F.sum("visitors")).alias("visitors"),
                                       F.count(F.lit(1)).alias("n_entries"))

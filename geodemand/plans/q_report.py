@@ -434,8 +434,11 @@ select code, trim(town) || ' (Expansion Candidate)' as station_name, 'Expansion
 from cand
 """, _CAND_SQL))
 def candidate_assemble(spark, sf_dir):
+    return candidate_rows(candidate_places(Fixtures(spark, sf_dir)))
+
+
+def candidate_rows(c):
     """Candidate rows in the schema of scored stations: constant flags, no target, service measures missing."""
-    c = candidate_places(Fixtures(spark, sf_dir))
     return c.select("code", F.concat(F.trim("town"), F.lit(" (Expansion Candidate)")).alias("station_name"),
                     F.lit("Expansion Candidate").alias("station_type"), "lat", "lon", "state",
                     F.lit(None).cast("bigint").alias("actual"), F.lit(0).alias("is_corridor"), F.lit(1).alias("is_candidate"),

@@ -29,3 +29,4 @@ def load_all() -> None:
     from geodemand.plans import (  # noqa: F401
         q_schedule, q_spatial, q_matching, q_area, q_report, q_profile, q_model,
     )
+    from geodemand.plans import q_jobs  # noqa: F401 - its oracles join those of the others
