@@ -8,9 +8,10 @@ Design for scale
 * Compress once. Rows with the same bin vector (and fold) collapse into one
   row with ``n`` and ``sum_y``; for squared loss that is all a fit needs. The
   compressed table is checkpointed (lineage cut, survives executor loss).
-* One Spark job per round updates every term: residual sums per (term, bin)
-  from one exploded ``groupBy``. The model state -- at most terms x bins
-  doubles -- lives on the driver and enters the next round as literal arrays.
+* One Spark job per round updates every term: each task adds its rows up in one
+  histogram per term (Arrow batches, ``bincount``) and the histograms are summed,
+  so no row is exploded. The model state -- at most terms x bins doubles -- lives
+  on the driver and travels with the next round.
 * Scoring is a pure column expression (``element_at`` on literal arrays),
   inside whole-stage codegen; no Python on the scoring path.
 Updates are simultaneous (Jacobi-style) with the learning rate as damping;
@@ -20,12 +21,16 @@ each shape is re-centred (count-weighted) into the intercept after a round.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geodemand.session import ship_package
+
 
 @dataclass
 class Binning:
@@ -168,48 +173,69 @@ class AdditiveModel:
                                      "feature string, bin int, x_lo double, x_hi double, category string, score double")
 
 
-def _term_cell(model: AdditiveModel, t) -> str:
-    if isinstance(t, tuple):
-        a, b = t
-        return f"{model.coarse_sql(a)} * {model.n_coarse(b)} + {model.coarse_sql(b)}"
-    return f"b_{t}"
+def _coarse(bins: np.ndarray, n_bins: int, most: int) -> np.ndarray:
+    """Array twin of :meth:`AdditiveModel.coarse_sql`."""
+    if n_bins <= most:
+        return bins
+    return np.where(bins == 0, 0, -(-bins * (most - 1) // (n_bins - 1)))
+
+
+def _histograms(batches: Iterator[pa.RecordBatch], features: list[str], models: list, terms: list[list]) -> Iterator[pa.RecordBatch]:
+    """Sums of a partition per (model, term, cell): residuals, rows and, with the first term, squared errors."""
+    def cells(model, t):
+        return model.pairs[t].size if isinstance(t, tuple) else model.shapes[t].size
+
+    sums = {(i, k): np.zeros((3, cells(m, t))) for i, m in enumerate(models) for k, t in enumerate(terms[i])}
+    for batch in batches:
+        col = dict(zip(batch.schema.names, batch.columns))
+        bin_of = {f: col[f"b_{f}"].to_numpy() for f in features}
+        n, y, y2 = (col[c].to_numpy().astype(float) for c in ("n", "sum_y", "sum_y2"))
+        for i, m in enumerate(models):
+            coarse = {f: _coarse(b, m.bins[f].n_bins, m.pair_coarse) for f, b in bin_of.items()}
+            at = {t: coarse[t[0]] * m.n_coarse(t[1]) + coarse[t[1]] for t in {*m.pairs, *(t for t in terms[i] if isinstance(t, tuple))}}
+            p = m.intercept + sum(m.shapes[f][b] for f, b in bin_of.items()) + sum(v.ravel()[at[t]] for t, v in m.pairs.items())
+            used = col[f"_k{i}"].to_numpy(zero_copy_only=False)
+            weights = np.where(used, y - n * p, 0.0), np.where(used, n, 0.0), np.where(used, y2 - 2.0 * p * y + n * p * p, 0.0)
+            for k, t in enumerate(terms[i]):
+                cell = at[t] if isinstance(t, tuple) else bin_of[t]
+                for j, w in enumerate(weights if k == 0 else weights[:2]):
+                    sums[i, k][j] += np.bincount(cell, w, minlength=sums[i, k].shape[1])
+    for (i, k), (r, n, q) in sums.items():
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(some), i), pa.int32()), pa.array(np.full(len(some), k), pa.int32()), pa.array(some, pa.int32()),
+             pa.array(r[some]), pa.array(n[some]), pa.array(q[some])], names=["m", "t", "bin", "r", "n", "q"])
 
 
 def _round_sums_many(comp: DataFrame, models: list, masks: list[str], terms: list[list]) -> list[dict]:
     """ONE aggregation job for several models at once (e.g. every CV fold plus the final fit).
 
-    Each compressed row contributes to the models whose training mask it
-    satisfies: residual sum, count and squared error per (model, term, bin).
+    Each task sums its rows into one histogram per (model, term), for the models
+    whose training mask a row satisfies; the histograms are added up on Spark. A
+    round moves models x terms x bins numbers a task, however many rows there are.
     """
-    preds = ["*"] + [f"({m.score_sql()}) AS _p{i}" for i, m in enumerate(models)]
-    cols = ["*"]
-    for i, mask in enumerate(masks):
-        cols += [f"CASE WHEN {mask} THEN sum_y - n * _p{i} END AS _r{i}",
-                 f"CASE WHEN {mask} THEN n END AS _n{i}",
-                 f"CASE WHEN {mask} THEN sum_y2 - 2.0 * _p{i} * sum_y + n * _p{i} * _p{i} END AS _q{i}"]
-    structs = []
-    for i, m in enumerate(models):
-        for t_idx, t in enumerate(terms[i]):
-            structs.append(f"named_struct('m', {i}, 't', {t_idx}, 'bin', CAST({_term_cell(m, t)} AS INT), "
-                           f"'r', _r{i}, 'n', _n{i}, 'q', _q{i})")
-    e = (comp.selectExpr(*preds).selectExpr(*cols)
-         .selectExpr(f"explode(array({', '.join(structs)})) AS k").where("k.n IS NOT NULL"))
-    agg = e.groupBy("k.m", "k.t", "k.bin").agg(F.sum("k.r").alias("r"), F.sum("k.n").alias("n"),
-                                               F.sum("k.q").alias("q")).collect()
+    ship_package(comp.sparkSession)
+    features = models[0].features
+    plain = comp.select(*[F.col(f"b_{f}").cast("int").alias(f"b_{f}") for f in features], F.col("n").cast("double").alias("n"),
+                        "sum_y", "sum_y2", *[F.expr(m).alias(f"_k{i}") for i, m in enumerate(masks)])
+    found = plain.mapInArrow(lambda b: _histograms(b, features, models, terms), "m int, t int, bin int, r double, n double, q double")
+    rows = found.groupBy("m", "t", "bin").agg(F.sum("r").alias("r"), F.sum("n").alias("n"), F.sum("q").alias("q")).collect()
     out = [{"_sse": 0.0} for _ in models]
-    for row in agg:
+    for row in rows:
         d = out[row["m"]]
         d[(row["t"], row["bin"])] = (row["r"], row["n"])
-        if row["t"] == 0:
-            d["_sse"] += row["q"]
+        d["_sse"] += row["q"]
     return out
 
 
 def fit_additive_many(comp: DataFrame, features: list[str], bins: dict[str, Binning], masks: dict,
                       rounds: int = 60, learning_rate: float = 0.1, min_leaf: int = 2, interactions: int = 0,
-                      interaction_rounds: int | None = None, pair_coarse: int = 8) -> dict:
+                      interaction_rounds: int | None = None, pair_coarse: int = 8, tolerance: float = 0.0) -> dict:
     """Fit one model per training mask (SQL predicate over the compressed table) in lock-step.
 
+    ``rounds`` is the most; with a ``tolerance`` the main effects stop once a round
+    lowers no model's training error by more than that share of it.
+
     Every boosting round of every model is served by the same single
     aggregation job, so k-fold cross-validation plus the final fit costs one
     job per round instead of k + 1.
@@ -250,6 +276,8 @@ def fit_additive_many(comp: DataFrame, features: list[str], bins: dict[str, Binn
 
     for _ in range(rounds):
         step([list(features)] * len(models))
+        if tolerance and all(len(m.history) > 1 and m.history[-2] - m.history[-1] <= tolerance * m.history[-2] for m in models):
+            break
     if interactions > 0:
         for i, m in enumerate(models):
             gains = pair_gains(comp.where(mask_sql[i]), m)
@@ -262,11 +290,11 @@ def fit_additive_many(comp: DataFrame, features: list[str], bins: dict[str, Binn
 
 def fit_additive(comp: DataFrame, features: list[str], bins: dict[str, Binning], rounds: int = 60,
                  learning_rate: float = 0.1, min_leaf: int = 2, interactions: int = 0,
-                 interaction_rounds: int | None = None, pair_coarse: int = 8) -> AdditiveModel:
+                 interaction_rounds: int | None = None, pair_coarse: int = 8, tolerance: float = 0.0) -> AdditiveModel:
     """Fit on a compressed table (b_<f> columns, n, sum_y, sum_y2). One Spark job per round."""
     return fit_additive_many(comp, features, bins, {"all": "true"}, rounds=rounds, learning_rate=learning_rate,
                              min_leaf=min_leaf, interactions=interactions, interaction_rounds=interaction_rounds,
-                             pair_coarse=pair_coarse)["all"]
+                             pair_coarse=pair_coarse, tolerance=tolerance)["all"]
 
 
 def pair_gains(comp: DataFrame, model: AdditiveModel) -> list[tuple[tuple[str, str], float]]:

@@ -168,13 +168,18 @@ def additive_fit_rounds(spark, sf_dir):
     return s.unionByName(icpt)
 
 
-# ---- cross-validated fit (memoised small driver state per data folder) -----------------------
+# ---- cross-validated fit (small driver state, kept per application and content of the rows) --------
+
+def _content(spark, m, what):
+    """Key of the fits over these very rows: another application or changed data never meet an old fit."""
+    return (spark.sparkContext.applicationId, what, *m.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*m.columns))).first())
+
 
 def _cv_state(spark, sf_dir):
-    key = (id(spark), sf_dir)
+    m = model_rows(spark, sf_dir)
+    key = _content(spark, m, "cv")
     if key in _MEMO:
         return _MEMO[key]
-    m = model_rows(spark, sf_dir)
     groups = _groups(spark, sf_dir)
     strata, edges = AD.quantile_strata(m.select("id", "y"), "y", N_STRATA, exact=True)
     counts_rows = (strata.join(groups, "id").groupBy("grp", "stratum").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -186,7 +191,7 @@ def _cv_state(spark, sf_dir):
     fold_df = spark.createDataFrame([(int(g), int(f)) for g, f in fold_of.items()], "grp int, fold int")
     with_fold = m.join(groups, "id").join(F.broadcast(fold_df), "grp")
     b = AD.binned(with_fold, bins, keep=["fold", "y"])
-    comp = AD.compress(b, FEATURES, extra_keys=["fold"]).checkpoint().persist()
+    comp = AD.compress(b, FEATURES, extra_keys=["fold"]).checkpoint()
     # All fold models and the final model advance together: one aggregation job per round.
     masks = {f: f"fold <> {f}" for f in range(N_FOLDS)}
     masks["final"] = "true"
@@ -207,9 +212,9 @@ def _groups_and_folds(spark, sf_dir):
 
 
 def _groups(spark, sf_dir):
-    """k-means labels; the fitted centres (k x 2 doubles) are memoised per data folder."""
-    key = (id(spark), sf_dir, "kmeans")
+    """k-means labels; the fitted centres (k x 2 doubles) are kept for the same rows."""
     m = model_rows(spark, sf_dir)
+    key = _content(spark, m, "kmeans")
     if key not in _MEMO:
         _MEMO[key] = AD.fit_kmeans(m, k=N_GROUPS, seed=SEED, restarts=RESTARTS)
     return AD.label_groups(m, _MEMO[key])
