@@ -46,6 +46,56 @@ def weight_features(sites: DataFrame, places: DataFrame | None, radii: tuple[flo
     return sites.join(sums, "site_id", "left")
 
 
+def area_features(sites: DataFrame, areas: DataFrame | None, stats: DataFrame | None, *, within_km: float = 300.0) -> DataFrame:
+    """``sites`` with the area_fips of the nearest area within the limit and that area's statistics.
+
+    ``areas``: area_fips, r_lat, r_lon; ``stats``: area_fips and any measures.
+    """
+    if areas is None:
+        out = sites.withColumn("area_fips", F.lit(None).cast("string"))
+    else:
+        near = SP.nearest_within(sites.select("site_id", "lat", "lon"), areas, within_km, left_id="site_id", right_id="area_fips")
+        out = sites.join(near.select("site_id", "area_fips"), "site_id", "left")
+    return out if stats is None else out.join(stats, "area_fips", "left")
+
+
+def visitor_features(sites: DataFrame, site_area: DataFrame, visitors: DataFrame | None) -> DataFrame:
+    """``sites`` with the area_code of ``site_area`` (site_id, area_code) and the visitors of their area.
+
+    ``visitors``: area_code, visitors, n_entries, as the containment match gives
+    them; sites in an area without entries have NULL.
+    """
+    out = sites.join(site_area, "site_id", "left")
+    if visitors is None:
+        return out.withColumns({"visitors": F.lit(None).cast("double"), "n_entries": F.lit(None).cast("long")})
+    return out.join(visitors, "area_code", "left")
+
+
+def feature_defaults(df: DataFrame, *, flags: tuple[str, ...] = (), zeros: tuple[str, ...] = (), missing: tuple[str, ...] = (),
+                     categories: dict[str, str] | None = None, target: str | None = None) -> DataFrame:
+    """The station table as a model reads it, whatever columns it came with.
+
+    ``flags`` become 0/1 integers (NULL or absent: 0), ``zeros`` doubles (NULL or
+    absent: 0.0), ``missing`` stay NULL (absent: NULL doubles), ``categories`` take
+    their most frequent value for NULL (smallest of equals; the given word for a
+    column that is absent or all NULL). With a ``target``, ``log_target`` is its log1p.
+    """
+    out = df
+    for c, kind, value in [*((c, "int", 0) for c in flags), *((c, "double", 0.0) for c in zeros)]:
+        out = out.withColumn(c, F.coalesce(F.col(c).cast(kind), F.lit(value)) if c in df.columns else F.lit(value).cast(kind))
+    for c in missing:
+        if c not in df.columns:
+            out = out.withColumn(c, F.lit(None).cast("double"))
+    for c, word in (categories or {}).items():
+        if c not in df.columns:
+            out = out.withColumn(c, F.lit(word))
+            continue
+        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        best = counts.agg(F.min_by(c, F.struct(-F.col("n"), F.col(c)))).first()[0]
+        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(word if best is None else best)))
+    return out.withColumn("log_target", F.log1p(F.col(target))) if target and target in df.columns else out
+
+
 def schedule_features(entities: DataFrame, stop_entity: DataFrame, stop_times: DataFrame | None, trips: DataFrame | None,
                       stops: DataFrame | None, rules: dict[str, str], *, entity_col: str = "entity_id") -> DataFrame:
     """``entities`` with their stops' service measures combined by ``rules`` (mean, max, sum, min) and n_stops.

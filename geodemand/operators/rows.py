@@ -91,15 +91,21 @@ def top_k_per_group(df: DataFrame, group: str, k: int, order: Sequence[tuple[str
 def with_row_index(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "row_idx") -> DataFrame:
     """Stable 0-based index under a total order, without a single-partition window.
 
-    A distributed sort is written once; ``monotonically_increasing_id`` then numbers
-    the rows of each sorted partition, and the partitions' counts give the offsets.
     Prefer a supplied id column; use this only when none exists.
     """
-    cols = [F.col(c).asc() if a else F.col(c).desc() for c, a in order]
-    s = df.orderBy(*cols).withColumns({"_id": F.monotonically_increasing_id()}).checkpoint()
+    return number_rows(df.orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in order]), out)
+
+
+def number_rows(df: DataFrame, out: str) -> DataFrame:
+    """``df`` with the 0-based number of each row in the order of its partitions.
+
+    The rows are written once with ``monotonically_increasing_id``, which numbers
+    those of each partition; the partitions' counts give the offsets.
+    """
+    s = df.withColumns({"_id": F.monotonically_increasing_id()}).checkpoint()
     part = F.shiftright("_id", 33)
     counts = s.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row for each partition of the sort
+    # one row for each partition
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_part", before.alias("_before"))
     return (s.withColumn("_part", part).join(F.broadcast(offsets), "_part")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from geodemand import jobs
 from geodemand.functions.geo import haversine_sql, round6
-from geodemand.plans.fixture_sql import with_fx
+from geodemand.plans.fixture_sql import r6, with_fx
 from geodemand.plans.fixtures import Fixtures
+from geodemand.plans.q_area import area_text, clean_area_stats
+from geodemand.plans.q_matching import area_titles, match_contains
 from geodemand.plans.q_schedule import feed
 from geodemand.plans.q_spatial import _CAND_SQL, _FLAGS_SQL, _facility_flags, area_centroids, candidate_places
 from geodemand.plans.registry import ORACLE, query
@@ -71,3 +73,46 @@ def job_candidates(spark, sf_dir):
     rows = candidate_rows(candidate_places(fx))
     t = jobs.candidate_features(rows, fx.places(), fx.sites(), area_centroids(fx.sites()), _facility_flags(fx.facilities()), _FLAGS)
     return t.withColumn("distance_to_nearest_major_km", round6("distance_to_nearest_major_km"))
+
+
+@query("job_area_features", with_fx(f"""
+select s.site_id, s.name, x.area_fips, t.total, t.median_income, t.share_drove, t.share_transit from fx_sites s
+left join (select site_id, area_fips, row_number() over (partition by site_id order by d, area_fips) as rn from (
+  select p.site_id, a.area_fips, {H('p.lat', 'p.lon', 'a.lat', 'a.lon')} as d from fx_sites p, (
+    select lpad(cast(state as varchar(10)), 5, '0') as area_fips, avg(lat) as lat, avg(lon) as lon from fx_sites
+    where state is not null group by state) a) y where d <= 300.0e0) x on x.site_id = s.site_id and x.rn = 1
+left join ({ORACLE["area_stats_clean"]}) t on t.area_fips = x.area_fips
+"""))
+def job_area_features(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    t = jobs.area_features(fx.sites(), area_centroids(fx.sites()), clean_area_stats(area_text(fx)))
+    return t.select("site_id", "name", "area_fips", "total", "median_income", round6("share_drove").alias("share_drove"),
+                    round6("share_transit").alias("share_transit"))
+
+
+@query("job_visitor_features", with_fx(f"""
+select s.site_id, s.name, lpad(cast(s.site_id as varchar), 5, '0') as area_code, v.visitors, v.n_entries from fx_sites s
+left join ({ORACLE["match_contains"]}) v on v.area_code = lpad(cast(s.site_id as varchar), 5, '0')
+"""))
+def job_visitor_features(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    site_area = area_titles(fx).select(F.col("ord").alias("site_id"), "area_code")
+    t = jobs.visitor_features(fx.sites(), site_area, match_contains(spark, sf_dir))
+    return t.select("site_id", "name", "area_code", "visitors", "n_entries")
+
+
+@query("feature_defaults", with_fx(f"""
+select id, cast(coalesce(nullif(n_finished, 3), 0) as int) as n_finished, cast(0 as int) as is_corridor,
+  coalesce(nullif(pop, 0), 0.0e0) as pop, 0.0e0 as weight_15km, balance, cast(null as double) as visitors,
+  coalesce(nullif(segment, 'HOUSEHOLD'), (select segment from fx_model where segment <> 'HOUSEHOLD' group by segment
+    order by count(*) desc, segment limit 1)) as segment, 'unknown' as station_type, {r6('ln(1.0e0 + spend)')} as log_target
+from fx_model
+"""))
+def feature_defaults(spark, sf_dir):
+    m = Fixtures(spark, sf_dir).model_table().select(
+        "id", F.nullif("n_finished", F.lit(3.0)).alias("n_finished"), F.nullif("pop", F.lit(0.0)).alias("pop"), "balance",
+        F.nullif("segment", F.lit("HOUSEHOLD")).alias("segment"), "spend")
+    t = jobs.feature_defaults(m, flags=("n_finished", "is_corridor"), zeros=("pop", "weight_15km"), missing=("balance", "visitors"),
+                              categories={"segment": "unknown", "station_type": "unknown"}, target="spend")
+    return t.select("id", "n_finished", "is_corridor", "pop", "weight_15km", "balance", "visitors", "segment", "station_type",
+                    round6("log_target").alias("log_target"))

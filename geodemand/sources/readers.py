@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from geodemand.operators.rows import number_rows
 from geodemand.operators.schedule import FEED_DAY_COLUMNS, Schedule
 
 
@@ -97,11 +98,11 @@ def read_banded(spark: SparkSession, path: str, header_row: int, first_row: int,
                 columns: Sequence[int], names: Sequence[str] | None = None) -> DataFrame:
     """Sheet-like CSV band: header on 0-based line ``header_row``, data lines first_row..last_row, chosen columns.
 
-    Lines are numbered with ``zipWithIndex`` (partition sizes, then local
-    offsets -- no single-partition step), so the band filter is exact and
-    distributed; footnotes outside the band are dropped.
+    Lines are numbered by partition sizes and local offsets (no single-partition
+    step), so the band filter is exact and distributed; footnotes outside the band
+    are dropped.
     """
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF(["_line", "_text"])
+    lines = number_rows(spark.read.text(path).withColumnRenamed("value", "_text"), "_line")
     parsed = lines.select("_line", F.from_csv("_text", ", ".join(f"_c{i} string" for i in range(max(columns) + 1)),
                                               {"mode": "PERMISSIVE"}).alias("_r"))
     header = parsed.where(F.col("_line") == header_row).select(
