@@ -72,7 +72,8 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float, *,
 
 
 FANOUT = 4     # children of a cell on each axis
-LEAF = 64      # distinct right coordinates that are compared one by one
+LEAF = 64      # distinct right coordinates that a nearest join compares one by one
+LEAF_SUM = 256  # the same for aggregating joins, whose cut cells are the rim of a circle only
 _MARGIN = 1e-9  # relative slack of the box tests; what is near a limit is compared exactly
 _SMALLEST = 1e-13  # side of a cell that is opened whatever it holds: doubles do not tell its points apart
 
@@ -217,7 +218,7 @@ def radius_rollup(left: DataFrame, right: DataFrame, radius_km: float | Sequence
     The right side is summarised per coordinate and per cell of a pyramid of
     grids. Each distinct left coordinate starts with the occupied cells around
     it: a cell inside the radius gives its summary, one outside is left aside, and
-    one that the circle cuts is compared point by point if it holds ``LEAF``
+    one that the circle cuts is compared point by point if it holds ``LEAF_SUM``
     coordinates or fewer, else divided. A circle over a dense area of n points so
     meets in the order of the square root of n of them, at any size.
     ``measures``: name -> (op, right column; None for count).
@@ -250,7 +251,7 @@ def radius_rollup(left: DataFrame, right: DataFrame, radius_km: float | Sequence
         any_cut = reduce(or_, [F.col(f"_cut{i}") for i in range(len(radii))])
         parts.append(met.where(any_in).select(*key, *[
             F.when(F.col(f"_in{i}"), F.col(f"_m_{n}")).alias(o) for (n, i), o in outs.items()]))
-        leaf = F.lit(pyramid.side_of(level) < _SMALLEST) | (F.col("_n") <= LEAF)
+        leaf = F.lit(pyramid.side_of(level) < _SMALLEST) | (F.col("_n") <= LEAF_SUM)
         open_ = met.where(any_cut & leaf).select(*key, *_CELLS, *[f"_cut{i}" for i in range(len(radii))]).join(
             pyramid.located(level).drop("_x", "_y", "_z"), [*pyramid.blocks, *_CELLS])
         open_ = open_.withColumn("_d", haversine_km("_llat", "_llon", "_lat", "_lon")).where(F.col("_d") <= max(radii))
