@@ -284,3 +284,18 @@ def test_edited_passages_are_mostly_found(spark):
         rows.append((2 * i + 1, " ".join(_prose(rng, 90) + words + _prose(rng, 90))))
     got = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got) >= 54 and all(i % 2 for i in got)
+
+
+def test_passages_with_repeated_phrases_are_found(spark):
+    rng = random.Random(12)
+    rows = []
+    for i, phrase in enumerate([5, 8, 12, 20] * 6):
+        words, again = _prose(rng, 60), _prose(rng, phrase)
+        words[4:4 + phrase] = words[55 - phrase:55] = again
+        for k in (0, 1):
+            rows.append((2 * i + k, " ".join(_prose(rng, 80 + k) + words + _prose(rng, 90))))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 48, 2))
+    for r in got:
+        assert r.similarity >= 0.8 and r.source_doc_id == r.doc_id - 1
+        assert (r.start_word <= 81 and r.end_word >= 141 and r.source_start <= 80 and r.source_end >= 140)
