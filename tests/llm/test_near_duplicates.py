@@ -299,3 +299,21 @@ def test_passages_with_repeated_phrases_are_found(spark):
     for r in got:
         assert r.similarity >= 0.8 and r.source_doc_id == r.doc_id - 1
         assert (r.start_word <= 81 and r.end_word >= 141 and r.source_start <= 80 and r.source_end >= 140)
+
+
+def test_passages_with_a_word_put_in_or_left_out_are_found_whole(spark):
+    rng = random.Random(13)
+    rows, sizes = [], [60, 70, 80, 88, 110, 300] * 5
+    for i, n in enumerate(sizes):
+        words = _prose(rng, n)
+        other = list(words)
+        if i % 2:
+            other.insert(n // 2 + rng.randrange(-4, 5), "new")
+        else:
+            del other[n // 2 + rng.randrange(-4, 5)]
+        rows.append((2 * i, " ".join(_prose(rng, 90) + words + _prose(rng, 90))))
+        rows.append((2 * i + 1, " ".join(_prose(rng, 70) + other + _prose(rng, 90))))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.similarity >= 0.8 and r.source_doc_id == r.doc_id - 1 for r in got)
+    whole = {r.doc_id for r in got if r.source_start <= 90 and r.source_end >= 90 + sizes[r.doc_id // 2] and r.start_word <= 70}
+    assert len(whole) >= 27 and len(got) == len({r.doc_id for r in got})
