@@ -317,3 +317,20 @@ def test_passages_with_a_word_put_in_or_left_out_are_found_whole(spark):
     assert all(r.similarity >= 0.8 and r.source_doc_id == r.doc_id - 1 for r in got)
     whole = {r.doc_id for r in got if r.source_start <= 90 and r.source_end >= 90 + sizes[r.doc_id // 2] and r.start_word <= 70}
     assert len(whole) >= 27 and len(got) == len({r.doc_id for r in got})
+
+
+def test_repeats_behind_a_frequent_line_are_found(spark):
+    rng = random.Random(14)
+    rows, want = [], set()
+    for g in range(40):  # 30 texts share 44 words, two of them the eight after it
+        words = _prose(rng, 52)
+        for i in range(30):
+            own = words if i in (17, 23) else words[:44]
+            rows.append((100 * g + i, " ".join(_prose(rng, 60) + own + _prose(rng, 60))))
+        want.add((100 * g + 23, 100 * g + 17))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = repeated_passages(frame).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in got} >= want
+    for r in got:
+        assert r.similarity >= 0.8 and r.end_word - r.start_word >= 50 and r.source_end - r.source_start >= 50
+    assert len({(r.doc_id, r.source_doc_id, r.start_word) for r in got}) == len(got)
