@@ -334,3 +334,20 @@ def test_repeats_behind_a_frequent_line_are_found(spark):
     for r in got:
         assert r.similarity >= 0.8 and r.end_word - r.start_word >= 50 and r.source_end - r.source_start >= 50
     assert len({(r.doc_id, r.source_doc_id, r.start_word) for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_all_but_the_smallest_id_are_repeats(spark, kind):
+    rng = random.Random(15)
+    rows, want = [], set()
+    for g in range(10):
+        words, own = _prose(rng, 60), [rng.randrange(10**6) for _ in range(6)]
+        ids = [f"doc-{i:09d}" if kind == "string" else i for i in own]
+        rows += [(i, " ".join(_prose(rng, 60) + words + _prose(rng, 60))) for i in ids]
+        want.update(set(ids) - {min(ids)})
+    words = _prose(rng, 80)
+    rows += [(None, " ".join(words + _prose(rng, 70))), (rows[0][0], " ".join(_prose(rng, 70) + words))]
+    for parts in (1, 4):
+        got = repeated_passages(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(parts)).collect()
+        assert {r.doc_id for r in got} == want | {None}
+        assert all(r.source_doc_id is not None and (r.doc_id is None or r.source_doc_id < r.doc_id) for r in got)
