@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 from collections.abc import Iterator
 
@@ -29,15 +30,13 @@ def encoder(path: str):
     Where the same vocabulary lies beside it as a ``.tiktoken`` rank file, that
     library encodes (about four times faster, same ids; ``tests/llm`` compares
     them); texts that its pattern engine refuses, such as runs of millions of
-    blanks, go to ``tokenizers``.
+    blanks, and those that hold an added token go to ``tokenizers``.
     """
     @functools.cache
     def plain():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        return tok
+        return Tokenizer.from_file(path)
 
     def slow(text: str) -> np.ndarray:
         return np.array(plain().encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -49,9 +48,13 @@ def encoder(path: str):
     import tiktoken
     with open(ranks_file, "rb") as fh:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, fh)}
+    with open(path, encoding="utf-8") as fh:
+        added = [x["content"] for x in json.load(fh).get("added_tokens") or []]
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
+        if any(x in text for x in added):
+            return slow(text)
         try:
             return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         except BaseException as error:  # the engine panics with an exception that is no Exception

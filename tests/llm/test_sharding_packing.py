@@ -114,3 +114,15 @@ def test_long_runs_are_encoded():
     encode = encoder(tokenizer_path())
     for text in (" " * 300_000, "a" * 200_000):
         assert encode(text).size > 0
+
+
+def test_added_tokens_are_those_of_the_tokenizer_file(spark):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "one <|endoftext|> two<|endoftext|><|endoftext|>\n", "<|endoftext| >", "plain é"]
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert want[0] == [64, 50256, 65, 1]
+    got = defaultdict(list)
+    for r in sorted(pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.start):
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert got == want
