@@ -18,6 +18,7 @@ from geodemand.llm.secrets import find_secrets, secrets_digest
 from geodemand.llm.sharding import assign_shards
 from geodemand.llm.simhash import simhash_groups
 from geodemand.llm.warc import read_warc, write_warc
+from geodemand.llm.whitening import whiten, whitening_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +97,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_digest(whiten(table(spark, sf_dir, "embeddings"), 4))
