@@ -17,6 +17,7 @@ from geodemand.llm.resample import resample
 from geodemand.llm.secrets import find_secrets, secrets_digest
 from geodemand.llm.sharding import assign_shards
 from geodemand.llm.simhash import simhash_groups
+from geodemand.llm.url_filter import Rule, judge_urls
 from geodemand.llm.warc import read_warc, write_warc
 from geodemand.llm.whitening import whiten, whitening_digest
 
@@ -102,3 +103,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening_digest(whiten(table(spark, sf_dir, "embeddings"), 4))
+
+
+URL_RULES = [Rule(True, "org", "/"), Rule(False, "example.org", "/es/"), Rule(False, "example.org", "/en/1"),
+             Rule(True, "com", "/fr/"), Rule(False, "com", "/de/")]
+
+
+@query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
