@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geodemand.llm.common import pick, shared_folder
 from geodemand.llm.decontaminate import contamination_digest, find_contamination
 from geodemand.llm.embed_dedup import embedding_groups
+from geodemand.llm.hard_negatives import Mining, mine_hard_negatives
 from geodemand.llm.langid import held_out, identify, learn_languages, training_rows
 from geodemand.llm.packing import pack_documents
 from geodemand.llm.passages import repeated_passages
@@ -112,3 +113,35 @@ URL_RULES = [Rule(True, "org", "/"), Rule(False, "example.org", "/es/"), Rule(Fa
 @query
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = pick(rows, vec_id="vec_id", label="label", embedding="embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", label), Mining())
+
+
+ORACLE["op13_hard_negatives"] = """
+with rows as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         [floor(256 * c::double) for c in embedding] as x
+  from embeddings
+  where label is not null and embedding is not null
+    and len([c for c in embedding if c is null or not isfinite(c::double)]) = 0
+), met as (
+  select a.r as a, b.r as b, a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
+         list_inner_product(a.x, b.x)::bigint as score
+  from rows a join rows b on a.r <> b.r and len(a.x) = len(b.x) where a.vec_id % 100 = 0
+), positive as (
+  select a, anchor_id, b, id as positive_id, score as positive_score from met where same
+  qualify row_number() over (partition by a order by score desc, id nulls last) <= 5
+), ranked as (
+  select p.anchor_id, p.positive_id, m.id as negative_id, p.positive_score, m.score as negative_score,
+         row_number() over (partition by p.a, p.b order by m.score desc, m.id nulls last)::int as rank
+  from positive p join met m on m.a = p.a and not m.same
+   and 30 * p.positive_score <= 100 * m.score and 100 * m.score <= 90 * p.positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 10
+"""
