@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import NamedTuple
 
 import numpy as np
@@ -12,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geodemand.llm.common import pick, prepare, shared_folder
-from geodemand.llm.vectors import byte_rows, combined, exact_products, longs, matrix_of, whole_vectors
+from geodemand.llm.vectors import byte_rows, combined, exact_products, matrix_of, whole_vectors
 
 _AXES, _BITS = 16, 4          # of the curve: 64 bits
 _RUN = 1 << 16                # rows of a range of the curve
 _BLOCK, _TILE = 1024, 256     # candidates of a block, anchors of a tile
 _CHUNK, _GROUP = 64, 64       # blocks and tiles that meet in one group
+_MOST = 2.0 ** 56             # of a component: a score of up to 2^13 of them has 38 digits
 
 
 class Mining(NamedTuple):
@@ -130,7 +132,7 @@ def _cut(how: Mining, block_rows: int):
             scores = exact_products(x[slots], x)
             for i, s in enumerate(slots.tolist()):
                 seed = int(np.sort(np.delete(scores[i], s))[-how.positives])
-                seeds[i] = max(-(1 << 63), min(seed, (1 << 63) - 1))
+                seeds[i] = min(seed, (1 << 63) - 1) if seed >= -(1 << 63) else None  # a lower bound will do
         return (part, part << 32 | number, dim, label, _whole(x.min(axis=0)[None]), _whole(x.max(axis=0)[None]), ids.to_pylist(),
                 _whole(x), slots.tolist(), _whole(x[slots]), seeds)
 
@@ -222,7 +224,7 @@ class _Tile:
                 exact_products(self.up, hi) + exact_products(self.down, lo))
 
 
-_FAR = 1 << 100
+_FAR = 1 << 130
 
 
 class _ForPositives(_Tile):
@@ -241,8 +243,9 @@ def _for_negatives(how: Mining):
             low = np.full((self.n, how.positives), 1, dtype=object)
             high = np.zeros((self.n, how.positives), dtype=object)
             for w in r["windows"]:
-                low[w["slot"], w["at"]] = -(-how.low * w["score"] // how.unit)
-                high[w["slot"], w["at"]] = how.high * w["score"] // how.unit
+                score = int(w["score"])
+                low[w["slot"], w["at"]] = -(-how.low * score // how.unit)
+                high[w["slot"], w["at"]] = how.high * score // how.unit
             return low, high
     return ForNegatives
 
@@ -310,6 +313,8 @@ def _first_in_spans(scores: np.ndarray, low: np.ndarray, high: np.ndarray, k: in
     Absent ones have score -_FAR and column 0.
     """
     n = scores.shape[1]
+    if not n:
+        return np.full((*low.shape, k), -_FAR, dtype=object), np.zeros((*low.shape, k), dtype=np.int64)
     wide = scores.dtype == object or float(np.abs(scores).max(initial=0)) * n >= 2.0 ** 61
     key = (scores.astype(object) if wide else scores) * n + (n - 1 - np.arange(n))
     key.sort(axis=1)
@@ -361,7 +366,8 @@ def _read(tile_type, k: int):
                         at = place[tile.slots[rows[a]]]
                         others = np.arange(len(x)) != at
                         score, column = _first_in_spans(scores[a:a + 1, others], low[rows[a]][None], high[a:a + 1], k)
-                        column = np.flatnonzero(others)[column] if others.any() else column
+                        if others.any():
+                            column = np.flatnonzero(others)[column]
                         best.add(rows[a:a + 1], score, whole[column], null[column])
                     rows, scores, high = rows[~own], scores[~own], high[~own]
                 if len(rows):
@@ -370,8 +376,8 @@ def _read(tile_type, k: int):
             slot, at, place = np.nonzero(best.score != -_FAR)
             out.append(pa.table({
                 "tile": pa.array(np.full(len(slot), tile.tile)), "slot": pa.array(slot, pa.int32()), "at": pa.array(at, pa.int32()),
-                "score": longs(best.score[slot, at, place]), "id": pa.array(best.id[slot, at, place], mask=best.null[slot, at, place])}))
-        schema = pa.schema([("tile", pa.int64()), ("slot", pa.int32()), ("at", pa.int32()), ("score", pa.int64()), ("id", pa.int64())])
+                "score": pa.array([Decimal(s) for s in best.score[slot, at, place].tolist()], pa.decimal128(38, 0)), "id": pa.array(best.id[slot, at, place], mask=best.null[slot, at, place])}))
+        schema = pa.schema([("tile", pa.int64()), ("slot", pa.int32()), ("at", pa.int32()), ("score", pa.decimal128(38, 0)), ("id", pa.int64())])
         return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
     return run
 
@@ -390,7 +396,7 @@ def _search(spark: SparkSession, tiles: DataFrame, groups: int, blocks: DataFram
     met = sent.select("group", "chunk").distinct()
     sent = sent.toDF(*sent.columns)  # attributes of its own, as both sides of the next step come from it
     found = (tiles.join(met, "group").groupBy("group", "chunk").cogroup(sent.groupBy("group", "chunk"))
-             .applyInArrow(_read(tile_type, k), "tile long, slot int, at int, score long, id long"))
+             .applyInArrow(_read(tile_type, k), "tile long, slot int, at int, score decimal(38,0), id long"))
     order = Window.partitionBy("tile", "slot", "at").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -413,10 +419,10 @@ def mine_hard_negatives(vectors: DataFrame, how: Mining = Mining(), *, scale: fl
     negatives only if the bounds meet one of its windows. Blocks and tiles of
     anchors meet in groups of bounded size, whatever labels or vectors repeat.
 
-    Rows with a null label or vector, or with a null, non-finite or (once scaled)
-    beyond-long component take no part. Null ids are no anchors. Vectors of other
+    Rows with a null label or vector, or with a null or non-finite component or
+    one of 2^56 or more once scaled, take no part. Null ids are no anchors. Vectors of other
     lengths never meet. Repeated anchors are anchors each, and candidates for
-    each other. A score beyond a long is null. Empty tables give no rows; other
+    each other. A score beyond a long counts as it is and is returned as null. Empty tables give no rows; other
     columns are ignored. Returns anchor_id, positive_id, rank, negative_id,
     positive_score, negative_score.
     """
@@ -428,7 +434,7 @@ def mine_hard_negatives(vectors: DataFrame, how: Mining = Mining(), *, scale: fl
     def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, bytes] = {}
         for batch in batches:
-            for _, x in whole_vectors(batch.column(0), scale):
+            for _, x in whole_vectors(batch.column(0), scale, _MOST):
                 part = _extent(x)
                 found[x.shape[1]] = _extent_of_both(found[x.shape[1]], part) if x.shape[1] in found else part
         yield _batch([(d, TaskContext.get().partitionId(), m) for d, m in found.items()], [("dim", pa.int32()), ("part", pa.int64()), ("m", pa.binary())])
@@ -443,7 +449,7 @@ def mine_hard_negatives(vectors: DataFrame, how: Mining = Mining(), *, scale: fl
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, x in whole_vectors(batch.column(2), scale):
+            for rows, x in whole_vectors(batch.column(2), scale, _MOST):
                 dim = x.shape[1]
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(x), dim), pa.int32()),
@@ -469,4 +475,5 @@ def mine_hard_negatives(vectors: DataFrame, how: Mining = Mining(), *, scale: fl
     anchors = tiles.select("tile", F.posexplode("ids").alias("slot", "anchor_id"))
     known = positives.select("tile", "slot", (F.col("rank") - 1).alias("at"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     return (negatives.join(known, ["tile", "slot", "at"]).join(anchors, ["tile", "slot"])
-            .select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")))
+            .select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"),
+                    F.col("positive_score").try_cast("long").alias("positive_score"), F.col("score").try_cast("long").alias("negative_score")))

@@ -14,11 +14,11 @@ _SMALL = 1 << 15
 _LONG = 2.0 ** 63
 
 
-def whole_vectors(column: pa.Array, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def whole_vectors(column: pa.Array, scale: float, most: float = _LONG) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, matrix of longs floor(scale * c)) for each vector length among the rows that take part.
 
     A row takes no part if its vector is null or holds a null, a non-finite
-    component or one that is beyond a long once scaled.
+    component or one outside [-most, most) once scaled (by default, beyond a long).
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -26,7 +26,7 @@ def whole_vectors(column: pa.Array, scale: float) -> Iterator[tuple[np.ndarray,
     flat = column.flatten()  # without the rows that are null
     with np.errstate(over="ignore", invalid="ignore"):
         value = np.floor(flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) * scale)
-        good = (value >= -_LONG) & (value < _LONG)
+        good = (value >= -most) & (value < most)
     size = np.maximum(lengths, 0)
     ends = np.cumsum(size)
     bad = np.concatenate(([0], np.cumsum(~good)))
@@ -99,7 +99,7 @@ def combined(parts: DataFrame, n_parts: int, merge: Callable[[bytes, bytes], byt
 
     No group holds more than ``fan`` values, whatever the number of tasks.
     """
-    def fold(key, group: pd.DataFrame) -> pd.DataFrame:
+    def fold(key, group):
         values = group.sort_values("sub")["m"].tolist()
         out = values[0]
         for v in values[1:]:
