@@ -18,7 +18,7 @@ from geodemand.llm.vectors import byte_rows, combined, exact_products, matrix_of
 _AXES, _BITS = 16, 4          # of the curve: 64 bits
 _RUN = 1 << 16                # rows of a range of the curve
 _BLOCK, _TILE = 1024, 256     # candidates of a block, anchors of a tile
-_CHUNK, _GROUP = 64, 64       # blocks and tiles that meet in one group
+_CHUNK, _GROUP = 16, 32       # blocks and tiles that meet in one group
 _MOST = 2.0 ** 56             # of a component: a score of up to 2^13 of them has 38 digits
 
 
