@@ -7,6 +7,7 @@ instead of being sorted inside one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +66,28 @@ def first_non_null(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str
     return df.where(cond).groupBy(*keys).agg(*aggs)
 
 
+def ordered_text(df: DataFrame, keys: Sequence[str], order: str, text: str, out: str, sep: str = " + ",
+                 rows_per_range: int = 50_000) -> DataFrame:
+    """Per key, the ``text`` of its rows joined by ``sep`` in the order of ``order`` (ties by text); NULL texts are left out.
+
+    The rows are dealt to ranges of ``order`` of about ``rows_per_range`` rows.
+    Each (key, range) is joined by itself and the parts are joined in the order of
+    their ranges, so a key that holds a third of all rows is sorted in many tasks
+    and only its finished parts meet. NULL keys are dropped; a key without any
+    text has an empty one.
+    """
+    known = df.select(*keys, F.col(order).alias("_o"), F.col(text).alias("_t")).dropna(subset=list(keys))
+    ranges = max(1, math.ceil(known.count() / rows_per_range))
+
+    def joined(at: str, what: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, what))), lambda x: x[what]), sep)
+
+    dealt = known.repartitionByRange(ranges, "_o").withColumn("_range", F.spark_partition_id())
+    # a part without texts is NULL, so it adds no separator
+    parts = dealt.groupBy(*keys, "_range").agg(F.when(F.count("_t") > 0, joined("_o", "_t")).alias("_part"))
+    return parts.groupBy(*keys).agg(joined("_range", "_part").alias(out))
+
+
 def top_k(df: DataFrame, k: int, order: Sequence[tuple[str, bool]], nulls_last: bool = True) -> DataFrame:
     """The first k rows under ``order``; NULL measures are dropped (pandas nlargest/nsmallest)."""
     d = df

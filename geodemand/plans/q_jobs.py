@@ -9,8 +9,9 @@ from geodemand.functions.geo import haversine_sql, round6
 from geodemand.plans.fixture_sql import r6, with_fx
 from geodemand.plans.fixtures import Fixtures
 from geodemand.plans.q_area import area_text, clean_area_stats
-from geodemand.plans.q_matching import area_titles, match_contains
-from geodemand.plans.q_schedule import feed
+from geodemand.plans.q_matching import (_CASCADE_CTES, _EXACT_FIRST_CTES, OVERRIDE_NAME, OVERRIDE_SITE, area_titles, match_contains, obs_names,
+                                        site_names)
+from geodemand.plans.q_schedule import SCHED_CTES, feed
 from geodemand.plans.q_spatial import _CAND_SQL, _FLAGS_SQL, _facility_flags, area_centroids, candidate_places
 from geodemand.plans.registry import ORACLE, query
 
@@ -116,3 +117,62 @@ def feature_defaults(spark, sf_dir):
                               categories={"segment": "unknown", "station_type": "unknown"}, target="spend")
     return t.select("id", "n_finished", "is_corridor", "pop", "weight_15km", "balance", "visitors", "segment", "station_type",
                     round6("log_target").alias("log_target"))
+
+
+# ---- resolution ------------------------------------------------------------------------------
+
+_GAP = "case when site_id % 9 = 0 then null else {0} end as {0}"
+_GAP_SITES_SQL = f"gap_sites AS (select site_id, name, state, value, {_GAP.format('lat')}, {_GAP.format('lon')} from fx_sites)"
+_SITE_FLAGS = {"rail_code": "has_rail", "bus_code": "has_bus", "air_code": "has_air"}
+_SITE_OF_FACILITY = "case when facility_id % 3 = 0 then facility_id - 1 else facility_id end"
+
+
+@query("job_resolve", with_fx(f"""
+select s.site_id, s.name, s.state, coalesce(s.lat, a.lat) as lat, coalesce(s.lon, a.lon) as lon, {r6('a.total_value')} as total_value, a.n_obs,
+  a.obs_names, case when a.n_obs > 1 then a.m || ' (summed)' else a.m end as match_method, f.has_rail, f.has_bus, f.has_air
+from gap_sites s left join (
+  select c.match_id, coalesce(sum(o.value), 0.0e0) as total_value, count(*) as n_obs, string_agg(o.raw_name, ' + ' order by o.obs_id) as obs_names,
+    arg_min(c.match_method, o.obs_id) as m, arg_min(struct_pack(v := o.lat), o.obs_id).v as lat, arg_min(struct_pack(v := o.lon), o.obs_id).v as lon
+  from casc c join fx_obs_gaps o on o.obs_id = c.obs_id where c.match_id is not null group by c.match_id) a on a.match_id = s.site_id
+left join (select {_SITE_OF_FACILITY} as site_id,
+  {", ".join(f"cast(arg_min(case when {c} in (1, 2) then 1 else 0 end, facility_id) as int) as {f}" for c, f in _SITE_FLAGS.items())}
+  from fx_facilities group by 1) f on f.site_id = s.site_id
+""", _GAP_SITES_SQL + "," + _CASCADE_CTES.replace("fx_sites", "gap_sites"), recursive=True))
+def job_resolve(spark, sf_dir):
+    """Observations through all tiers into the site table; every ninth site lacks coordinates, every third shares its neighbour's facts."""
+    fx = Fixtures(spark, sf_dir)
+    gap = F.col("site_id") % 9 == 0
+    sites = fx.sites().select("site_id", "name", "state", *[F.when(~gap, F.col(c)).alias(c) for c in ("lat", "lon")])
+    facts = fx.facilities().withColumn("site_id", F.expr(_SITE_OF_FACILITY))
+    t = jobs.resolve_sites(obs_names(fx.obs_gaps()), site_names(sites), facts, {OVERRIDE_NAME: OVERRIDE_SITE}, flags=_SITE_FLAGS)
+    return t.select("site_id", "name", "state", "lat", "lon", round6("total_value").alias("total_value"), "n_obs", "obs_names", "match_method",
+                    "has_rail", "has_bus", "has_air")
+
+
+_STOPS_SQL = """
+stp AS (select site_id as obs_id, case when site_id % 4 = 0 then 'Halt' else name || ' Station' end as raw_name, lat, lon from fx_sites),
+ent AS (select case when site_id % 5 = 0 then site_id else site_id + 1000000 end as site_id, name, lat, lon from fx_sites)"""
+
+
+@query("job_schedule_matched", with_fx(f"""
+select e.site_id as entity_id, e.name, r.weekly_departures, r.num_routes_served, r.avg_dwell_time_sec, r.is_terminal, r.n_stops
+from ent e left join (
+  select c.match_id, cast(sum(m.weekly_departures) as bigint) as weekly_departures, cast(sum(m.num_routes_served) as bigint) as num_routes_served,
+    {r6('avg(m.avg_dwell_time_sec)')} as avg_dwell_time_sec, max(m.is_terminal) as is_terminal, count(*) as n_stops
+  from (select stop_id, cast(coalesce(sum(days_per_week), 0) as bigint) as weekly_departures, count(distinct route_id) as num_routes_served,
+     avg(dwell_sec) as avg_dwell_time_sec, max(case when stop_sequence = min_seq or stop_sequence = max_seq then 1 else 0 end) as is_terminal
+    from sch_v group by stop_id) m join casc2 c on c.obs_id = m.stop_id where c.match_id is not null group by c.match_id) r
+  on r.match_id = e.site_id
+""", SCHED_CTES.strip() + "," + _STOPS_SQL + "," + _EXACT_FIRST_CTES.replace("fx_obs_gaps", "stp").replace("fx_sites", "ent"), recursive=True))
+def job_schedule_matched(spark, sf_dir):
+    """Service measures of entities whose stops are found by id, by name or by place."""
+    fx, trips_f, _ = feed(spark, sf_dir)
+    k = F.col("site_id")
+    entities = fx.sites().select(F.when(k % 5 == 0, k).otherwise(k + 1000000).alias("entity_id"), "name", "lat", "lon")
+    stops = fx.sites().select(k.alias("stop_id"), F.when(k % 4 == 0, "Halt").otherwise(F.concat("name", F.lit(" Station"))).alias("stop_name"),
+                              F.col("lat").alias("stop_lat"), F.col("lon").alias("stop_lon"))
+    rules = {c: _RULES[c] for c in ("weekly_departures", "num_routes_served", "avg_dwell_time_sec", "is_terminal")}
+    t = jobs.schedule_features(entities, None, fx.stop_times(), trips_f, stops, rules)
+    return t.select("entity_id", "name", F.col("weekly_departures").cast("bigint").alias("weekly_departures"),
+                    F.col("num_routes_served").cast("bigint").alias("num_routes_served"),
+                    round6("avg_dwell_time_sec").alias("avg_dwell_time_sec"), "is_terminal", "n_stops")

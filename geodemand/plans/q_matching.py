@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geodemand import jobs
 from geodemand.functions import text as T
 from geodemand.functions.constants import COORD_MATCH_KM, FUZZY_IN_BLOCK_SCORE, STATE_ABBR, STOP_COORD_MATCH_KM, \
     STOP_FUZZY_SCORE
@@ -11,8 +12,8 @@ from geodemand.functions.geo import haversine_sql, round6
 from geodemand.operators import spatial as SP
 from geodemand.operators.contains import contains_first
 from geodemand.operators.enrich import map_constant
-from geodemand.operators.matching import cascade, similarity_join
-from geodemand.operators.rows import first_non_null
+from geodemand.operators.matching import similarity_join
+from geodemand.operators.rows import first_non_null, ordered_text
 from geodemand.plans.fixture_sql import r6, with_fx
 from geodemand.plans.fixtures import Fixtures
 from geodemand.plans.q_spatial import _NEAREST_SQL, match_in_block, nearest_any_block
@@ -244,31 +245,7 @@ def match_fuzzy_global(spark, sf_dir):
 
 def observation_cascade(spark, fx, obs):
     """override -> no candidates in block -> nearest in block (unless suspect) -> fuzzy in block -> unmatched."""
-    sites = fx.sites()
-    named = obs_names(obs)
-    flagged = nearest_any_block(obs, sites).select("obs_id", "coord_suspect")
-    overrides = spark.createDataFrame([(OVERRIDE_NAME, OVERRIDE_SITE)], "raw_name string, match_id long")
-    site_states = sites.select(F.col("state")).where(F.col("state").isNotNull()).distinct()
-
-    def t_override(p):
-        return p.join(F.broadcast(overrides), "raw_name").withColumn("match_method", F.lit("override"))
-
-    def t_no_block(p):
-        return p.join(site_states, "state", "left_anti").select(
-            "obs_id", F.lit(None).cast("long").alias("match_id"), F.lit("no_state_candidates").alias("match_method"))
-
-    def t_coord(p):
-        m = match_in_block(p.join(flagged, "obs_id"), sites, COORD_MATCH_KM)
-        return m.select("obs_id", F.col("site_id").alias("match_id"),
-                        F.format_string("coord(%.2fkm)", F.col("dist_km")).alias("match_method"))
-
-    def t_fuzzy(p):
-        m = fuzzy_in_block(p, site_names(sites))
-        return m.select("obs_id", F.col("site_id").alias("match_id"),
-                        F.format_string("fuzzy(%d)", F.bround("score", 0).cast("int")).alias("match_method"))
-
-    return cascade(named, "obs_id", [("override", t_override), ("no_block", t_no_block), ("coord", t_coord),
-                                     ("fuzzy", t_fuzzy)])
+    return jobs.resolve_observations(obs_names(obs), site_names(fx.sites()), {OVERRIDE_NAME: OVERRIDE_SITE})
 
 
 _HOS_CASCADE = haversine_sql("o.lat", "o.lon", "s.lat", "s.lon")
@@ -332,27 +309,10 @@ casc2 AS (select * from e1 union all select * from e2 union all select * from e3
 def match_cascade_exact_first(spark, sf_dir):
     """exact id -> global token-set fuzzy on cleaned names -> nearest within 2 km -> unmatched."""
     fx = Fixtures(spark, sf_dir)
-    sites = fx.sites()
-    stops = fx.obs_gaps().select("obs_id", "lat", "lon", T.clean_stop_name("raw_name").alias("clean_name"))
-
-    def t_exact(p):
-        return p.join(sites.select(F.col("site_id").alias("obs_id")), "obs_id", "left_semi").select(
-            "obs_id", F.col("obs_id").alias("match_id"), F.lit("exact_code").alias("match_method"))
-
-    def t_fuzzy(p):
-        m = fuzzy_global(p, sites.select("site_id", "name"))
-        return m.select("obs_id", F.col("site_id").alias("match_id"),
-                        F.format_string("fuzzy_name(score=%d)", F.bround("score", 0).cast("int")).alias(
-                            "match_method"))
-
-    def t_coord(p):
-        m = SP.nearest_within(p.select("obs_id", "lat", "lon"),
-                              sites.select("site_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")),
-                              STOP_COORD_MATCH_KM, left_id="obs_id", right_id="site_id")
-        return m.select("obs_id", F.col("site_id").alias("match_id"),
-                        F.format_string("coord(dist=%.2fkm)", F.col("dist_km")).alias("match_method"))
-
-    return cascade(stops, "obs_id", [("exact", t_exact), ("fuzzy", t_fuzzy), ("coord", t_coord)])
+    stops = fx.obs_gaps().select(F.col("obs_id").alias("stop_id"), F.col("raw_name").alias("stop_name"), F.col("lat").alias("stop_lat"),
+                                 F.col("lon").alias("stop_lon"))
+    entities = fx.sites().select(F.col("site_id").alias("entity_id"), "name", "lat", "lon")
+    return jobs.match_stops(stops, entities).withColumnRenamed("stop_id", "obs_id")
 
 
 @query("match_breakdown", with_fx("""
@@ -377,14 +337,13 @@ def resolve_rollup_df(matches, obs, sites):
     agg = j.where(F.col("site_id").isNotNull()).groupBy("site_id").agg(
         F.coalesce(F.sum("value"), F.lit(0.0)).alias("total_value"),
         F.count(F.lit(1)).alias("n_obs"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("obs_id", "raw_name"))), lambda x: x["raw_name"]),
-                     " + ").alias("obs_names"),
         F.min_by("match_method", first).alias("_m"),
         F.min_by("lat", first).alias("first_lat"), F.min_by("lon", first).alias("first_lon"),
     )
     agg = agg.withColumn("match_method", F.when(F.col("n_obs") > 1, F.concat(F.col("_m"), F.lit(" (summed)")))
                          .otherwise(F.col("_m"))).drop("_m")
-    return sites.select("site_id").join(agg, "site_id", "left")
+    texts = ordered_text(j, ["site_id"], "obs_id", "raw_name", "obs_names")
+    return sites.select("site_id").join(agg, "site_id", "left").join(texts, "site_id", "left")
 
 
 @query("resolve_rollup", with_fx(f"""
