@@ -297,31 +297,45 @@ def fit_additive(comp: DataFrame, features: list[str], bins: dict[str, Binning],
                              pair_coarse=pair_coarse, tolerance=tolerance)["all"]
 
 
-def pair_gains(comp: DataFrame, model: AdditiveModel) -> list[tuple[tuple[str, str], float]]:
-    """Rank feature pairs by the squared-error reduction of a cell-mean fit on the current residuals.
+def best_quadrants(r: np.ndarray, n: np.ndarray, least: float) -> tuple[float, int, int]:
+    """(gain, row cut, column cut) of the best four-way cut of two-dimensional histograms; every non-empty quarter holds ``least`` rows.
 
-    gain = sum_cells S^2/n - sum_rows-bins S^2/n - sum_col-bins S^2/n + S^2/N (one exploded aggregation).
+    Quarter sums come from cumulative histograms. No cut: (0, 0, 0).
     """
-    feats = model.features
-    pairs = [(a, b) for i, a in enumerate(feats) for b in feats[i + 1:]]
+    def quarters(x):
+        c = np.cumsum(np.cumsum(x, axis=0), axis=1)
+        a, top, left, all_ = c[:-1, :-1], c[:-1, -1:], c[-1:, :-1], c[-1, -1]
+        return np.stack(np.broadcast_arrays(a, top - a, left - a, all_ - top - left + a))
+
+    if min(r.shape) < 2:
+        return 0.0, 0, 0
+    qr, qn = quarters(r), quarters(n)
+    qn = np.rint(qn)
+    whole = r.sum() ** 2 / max(n.sum(), 1)
+    gain = np.where(qn > 0, qr * qr / np.maximum(qn, 1), 0.0).sum(axis=0) - whole
+    gain = np.where(((qn == 0) | (qn >= least)).all(axis=0), gain, -np.inf)
+    at = int(gain.argmax())
+    i, j = divmod(at, gain.shape[1])
+    return (float(gain[i, j]), i + 1, j + 1) if gain[i, j] > 0 else (0.0, 0, 0)
+
+
+def pair_gains(comp: DataFrame, model: AdditiveModel, min_leaf: int = 2) -> list[tuple[tuple[str, str], float]]:
+    """Feature pairs by the squared error that the best four-way cut of the current residuals takes off, best first.
+
+    One scan: tasks add the rows up in a two-dimensional histogram per pair.
+    """
+    pairs = [(a, b) for i, a in enumerate(model.features) for b in model.features[i + 1:]]
     if not pairs:
         return []
-    res = F.col("sum_y") - F.col("n") * model.score_binned()
-    structs = [F.struct(F.lit(i).alias("p"), model.coarse(a).alias("ba"), model.coarse(b).alias("bb"))
-               for i, (a, b) in enumerate(pairs)]
-    e = comp.select(F.explode(F.array(*structs)).alias("k"), res.alias("r"), "n")
-    cells = e.groupBy("k.p", "k.ba", "k.bb").agg(F.sum("r").alias("s"), F.sum("n").alias("n")).persist()
-    term = F.col("s") * F.col("s") / F.col("n")
-    full = cells.groupBy("p").agg(F.sum(term).alias("g"))
-    ra = cells.groupBy("p", "ba").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).groupBy("p").agg(
-        F.sum(term).alias("ga"))
-    rb = cells.groupBy("p", "bb").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).groupBy("p").agg(
-        F.sum(term).alias("gb"))
-    tot = cells.groupBy("p").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select("p", term.alias("gt"))
-    rows = full.join(ra, "p").join(rb, "p").join(tot, "p").select(
-        "p", (F.col("g") - F.col("ga") - F.col("gb") + F.col("gt")).alias("gain")).collect()
-    cells.unpersist()
-    return sorted(((pairs[r["p"]], float(r["gain"])) for r in rows), key=lambda x: (-x[1], x[0]))
+    blank = {(a, b): np.zeros((model.n_coarse(a), model.n_coarse(b))) for a, b in pairs}
+    watch = AdditiveModel(model.features, model.bins, model.intercept, model.shapes, {**blank, **model.pairs}, model.pair_coarse)
+    found = _round_sums_many(comp, [watch], ["true"], [pairs])[0]
+    left, rows = ({p: np.zeros_like(b) for p, b in blank.items()} for _ in range(2))
+    for key, value in found.items():
+        if key != "_sse":
+            t, cell = key
+            left[pairs[t]].reshape(-1)[cell], rows[pairs[t]].reshape(-1)[cell] = value
+    return sorted(((p, best_quadrants(left[p], rows[p], min_leaf)[0]) for p in pairs), key=lambda g: (-g[1], g[0]))
 
 
 def feature_matrix(df: DataFrame, features: list[str]) -> DataFrame:
@@ -412,37 +426,3 @@ def assign_group_folds(counts: dict, n_folds: int = 5) -> dict:
         fold_counts[best] += vecs[g]
         out[g] = best
     return out
-
-
-def fit_kmeans(df: DataFrame, k: int = 20, seed: int = 42, restarts: int = 10, lat: str = "lat",
-               lon: str = "lon"):
-    """spark.ml k-means on raw (lat, lon); best of ``restarts`` seeds by training cost. Returns the model."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-    has = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(lat, lon)
-    vec = VectorAssembler(inputCols=[lat, lon], outputCol="features").transform(has).persist()
-
-    def one(s):
-        m = KMeans(k=k, seed=s, featuresCol="features", predictionCol="grp").fit(vec)
-        return m.summary.trainingCost, s, m
-
-    # Restarts are independent jobs: submit them concurrently and keep the lowest cost (seed breaks ties).
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=min(restarts, 8)) as pool:
-        fits = list(pool.map(one, range(seed, seed + restarts)))
-    vec.unpersist()
-    return min(fits, key=lambda x: (x[0], x[1]))[2]
-
-
-def label_groups(df: DataFrame, model, lat: str = "lat", lon: str = "lon", id_col: str = "id") -> DataFrame:
-    """Group label per row: nearest k-means centre; rows without coordinates share group -1."""
-    from pyspark.ml.feature import VectorAssembler
-    has = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(id_col, lat, lon)
-    vec = VectorAssembler(inputCols=[lat, lon], outputCol="features").transform(has)
-    labelled = model.transform(vec).select(id_col, F.col("grp").cast("int").alias("grp"))
-    return df.select(id_col).join(labelled, id_col, "left").withColumn("grp", F.coalesce("grp", F.lit(-1)))
-
-
-def kmeans_groups(df: DataFrame, k: int = 20, seed: int = 42, restarts: int = 10,
-                  lat: str = "lat", lon: str = "lon", id_col: str = "id") -> DataFrame:
-    return label_groups(df, fit_kmeans(df, k, seed, restarts, lat, lon), lat, lon, id_col)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geodemand.functions.geo import round6, round_to_sql
 from geodemand.operators import additive as AD
+from geodemand.operators.kmeans import fit_centres, with_group
 from geodemand.operators.report import round_to
 from geodemand.plans.fixture_sql import r6, with_fx
 from geodemand.plans.fixtures import Fixtures
 from geodemand.plans.q_spatial import _CAND_SQL, candidate_places  # noqa: F401
 from geodemand.plans.registry import query
+from geodemand.session import scratch_path
+from geodemand.training import Training, fold_metrics, grouped_folds, train, train_final
 
 FEATURES = ["nation", "balance", "segment", "n_orders", "avg_price", "n_finished", "pop", "lat", "lon"]
 CATEGORICAL = ["segment"]
@@ -20,12 +22,9 @@ NUMERIC = [f for f in FEATURES if f not in CATEGORICAL]
 ZERO_FILLED = ["n_orders", "n_finished"]      # "no activity yet" for candidates is 0, not missing
 CURVE_FEATURE = "n_orders"
 N_GROUPS, N_FOLDS, N_STRATA, SEED, RESTARTS = 20, 5, 5, 42, 10
-FIT = dict(rounds=30, learning_rate=0.1, min_leaf=2, interactions=3, interaction_rounds=15)
 ORACLE_ROUNDS, ORACLE_LR, ORACLE_BINS = 2, 0.01, 16
 LOOKUP_NAME_RANK = 1
 
-_MEMO: dict = {}
-
 
 def model_rows(spark, sf_dir):
     return Fixtures(spark, sf_dir).model_table()
@@ -168,93 +167,57 @@ def additive_fit_rounds(spark, sf_dir):
     return s.unionByName(icpt)
 
 
-# ---- cross-validated fit (small driver state, kept per application and content of the rows) --------
+# ---- the full fit: 256 quantile bins, rate 0.01, three pairs, as many rounds as the validation loss asks for --------
 
-def _content(spark, m, what):
-    """Key of the fits over these very rows: another application or changed data never meet an old fit."""
-    return (spark.sparkContext.applicationId, what, *m.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*m.columns))).first())
+def trained(spark, sf_dir, folder=None) -> Training:
+    return train(model_rows(spark, sf_dir), FEATURES, CATEGORICAL, groups=N_GROUPS, folds=N_FOLDS, strata=N_STRATA, restarts=RESTARTS, seed=SEED,
+                 folder=folder)
 
 
-def _cv_state(spark, sf_dir):
-    m = model_rows(spark, sf_dir)
-    key = _content(spark, m, "cv")
-    if key in _MEMO:
-        return _MEMO[key]
-    groups = _groups(spark, sf_dir)
-    strata, edges = AD.quantile_strata(m.select("id", "y"), "y", N_STRATA, exact=True)
-    counts_rows = (strata.join(groups, "id").groupBy("grp", "stratum").agg(F.count(F.lit(1)).alias("n")).collect())
-    counts: dict = {}
-    for r in counts_rows:
-        counts.setdefault(r["grp"], {})[r["stratum"]] = r["n"]
-    fold_of = AD.assign_group_folds(counts, N_FOLDS)
-    bins = AD.fit_binning(m, FEATURES, CATEGORICAL, max_bins=32, method="quantile")
-    fold_df = spark.createDataFrame([(int(g), int(f)) for g, f in fold_of.items()], "grp int, fold int")
-    with_fold = m.join(groups, "id").join(F.broadcast(fold_df), "grp")
-    b = AD.binned(with_fold, bins, keep=["fold", "y"])
-    comp = AD.compress(b, FEATURES, extra_keys=["fold"]).checkpoint()
-    # All fold models and the final model advance together: one aggregation job per round.
-    masks = {f: f"fold <> {f}" for f in range(N_FOLDS)}
-    masks["final"] = "true"
-    fitted = AD.fit_additive_many(comp, FEATURES, bins, masks, **FIT)
-    final = fitted.pop("final")
-    models = fitted
-    state = dict(fold_of=fold_of, bins=bins, models=models, final=final, edges=edges)
-    _MEMO[key] = state
-    return state
-
-
-def _groups_and_folds(spark, sf_dir):
-    st = _cv_state(spark, sf_dir)
+def final_model(spark, sf_dir):
+    """(rows, the model on all of them)."""
     m = model_rows(spark, sf_dir)
-    groups = _groups(spark, sf_dir)
-    fold_df = spark.createDataFrame([(int(g), int(f)) for g, f in st["fold_of"].items()], "grp int, fold int")
-    return st, m.join(groups, "id").join(F.broadcast(fold_df), "grp")
+    return m, train_final(m, FEATURES, CATEGORICAL, seed=SEED)
 
 
 def _groups(spark, sf_dir):
-    """k-means labels; the fitted centres (k x 2 doubles) are kept for the same rows."""
     m = model_rows(spark, sf_dir)
-    key = _content(spark, m, "kmeans")
-    if key not in _MEMO:
-        _MEMO[key] = AD.fit_kmeans(m, k=N_GROUPS, seed=SEED, restarts=RESTARTS)
-    return AD.label_groups(m, _MEMO[key])
+    return with_group(m, fit_centres(m, N_GROUPS, SEED, RESTARTS))
 
 
 @query("geo_groups")
 def geo_groups(spark, sf_dir):
-    return _groups(spark, sf_dir)
+    return _groups(spark, sf_dir).select("id", "grp")
 
 
 @query("cluster_sizes")
 def cluster_sizes(spark, sf_dir):
-    g = _groups(spark, sf_dir)
-    sizes = g.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = _groups(spark, sf_dir).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.min("n").alias("min_size"), F.median("n").alias("median_size"), F.max("n").alias("max_size"),
                      F.count(F.lit(1)).alias("n_groups"))
 
 
 @query("group_folds")
 def group_folds(spark, sf_dir):
-    _, d = _groups_and_folds(spark, sf_dir)
-    return d.select("id", "grp", "fold")
-
-
-def oof_frame(spark, sf_dir):
-    st, d = _groups_and_folds(spark, sf_dir)
-    parts = []
-    for f, model in st["models"].items():
-        parts.append(model.score(d.where(F.col("fold") == f), "pred_log"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return st, out
+    m = model_rows(spark, sf_dir)
+    return grouped_folds(m, groups=N_GROUPS, folds=N_FOLDS, strata=N_STRATA, restarts=RESTARTS, seed=SEED).select("id", "grp", "fold")
 
 
 @query("oof_predictions")
 def oof_predictions(spark, sf_dir):
     """Each row predicted once, by the model of the fold that did not see it; original integer actual kept."""
-    _, o = oof_frame(spark, sf_dir)
-    return report_predictions(o)
+    return report_predictions(trained(spark, sf_dir).out_of_fold())
+
+
+@query("job_train")
+def job_train(spark, sf_dir):
+    """The training job with its folder: out-of-fold predictions as written, beside the scores of the model as read back."""
+    import uuid
+    folder = scratch_path(spark, f"train-{uuid.uuid4().hex}")
+    trained(spark, sf_dir, folder)
+    model = AD.load_model(spark, f"{folder}/model")
+    oof = spark.read.parquet(f"{folder}/oof").withColumnRenamed("pred_log", "oof_log")
+    return model.score(oof).select("id", "fold", round6("y").alias("y"), round6("oof_log").alias("oof_log"), round6("pred_log").alias("pred_log"))
 
 
 def report_predictions(o):
@@ -266,16 +229,6 @@ def report_predictions(o):
                     round_to((pred - F.col("spend")) / F.col("spend") * 100.0, 1).alias("pct_error"))
 
 
-def _fold_metrics(o):
-    err = F.col("y") - F.col("pred_log")
-    return (o.groupBy("fold").agg(F.sqrt(F.avg(err * err)).alias("rmse_log"),
-                                   (1 - F.sum(err * err) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2"),
-                                   F.count(F.lit(1)).alias("n")),
-            o.agg(F.sqrt(F.avg(err * err)).alias("rmse_log"),
-                  (1 - F.sum(err * err) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2"),
-                  F.count(F.lit(1)).alias("n")))
-
-
 def given_predictions(spark, sf_dir):
     """Rows with a given fold and prediction, for the reports on any model's out-of-fold predictions."""
     return model_rows(spark, sf_dir).withColumns({
@@ -291,60 +244,91 @@ overall AS (select sqrt(avg((y - pred_log) * (y - pred_log))) as rmse_log,
   1 - sum((y - pred_log) * (y - pred_log)) / (var_pop(y) * count(*)) as r2, count(*) as n from oof)"""
 
 
-@query("metrics_union", with_fx(f"""
+def _metrics_union(oof):
+    return fold_metrics(oof).select("label", "fold", round6("rmse_log").alias("rmse_log"), round6("r2").alias("r2"), "n")
+
+
+@query("metrics_union")
+def metrics_union(spark, sf_dir):
+    """Error of the full fit, by fold and over all out-of-fold predictions."""
+    return _metrics_union(trained(spark, sf_dir).out_of_fold())
+
+
+@query("given_metrics_union", with_fx(f"""
 select 'fold_' || cast(fold + 1 as varchar) as label, fold, {r6('rmse_log')} as rmse_log, {r6('r2')} as r2, n from per
 union all select 'oof_overall', null, {r6('rmse_log')}, {r6('r2')}, n from overall
 """, _GIVEN_SQL))
-def metrics_union(spark, sf_dir):
-    per, overall = _fold_metrics(given_predictions(spark, sf_dir))
-    per = per.withColumn("label", F.concat(F.lit("fold_"), (F.col("fold") + 1).cast("string")))
-    return per.unionByName(overall.withColumn("label", F.lit("oof_overall")), allowMissingColumns=True).select(
-        "label", "fold", round6("rmse_log").alias("rmse_log"), round6("r2").alias("r2"), "n")
+def given_metrics_union(spark, sf_dir):
+    """Twin of ``metrics_union`` on given predictions, which SQL can restate."""
+    return _metrics_union(given_predictions(spark, sf_dir))
+
+
+def _regression_metrics(oof):
+    m = fold_metrics(oof).checkpoint()
+    summ = m.where("fold is not null").agg(F.avg("rmse_log").alias("rmse_mean"), F.stddev_samp("rmse_log").alias("rmse_std"),
+                                           F.avg("r2").alias("r2_mean"), F.stddev_samp("r2").alias("r2_std"))
+    # Four scalars from a five-row table, attached as literals.
+    return m.where("fold is null").select(round6("rmse_log").alias("rmse_log"), round6("r2").alias("r2"), "n",
+                                          *[round6(F.lit(v)).alias(k) for k, v in summ.first().asDict().items()])
+
+
+@query("regression_metrics")
+def regression_metrics(spark, sf_dir):
+    return _regression_metrics(trained(spark, sf_dir).out_of_fold())
 
 
-@query("regression_metrics", with_fx(f"""
+@query("given_regression_metrics", with_fx(f"""
 select {r6('o.rmse_log')} as rmse_log, {r6('o.r2')} as r2, o.n, {r6('p.rmse_mean')} as rmse_mean, {r6('p.rmse_std')} as rmse_std,
   {r6('p.r2_mean')} as r2_mean, {r6('p.r2_std')} as r2_std
 from overall o, (select avg(rmse_log) as rmse_mean, stddev_samp(rmse_log) as rmse_std, avg(r2) as r2_mean,
   stddev_samp(r2) as r2_std from per) p
 """, _GIVEN_SQL))
-def regression_metrics(spark, sf_dir):
-    per, overall = _fold_metrics(given_predictions(spark, sf_dir))
-    summ = per.agg(F.avg("rmse_log").alias("rmse_mean"), F.stddev_samp("rmse_log").alias("rmse_std"),
-                   F.avg("r2").alias("r2_mean"), F.stddev_samp("r2").alias("r2_std"))
-    # Four scalars from a five-row table, attached as literals.
-    return overall.select(round6("rmse_log").alias("rmse_log"), round6("r2").alias("r2"), "n",
-                          *[round6(F.lit(v)).alias(k) for k, v in summ.first().asDict().items()])
+def given_regression_metrics(spark, sf_dir):
+    return _regression_metrics(given_predictions(spark, sf_dir))
 
 
 @query("pair_gain")
 def pair_gain(spark, sf_dir):
-    st = _cv_state(spark, sf_dir)
-    model = st["final"]
-    m = model_rows(spark, sf_dir)
-    comp = AD.compress(AD.binned(m, st["bins"], keep=["y"]), FEATURES)
-    gains = AD.pair_gains(comp, AD.AdditiveModel(model.features, model.bins, model.intercept,
-                                                 {k: v.copy() for k, v in model.shapes.items()}, {}))
+    """The three best pairs by the four-way cut of the main effects' residuals."""
+    gains = trained(spark, sf_dir).fit.gains["final"]
     rows = [(a, b, float(g), i + 1) for i, ((a, b), g) in enumerate(gains[:3])]
     return spark.createDataFrame(rows, "feature_a string, feature_b string, gain double, rank int")
 
 
-@query("shape_importance", with_fx(f"""
+def _shape_importance(m, model, spark, sf_dir):
+    rows = spark.createDataFrame(AD.importance(model), "feature string, mean_abs_score double, score_range double, n_bins int")
+    return rows.select("feature", round6("mean_abs_score").alias("mean_abs_score"), round6("score_range").alias("score_range"), "n_bins")
+
+
+@query("shape_importance")
+def shape_importance(spark, sf_dir):
+    """Importance of the features in the full fit."""
+    return _shape_importance(*final_model(spark, sf_dir), spark, sf_dir)
+
+
+@query("two_round_importance", with_fx(f"""
 select feature, {r6('avg(abs(score))')} as mean_abs_score, {r6('max(score) - min(score)')} as score_range,
   cast(count(*) as int) as n_bins from shape group by feature
 """, _two_round_sql()))
-def shape_importance(spark, sf_dir):
-    _, model = two_round_model(spark, sf_dir)
-    rows = spark.createDataFrame(AD.importance(model), "feature string, mean_abs_score double, score_range double, n_bins int")
-    return rows.select("feature", round6("mean_abs_score").alias("mean_abs_score"), round6("score_range").alias("score_range"), "n_bins")
+def two_round_importance(spark, sf_dir):
+    return _shape_importance(*two_round_model(spark, sf_dir), spark, sf_dir)
 
 
-@query("additive_score", with_fx(f"""
+def _additive_score(m, model, spark, sf_dir):
+    return model.score(m).select("id", round6("pred_log").alias("pred_log"))
+
+
+@query("additive_score")
+def additive_score(spark, sf_dir):
+    """Predictions of the full fit."""
+    return _additive_score(*final_model(spark, sf_dir), spark, sf_dir)
+
+
+@query("two_round_score", with_fx(f"""
 select id, {r6('p')} as pred_log from {_scores_sql('fx_model', 'id', NUMERIC)} x
 """, _two_round_sql()))
-def additive_score(spark, sf_dir):
-    m, model = two_round_model(spark, sf_dir)
-    return model.score(m).select("id", round6("pred_log").alias("pred_log"))
+def two_round_score(spark, sf_dir):
+    return _additive_score(*two_round_model(spark, sf_dir), spark, sf_dir)
 
 
 def _candidates_features(spark, sf_dir):
@@ -359,14 +343,7 @@ _CANDIDATE_ROWS_SQL = f"""(select c.code, m.nation, m.balance, m.segment, 0.0e0
   from cand c left join fx_model m on m.id = c.place_id)"""
 
 
-@query("candidate_scores", with_fx(f"""
-select cast(row_number() over (order by {r6('p')} desc, code) as int) as rank, code, {r6('p')} as predicted_log,
-  cast(round(exp(p) - 1.0e0) as bigint) as predicted
-from {_scores_sql(_CANDIDATE_ROWS_SQL, 'code', [f for f in NUMERIC if f != 'avg_price'])} x
-""", _two_round_sql() + "," + _CAND_SQL))
-def candidate_scores(spark, sf_dir):
-    """Candidates scored with zero activity features; ranked by predicted value."""
-    _, model = two_round_model(spark, sf_dir)
+def _candidate_scores(m, model, spark, sf_dir):
     s = model.score(_candidates_features(spark, sf_dir)).withColumn("predicted_log", round6("pred_log"))
     w = Window.orderBy(F.col("predicted_log").desc(), F.col("code"))
     ranked = s.withColumn("rank", F.row_number().over(w))
@@ -374,6 +351,21 @@ def candidate_scores(spark, sf_dir):
                          F.round(F.expm1("pred_log")).cast("bigint").alias("predicted"))
 
 
+@query("candidate_scores")
+def candidate_scores(spark, sf_dir):
+    """Candidates scored with zero activity features; ranked by predicted value."""
+    return _candidate_scores(*final_model(spark, sf_dir), spark, sf_dir)
+
+
+@query("two_round_candidates", with_fx(f"""
+select cast(row_number() over (order by {r6('p')} desc, code) as int) as rank, code, {r6('p')} as predicted_log,
+  cast(round(exp(p) - 1.0e0) as bigint) as predicted
+from {_scores_sql(_CANDIDATE_ROWS_SQL, 'code', [f for f in NUMERIC if f != 'avg_price'])} x
+""", _two_round_sql() + "," + _CAND_SQL))
+def two_round_candidates(spark, sf_dir):
+    return _candidate_scores(*two_round_model(spark, sf_dir), spark, sf_dir)
+
+
 def curve_points(model, feature):
     """(x, score) points of a numeric shape: bin left edges with the score of the bin they open."""
     rows = [r for r in model.shape_rows() if r[0] == feature and r[1] >= 2 and r[2] is not None]
@@ -410,25 +402,26 @@ def _interpolate_sql(x):
             f"else ys[{k}] + ({x} - xs[{k}]) / (xs[{k} + 1] - xs[{k}]) * (ys[{k} + 1] - ys[{k}]) end)")
 
 
-@query("curve_interpolate", with_fx(f"""
-select id, {CURVE_FEATURE} as x, {r6(_interpolate_sql(CURVE_FEATURE))} as curve_score from fx_model, crv
-""", _curve_sql()))
-def curve_interpolate(spark, sf_dir):
-    m, model = two_round_model(spark, sf_dir)
+def _curve_interpolate(m, model, spark, sf_dir):
     xs, ys = curve_points(model, CURVE_FEATURE)
     return m.select("id", F.col(CURVE_FEATURE).alias("x"),
                     round6(interpolate(F.col(CURVE_FEATURE).cast("double"), xs, ys)).alias("curve_score"))
 
 
-@query("what_if_grid", with_fx(f"""
-select id, cast(trips as int) as trips, cast(round(exp(ln(1.0e0 + spend) + {_interpolate_sql('cast(trips as double)')}
-  - {_interpolate_sql(CURVE_FEATURE)}) - 1.0e0) as bigint) as estimate
-from (select *, unnest(range(7, cast(ceil(greatest({CURVE_FEATURE}, 500.0e0) / 7) * 7 as bigint) + 1, 7)) as trips
-  from fx_model where {CURVE_FEATURE} is not null) g, crv
+@query("curve_interpolate")
+def curve_interpolate(spark, sf_dir):
+    """The full fit's curve of one feature, between its bins' edges."""
+    return _curve_interpolate(*final_model(spark, sf_dir), spark, sf_dir)
+
+
+@query("two_round_curve", with_fx(f"""
+select id, {CURVE_FEATURE} as x, {r6(_interpolate_sql(CURVE_FEATURE))} as curve_score from fx_model, crv
 """, _curve_sql()))
-def what_if_grid(spark, sf_dir):
-    """Per entity: estimate on a grid of the curve feature (7 .. ceil(max(500, current)/7)*7 by 7)."""
-    m, model = two_round_model(spark, sf_dir)
+def two_round_curve(spark, sf_dir):
+    return _curve_interpolate(*two_round_model(spark, sf_dir), spark, sf_dir)
+
+
+def _what_if_grid(m, model, spark, sf_dir):
     xs, ys = curve_points(model, CURVE_FEATURE)
     m = m.where(F.col(CURVE_FEATURE).isNotNull())
     cur = F.col(CURVE_FEATURE).cast("double")
@@ -440,30 +433,62 @@ def what_if_grid(spark, sf_dir):
     return g.select("id", "trips", est.alias("estimate"))
 
 
+@query("what_if_grid")
+def what_if_grid(spark, sf_dir):
+    """Per entity: estimate on a grid of the curve feature (7 .. ceil(max(500, current)/7)*7 by 7)."""
+    return _what_if_grid(*final_model(spark, sf_dir), spark, sf_dir)
+
+
+@query("two_round_what_if", with_fx(f"""
+select id, cast(trips as int) as trips, cast(round(exp(ln(1.0e0 + spend) + {_interpolate_sql('cast(trips as double)')}
+  - {_interpolate_sql(CURVE_FEATURE)}) - 1.0e0) as bigint) as estimate
+from (select *, unnest(range(7, cast(ceil(greatest({CURVE_FEATURE}, 500.0e0) / 7) * 7 as bigint) + 1, 7)) as trips
+  from fx_model where {CURVE_FEATURE} is not null) g, crv
+""", _curve_sql()))
+def two_round_what_if(spark, sf_dir):
+    return _what_if_grid(*two_round_model(spark, sf_dir), spark, sf_dir)
+
+
 _SCENARIO_SQL = "(select segment, avg(n_orders) as n_orders, avg(pop) as pop from fx_model group by segment)"
 
 
-@query("scenario_scores", with_fx(f"""
-select s.segment, {r6('s.n_orders')} as n_orders, {r6('s.pop')} as pop, {r6('x.p')} as pred_log,
-  cast(round(exp(x.p) - 1.0e0) as bigint) as predicted
-from {_scores_sql(_SCENARIO_SQL, 'segment', ['n_orders', 'pop'])} x join {_SCENARIO_SQL} s on s.segment = x.segment
-""", _two_round_sql()))
-def scenario_scores(spark, sf_dir):
-    """Hypothetical rows per segment: typical activity values, every other feature missing."""
-    m, model = two_round_model(spark, sf_dir)
+def _scenario_scores(m, model, spark, sf_dir):
     sc = m.groupBy("segment").agg(F.avg("n_orders").alias("n_orders"), F.avg("pop").alias("pop"))
     s = model.score(sc)
     return s.select("segment", round6("n_orders").alias("n_orders"), round6("pop").alias("pop"), round6("pred_log").alias("pred_log"),
                     F.round(F.expm1("pred_log")).cast("bigint").alias("predicted"))
 
 
-@query("entity_lookup", with_fx(f"""
+@query("scenario_scores")
+def scenario_scores(spark, sf_dir):
+    """Hypothetical rows per segment: typical activity values, every other feature missing."""
+    return _scenario_scores(*final_model(spark, sf_dir), spark, sf_dir)
+
+
+@query("two_round_scenarios", with_fx(f"""
+select s.segment, {r6('s.n_orders')} as n_orders, {r6('s.pop')} as pop, {r6('x.p')} as pred_log,
+  cast(round(exp(x.p) - 1.0e0) as bigint) as predicted
+from {_scores_sql(_SCENARIO_SQL, 'segment', ['n_orders', 'pop'])} x join {_SCENARIO_SQL} s on s.segment = x.segment
+""", _two_round_sql()))
+def two_round_scenarios(spark, sf_dir):
+    return _scenario_scores(*two_round_model(spark, sf_dir), spark, sf_dir)
+
+
+def _entity_lookup(spark, sf_dir, oof):
+    name = model_rows(spark, sf_dir).orderBy(F.col("spend").desc(), "id").select("name").limit(LOOKUP_NAME_RANK)
+    return report_predictions(oof).join(name, "name").select("id", "name", "actual", "predicted", "pct_error")
+
+
+@query("entity_lookup")
+def entity_lookup(spark, sf_dir):
+    """One entity by name (the largest spender's name): actual, out-of-fold prediction, percent error."""
+    return _entity_lookup(spark, sf_dir, trained(spark, sf_dir).out_of_fold())
+
+
+@query("given_entity_lookup", with_fx(f"""
 select id, name, cast(floor(spend) as bigint) as actual, cast(floor(exp(pred_log) - 1.0e0) as bigint) as predicted,
   {round_to_sql('(exp(pred_log) - 1.0e0 - spend) / spend * 100.0e0', 1)} as pct_error
 from oof where name = (select name from fx_model order by spend desc, id limit 1)
 """, _GIVEN_SQL))
-def entity_lookup(spark, sf_dir):
-    """One entity by name (the largest spender's name): actual, given prediction, percent error."""
-    o = report_predictions(given_predictions(spark, sf_dir))
-    name = model_rows(spark, sf_dir).orderBy(F.col("spend").desc(), "id").select("name").limit(LOOKUP_NAME_RANK)
-    return o.join(name, "name").select("id", "name", "actual", "predicted", "pct_error")
+def given_entity_lookup(spark, sf_dir):
+    return _entity_lookup(spark, sf_dir, given_predictions(spark, sf_dir))
