@@ -19,9 +19,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geodemand.functions.geo import EARTH_RADIUS_KM, cell_columns, cell_side, haversine_km, unit_xyz
@@ -76,6 +76,8 @@ LEAF = 64      # distinct right coordinates that a nearest join compares one by
 LEAF_SUM = 256  # the same for aggregating joins, whose cut cells are the rim of a circle only
 _MARGIN = 1e-9  # relative slack of the box tests; what is near a limit is compared exactly
 _SMALLEST = 1e-13  # side of a cell that is opened whatever it holds: doubles do not tell its points apart
+_FEW = 8  # coordinates that a cell of the first grid holds on average, at most
+_HALVINGS = 24  # grids among which the first one is chosen
 
 
 class _Pyramid:
@@ -104,6 +106,20 @@ class _Pyramid:
         return c.withColumns({"_p" + c_: F.floor(F.col(c_) / F.lit(FANOUT)) for c_ in _CELLS})
 
 
+    def fullest(self, level: int) -> int:
+        """Coordinates in the fullest cell."""
+        return self.cells(level, {}).agg(F.max("_n")).first()[0] or 0
+
+    def even_side(self) -> float:
+        """Side of the coarsest of the halved grids whose occupied cells hold ``_FEW`` coordinates or fewer on average (one scan)."""
+        at = lambda k: F.struct(*self.blocks, *[F.floor(F.col(p) / F.lit(self.side / 2 ** k)) for p in ("_x", "_y", "_z")])
+        found = self.points.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(at(k)).alias(f"l{k}") for k in range(_HALVINGS)]).first()
+        return self.side / 2 ** next((k for k in range(_HALVINGS) if found["n"] <= _FEW * found[f"l{k}"]), _HALVINGS - 1)
+
+    def at_side(self, side: float) -> DataFrame:
+        return self.points.withColumns({c: F.floor(F.col(p) / F.lit(side)) for c, p in zip(_CELLS, ("_x", "_y", "_z"))})
+
+
 def _left_points(left: DataFrame, lat: str, lon: str, blocks: Sequence[str]) -> DataFrame:
     """Distinct left coordinates and blocks with their unit vectors."""
     x, y, z = unit_xyz("_llat", "_llon")
@@ -142,31 +158,58 @@ def _chord2(km: float) -> float:
     return (2.0 * math.sin(min(km, HALF_CIRCUMFERENCE_KM) / (2.0 * EARTH_RADIUS_KM))) ** 2
 
 
+def _within(km: float) -> Column:
+    """Whether the pair of points lies within the distance: by their squared chord, by the distance itself where that is near the limit."""
+    limit = _chord2(km)
+    return F.when(F.col("_d2") < limit * (1 - _MARGIN) - 1e-18, True).when(F.col("_d2") > limit * (1 + _MARGIN) + 1e-18, False).otherwise(
+        haversine_km("_llat", "_llon", "_lat", "_lon") <= km)
+
+
 _POINT = ("_llat", "_llon", "_lx", "_ly", "_lz")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, radius_km: float, *, left_id: str, right_id: str,
-                   left_lat: str = "lat", left_lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon",
-                   block: Sequence[tuple[str, str]] = (), carry: Sequence[str] = ()) -> DataFrame:
-    """Per left id, the nearest right row within the radius; ties go to the smaller right id.
+def _settled_nearby(points: DataFrame, pyramid: _Pyramid, radius_km: float, best: Column, n_blocks: int) -> tuple[DataFrame, DataFrame | None]:
+    """(best hits of the left points that the cells around theirs settle, the other left points or None if there are none).
 
-    Both sides are collapsed to distinct coordinates (right: the smallest id, which
-    is the tie-break winner). Each left coordinate starts with the occupied cells
-    around it and descends a pyramid of grids: a cell is left aside when the least
-    distance to its box exceeds the radius or the largest distance to another
-    occupied cell's box, and opened once it holds ``LEAF`` coordinates or fewer. A
-    coordinate thus meets a few cells a level, however dense the right side is and
-    wherever it lies. Returns ``left_id, right_id, dist_km`` plus ``carry`` right
-    columns; left rows without a hit are absent (left-join the result back for NULLs).
+    The grid is the coarsest one with few coordinates a cell on average. A hit
+    nearer than a cell's side is the nearest of all, as everything else lies
+    farther away. Points beside a cell of more than ``LEAF`` coordinates are left
+    to the descent.
     """
-    lb, rb = [a for a, _ in block], [b for _, b in block]
-    values = {"_r": F.min_by(F.struct(F.col(right_id).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]), F.col(right_id))}
-    pyramid = _Pyramid(right, cell_side(radius_km), right_lat, right_lon, rb, values)
-    points = _left_points(left, left_lat, left_lon, lb)
-    limit = F.lit(_chord2(radius_km) * (1 + _MARGIN) + 1e-18)
+    side = pyramid.even_side()
+    key = ["_llat", "_llon", *pyramid.blocks]
+    here = pyramid.at_side(side)
+    cells = here.groupBy(*pyramid.blocks, *_CELLS).agg(F.count(F.lit(1)).alias("_n"))
+    crowded = cells.where(F.col("_n") > LEAF).drop("_n")
+    some_crowded = (cells.agg(F.max("_n")).first()[0] or 0) > LEAF
+    around = points.withColumns({c: F.floor(F.col(v) / F.lit(side)) for c, v in zip(_CELLS, ("_lx", "_ly", "_lz"))})
+    around = _neighbours(around).withColumnsRenamed({f"_lb{i}": f"_b{i}" for i in range(n_blocks)})
+    at = [*pyramid.blocks, *_CELLS]
+    open_ = here.join(crowded, at, "left_anti") if some_crowded else here
+    near = around.select(*key, *_CELLS).join(open_.select("_lat", "_lon", "_r", *at), at)
+    near = near.withColumn("dist_km", haversine_km("_llat", "_llon", "_lat", "_lon")).where(F.col("dist_km") <= radius_km)
+    hits = near.groupBy(*key).agg(best)
+    whole = side >= pyramid.side
+    if not whole:
+        hits = hits.where(F.col("_m.dist_km") < 2 * EARTH_RADIUS_KM * math.asin(min(1.0, side / 2)) * (1 - _MARGIN))
+    if some_crowded:
+        hits = hits.join(around.join(crowded, at, "left_semi").select(*key).distinct(), key, "left_anti")
+    hits = hits.checkpoint()
+    named = points.withColumnsRenamed({f"_lb{i}": f"_b{i}" for i in range(n_blocks)})
+    rest = named.join(hits, key, "left_anti")
+    if (whole and not some_crowded) or rest.isEmpty():
+        return hits, None
+    if whole:  # only what stands beside a crowded cell may still have a hit
+        rest = rest.join(around.join(crowded, at, "left_semi").select(*key).distinct(), key, "left_semi")
+    return hits, rest.withColumnsRenamed({f"_b{i}": f"_lb{i}" for i in range(n_blocks)})
+
+
+def _nearest_by_descent(points: DataFrame, pyramid: _Pyramid, radius_km: float, n_blocks: int) -> DataFrame:
+    """(left point, dist_km, _r): right coordinates among which each left point's nearest is, by descending the pyramid."""
     per_point = Window.partitionBy("_llat", "_llon", *pyramid.blocks)
     keep = [*_POINT, "_best"]
-    met = _meet_cells(points, pyramid.cells(0, {}), pyramid.side, len(block)).withColumn("_best", limit)
+    limit = F.lit(_chord2(radius_km) * (1 + _MARGIN) + 1e-18)
+    met = _meet_cells(points, pyramid.cells(0, {}), pyramid.side, n_blocks).withColumn("_best", limit)
     parts, level = [], 0
     while True:
         # no point's nearest lies beyond the farthest corner of any occupied cell
@@ -182,14 +225,37 @@ def nearest_within(left: DataFrame, right: DataFrame, radius_km: float, *, left_
             break
         level += 1
         met = _descend(rest, pyramid, level, {}, keep)
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    best = F.min_by(F.struct("_r", "dist_km"), F.struct("dist_km", F.col("_r.id")))
-    best = found.groupBy("_llat", "_llon", *pyramid.blocks).agg(best.alias("_m"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def nearest_within(left: DataFrame, right: DataFrame, radius_km: float, *, left_id: str, right_id: str,
+                   left_lat: str = "lat", left_lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon",
+                   block: Sequence[tuple[str, str]] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """Per left id, the nearest right row within the radius; ties go to the smaller right id.
+
+    Both sides are collapsed to distinct coordinates (right: the smallest id, which
+    is the tie-break winner). Left coordinates that the cells around theirs settle,
+    on a grid chosen by the density of the right side, are done at once
+    (:func:`_settled_nearby`). Each of the others starts with the occupied cells
+    around it on the grid of the radius and descends a pyramid of grids: a cell is left aside when the least
+    distance to its box exceeds the radius or the largest distance to another
+    occupied cell's box, and opened once it holds ``LEAF`` coordinates or fewer. A
+    coordinate thus meets a few cells a level, however dense the right side is and
+    wherever it lies. Returns ``left_id, right_id, dist_km`` plus ``carry`` right
+    columns; left rows without a hit are absent (left-join the result back for NULLs).
+    """
+    lb, rb = [a for a, _ in block], [b for _, b in block]
+    values = {"_r": F.min_by(F.struct(F.col(right_id).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]), F.col(right_id))}
+    pyramid = _Pyramid(right, cell_side(radius_km), right_lat, right_lon, rb, values)
+    points = _left_points(left, left_lat, left_lon, lb)
+    best = F.min_by(F.struct("_r", "dist_km"), F.struct("dist_km", F.col("_r.id"))).alias("_m")
+    settled, points = _settled_nearby(points, pyramid, radius_km, best, len(block))
+    if points is not None:
+        rest = _nearest_by_descent(points, pyramid, radius_km, len(block))
+        settled = settled.unionByName(rest.groupBy("_llat", "_llon", *pyramid.blocks).agg(best))
     lsel = left.select(left_id, F.col(left_lat).alias("_llat"), F.col(left_lon).alias("_llon"),
                        *[F.col(a).alias(n) for a, n in zip(lb, pyramid.blocks)])
-    return lsel.join(best, ["_llat", "_llon", *pyramid.blocks]).select(
+    return lsel.join(settled, ["_llat", "_llon", *pyramid.blocks]).select(
         left_id, F.col("_m._r.id").alias(right_id), F.col("_m.dist_km").alias("dist_km"),
         *[F.col(f"_m._r.c{i}").alias(c) for i, c in enumerate(carry)])
 
@@ -239,6 +305,7 @@ def radius_rollup(left: DataFrame, right: DataFrame, radius_km: float | Sequence
     # per radius: is it still to be settled below this cell?
     asked = [f"_ask{i}" for i in range(len(radii))]
     met = _meet_cells(points, pyramid.cells(0, summaries), pyramid.side, len(block)).withColumns({a: F.lit(True) for a in asked})
+    deep = pyramid.fullest(0) > LEAF_SUM
     parts, level = [], 0
     while True:
         inside = [F.col(a) & (F.col("_far") <= _chord2(r) * (1 - _MARGIN)) for a, r in zip(asked, radii)]
@@ -252,13 +319,14 @@ def radius_rollup(left: DataFrame, right: DataFrame, radius_km: float | Sequence
         parts.append(met.where(any_in).select(*key, *[
             F.when(F.col(f"_in{i}"), F.col(f"_m_{n}")).alias(o) for (n, i), o in outs.items()]))
         leaf = F.lit(pyramid.side_of(level) < _SMALLEST) | (F.col("_n") <= LEAF_SUM)
-        open_ = met.where(any_cut & leaf).select(*key, *_CELLS, *[f"_cut{i}" for i in range(len(radii))]).join(
-            pyramid.located(level).drop("_x", "_y", "_z"), [*pyramid.blocks, *_CELLS])
-        open_ = open_.withColumn("_d", haversine_km("_llat", "_llon", "_lat", "_lon")).where(F.col("_d") <= max(radii))
+        open_ = met.where(any_cut & leaf).select(*key, "_lx", "_ly", "_lz", *_CELLS, *[f"_cut{i}" for i in range(len(radii))]).join(
+            pyramid.located(level), [*pyramid.blocks, *_CELLS])
+        chord = reduce(add, [(F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in (("_lx", "_x"), ("_ly", "_y"), ("_lz", "_z"))])
+        open_ = open_.withColumn("_d2", chord).where(F.col("_d2") <= _chord2(max(radii)) * (1 + _MARGIN) + 1e-18)
         parts.append(open_.select(*key, *[
-            F.when(F.col(f"_cut{i}") & (F.col("_d") <= radii[i]), F.col(f"_m_{n}")).alias(o) for (n, i), o in outs.items()]))
+            F.when(F.col(f"_cut{i}") & _within(radii[i]), F.col(f"_m_{n}")).alias(o) for (n, i), o in outs.items()]))
         rest = met.where(any_cut & ~leaf)
-        if rest.isEmpty():
+        if not deep or rest.isEmpty():
             break
         level += 1
         rest = rest.withColumns({a: F.col(f"_cut{i}") for i, a in enumerate(asked)})

@@ -332,7 +332,7 @@ _HOS = haversine_sql("o.lat", "o.lon", "s.lat", "s.lon")
 
 def resolve_rollup_df(matches, obs, sites):
     """Per matched site: sum, count, first coordinates, ' + '-joined names in order, summed-label suffix."""
-    j = matches.join(obs.select("obs_id", "raw_name", "value", "lat", "lon"), "obs_id")
+    j = matches.join(obs.select("obs_id", "raw_name", "value", "lat", "lon"), "obs_id").checkpoint()
     first = F.struct(F.col("obs_id"))
     agg = j.where(F.col("site_id").isNotNull()).groupBy("site_id").agg(
         F.coalesce(F.sum("value"), F.lit(0.0)).alias("total_value"),
