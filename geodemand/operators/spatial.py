@@ -129,10 +129,20 @@ def _left_points(left: DataFrame, lat: str, lon: str, blocks: Sequence[str]) ->
 
 
 def _meet_cells(points: DataFrame, cells: DataFrame, side: float, n_blocks: int) -> DataFrame:
-    """Left points with the occupied cells around theirs (and their box distances, squared)."""
-    near = points.withColumns({c: F.floor(F.col(v) / F.lit(side)) for c, v in zip(_CELLS, ("_lx", "_ly", "_lz"))})
-    near = _neighbours(near).withColumnsRenamed({f"_lb{i}": f"_b{i}" for i in range(n_blocks)})
-    return _with_gaps(near.join(cells, [*[f"_b{i}" for i in range(n_blocks)], *_CELLS]), side)
+    """Left points with the occupied cells around theirs (and their box distances, squared).
+
+    Neighbourhoods are looked up once a cell, not once a point. The points come
+    in as many partitions as the session shuffles to: each grows to many rows,
+    which its own size does not show.
+    """
+    blocks = [f"_b{i}" for i in range(n_blocks)]
+    wide = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    home = [f"_h{c}" for c in _CELLS]
+    here = points.withColumnsRenamed({f"_lb{i}": f"_b{i}" for i in range(n_blocks)}).withColumns(
+        {h: F.floor(F.col(v) / F.lit(side)) for h, v in zip(home, ("_lx", "_ly", "_lz"))})
+    around = here.select(*blocks, *home).distinct().withColumns({c: F.col(h) for c, h in zip(_CELLS, home)})
+    met = _neighbours(around).join(cells, [*blocks, *_CELLS])
+    return _with_gaps(here.repartition(wide).join(met, [*blocks, *home]).drop(*home), side)
 
 
 def _with_gaps(met: DataFrame, side: float) -> DataFrame:
