@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geodemand.functions import text as T
-from geodemand.functions.constants import (COORD_MATCH_KM, FUZZY_IN_BLOCK_SCORE, MAJOR_CITY_POP, METRO_FALLBACK_KM, METRO_RADIUS_KM,
-                                           NEARBY_RADIUS_KM, STOP_COORD_MATCH_KM, STOP_FUZZY_SCORE)
+from geodemand.functions.constants import (COORD_MATCH_KM, FACILITY_RADIUS_KM, FUZZY_IN_BLOCK_SCORE, MAJOR_CITY_POP, METRO_FALLBACK_KM,
+                                           METRO_RADIUS_KM, NEARBY_RADIUS_KM, STOP_COORD_MATCH_KM, STOP_FUZZY_SCORE, WEIGHT_RADII_KM)
 from geodemand.operators import schedule as S
 from geodemand.operators import spatial as SP
 from geodemand.operators.matching import cascade, similarity_join
@@ -159,7 +159,7 @@ def spatial_features(sites: DataFrame, places: DataFrame | None, *, near_km: flo
     return out.join(metro, "site_id", "left").join(major, "site_id", "left")
 
 
-def weight_features(sites: DataFrame, places: DataFrame | None, radii: tuple[float, ...] = (15, 50)) -> DataFrame:
+def weight_features(sites: DataFrame, places: DataFrame | None, radii: tuple[float, ...] = (*WEIGHT_RADII_KM, 50)) -> DataFrame:
     """``sites`` with the sum of ``pop`` of the places within each radius (0 without any)."""
     if places is None:
         return sites.withColumns({f"weight_within_{r}km": F.lit(0).cast("long") for r in radii})
@@ -237,7 +237,7 @@ def schedule_features(entities: DataFrame, stop_entity: DataFrame | None, stop_t
 
 def candidate_features(candidates: DataFrame, places: DataFrame, sites: DataFrame, areas: DataFrame | None,
                        facilities: DataFrame | None, flags: tuple[str, ...] = (), *, area_km: float = 300.0,
-                       flag_km: float = 30.0) -> DataFrame:
+                       flag_km: float = FACILITY_RADIUS_KM) -> DataFrame:
     """``candidates`` (code, lat, lon, ...) with the features of sites: metro_pop, distance_to_nearest_major_km,
     num_sites_nearby, area_fips and any-of ``flags`` of the facilities around (0 without facilities).
 

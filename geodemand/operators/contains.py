@@ -1,51 +1,67 @@
-"""Substring-containment theta join without a nested loop.
+"""Substring-containment theta join by an automaton of the patterns.
 
-A pattern contained in a title shares every one of its q-grams with it, so
-each distinct pattern is joined on its single rarest q-gram (q = min(3,
-len)) against the q-grams of the titles; the real containment test runs on
-those candidates only. Exact, and the candidate count per pattern is the
-frequency of its rarest gram instead of the number of titles.
+All patterns of a block go into one Aho-Corasick automaton, which a task runs
+over its titles once: each title is read one time a block, whatever the number
+of patterns, and only true matches leave the task. Blocks hold a bounded
+number of patterns, so neither the driver nor a task holds them all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PATTERNS_A_BLOCK = 50_000
 
-def _grams(col: F.Column, q: int) -> F.Column:
-    n = F.length(col)
-    return F.when(n >= q, F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substring(col, i, q))).otherwise(
-        F.array().cast("array<string>"))
 
+def _find(patterns: list[str], at: int):
+    """Task: the rows whose text (column ``at``) holds a pattern, once a pattern, with that pattern as the last column."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for p in patterns:
+            automaton.add_word(p, p)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, hits = [], []
+            for i, text in enumerate(batch.column(at).to_pylist()):
+                found = {p for _, p in automaton.iter(text)} if text else ()
+                rows += [i] * len(found)
+                hits += found
+            if rows:
+                out = batch.take(pa.array(np.array(rows)))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(hits, pa.string())], names=[*out.schema.names, "_hit"])
+    return run
 
-def contains_first(patterns: DataFrame, titles: DataFrame, *, pattern: str, title: str, title_key: str,
-                   title_order: str, extra: F.Column | None = None) -> DataFrame:
-    """For each distinct ``pattern`` value, the first title (by ``title_order``) containing it.
 
-    An empty pattern matches nothing (it would otherwise pair with every title).
+def contains_first(patterns: DataFrame, titles: DataFrame, *, pattern: str, title: str, title_key: str, title_order: str,
+                   extra: Column | None = None, per_block: int = PATTERNS_A_BLOCK) -> DataFrame:
+    """For each distinct row of ``patterns``, the first title (by ``title_order``, then key) that contains its ``pattern``.
 
-    ``extra`` is an optional additional predicate over pattern and title
-    columns (e.g. a state-code test). Returns the pattern columns plus
-    ``title_key`` for patterns with a match.
+    An empty or NULL pattern matches nothing, nor does a NULL title. ``extra`` is an
+    optional predicate over pattern and title columns (e.g. a state-code test).
+    Returns the pattern columns plus ``title_key`` for patterns with a match.
     """
-    pcols = patterns.columns
-    P = patterns.distinct()
-    T = titles
-    tg = T.select(title_key, F.explode(F.array_distinct(F.concat(
-        _grams(F.col(title), 1), _grams(F.col(title), 2), _grams(F.col(title), 3)))).alias("_gram"))
-    freq = tg.groupBy("_gram").agg(F.count(F.lit(1)).alias("_f"))
-    pg = P.select(*pcols, F.explode(F.array_distinct(_grams(F.col(pattern), 3))).alias("_gram")).where(
-        F.length(pattern) >= 3)
-    pg_short = P.where((F.length(pattern) < 3) & (F.length(pattern) > 0)).select(*pcols, F.col(pattern).alias("_gram"))
-    pg = pg.unionByName(pg_short)
-    rare = (pg.join(freq, "_gram", "left")
-            .groupBy(*pcols).agg(F.min_by("_gram", F.struct(F.coalesce("_f", F.lit(0)), F.col("_gram"))).alias(
-                "_gram")))
-    cand = rare.join(tg, "_gram").drop("_gram").join(T, title_key)
-    cond = F.instr(F.col(title), F.col(pattern)) > 0
+    columns = patterns.columns
+    rows = patterns.distinct().where(F.length(pattern) > 0).checkpoint()
+    texts = rows.select(pattern).distinct()
+    blocks = max(1, math.ceil(texts.count() / per_block))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in titles.schema.fields) + ", _hit string"
+    hits = None
+    for b in range(blocks):
+        block = [r[0] for r in texts.where(F.pmod(F.xxhash64(pattern), F.lit(blocks)) == b).collect()]  # about ``per_block``
+        if block:
+            part = titles.mapInArrow(_find(block, titles.columns.index(title)), fields)
+            hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        return rows.withColumn(title_key, F.lit(None).cast(titles.schema[title_key].dataType))  # no rows either
+    met = hits.join(rows, F.col("_hit") == rows[pattern])
     if extra is not None:
-        cond = cond & extra
-    hits = cand.where(cond)
+        met = met.where(extra)
     best = F.min_by(F.col(title_key), F.struct(F.col(title_order), F.col(title_key)))
-    return hits.groupBy(*pcols).agg(best.alias(title_key))
+    return met.groupBy(*columns).agg(best.alias(title_key))

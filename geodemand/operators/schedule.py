@@ -21,6 +21,7 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geodemand.functions.constants import LONG_ROUTE_KM
 from geodemand.functions.geo import haversine_km
 from geodemand.functions.timefmt import hhmmss_to_seconds
 
@@ -127,7 +128,7 @@ def route_length(extent: DataFrame, trips: DataFrame, stops: DataFrame) -> DataF
 
 
 def stop_service_measures(stop_times: DataFrame, trips: DataFrame, stops: DataFrame,
-                          long_km: float = 500.0) -> DataFrame:
+                          long_km: float = LONG_ROUTE_KM) -> DataFrame:
     """Per-stop service measures by two levels of partial aggregation.
 
     ``trips`` must carry route_id, direction_id (0 to 62; feeds use 0 and 1) and
@@ -174,7 +175,7 @@ def stop_service_measures(stop_times: DataFrame, trips: DataFrame, stops: DataFr
     return agg.join(stops, "stop_id", "left")
 
 
-def stop_long_share(stop_times: DataFrame, trips: DataFrame, stops: DataFrame, long_km: float = 500.0) -> DataFrame:
+def stop_long_share(stop_times: DataFrame, trips: DataFrame, stops: DataFrame, long_km: float = LONG_ROUTE_KM) -> DataFrame:
     """Share of a stop's distinct routes whose representative length exceeds ``long_km``.
 
     Dedupe to (stop, route) first, then average a 0/1 flag; routes without a
