@@ -23,7 +23,7 @@ class Phrases:
     ``owners[owner_first[w]:owner_first[w + 1]]`` are the items of window w.
     """
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.item_ids = [i for i, _ in items]
         raw, off = utf8(pa.array([t for _, t in items], pa.string()))
         raw = lower_ascii(raw)
@@ -160,7 +160,8 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_bytes: in
             spans[r].append([a, b])
         items: list[set] = [set() for _ in range(len(words))]
         for r, i in zip(hit_row.tolist(), item.tolist()):
-            items[r].add(phrases.item_ids[i])
+            if phrases.item_ids[i] is not None:
+                items[r].add(phrases.item_ids[i])
         if again:
             spans = [_merge(a, b) for a, b in zip(table["spans"].to_pylist(), spans)]
             items = [a | set(b) for a, b in zip(items, table["items"].to_pylist())]
@@ -184,7 +185,7 @@ def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, blo
     """Broadcast phrases of the items, dealt by hash into blocks of about ``block_bytes`` of text."""
     sc = benchmark.sparkSession.sparkContext
     items = pick(benchmark, id=item_col, text=text_col).select(F.col("id").cast("string").alias("id"), "text")
-    items = items.where("id is not null and text is not null")
+    items = items.where("text is not null")
     sizes = items.select(F.octet_length("text").cast("long").alias("b"))
     total = sizes.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
@@ -272,8 +273,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     searched in blocks of whole items of at most ``block_bytes`` (or one item),
     one pass over the texts each, so what is sent to the tasks is bounded.
 
-    Null or wordless texts and items match nothing; null item ids are left out;
-    items with equal ids are one item. Repeated and null document ids are kept row
+    Null or wordless texts and items match nothing; items with a null id are
+    searched as others are, but not listed; items with equal ids are one item. Repeated and null document ids are kept row
     by row. Empty tables are allowed on either side; other columns are ignored.
     Returns id, text, n_words, spans (array of [first word, end word)) and items
     (ids as strings, sorted).
