@@ -17,8 +17,11 @@ a block:
    without a bound of one, and what may pair with them, meet by characters in
    the same way. Pairs whose lengths, common bigrams or common characters rule
    the score out are dropped before they are scored.
-   Token-set scores do not depend on the order of the words: their bigrams are
-   those within words (a bound smaller by two for each gap). Where the shared
+   Token-set scores do not depend on the order of the words. Where the whole texts
+   decide, they have ``ceil(t * (la+lb) / 2)`` characters in common, repeats counted,
+   so of the first ``l - common + k`` characters, rare first, at least ``k`` are the
+   same: texts meet by sets of ``k`` such characters, made for each length that a
+   partner can have, so a long text meets long ones alone. Where the shared
    words decide, they make up ``t/(2-t)`` of one side, so one of that side's rarest
    words, up to where the rest falls short of it, is among the other's words.
 4. Native scores on candidates only, then the best partner by (score
@@ -85,57 +88,97 @@ def _token_arrays(forms: DataFrame, by_word: bool) -> DataFrame:
         {k: F.coalesce(k, F.array().cast("array<struct<f:bigint,tok:string,len:int>>")) for k in "buw"})
 
 
-def _candidates(left: DataFrame, right: DataFrame, t: float, by_word: bool) -> DataFrame:
-    """Distinct (_blk, _lf, _rf) of all pairs that may reach ``t``, with both forms' words and the left one's masks."""
+def _first(name: str, count: Column) -> Column:
+    return F.transform(F.slice(name, F.lit(1), F.greatest(count, F.lit(0)).cast("int")), lambda x: F.concat(F.lit(f"{name}:"), x["tok"]))
+
+
+def _spread(df: DataFrame, name: str, keys: Column) -> DataFrame:
+    return df.select("_blk", F.col("_form").alias(name), F.explode(keys).alias("tok"))
+
+
+def _meet(left: DataFrame, right: DataFrame, routes: list[tuple[Column, Column]]) -> DataFrame:
+    """(_blk, _lf, _rf) of the forms that share a key on one of the routes, repeats included."""
+    pairs = None
+    for of_left, of_right in routes:
+        met = _spread(left, "_lf", of_left).join(_spread(right, "_rf", of_right), ["_blk", "tok"]).select("_blk", "_lf", "_rf")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs
+
+
+def _by_grams(left: DataFrame, right: DataFrame, t: float, bound: Column) -> DataFrame:
+    """Pairs by rare bigrams; by rare characters where a text has no bound on bigrams, and for what may pair with it."""
     n = F.length("_form")
-    bound = F.lit(0)
-    if t > 2.0 / 3.0:
-        bound = F.ceil(F.lit(1.5 * t - 1.0) * (n + n * F.lit(t / (2.0 - t))) - F.lit(1.0 + 1e-9))
-        if by_word:
-            bound = bound - 2 * (F.size("words") - 1)
     strong = bound >= 1
-    whole = t >= 1.0 and by_word  # only containment scores 100
-    weakest = None if whole else left.unionByName(right).agg(F.max(F.when(~strong, n))).first()[0]
+    weakest = left.unionByName(right).agg(F.max(F.when(~strong, n))).first()[0]
     reach = -1 if weakest is None else max(weakest, math.floor(weakest * (2.0 - t) / t + 1e-9))
     common = F.ceil(F.lit(t) * (n + n * F.lit(t / (2.0 - t))) / 2.0 - 1e-9)
+    none = F.array().cast("array<string>")
+    keys = F.concat(F.when(strong, _first("b", F.size("b") - bound + 1)).otherwise(none),
+                    F.when(n <= reach, _first("u", F.greatest(F.size("u") - common + 1, F.lit(1)))).otherwise(none))
+    nl, nr = F.length("_lf"), F.length("_rf")
+    return _meet(left, right, [(keys, keys)]).where(2 * F.least(nl, nr) >= F.lit(t) * (nl + nr) - F.lit(1e-9))
 
-    def first(name: str, count: Column) -> Column:
-        return F.transform(F.slice(name, F.lit(1), F.greatest(count, F.lit(0)).cast("int")),
-                           lambda x: F.concat(F.lit(f"{name}:"), x["tok"]))
 
-    none = F.array().cast("array<string>")
-    both = none if whole else F.concat(F.when(strong, first("b", F.size("b") - bound + 1)).otherwise(none),
-                                       F.when(n <= reach, first("u", F.greatest(F.size("u") - common + 1, F.lit(1)))).otherwise(none))
+def _character_sets(t: float, is_left: bool) -> Column:
+    """A form's hashed sets of rare characters, for each length of a partner that may reach ``t``.
+
+    With ``common`` characters shared, the ``k`` rarest shared ones stand among the first
+    ``length - common + k`` of either text. Both texts take the same ``k``, from their two
+    lengths: as many as keep the sets of the longer one near a hundred. Equal hashes of
+    different sets only add a pair that is scored.
+    """
+    n = F.length("_form")
+    partners = F.sequence(F.greatest(F.lit(1), F.ceil(n * F.lit(t / (2.0 - t)) - F.lit(1e-9))).cast("int"),
+                          F.floor(n * F.lit((2.0 - t) / t) + F.lit(1e-9)).cast("int"))
+    plan = F.transform(partners, lambda m: F.struct(m.alias("m"), F.ceil(F.lit(t) * (n + m) / 2.0 - F.lit(1e-9)).cast("int").alias("common")))
+
+    def grown(state: Column, last: Column) -> Column:
+        return F.flatten(F.transform(state, lambda s: F.transform(F.sequence(s["at"], last), lambda i: F.struct(
+            F.xxhash64(s["h"], F.element_at("rare", i)).alias("h"), (i + 1).alias("at")))))
+
+    def sets(p: Column) -> Column:
+        spare = F.greatest(n, p["m"]) - p["common"]
+        k = F.least(p["common"], F.when(spare <= 4, 4).when(spare <= 7, 3).when(spare <= 14, 2).otherwise(1))
+        seed = F.xxhash64(n, p["m"]) if is_left else F.xxhash64(p["m"], n)
+        state = F.array(F.struct(seed.alias("h"), F.lit(1).alias("at")))
+        for step in range(4):
+            more = grown(state, n - p["common"] + step + 1)
+            state = more if step == 0 else F.when(F.lit(step) < k, more).otherwise(state)
+        return F.transform(state, lambda s: s["h"])
+
+    return F.flatten(F.transform(plan, sets))
+
+
+def _by_words(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
+    """Pairs whose shared words decide, and (below 100) pairs by sets of rare characters."""
     rest = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.aggregate(
         F.slice("w", i, F.size("w")), F.lit(-1), lambda acc, x: acc + x["len"] + 1))
-    decisive = F.size(F.filter(rest, lambda r: r >= n * F.lit(t / (2.0 - t)) - F.lit(1e-9)))
-    if not whole:
-        decisive = F.when(strong, decisive).otherwise(F.size("w"))
-    blank = F.size("w") == 0
-
-    def side(df: DataFrame, name: str, tags: Column) -> DataFrame:
-        return df.select("_blk", F.col("_form").alias(name), F.explode(tags).alias("tok"))
+    decisive = F.size(F.filter(rest, lambda r: r >= F.length("_form") * F.lit(t / (2.0 - t)) - F.lit(1e-9)))
+    some, every = _first("w", decisive), _first("w", F.size("w"))
+    pairs = _meet(left, right, [(some, every), (every, some)])
+    if t >= 1.0:  # only containment scores 100
+        return pairs
+    rare = F.transform("u", lambda x: F.xxhash64(x["tok"]))
+    return pairs.unionByName(_meet(left.withColumn("rare", rare), right.withColumn("rare", rare),
+                                   [(_character_sets(t, True), _character_sets(t, False))]))
 
-    def words(count: Column) -> Column:
-        return F.when(blank, none).otherwise(first("w", count))
 
-    routes = [] if whole else [(both, both)]
-    if by_word:
-        routes += [(words(decisive), words(F.size("w"))), (words(F.size("w")), words(decisive))]
-    pairs = None
-    for of_left, of_right in routes:
-        met = side(left, "_lf", of_left).join(side(right, "_rf", of_right), ["_blk", "tok"]).select("_blk", "_lf", "_rf")
-        pairs = met if pairs is None else pairs.unionByName(met)
+def _candidates(left: DataFrame, right: DataFrame, t: float, by_word: bool) -> DataFrame:
+    """Distinct (_blk, _lf, _rf) of all pairs that may reach ``t``, with both forms' words and the left one's masks."""
+    n = F.length("_form")
+    bound = F.lit(0)
+    if t > 2.0 / 3.0:
+        bound = F.ceil(F.lit(1.5 * t - 1.0) * (n + n * F.lit(t / (2.0 - t))) - F.lit(1.0 + 1e-9))
+        if by_word:  # bigrams are those within words: two less for each gap
+            bound = bound - 2 * (F.size("words") - 1)
     nl, nr = F.length("_lf"), F.length("_rf")
-    if not by_word:
-        pairs = pairs.where(2 * F.least(nl, nr) >= F.lit(t) * (nl + nr) - F.lit(1e-9))
     own = ["words", "bigrams", "repeats", "letters", "masks", "bound"]
-    pairs = pairs.distinct()
+    pairs = (_by_words(left, right, t) if by_word else _by_grams(left, right, t, bound)).distinct()
     for df, form, tag in ((left, "_lf", "l_"), (right, "_rf", "r_")):
         facts = df.withColumn("bound", bound).select("_blk", F.col("_form").alias(form), *[F.col(c).alias(tag + c) for c in own])
         pairs = pairs.join(facts, ["_blk", form])
     out = ["_blk", "_lf", "_rf", "l_words", "r_words", "l_masks"]
-    if whole:
+    if t >= 1.0 and by_word:
         return pairs.select(out)
     # bigrams in common, at most: distinct ones and the repeats of either text
     shared = F.size(F.array_intersect("l_bigrams", "r_bigrams")) + F.least("l_repeats", "r_repeats")

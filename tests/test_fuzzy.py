@@ -73,6 +73,37 @@ def test_candidates_are_few(spark, monkeypatch):
         assert sum(scored) < 0.1 * 600 * 600, (scorer, scored)
 
 
+def test_token_set_pairs_are_pruned_before_they_meet(spark, monkeypatch):
+    """Joined rows (repeats counted) of two-word names, with one many-word name more, and with a word common to all."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(4, 9)))
+    left, right = ([f"{word()} {word()}" for _ in range(300)] for _ in range(2))
+    right[7] = left[11][:-1] + "#"
+    met = []
+    by_words = M._by_words
+
+    def counted(*args):
+        pairs = by_words(*args).cache()
+        met.append(pairs.count())
+        return pairs
+
+    def joined(lt, rt):
+        met.clear()
+        got = {r.lid: (r.rid, r.score) for r in similarity_join(
+            spark.createDataFrame(list(enumerate(lt)), "lid int, lt string"), spark.createDataFrame(list(enumerate(rt)), "rid int, rt string"),
+            left_id="lid", left_text="lt", right_id="rid", right_text="rt", threshold=80, scorer="token_set").collect()}
+        assert got == _brute([(i, x, None) for i, x in enumerate(lt)], [(i, x, None) for i, x in enumerate(rt)], T.token_set_ratio, 80, False)
+        return sum(met)
+
+    monkeypatch.setattr(M, "_by_words", counted)
+    plain = joined(left, right)
+    assert plain < 0.1 * len(left) * len(right), plain
+    long = " ".join(word() for _ in range(10))
+    assert joined([*left, long], [*right, long + "x"]) < plain + 200
+    common = joined([x.split()[0] + " central" for x in left], [x.split()[0] + " central" for x in right])
+    assert common < 0.1 * len(left) * len(right), common
+
+
 def test_known_scores():
     assert T.indel_ratio("new york", "york new") == pytest.approx(50.0)
     assert T.token_sort_ratio("new york", "york new") == 100.0
