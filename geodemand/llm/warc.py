@@ -7,7 +7,8 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
+from uuid import uuid4
 
 import pyarrow as pa
 from pyarrow import fs
@@ -15,13 +16,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geodemand.llm.common import pick, prepare
+from geodemand.llm.common import pick, prepare, text_slices
 
 MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
 _KEY = "urn:x-page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 18
+_SLICE = 4 << 20
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -44,7 +46,7 @@ def record(kind: str, key: str | None, uri: str | None, payload: bytes, digest:
     """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{_KEY}{'' if key is None else key}>", f"WARC-Date: {date}",
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{_KEY}{'' if key is None else quote(key, safe='')}>", f"WARC-Date: {date}",
             f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}",
             "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if uri is not None:
@@ -52,7 +54,7 @@ def record(kind: str, key: str | None, uri: str | None, payload: bytes, digest:
     if offset is not None:
         head.append(f"X-Offset: {offset}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <{_KEY}{refers_to}>", f"WARC-Profile: {_PROFILE}"]
+        head += [f"WARC-Refers-To: <{_KEY}{quote(refers_to, safe='')}>", f"WARC-Profile: {_PROFILE}"]
     return "\r\n".join(["WARC/1.1", *head, "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -153,14 +155,33 @@ def record_starts(source, size: int, begin: int, stop: int) -> list[int]:
     return []
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str, level: int) -> Iterator[pa.RecordBatch]:
+def _publish(system: fs.FileSystem, part: str, final: str) -> None:
+    """Give a whole archive its name; a task that runs again finds the same rows there and leaves them.
+
+    Some file systems refuse to move onto a name that exists, others replace the file; either is right.
+    """
+    if not _exists(system, final):
+        try:
+            system.move(part, final)
+            return
+        except OSError:
+            if not _exists(system, final):
+                raise
+    system.delete_file(part)
+
+
+def _exists(system: fs.FileSystem, path: str) -> bool:
+    return system.get_file_info(path).type != fs.FileType.NotFound
+
+
+def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str, level: int, run: str) -> Iterator[pa.RecordBatch]:
     """One archive a task, under a name of the attempt until it is whole, so that a lost task leaves no half file."""
     context = TaskContext.get()
     system, path = open_folder(folder)
-    final = f"{path}/part-{context.partitionId():06d}.warc.gz"
-    part = f"{path}/_attempt-{context.taskAttemptId()}"
+    final = f"{path}/part-{run}-{context.partitionId():06d}.warc.gz"
+    part = f"{path}/_attempt-{run}-{context.taskAttemptId()}"
     records, out = 0, None
-    for batch in batches:
+    for batch in text_slices(batches, "payload", _SLICE):
         for row in batch.to_pylist():
             payload = (row["payload"] or "").encode()
             digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
@@ -175,7 +196,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str, level: int
             records += 1
     if out is not None:
         out.close()
-        system.move(part, final)
+        _publish(system, part, final)
         yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([records], pa.int64())], names=["file", "records"])
 
 
@@ -188,10 +209,16 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", uri_co
     partial aggregation of digests and joined back over ``salts`` parts of each
     digest, so copies of one page spread over tasks. A null payload is empty. A
     null id is smaller than any and stays a response if all copies have null
-    ids; repeated rows of the largest id are all responses.
+    ids; repeated rows of the largest id are all responses. A folder that holds
+    archives already is refused; a task that runs again writes nothing twice.
     """
     spark = pages.sparkSession
     prepare(spark)
+    system, path = open_folder(folder)
+    present = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    if any(f.base_name.endswith(".warc.gz") for f in present):
+        raise FileExistsError(f"{folder} holds archives")
+    run = uuid4().hex
     rows = pick(pages, id=id_col, uri=uri_col, payload=payload_col)
     rows = rows.select("id", "uri", "payload", F.sha1(F.encode(F.coalesce("payload", F.lit("")), "UTF-8")).alias("digest"),
                        F.pmod(F.xxhash64("id", "uri"), F.lit(salts)).alias("salt"))
@@ -199,7 +226,7 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", uri_co
     first = first.where("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     rows = rows.join(first.hint("shuffle_hash"), ["digest", "salt"], "left")
     rows = rows.select(F.col("id").cast("string").alias("key"), "uri", "payload", "digest", "first")
-    done = rows.mapInArrow(lambda b: _write(b, folder, date, level), "file string, records long")
+    done = rows.mapInArrow(lambda b: _write(b, folder, date, level, run), "file string, records long")
     return done.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
 
 
@@ -214,7 +241,7 @@ def _read(batches: Iterator[pa.RecordBatch], split: int, with_payload: bool, sch
                     data: list[bytes] = []
                     _member(source, at, data)
                     fields, payload = parse(b"".join(data))
-                    key = lambda name: (fields.get(name) or "").strip("<>").removeprefix(_KEY) or None  # noqa: B023, E731
+                    key = lambda name: unquote((fields.get(name) or "").strip("<>").removeprefix(_KEY)) or None  # noqa: B023, E731
                     kind = fields.get("warc-type")
                     stated = (fields.get("warc-payload-digest") or "").partition(":")[2] or None
                     own = kind != "revisit"
@@ -234,11 +261,14 @@ _FIELDS = ("key string, uri string, record_type string, payload_bytes long, payl
            "refers_to string, payload binary, file string, offset long")
 
 
-def read_warc(spark: SparkSession, folder: str, *, split: int = 4 << 20, with_payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, *, split: int = 4 << 20, with_payload: bool = True,
+              ranges_per_task: int = 64) -> DataFrame:
     """Records of the ``*.warc.gz`` archives in ``folder``, one row each.
 
     Archives are cut in byte ranges of ``split`` that are read independently; a
-    task owns the records that start in its range, see :func:`record_starts`.
+    range owns the records that start in it, see :func:`record_starts`. A task reads
+    up to ``ranges_per_task`` of them one after the other, fewer where there are not
+    enough to give each core of the session three tasks.
     ``payload_digest`` is computed from the payload that was read (for revisits
     the stated one is all there is); a damaged archive raises.
     """
@@ -252,4 +282,6 @@ def read_warc(spark: SparkSession, folder: str, *, split: int = 4 << 20, with_pa
                             for n, t in (f.split() for f in _FIELDS.split(", "))])
         return _read(batches, split, with_payload, schema)
 
-    return ranges.repartition(max(1, ranges.count())).mapInArrow(run, _FIELDS)
+    n = ranges.count()
+    tasks = max(-(-n // ranges_per_task), min(n, 3 * spark.sparkContext.defaultParallelism), 1)
+    return ranges.repartition(tasks).mapInArrow(run, _FIELDS)

@@ -7,8 +7,11 @@ import io
 import random
 import zlib
 
+import pyarrow as pa
+import pyarrow.fs
 import pytest
 
+from geodemand.llm import warc as W
 from geodemand.llm.warc import MAGIC, parse, read_warc, record, record_starts, write_warc
 
 
@@ -52,6 +55,56 @@ def test_archives_are_plain_concatenated_gzip(spark, tmp_path):
     assert not list((tmp_path / "w").glob("_attempt*"))
 
 
+@pytest.mark.parametrize("refuses", [False, True])
+def test_a_task_that_runs_again_adds_nothing(tmp_path, monkeypatch, refuses):
+    """Also where a move onto a name that exists is refused and where the other attempt ends in between."""
+    attempt = [0]
+
+    class Context:
+        partitionId = staticmethod(lambda: 3)
+        taskAttemptId = staticmethod(lambda: attempt[0])
+
+    class Refusing:
+        def __init__(self, system):
+            self.system, self.asked = system, 0
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+        def get_file_info(self, path):
+            self.asked += 1
+            return self.system.get_file_info(path if self.asked > 1 else path + "-not-yet")
+
+        def move(self, a, b):
+            if self.system.get_file_info(b).type != pa.fs.FileType.NotFound:
+                raise OSError("exists")
+            self.system.move(a, b)
+
+    plain = W.open_folder
+    monkeypatch.setattr(W, "TaskContext", type("T", (), {"get": staticmethod(Context)}))
+    if refuses:
+        monkeypatch.setattr(W, "open_folder", lambda uri: (Refusing(plain(uri)[0]), plain(uri)[1]))
+    batch = pa.RecordBatch.from_pylist([{"key": str(i), "uri": "u", "payload": "x" * i, "digest": hashlib.sha1(b"x" * i).hexdigest(), "first": None}
+                                        for i in range(5)])
+    counts = []
+    for attempt[0] in range(3):
+        counts += [n for b in W._write(iter([batch]), f"{tmp_path}/w", "2024-01-01T00:00:00Z", 6, "r") for n in b["records"].to_pylist()]
+    assert counts == [5, 5, 5]
+    assert [p.name for p in (tmp_path / "w").iterdir()] == ["part-r-000003.warc.gz"]
+
+
+def test_ids_with_signs_and_ranges_in_one_task(spark, tmp_path):
+    ids = ["<a>", "b\r\nX: y", "50%25 é", "plain"]
+    pages = spark.createDataFrame([(i, "http://x/", "same" if k < 2 else f"own{k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    folder = f"{tmp_path}/w"
+    assert write_warc(pages, folder) == 4
+    few = read_warc(spark, folder, split=64, ranges_per_task=1000)
+    got = {r.key: (r.record_type, r.refers_to) for r in few.collect()}
+    assert got == {"<a>": ("revisit", "b\r\nX: y"), **{i: ("response", None) for i in ids[1:]}}
+    with pytest.raises(FileExistsError):
+        write_warc(pages, folder)
+
+
 def test_empty_table_writes_nothing(spark, tmp_path):
     assert write_warc(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/w") == 0
 
