@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from geodemand.llm.common import hash_words, mix64, pick, prepare, text_slices, utf8, word_bounds, word_table
 
 _SLICE = 1 << 20
+_SLOTS = 1 << 20
 #: Tokens are runs of letters, digits and non-ASCII characters and, between them, runs of signs that are no blanks.
 _WORD = word_table(bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 _SIGN = ~_WORD & ~word_table(bytes(range(0x21))) & ~word_table(b"\x7f")
@@ -86,6 +87,18 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int =
     return low
 
 
+def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id falls into one of ``_SLOTS`` hash slots that ``ids`` fill, so other texts are not shuffled.
+
+    At most ``_SLOTS`` numbers are broadcast, whatever the number of ids. Ids of another type than
+    the rows' have other hashes; then all rows stay.
+    """
+    if rows.schema["id"].dataType != ids.schema["id"].dataType:
+        return rows
+    slot = F.pmod(F.xxhash64("id"), F.lit(_SLOTS)).alias("slot")
+    return rows.select("*", slot).join(F.broadcast(ids.select(slot).distinct()), "slot", "left_semi").drop("slot")
+
+
 def resample(docs: DataFrame, target_ids: DataFrame, fraction: float, *, id_col: str = "doc_id", text_col: str = "text",
              buckets: int = 1 << 16, per_word: bool = False, seed: int = 11) -> DataFrame:
     """Importance weight of every row and the ``fraction`` of rows that Gumbel top-k draws.
@@ -108,7 +121,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, fraction: float, *, id_col:
     rows = pick(docs, id=id_col, text=text_col)
     ids = target_ids.toDF("id").dropna().distinct().hint("shuffle_hash")
     raw = bucket_counts(rows.select("text"), buckets)
-    target = bucket_counts(rows.join(ids, "id", "left_semi").select("text"), buckets)
+    target = bucket_counts(_maybe_in(rows, ids).join(ids, "id", "left_semi").select("text"), buckets)
     weights = spark.sparkContext.broadcast(log_ratio(target, raw))  # ``buckets`` doubles
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ import corpus_pipeline
 from geodemand.llm.common import hash_words, mix64, utf8
 from geodemand.llm.langid import held_out, identify, learn_languages, training_rows
 from geodemand.llm.packing import encoder, tokenizer_path
-from geodemand.llm.resample import features, kth_largest, log_ratio, resample
+from geodemand.llm.resample import _maybe_in, features, kth_largest, log_ratio, resample
 from geodemand.llm.secrets import find_spans, redacted
 from tests.llm.tables import documents, empty_documents
 from tests.llm.test_decontaminate import by_hand
@@ -57,6 +57,17 @@ def test_weights_by_hand(spark):
     assert {r.log_weight for r in resample(docs, ids.limit(0), 0.5).collect()} == {0.0}
     assert resample(empty_documents(spark), ids, 0.5).count() == 0
     assert not any(r.kept for r in resample(docs, ids, 0.0).collect())
+    other = {r.doc_id: r.log_weight for r in resample(docs, ids.select(F.col("x").cast("int")), 0.3, buckets=512).collect()}
+    assert other.keys() == have.keys()  # ids of another type: the same weights
+    assert all(any(math.isclose(w, v, abs_tol=1e-6) for v in have[k]) for k, w in other.items())
+
+
+def test_slots_keep_every_target_and_few_others(spark):
+    rows = spark.range(20_000).select("id", F.lit("t").alias("text"))
+    ids = spark.range(0, 20_000, 20).toDF("id")
+    kept = {r.id for r in _maybe_in(rows, ids).collect()}
+    assert kept >= set(range(0, 20_000, 20)) and len(kept) < 1_200
+    assert _maybe_in(rows, ids.select(F.col("id").cast("int"))).count() == 20_000
 
 
 def test_features_do_not_cross_rows():
