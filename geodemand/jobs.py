@@ -16,7 +16,7 @@ from geodemand.functions.constants import (COORD_MATCH_KM, FACILITY_RADIUS_KM, F
 from geodemand.operators import schedule as S
 from geodemand.operators import spatial as SP
 from geodemand.operators.matching import cascade, similarity_join
-from geodemand.operators.rows import first_non_null, ordered_text
+from geodemand.operators.rows import first_non_null, ordered_text, spread
 
 
 def _right(df: DataFrame, key: str, *carry: str) -> DataFrame:
@@ -48,7 +48,8 @@ def resolve_observations(observations: DataFrame, sites: DataFrame, overrides: d
     spark = observations.sparkSession
     id_kind = sites.schema["site_id"].dataType
     given = spark.createDataFrame(list((overrides or {}).items()), f"raw_name string, match_id {id_kind.simpleString()}")
-    named, known = _named(observations, "raw_name"), _named(sites, "name")
+    named, known = _named(spread(observations, "obs_id"), "raw_name").checkpoint(), _named(sites, "name")
+    observations = named
     right = sites.select("site_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("state").alias("r_state"))
     near = SP.nearest_unbounded(observations.select("obs_id", "lat", "lon"), right, left_id="obs_id", right_id="site_id", carry=["r_state"])
     flagged = observations.join(near, "obs_id", "left").select(

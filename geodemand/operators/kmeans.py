@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geodemand.operators.rows import spread
+
 _SEEDS = 4096  # rows that the starting centres are drawn from
 
 
@@ -57,7 +59,7 @@ def fit_centres(df: DataFrame, k: int = 20, seed: int = 42, restarts: int = 10,
     coordinates take no part; fewer than k distinct rows give centres that coincide.
     """
     rows = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
-    rows = rows.checkpoint()
+    rows = spread(rows, "lat", "lon").checkpoint()
     sample = np.array([(r.lat, r.lon) for r in rows.orderBy(F.xxhash64("lat", "lon", F.lit(seed)), "lat", "lon").limit(_SEEDS).collect()])
     if not len(sample):
         return np.zeros((0, 2))

@@ -47,6 +47,14 @@ def order_struct(df: DataFrame, order: Sequence[tuple[str, bool]]) -> Column:
     return F.struct(*parts)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many partitions as the session shuffles to, for small rows with much work on each.
+
+    Partitions are else merged by the bytes that they hold, and a table of one file part stays in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
     """One row per key: the first under ``order`` (a total order must be given for determinism)."""
     cols = [c for c in df.columns if c not in keys]

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geodemand.functions.geo import EARTH_RADIUS_KM, cell_columns, cell_side, haversine_km, unit_xyz
+from geodemand.operators.rows import spread
 
 _CELLS = ("_cx", "_cy", "_cz")
 _OFFSETS = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)]
@@ -329,7 +330,8 @@ def radius_rollup(left: DataFrame, right: DataFrame, radius_km: float | Sequence
         parts.append(met.where(any_in).select(*key, *[
             F.when(F.col(f"_in{i}"), F.col(f"_m_{n}")).alias(o) for (n, i), o in outs.items()]))
         leaf = F.lit(pyramid.side_of(level) < _SMALLEST) | (F.col("_n") <= LEAF_SUM)
-        open_ = met.where(any_cut & leaf).select(*key, "_lx", "_ly", "_lz", *_CELLS, *[f"_cut{i}" for i in range(len(radii))]).join(
+        open_ = met.where(any_cut & leaf).select(*key, "_lx", "_ly", "_lz", *_CELLS, *[f"_cut{i}" for i in range(len(radii))])
+        open_ = spread(open_, *pyramid.blocks, *_CELLS).join(
             pyramid.located(level), [*pyramid.blocks, *_CELLS])
         chord = reduce(add, [(F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in (("_lx", "_x"), ("_ly", "_y"), ("_lz", "_z"))])
         open_ = open_.withColumn("_d2", chord).where(F.col("_d2") <= _chord2(max(radii)) * (1 + _MARGIN) + 1e-18)

@@ -13,7 +13,7 @@ from geodemand.operators import spatial as SP
 from geodemand.operators.contains import contains_first
 from geodemand.operators.enrich import map_constant
 from geodemand.operators.matching import similarity_join
-from geodemand.operators.rows import first_non_null, ordered_text
+from geodemand.operators.rows import first_non_null, ordered_text, spread
 from geodemand.plans.fixture_sql import r6, with_fx
 from geodemand.plans.fixtures import Fixtures
 from geodemand.plans.q_spatial import _NEAREST_SQL, match_in_block, nearest_any_block
@@ -36,7 +36,7 @@ def _sql_str(s: str) -> str:
 def obs_names(obs):
     """Split '#' into its own token, take the city part, normalise (both sides get the same treatment)."""
     city_raw = T.extract_city("raw_name")
-    return obs.withColumns({"city_raw": city_raw}).withColumn(
+    return spread(obs, "obs_id").withColumns({"city_raw": city_raw}).withColumn(
         "city_norm", T.normalise_city(F.replace(F.col("city_raw"), F.lit("#"), F.lit(" #"))))
 
 
@@ -193,7 +193,7 @@ def token_set_ratio_q(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     o = fx.obs().select("obs_id", "true_site", T.clean_stop_name("raw_name").alias("clean_name"))
     s = fx.sites().select(F.col("site_id").alias("true_site"), F.col("name").alias("site_name"))
-    j = o.join(s, "true_site")
+    j = spread(o.join(s, "true_site"), "obs_id")
     return j.select("obs_id", "true_site", T.token_set_ratio("clean_name", "site_name").alias("score"))
 
 
