@@ -64,7 +64,7 @@ def fit_centres(df: DataFrame, k: int = 20, seed: int = 42, restarts: int = 10,
     if not len(sample):
         return np.zeros((0, 2))
     centres = np.stack([_starting_centres(sample, k, np.random.default_rng([seed, i])) for i in range(restarts)])
-    spread = float(sample.var(axis=0).mean())
+    extent = float(sample.var(axis=0).mean())
     cost = np.full(restarts, np.inf)
     moving = np.arange(restarts)
     while len(moving):
@@ -77,7 +77,7 @@ def fit_centres(df: DataFrame, k: int = 20, seed: int = 42, restarts: int = 10,
             here[s.r] += s.cost
         cost[moving] = here
         centres[moving] = new
-        moving = moving[((new - old) ** 2).sum(axis=(1, 2)) > tolerance * spread]
+        moving = moving[((new - old) ** 2).sum(axis=(1, 2)) > tolerance * extent]
     return centres[int(cost.argmin())]
 
 

@@ -189,3 +189,32 @@ def test_cascade_covers_every_row_once(spark, sf_small):
     assert c.select("obs_id").distinct().count() == c.count()
     methods = {r[0] for r in c.select(F.regexp_extract("match_method", r"^([a-z_]+)", 1)).distinct().collect()}
     assert methods <= {"override", "no_state_candidates", "coord", "fuzzy", "unmatched"}
+
+
+def test_numbered_names_meet_few(spark, monkeypatch):
+    """Names of one form that differ in their digits meet those with nearly all digits in the same order only."""
+    right = [f"#{i:09d} supplier" for i in range(0, 4000, 4)]
+    left = [f"#{i:09d} supplier" for i in range(1, 1200, 4)]
+    met = []
+    by_grams = M._by_grams
+
+    def counted(*args):
+        pairs = by_grams(*args).cache()
+        met.append(pairs.distinct().count())
+        return pairs
+
+    monkeypatch.setattr(M, "_by_grams", counted)
+    got = {r.lid: (r.rid, r.score) for r in similarity_join(
+        spark.createDataFrame(list(enumerate(left)), "lid int, lt string"), spark.createDataFrame(list(enumerate(right)), "rid int, rt string"),
+        left_id="lid", left_text="lt", right_id="rid", right_text="rt", threshold=85).collect()}
+    assert got == _brute([(i, x, None) for i, x in enumerate(left)], [(i, x, None) for i, x in enumerate(right)], T.token_sort_ratio, 85, False)
+    assert sum(met) < 0.02 * len(left) * len(right), met
+
+
+def test_work_on_small_tables_is_spread(spark):
+    """Packed forms fill few bytes but much memory: they are in as many partitions as the session shuffles to, and joined without a broadcast."""
+    forms = spark.createDataFrame([("L", 0, "ab cd"), ("R", 0, "ab ce")], "_side string, _blk int, _form string")
+    arrays = M._token_arrays(forms, False)
+    assert arrays.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = arrays._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_side" in plan and "BroadcastHashJoin [_side" not in plan
