@@ -13,7 +13,8 @@ from hypothesis import strategies as st
 from geodemand.llm.common import pick
 from geodemand.llm.components import Forest, connected_components
 from geodemand.llm.embed_dedup import Scheme, bucket_keys, choose_scheme, embedding_groups, hadamard
-from geodemand.llm.passages import compact_windows, matching_ranges, repeated_passages
+from geodemand.llm import passages
+from geodemand.llm.passages import compact_windows, drifted_runs, matching_ranges, open_windows, passages_of, repeated_passages, shared_runs, verified
 from geodemand.llm.simhash import (SEGMENTS, codeword, drop_near_copies, fingerprint, fingerprint_components, fuzzy_keys,
                                    home_keys, simhash_groups)
 from tests.llm.tables import documents, empty_documents
@@ -227,6 +228,61 @@ def test_matching_ranges(same, least):
     assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
 
 
+def test_an_exact_run_is_a_passage_without_a_look_at_its_tokens(monkeypatch):
+    monkeypatch.setattr(passages, "_stretched", lambda *a: pytest.fail("tokens of equal runs were compared"))
+    s = np.arange(1, 200)
+    assert passages_of(s, s, np.array([[20, 120, 5]]), 0.8, 46) == [(20, 120, 25, 125, 1.0)]
+    assert passages_of(s, s, np.array([[20, 66, 5]]), 0.8, 46) == [(20, 66, 25, 71, 1.0)]
+
+
+def _drifted_by_hand(a, b, lo, hi, shift):
+    drift = max(16, (hi - lo) // 4)
+    lo, hi, begin, end = max(lo - drift, 0), min(hi + drift, len(a)), max(lo + shift - drift, 0), max(0, hi + shift + drift)
+    part = b[begin:end].tolist()
+    at = {x: begin + k for k, x in enumerate(part) if x and part.count(x) == 1}
+    turns = [at[x] - i for i, x in enumerate(a[lo:hi].tolist(), lo) if x in at]
+    return [x for s in sorted({s for s in turns if turns.count(s) >= 4} - {shift})
+            for x in shared_runs(a, b, lo, hi, s) if x[1] - x[0] >= 4]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(20, 120), st.integers(0, 12))
+def test_drifted_runs(seed, n, edits):
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 400, n)
+    b = a.copy()
+    for _ in range(edits):
+        at = int(rng.integers(0, len(b)))
+        b = np.insert(b, at, rng.integers(0, 400)) if rng.random() < 0.5 or len(b) < 5 else np.delete(b, at)
+    seen = np.full((2, 400), -1)
+    for _ in range(4):  # the places of one call are no places in the next
+        lo, hi = np.sort(rng.integers(0, n + 1, 2)).tolist()
+        shift = int(rng.integers(-5, 6))
+        assert drifted_runs(a, b, lo, hi, shift, seen) == _drifted_by_hand(a, b, lo, hi, shift)
+
+
+def test_open_windows():
+    rng = np.random.default_rng(3)
+    s, t, least = np.arange(150), np.arange(140), 20
+    for _ in range(50):
+        centre, shift = rng.integers(20, 120, 3), rng.integers(-10, 11, 3)
+        links = np.column_stack([shift, centre, centre, np.zeros(3, int), centre])
+        found = [(30, 80, 28, 78, 1.0)]
+        for side, got in enumerate(open_windows(s, t, links, found, least)):
+            begin, end, length = (30, 80, 150) if side == 0 else (28, 78, 140)
+            want = {x for c in (centre + side * shift).tolist() for x in range(c - least + 1, c + 1)
+                    if x >= 0 and x + least + 4 <= length and (x < begin or x + least + 4 > end)}
+            assert got.tolist() == sorted(want)
+
+
+def test_ranges_need_as_many_functions_as_asked():
+    s = np.arange(1, 300)
+    links = np.array([[0, 10, 60, 0, 30], [0, 50, 100, 2, 70], [0, 180, 240, 1, 200], [3, 5, 20, 0, 9]])
+    assert [x[:4] for x in verified(s, s, links, 0.8, 46, 2)] == [(10, 105, 10, 105)]
+    assert [x[:4] for x in verified(s, s, links, 0.8, 46, 1)] == [(10, 105, 10, 105), (180, 245, 180, 245)]
+    assert verified(s, s, links[:0], 0.8, 46, 1) == []
+
+
 def _prose(rng, n):
     return [f"w{rng.randrange(4000)}" for _ in range(n)]
 
