@@ -230,9 +230,9 @@ def test_matching_ranges(same, least):
 
 def test_an_exact_run_is_a_passage_without_a_look_at_its_tokens(monkeypatch):
     monkeypatch.setattr(passages, "_stretched", lambda *a: pytest.fail("tokens of equal runs were compared"))
-    s = np.arange(1, 200)
-    assert passages_of(s, s, np.array([[20, 120, 5]]), 0.8, 46) == [(20, 120, 25, 125, 1.0)]
-    assert passages_of(s, s, np.array([[20, 66, 5]]), 0.8, 46) == [(20, 66, 25, 71, 1.0)]
+    s, t = np.arange(200), np.arange(-5, 195)  # equal at the offset 5
+    assert passages_of(s, t, np.array([[20, 120, 5]]), 0.8, 46) == [(20, 120, 25, 125, 1.0)]
+    assert passages_of(s, t, np.array([[20, 66, 5]]), 0.8, 46) == [(20, 66, 25, 71, 1.0)]
 
 
 def _drifted_by_hand(a, b, lo, hi, shift):
