@@ -14,7 +14,7 @@ from geodemand.llm.common import pick
 from geodemand.llm.components import Forest, connected_components
 from geodemand.llm.embed_dedup import Scheme, bucket_keys, choose_scheme, embedding_groups, hadamard
 from geodemand.llm import passages
-from geodemand.llm.passages import compact_windows, drifted_runs, matching_ranges, open_windows, passages_of, repeated_passages, shared_runs, verified
+from geodemand.llm.passages import compact_windows, distinct_tokens, drifted_runs, matching_ranges, open_windows, passages_of, rare_tokens, repeated_passages, shared_runs, verified
 from geodemand.llm.simhash import (SEGMENTS, codeword, drop_near_copies, fingerprint, fingerprint_components, fuzzy_keys,
                                    home_keys, simhash_groups)
 from tests.llm.tables import documents, empty_documents
@@ -392,6 +392,65 @@ def test_repeats_behind_a_frequent_line_are_found(spark):
     assert len({(r.doc_id, r.source_doc_id, r.start_word) for r in got}) == len(got)
 
 
+def test_edited_repeats_behind_a_frequent_line_are_found(spark):
+    rng = random.Random(16)
+    rows, want = [], set()
+    for g in range(60):  # 12 texts share 30 words, two of them 26 more, one of which differs
+        words = _prose(rng, 56)
+        edited = list(words)
+        edited[rng.randrange(32, 52)] = "edit"
+        for i in range(12):
+            own = {5: words, 9: edited}.get(i, words[:30])
+            rows.append((100 * g + i, " ".join(_prose(rng, 60) + own + _prose(rng, 60))))
+        want.add((100 * g + 9, 100 * g + 5))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = {(r.doc_id, r.source_doc_id) for r in got}
+    assert found <= want and len(found) >= 57
+    for r in got:
+        assert r.similarity >= 0.8 and r.end_word - r.start_word >= 50 and r.source_end - r.source_start >= 50
+    assert len({(r.doc_id, r.source_doc_id, r.start_word) for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("middle", [0, 1, 2])
+def test_repeats_of_repeats_are_found(spark, middle):
+    rng = random.Random(17)
+    rows, want = [], set()
+    for g in range(60):  # one of three texts is like both others, which are unlike each other
+        words = _prose(rng, 60)
+        others = [list(words), list(words)]
+        others[0][rng.randrange(15, 25)] = others[1][rng.randrange(35, 45)] = "edit"
+        others.insert(middle, words)
+        for i, own in enumerate(others):
+            rows.append((3 * g + i, " ".join(_prose(rng, 60) + own + _prose(rng, 60))))
+        want.update((3 * g + max(i, middle), 3 * g + min(i, middle)) for i in range(3) if i != middle)
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(want & {(r.doc_id, r.source_doc_id) for r in got}) >= 116
+
+
+def test_rare_tokens_of_windows():
+    rng = np.random.default_rng(8)
+    least, share = 12, 0.75
+    for _ in range(30):
+        s = rng.integers(1, 50, 100)
+        other = rng.random(50) < 0.85  # which tokens another text has
+        near, free = rng.random(100) < 0.6, rng.random(100) < 0.3
+        at = np.flatnonzero(other[s[:90]])
+        flags = 2 * near[at] + 4 * (near & free)[at]
+        distinct = distinct_tokens(s, at, least)
+        assert distinct.tolist() == [len(set(s[i:i + least].tolist())) if i + least <= 100 else distinct[k] for k, i in enumerate(at.tolist())]
+        want, want_open = set(), set()
+        for k in np.flatnonzero(flags & 2).tolist():
+            inside = [j for j in range(len(at)) if at[k] <= at[j] < at[k] + least]
+            own = sorted({int(s[at[j]]) for j in inside})
+            left = int(distinct[k] * (1 - share)) - (int(distinct[k]) - len(own))
+            if left >= 0:
+                taken = {j for j in inside if s[at[j]] in own[:left + 1]}
+                want |= taken
+                want_open |= taken if flags[k] & 4 else set()
+        some, open_ = rare_tokens(at, s[at].astype(np.uint64), distinct, flags, least, share)
+        assert set(np.flatnonzero(some).tolist()) == want and set(np.flatnonzero(open_).tolist()) == want_open
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_all_but_the_smallest_id_are_repeats(spark, kind):
     rng = random.Random(15)
