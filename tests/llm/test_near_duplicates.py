@@ -5,8 +5,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -275,6 +277,22 @@ def test_open_windows():
             assert got.tolist() == sorted(want)
 
 
+def test_windows_of_many_texts_come_as_few_batches():
+    rng = random.Random(5)
+    line = _prose(rng, 20)  # too short to be a passage
+    texts = [" ".join(_prose(rng, 60) + line + _prose(rng, 40 + i)) for i in range(6)]
+    blobs = [zstandard.ZstdCompressor().compress(x.encode()) for x in texts]
+    pairs = [(0, 1), (0, 2), (0, 3), (4, 5)]
+    link = {"shift": 0, "lo": 60, "hi": 75, "hash": 0, "centre": 66}
+    columns = [pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), pa.array([blobs[a] for a, _ in pairs]),
+               pa.array([blobs[b] for _, b in pairs]), pa.array([[link]] * 4, pa.list_(pa.struct([(c, pa.int64()) for c in link])))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["a", "b", "text_a", "text_b", "links"])
+    got = list(passages._verify(iter([batch]), 0.8, 46, 1, False))
+    assert len(got) <= 3  # compared ranges, windows, open windows
+    rows = [r for x in got for r in x.to_pylist() if r["b_end"] < 2]
+    assert sorted((r["a"], r["b"], r["a_start"], r["b_end"]) for r in rows) == [(i, 21, 66, k) for i in range(6) for k in (0, 1)]
+
+
 def test_ranges_need_as_many_functions_as_asked():
     s = np.arange(1, 300)
     links = np.array([[0, 10, 60, 0, 30], [0, 50, 100, 2, 70], [0, 180, 240, 1, 200], [3, 5, 20, 0, 9]])
@@ -411,6 +429,17 @@ def test_edited_repeats_behind_a_frequent_line_are_found(spark):
     assert len({(r.doc_id, r.source_doc_id, r.start_word) for r in got}) == len(got)
 
 
+def test_leaders_sent_to_all_tasks_give_the_same_rows(spark, monkeypatch):
+    rng = random.Random(12)
+    line, tail = _prose(rng, 40), [_prose(rng, 60) for _ in range(3)]
+    rows = [(i, " ".join(_prose(rng, 30) + line + (tail[i % 4] if i % 4 < 3 else _prose(rng, 60)))) for i in range(24)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, repeated_passages(frame).collect()))
+    assert {r[0] % 4 for r in got} == {0, 1, 2} and len({r[0] for r in got}) == 15
+    monkeypatch.setattr(passages, "_FEW", -1)
+    assert sorted(map(tuple, repeated_passages(frame).collect())) == got
+
+
 @pytest.mark.parametrize("middle", [0, 1, 2])
 def test_repeats_of_repeats_are_found(spark, middle):
     rng = random.Random(17)
