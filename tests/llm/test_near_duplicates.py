@@ -495,3 +495,86 @@ def test_all_but_the_smallest_id_are_repeats(spark, kind):
         got = repeated_passages(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(parts)).collect()
         assert {r.doc_id for r in got} == want | {None}
         assert all(r.source_doc_id is not None and (r.doc_id is None or r.source_doc_id < r.doc_id) for r in got)
+
+
+def test_windows_of_a_bucket_are_one_row():
+    """The shuffle takes a row for each bucket of keys, not for each window; what meets is what equal keys bring together."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 400, (30, 300))
+    words[10:20, 100:200] = words[0, 100:200]
+    texts = [" ".join(f"w{x}" for x in row) for row in words]
+    tasks = [pa.RecordBatch.from_arrays([pa.array(texts[i:i + 10]), pa.array(range(i, i + 10), pa.int64())], names=["text", "rank"]) for i in (0, 10, 20)]
+    rows = [b for task in tasks for b in passages._emit_windows(iter([task]), 3, 46, 4)]
+    assert sum(b.num_rows for b in rows) <= 3 * 2 * 16
+    assert {c.type for b in rows for c in b.columns[1:]} == {pa.binary()}
+    got = set()
+    for bucket in range(-8, 8):
+        held = [b.filter(pa.array(np.asarray(b.column(0)) == bucket)) for b in rows]
+        for links in passages._meet(iter(held)):
+            got |= set(zip(*(links.column(i).to_pylist() for i in range(7))))
+
+    nodes = np.array([passages.xxhash.xxh64_intdigest(x, 42) for x in texts], dtype=np.uint64).view(np.int64)
+    keys: dict = {}
+    for task in range(3):
+        own = slice(10 * task, 10 * task + 10)
+        for k, n, p in zip(*passages._text_windows(*passages.utf8(pa.array(texts[own])), nodes[own], 3, 46)):
+            keys.setdefault(int(k), []).append((task, int(np.flatnonzero(nodes == n)[0]), int(n), int(p)))
+    want = set()
+    for members in keys.values():
+        heads = [min((m for m in members if m[0] == task), key=lambda m: m[1:], default=None) for task in range(3)]
+        heads = [h for h in heads if h]
+        least = min(heads, key=lambda m: m[1:])
+        for f, m in [(heads[[h[0] for h in heads].index(m[0])], m) for m in members] + [(least, h) for h in heads]:
+            if f[2] != m[2]:
+                for links in passages._link_rows(*(np.array([x]) for x in (*f[2:], *m[2:]))):
+                    want |= set(zip(*(links.column(i).to_pylist() for i in range(7))))
+    assert got == want and got
+
+
+@given(seed=st.integers(0, 10**6), tokens=st.integers(1, 4))
+def test_runs_of_spans(seed, tokens):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, tokens + 1, 40), rng.integers(0, tokens + 1, 30)
+    lo, shift = rng.integers(-5, 40, 9), rng.integers(-45, 35, 9)
+    hi = lo + rng.integers(0, 30, 9)
+    assert passages.runs_of_spans(a, b, lo, hi, shift) == [shared_runs(a, b, *x) for x in zip(lo.tolist(), hi.tolist(), shift.tolist())]
+
+
+@given(seed=st.integers(0, 10**6), leaders=st.sampled_from([1, 2, 4]), done=st.sampled_from([0, 1, 2]))
+def test_rounds_link_the_first_open_texts_with_all_others(seed, leaders, done):
+    rng = np.random.default_rng(seed)
+    rows = {(int(t), int(n), int(p)): [int(o), 1, int(n) % 3] for t, n, p, o in zip(*(rng.integers(0, k, 40) for k in (4, 6, 5, 2)))}
+    marks = [x for x in rows if rng.random() < 0.3] if done else []
+
+    def run(rows, marks):
+        own = [(*k, *v) for k, v in rows.items()] + [(*k, 2, 1, 0) for k in marks * 2]
+        own = [own[i] for i in rng.permutation(len(own))]
+        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*own)], names=list(passages._STATE))
+        out = [x for b in passages._round(iter([batch]), done, leaders) for x in zip(*b.to_pydict().values())]
+        assert len(out) == len(set(out))
+        return {x[1:] for x in out if not x[0]}, {x[1:] for x in out if x[0]}
+
+    def leading(rows, token, n):
+        return sorted({(v[2], k[1]) for k, v in rows.items() if k[0] == token and v[0]})[:n]
+
+    left = {k: [v[0] and int(k not in marks), *v[1:]] for k, v in rows.items() if (v[2], k[1]) not in leading(rows, k[0], done)}
+    left = {k: v for k, v in left.items() if len({x[1] for x in left if x[0] == k[0]}) > 1 and any(w[0] for x, w in left.items() if x[0] == k[0])}
+    links = set()
+    for token in {k[0] for k in left}:
+        lead = leading(left, token, leaders)
+        for i, (_, to) in enumerate(lead):
+            to_at = min(k[2] for k, v in left.items() if k[:2] == (token, to) and v[0])
+            links |= {(token, to, to_at, k[1], k[2], v[1]) for k, v in left.items() if k[0] == token and (v[2], k[1]) not in lead[:i + 1]}
+    assert run(rows, marks) == ({(*k, *v) for k, v in left.items()}, links)
+
+
+def test_shuffle_files_of_passages_go_as_the_steps_end(spark, monkeypatch):
+    """What a step has shuffled is not kept until the driver happens to collect its garbage; the session's setting is."""
+    seen = []
+    monkeypatch.setattr(passages, "_ranked", lambda rows, f=passages._ranked: (seen.append(spark.conf.get(passages._CLEANED)), f(rows))[1])
+    before = spark.conf.get(passages._CLEANED, "false")
+    text = "\u00c4pfel " + " ".join(f"O{i}-Ab{i}" for i in range(30))  # capitals and signs count as in the tokens
+    got = repeated_passages(spark.createDataFrame([(1, text), (2, text), (3, "short copy"), (4, "short copy")], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(2, 0, 61, 1, 0, 61, 1.0)]
+    assert seen == ["true"]
+    assert spark.conf.get(passages._CLEANED, "false") == before
